@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,20 @@ def build_session(app_name: str = "lakecheck", master: str | None = None, **extr
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, as ``--py-files``
+    would; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="lakecheck-")) / here.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", here.parent, here.name))
+        _shipped.add(app)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder of ``spark.checkpoint.dir``.
 
