@@ -49,8 +49,10 @@ def event_host(line: Column) -> Column:
 
 
 def event_time(line: Column) -> Column:
-    """Timestamp at the first ``:202``, null if it does not parse."""
-    return F.try_to_timestamp(F.regexp_extract(line, r":(202.{16})", 1), F.lit(TIME_FORMAT))
+    """Timestamp that follows the colon of the first ``:202``, null if it does not parse."""
+    at = F.locate(":202", line)
+    written = F.substring(line, at + 1, F.lit(len("yyyy-MM-dd HH:mm:ss")))
+    return F.when(at > 0, F.try_to_timestamp(written, F.lit(TIME_FORMAT)))
 
 
 def short_host(host: Column, prefixes: Sequence[str] = (), suffixes: Sequence[str] = ()) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +17,16 @@ def compaction_files(n_bytes: Column, codec: str = "gzip", ratio: int = RATIO) -
     return F.when(n_bytes > target, F.greatest(F.lit(1).cast("bigint"), wanted)).otherwise(F.lit(1).cast("bigint"))
 
 
-def compact_text(lines: DataFrame, n_files: int, salts: int | None = None) -> DataFrame:
+def compact_text(lines: DataFrame, n_files: int) -> DataFrame:
     """All lines in ``n_files`` partitions, equal and similar lines together, sorted.
 
-    Every line stays as often as it came. The range also covers a salt, so a line that
-    makes up a third of the table is spread over several files. ``lines`` should be a
-    text scan: there the salt (the row's position in its split) is the same in every
-    attempt of a task.
+    Every line stays as often as it came. The range also covers the row's position, so a
+    line that makes up a third of the table is spread over a third of the files. ``lines``
+    should be a scan: there the position is the same in every attempt of a task.
     """
-    salts = salts or max(2, math.isqrt(n_files) * 4)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
     return (
-        lines.select("value", salt.alias("_salt"))
-        .repartitionByRange(n_files, "value", "_salt")
+        lines.select("value", F.monotonically_increasing_id().alias("_pos"))
+        .repartitionByRange(n_files, "value", "_pos")
         .sortWithinPartitions("value")
         .select("value")
     )

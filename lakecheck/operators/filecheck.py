@@ -27,18 +27,41 @@ UNSUPPORTED = "ArrowNotImplementedError"
 
 
 class _Parquet:
-    """Row groups of a Parquet file, with page checksums where the writer stored them."""
+    """Row groups of a Parquet file, with page checksums where the writer stored them.
+
+    A very large row group is cut further into ranges of column chunks.
+    """
 
     def __init__(self, handle) -> None:
         import pyarrow.parquet as pq
 
         self._file = pq.ParquetFile(handle, page_checksum_verification=True, pre_buffer=False)
-        self.rows = self._file.metadata.num_rows
-        self.units = self._file.metadata.num_row_groups
+        meta = self._file.metadata
+        self.rows = meta.num_rows
+        self._parts = [
+            (group, columns)
+            for group in range(meta.num_row_groups)
+            for columns in _column_ranges(meta.num_columns, meta.row_group(group).total_byte_size)
+        ]
+        self.units = len(self._parts)
+
+    def group_of(self, unit: int) -> int:
+        return self._parts[unit][0]
 
     def read(self, unit: int) -> int:
-        batches = self._file.iter_batches(batch_size=16384, row_groups=[unit], use_threads=False)
-        return sum(batch.num_rows for batch in batches)
+        """Decode one part; its rows count for the file only in the first column range."""
+        group, columns = self._parts[unit]
+        batches = self._file.reader.iter_batches(16384, row_groups=[group], column_indices=columns, use_threads=False)
+        n_rows = sum(batch.num_rows for batch in batches)
+        if n_rows != self._file.metadata.row_group(group).num_rows:
+            raise ValueError(f"row group {group} has {n_rows} rows")
+        return n_rows if columns[:1] in ([0], []) else 0
+
+
+def _column_ranges(n_columns: int, n_bytes: int) -> list[list[int]]:
+    pieces = max(1, min(n_columns, math.ceil(n_bytes / BYTES_PER_TASK)))
+    step = max(1, math.ceil(n_columns / pieces))
+    return [list(range(a, min(a + step, n_columns))) for a in range(0, max(n_columns, 1), step)]
 
 
 class _Orc:
@@ -51,6 +74,9 @@ class _Orc:
         self.rows = self._file.nrows
         self.units = self._file.nstripes
 
+    def group_of(self, unit: int) -> int:
+        return unit
+
     def read(self, unit: int) -> int:
         return self._file.read_stripe(unit).num_rows
 
@@ -87,10 +113,8 @@ def _list_units(opener: Callable):
 def _read_units(opener: Callable, depth: str):
     """Task body: read the units to the end. Neighbouring units of a file share its handle."""
 
-    def read(file, unit: int | None) -> int:
-        if unit is None or depth == "footer" or (depth == "first_group" and unit > 0):
-            return 0
-        return file.read(unit)
+    def read(file, unit: int) -> int:
+        return 0 if depth == "first_group" and file.group_of(unit) > 0 else file.read(unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, handle, file = None, None, None

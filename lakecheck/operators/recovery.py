@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import reported_path, suspect_host
 from lakecheck.operators import gf
-from lakecheck.operators.parity import Policy, audit_parity, by_stripe, packs
+from lakecheck.operators.parity import Pack, Policy, audit_parity, by_stripe, packs
 
 
 def parse_error_report(lines: DataFrame, needle: str) -> DataFrame:
@@ -88,29 +88,39 @@ def reconstruct_units(cells: DataFrame, policy: Policy, excluded: DataFrame) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, table in packs(batches, policy.n):
-            outs = [tuple(u) for u in table["excluded"].to_pylist()]
-            keys = list(zip(table["group_id"].to_pylist(), table["stripe_no"].to_pylist()))
-            out_of = dict(zip(keys, outs))
-            rows = []
-            for s, key in enumerate(zip(pack.group_id.tolist(), pack.stripe_no.tolist())):
-                gone = sorted(set(out_of[key]))
-                units = pack.units[:, pack.starts[s] : pack.starts[s] + pack.lengths[s]].copy()
-                units[gone] = 0
-                left, _ = gf.eliminate(check[:, gone])
-                solved = gf.matmul(left, gf.matmul(check, units))
-                for row, unit in enumerate(gone):
-                    size = pack.sizes[s, unit]
-                    rows.append((*key, unit, solved[row, : size if size >= 0 else None].tobytes()))
-            columns = list(zip(*rows)) or [()] * 4
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["group_id", "stripe_no", "unit_index", "payload"])
+            asked = dict(zip(table["group_id"].to_pylist(), table["excluded"].to_pylist()))
+            gone_of = [tuple(sorted(set(asked[g]))) for g in pack.group_id.tolist()]
+            for gone in set(gone_of):
+                chosen = np.array([g == gone for g in gone_of])
+                units = pack.units[:, np.repeat(chosen, pack.lengths)]
+                units[list(gone)] = 0
+                left, _ = gf.eliminate(check[:, list(gone)])
+                yield _unit_rows(pack, chosen, gone, gf.matmul(left, gf.matmul(check, units)))
 
     usable = excluded.where(F.size("excluded").between(1, policy.m)).select("group_id", "excluded")
     wanted = by_stripe(cells.join(usable, "group_id"), policy, "excluded")
     return wanted.mapInArrow(run, "group_id bigint, stripe_no int, unit_index int, payload binary")
 
 
+def _unit_rows(pack: Pack, chosen: np.ndarray, gone: tuple[int, ...], solved: np.ndarray) -> pa.RecordBatch:
+    """Rows for the units ``gone`` of the chosen stripes, cut from their solved bytes."""
+    stripes = np.flatnonzero(chosen)
+    ends = np.cumsum(pack.lengths[stripes])
+    sizes = pack.sizes[stripes]
+    payload = []
+    for row, unit in enumerate(gone):
+        size = np.where(sizes[:, unit] >= 0, sizes[:, unit], pack.lengths[stripes])
+        begins = ends - pack.lengths[stripes]
+        payload += [solved[row, a : a + n].tobytes() for a, n in zip(begins, size)]
+    columns = {
+        "group_id": np.tile(pack.group_id[stripes], len(gone)),
+        "stripe_no": np.tile(pack.stripe_no[stripes], len(gone)),
+        "unit_index": np.repeat(np.array(gone, np.int32), len(stripes)),
+        "payload": pa.array(payload, pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
 _PROBE = 256  # byte positions tried first; sets that survive are tested on all of them
 
 

@@ -40,7 +40,8 @@ def scan_text_rows(spark: SparkSession, *path: str) -> DataFrame:
     :func:`lakecheck.operators.textcheck.text_verdict`.
     """
     uri = F.col("_metadata.file_path")
-    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    unquoted = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    decoded = F.when(uri.contains("%"), unquoted).otherwise(uri)
     return (
         spark.read.option("recursiveFileLookup", "true")
         .text(list(path))

@@ -14,7 +14,7 @@ BLOCKS = f"""{EV}, {FILES}, b AS (SELECT DISTINCT block_id FROM ev),
     'dn' || (o_custkey % 12) || '_' || 'dn' || ((o_custkey + 5) % 12) AS hosts FROM f)"""
 FLAGSHIP = f"""{BLOCKS}, lines AS (SELECT DISTINCT l_orderkey FROM lineitem),
   flag AS (SELECT b.block_id, m.path, m.hosts, CASE WHEN lines.l_orderkey IS NULL THEN NULL
-      WHEN m.key % 37 = 0 THEN -1 ELSE 0 END AS status
+      WHEN m.key % 37 = 0 THEN '-1' ELSE '0' END AS status
     FROM b LEFT JOIN m USING (block_id) LEFT JOIN lines ON lines.l_orderkey = m.key
     WHERE m.db IS DISTINCT FROM 'db1')"""
 UNITS = """u AS (SELECT l_orderkey AS g, l_linenumber AS line,
@@ -41,7 +41,7 @@ LINES = """v AS (SELECT l_orderkey AS key, CAST(l_orderkey % 8 AS VARCHAR) AS pa
   c AS (SELECT part, CASE WHEN bad THEN value END AS bad_value,
     row_number() OVER (PARTITION BY part ORDER BY key, value) AS line FROM w)"""
 TEXT_VERDICT = """SELECT part, CASE WHEN count(bad_value) > 0 THEN -1 ELSE 0 END AS status, count(*) AS n_rows,
-  count(bad_value) AS n_bad, min(line) FILTER (bad_value IS NOT NULL) AS first_bad_line,
+  count(bad_value) AS n_bad, CAST(min(line) FILTER (bad_value IS NOT NULL) AS VARCHAR) AS first_bad_line,
   arg_min(bad_value, line) FILTER (bad_value IS NOT NULL) AS first_bad FROM c GROUP BY part"""
 HOSTS = """h AS (SELECT DISTINCT l_orderkey AS g, 'h' || l_suppkey AS host FROM lineitem),
   r AS (SELECT g, host, row_number() OVER (PARTITION BY g ORDER BY host) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM h),
@@ -66,8 +66,7 @@ RESULTS = f"""{FILES}, res AS (SELECT path, CASE WHEN o_orderstatus = 'F' OR o_o
 # stripes and damage of the RS(6,3) cells: first parity unit (g % 41), first data unit (g % 43)
 STRIPES = """s AS (SELECT l_orderkey AS group_id, CAST((l_linenumber - 1) // 6 AS INTEGER) AS stripe_no,
     l_orderkey % 41 = 0 AS bad_p, l_orderkey % 43 = 0 AND bool_or(l_linenumber = 1) AS bad_d
-  FROM lineitem GROUP BY ALL), bad_stripes AS (SELECT group_id, stripe_no, CASE WHEN bad_d THEN '0,1,2' WHEN bad_p THEN '0' ELSE '' END AS bad_parity FROM s)"""
-STRIPES = STRIPES.replace("GROUP BY ALL), bad", "GROUP BY l_orderkey, (l_linenumber - 1) // 6), bad", 1)
+  FROM lineitem GROUP BY l_orderkey, (l_linenumber - 1) // 6), bad_stripes AS (SELECT group_id, stripe_no, CASE WHEN bad_d THEN '0,1,2' WHEN bad_p THEN '0' ELSE '' END AS bad_parity FROM s)"""
 GROUPS = f"""{STRIPES}, grp AS (SELECT group_id, bool_or(bad_p) AS bad_p, bool_or(bad_d) AS bad_d,
     min(stripe_no) FILTER (bad_parity <> '') AS first_bad FROM s JOIN bad_stripes USING (group_id, stripe_no) GROUP BY group_id)"""
 META = """CASE WHEN o_orderpriority = '5-LOW' THEN 'does not exist' WHEN o_orderstatus = 'P' THEN 'is not a regular file'
@@ -95,7 +94,7 @@ ORACLES = {
     # blocks and files
     "blocks_to_files": f"WITH {BLOCKS} SELECT block_id, path, hosts FROM b LEFT JOIN m USING (block_id)",
     "damaged_files": f"WITH {FLAGSHIP} SELECT * FROM flag",
-    "alert": f"""WITH {FLAGSHIP} SELECT count(*) FILTER (status <> 0) AS n_alerts, count(*) FILTER (status <> 0) > 0 AS raise FROM flag""",
+    "alert": f"""WITH {FLAGSHIP} SELECT count(*) FILTER (status <> '0') AS n_alerts, count(*) FILTER (status <> '0') > 0 AS raise FROM flag""",
     "write_block_status": f"WITH {FLAGSHIP} SELECT block_id, coalesce(path, 'fpNull') AS path, hosts, status FROM flag",
     "write_block_map": f"WITH {BLOCKS} SELECT block_id, coalesce(path, 'fpNull') AS path FROM b LEFT JOIN m USING (block_id)",
     "block_report": f"""WITH {FILES}, h AS (SELECT l_orderkey AS key, string_agg(DISTINCT host, '_' ORDER BY host) AS hosts
@@ -116,7 +115,7 @@ ORACLES = {
     "exclude_paths": f"WITH {FILES} SELECT path FROM f WHERE db NOT IN ('db0', 'db1')",
     "route_format": f"""WITH {FILES} SELECT path, CASE tab WHEN 't0' THEN 'text' WHEN 't1' THEN 'text_gzip' WHEN 't2' THEN 'parquet'
           WHEN 't3' THEN 'text' WHEN 't4' THEN 'text_gzip' ELSE 'orc' END AS format,
-          CASE WHEN tab IN ('t0', 't1') THEN 5 WHEN tab IN ('t3', 't4') THEN 11 END AS n_cols FROM f""",
+          CASE WHEN tab IN ('t0', 't1') THEN '5' WHEN tab IN ('t3', 't4') THEN '11' END AS n_cols FROM f""",
     "route_by_prefix": f"""WITH {FILES} SELECT path, CASE WHEN db = 'db4' OR (db = 'db3' AND tab = 't1') THEN 'parquet' ELSE 'orc' END AS format
         FROM f""",
     "pending": f"WITH {FILES} SELECT path FROM f WHERE o_orderstatus <> 'F'",
@@ -176,12 +175,12 @@ ORACLES = {
           count(DISTINCT l_linenumber) < least(6, (CAST(sum(l_quantity) AS BIGINT) - 1) // 16 + 1) + 1 AS under_coded
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""",
     "checkable": f"""WITH {FILES}, t AS (SELECT path, {META} AS why FROM f)
-        SELECT path, CASE WHEN why IS NOT NULL THEN 1 END AS status, 'File ' || path || ' ' || why || '.' AS msg FROM t""",
+        SELECT path, CASE WHEN why IS NOT NULL THEN '1' END AS status, 'File ' || path || ' ' || why || '.' AS msg FROM t""",
     "group_verdict": f"""WITH {GROUPS}, {FILES} SELECT group_id, path, CASE WHEN bad_p OR bad_d THEN -1 ELSE 0 END AS status,
           CASE WHEN bad_p OR bad_d THEN 'Status: ERROR, message: EC compute result not match.:ip is 10.0.6.' || (group_id % 200)
             || ' block is : ' || (group_id + 6) END AS msg,
           CASE WHEN bad_p OR bad_d THEN '10.0.6.' || (group_id % 200) END AS bad_host,
-          CASE WHEN bad_p OR bad_d THEN group_id + 6 END AS bad_block,
+          CASE WHEN bad_p OR bad_d THEN CAST(group_id + 6 AS VARCHAR) END AS bad_block,
           CASE WHEN bad_d THEN '6,7,8' WHEN bad_p THEN '6' ELSE '' END AS bad_units
         FROM grp JOIN f ON f.key = grp.group_id""",
     "file_audit": f"""WITH {GROUPS}, {FILES}, t AS (SELECT key, path, {META} AS why FROM f),
@@ -190,7 +189,7 @@ ORACLES = {
           CASE WHEN why IS NOT NULL THEN 'File ' || path || ' ' || why || '.'
             WHEN bad THEN 'Status: ERROR, message: EC compute result not match.:ip is 10.0.6.' || (group_id % 200)
               || ' block is : ' || (group_id + 6) END AS msg,
-          CASE WHEN bad THEN '10.0.6.' || (group_id % 200) END AS bad_host, CASE WHEN bad THEN group_id + 6 END AS bad_block FROM j""",
+          CASE WHEN bad THEN '10.0.6.' || (group_id % 200) END AS bad_host, CASE WHEN bad THEN CAST(group_id + 6 AS VARCHAR) END AS bad_block FROM j""",
     "file_status": f"""WITH {RESULTS}, l AS (SELECT f.path, min(CASE WHEN l_quantity > 49 THEN -1 WHEN l_quantity < 3 THEN 1 ELSE 0 END) AS s
           FROM lineitem JOIN f ON key = l_orderkey GROUP BY f.path)
         SELECT path, least(coalesce(s, 9), coalesce(c, 9), 1) AS status, CASE WHEN s IS NULL AND c IS NULL THEN 'not checked'
@@ -209,7 +208,7 @@ ORACLES = {
     "attempt_plan": f"WITH {ATTEMPTS} SELECT g AS group_id, attempt_no, excluded FROM att",
     "attempt_plan_named_only": f"""WITH {ATTEMPTS} SELECT g AS group_id, count(*) AS n FROM att
         WHERE path IN (SELECT path FROM dmg WHERE host IS NOT NULL) GROUP BY g""",
-    "recovery_outcome": f"WITH {OUTCOME} SELECT * FROM outc",
+    "recovery_outcome": f"WITH {OUTCOME} SELECT path, outcome, CAST(attempt_no AS VARCHAR) AS attempt_no, excluded FROM outc",
     "unrecoverable": f"WITH {OUTCOME} SELECT path FROM outc WHERE outcome = 'failed'",
     "reconstruct": f"""WITH {BYTES}, st AS (SELECT DISTINCT group_id, stripe_no FROM bytes), want AS (
           SELECT group_id, stripe_no, unit, i FROM st, (SELECT CAST(range AS INTEGER) AS unit FROM range(3)), pos)

@@ -37,6 +37,11 @@ def query(run: Query) -> Query:
     return run
 
 
+def _text(name: str) -> Column:
+    """A nullable number as text: None and numbers compare alike in every client."""
+    return F.col(name).cast("string").alias(name)
+
+
 def _status(stripes: DataFrame) -> DataFrame:
     bad = F.max(F.size("bad_parity")) > 0
     return stripes.groupBy("group_id").agg(F.when(bad, -1).otherwise(0).alias("status"))
@@ -130,7 +135,7 @@ def _flagship(spark, d):
 
 @query
 def damaged_files(spark, d):
-    return _flagship(spark, d).select("block_id", "path", F.array_join("hosts", "_").alias("hosts"), "status")
+    return _flagship(spark, d).select("block_id", "path", F.array_join("hosts", "_").alias("hosts"), _text("status"))
 
 
 @query
@@ -143,7 +148,7 @@ def write_block_status(spark, d):
     out = scratch_path(spark, "status")
     sinks.write_block_status(_flagship(spark, d), out)
     schema = "block_id bigint, path string, hosts string, status int, checked_at string"
-    return spark.read.schema(schema).csv(out).drop("checked_at")
+    return spark.read.schema(schema).csv(out).select("block_id", "path", "hosts", _text("status"))
 
 
 @query
@@ -231,7 +236,7 @@ def exclude_paths(spark, d):
 @query
 def route_format(spark, d):
     routed = lookup.route_format(files.with_table(given.order_files(spark, d)), given.registry(spark))
-    return routed.select("path", "format", "n_cols")
+    return routed.select("path", "format", _text("n_cols"))
 
 
 @query
@@ -329,7 +334,7 @@ def text_field_check(spark, d):
     out = _text_layout(spark, d, "t0", given.customer_lines(spark, d))
     rows = textcheck.check_delimited(tables.scan_text_rows(spark, out), given.registry(spark))
     return textcheck.text_verdict(rows).select(
-        _part(), "status", "n_rows", "n_bad", "first_bad_line", "first_bad"
+        _part(), "status", "n_rows", "n_bad", _text("first_bad_line"), "first_bad"
     )
 
 
@@ -338,7 +343,7 @@ def text_field_check_wide(spark, d):
     out = _text_layout(spark, d, "t3", given.lineitem_lines(spark, d))
     rows = textcheck.check_delimited(tables.scan_text_rows(spark, out), given.registry(spark))
     return textcheck.text_verdict(rows).select(
-        _part(), "status", "n_rows", "n_bad", "first_bad_line", "first_bad"
+        _part(), "status", "n_rows", "n_bad", _text("first_bad_line"), "first_bad"
     )
 
 
@@ -356,7 +361,7 @@ def check_gzip(spark, d):
     out = _text_layout(spark, d, "t1", given.customer_lines(spark, d), compression="gzip")
     checked = textcheck.check_gzip_delimited(files.scan_files(spark, out), given.registry(spark))
     return checked.select(
-        _part(), "status", "n_rows", "n_bad", "first_bad_line", "first_bad"
+        _part(), "status", "n_rows", "n_bad", _text("first_bad_line"), "first_bad"
     )
 
 
@@ -487,19 +492,20 @@ def _metadata(spark, d):
 
 @query
 def checkable(spark, d):
-    return parity.checkable(_metadata(spark, d)).select("path", "status", "msg")
+    return parity.checkable(_metadata(spark, d)).select("path", _text("status"), "msg")
 
 
 @query
 def group_verdict(spark, d):
     stripes = parity.audit_parity(given.rs_cells(spark, d), RS)
     found = parity.group_verdict(stripes, given.rs_units(spark, d), RS)
-    return found.withColumn("bad_units", F.array_join("bad_units", ","))
+    return found.withColumns({"bad_units": F.array_join("bad_units", ","), "bad_block": _text("bad_block")})
 
 
 @query
 def file_audit(spark, d):
-    return audit_files(_metadata(spark, d), given.rs_units(spark, d), given.rs_cells(spark, d), RS)
+    found = audit_files(_metadata(spark, d), given.rs_units(spark, d), given.rs_cells(spark, d), RS)
+    return found.withColumn("bad_block", _text("bad_block"))
 
 
 @query
@@ -588,7 +594,8 @@ def _outcome(spark, d):
 
 @query
 def recovery_outcome(spark, d):
-    return _outcome(spark, d).withColumn("excluded", F.array_join("excluded", ","))
+    found = _outcome(spark, d)
+    return found.withColumns({"excluded": F.array_join("excluded", ","), "attempt_no": _text("attempt_no")})
 
 
 @query
