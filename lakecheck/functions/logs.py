@@ -39,13 +39,16 @@ def block_id(line: Column, kind: Column) -> Column:
     """Block number: after ``blockId:`` for a reconstruction, else after the first ``blk_``."""
     announced = F.regexp_extract(line, r"blockId:\s*(?:blk_)?(-?\d+)", 1)
     named = F.regexp_extract(line, r"blk_(-?\d+)", 1)
-    return F.when(kind == "reconstruct", announced).otherwise(named).try_cast("bigint")
+    digits = F.when(kind == "reconstruct", announced).when(kind.isNotNull(), named)
+    return F.nullif(digits, F.lit("")).try_cast("bigint")  # casting '' would cost an exception
 
 
 def event_host(line: Column) -> Column:
     """Host between the marker and the log suffix; null unless the marker is there once."""
-    parts = F.split(F.substring_index(line, HOST_END, 1), HOST_MARKER)
-    return F.when(F.size(parts) == 2, F.concat(java_trim(F.get(parts, F.lit(1))), F.lit(".com")))
+    head = F.substring_index(line, HOST_END, 1)
+    once = F.length(head) - F.length(F.replace(head, F.lit(HOST_MARKER), F.lit(""))) == len(HOST_MARKER)
+    host = java_trim(F.substring_index(head, HOST_MARKER, -1))
+    return F.when(once & (host != ""), F.concat(host, F.lit(".com")))
 
 
 def event_time(line: Column) -> Column:
