@@ -27,16 +27,15 @@ def field_count(value: Column, sep: Column) -> Column:
     A row of separators only has 0 fields, a row without separator 1. ``sep`` may differ
     from row to row and is taken literally. One-character separators need no regex.
     """
-    one_char = F.rtrim(value, sep)
-    pattern = F.concat(F.lit(r"(?:\Q"), sep, F.lit(r"\E)+$"))
-    trimmed = F.when(F.length(sep) == 1, one_char).otherwise(F.regexp_replace(value, pattern, F.lit("")))
-    without = F.replace(trimmed, sep, F.lit(""))
-    seps = (F.length(trimmed) - F.length(without)) / F.length(sep)
-    return (
-        F.when((F.length(trimmed) == 0) & (F.length(value) > 0), F.lit(0))
-        .otherwise(seps.cast("int") + 1)
-        .cast("int")
+    kept = F.rtrim(value, sep)
+    seps = F.length(kept) - F.length(F.replace(kept, sep, F.lit("")))
+    short = F.when((kept == "") & (value != ""), F.lit(0)).otherwise(seps + 1)
+    parts = F.split(value, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E")), -1)
+    filled_from_end = F.array_position(F.transform(F.reverse(parts), lambda x: x != ""), True)
+    long = F.when(value == "", F.lit(1)).when(filled_from_end == 0, F.lit(0)).otherwise(
+        F.size(parts) - filled_from_end + 1
     )
+    return F.when(F.length(sep) == 1, short).otherwise(long).cast("int")
 
 
 def fields_ok(

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakecheck.functions import paths
+from lakecheck.session import materialize
+from lakecheck.sources.tables import list_folder
 
 
 def scan_files(spark: SparkSession, *roots: str) -> DataFrame:
     """``path, length, modification_time, db, table`` of all files below the roots.
 
-    Only metadata is read: the content column is pruned from the scan. Hidden files
-    (``_*``, ``.*``) are left out by Spark's listing.
+    Only metadata is read: the content column is pruned from the scan. Spark's listing
+    leaves out hidden files (``_*``, ``.*``) and empty ones; see :func:`scan_all_files`.
     """
     found = (
         spark.read.format("binaryFile")
@@ -23,6 +29,35 @@ def scan_files(spark: SparkSession, *roots: str) -> DataFrame:
     return with_table(found)
 
 
+LISTING_SCHEMA = "path string, length bigint, modification_time timestamp, is_dir boolean"
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_())
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            columns = list(zip(*list_folder(folder))) or [()] * 4
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, ["path", "length", "modification_time", "is_dir"])
+
+
+def scan_all_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """The same inventory including hidden, marker and empty files.
+
+    Folders are listed in tasks, one level of the tree per job; a level is written to the
+    shared folder before the next, so the number of jobs is the depth of the tree.
+    """
+    found, folders = [], spark.createDataFrame([(r,) for r in roots], "path string")
+    tasks = spark.sparkContext.defaultParallelism * 4
+    while True:
+        spread = folders.select("path").repartition(tasks, "path")
+        level = materialize(spread.mapInArrow(_list_folders, LISTING_SCHEMA), "listing")
+        found.append(level.where("not is_dir").drop("is_dir"))
+        folders = level.where("is_dir")
+        if folders.isEmpty():
+            return with_table(reduce(DataFrame.unionByName, found))
+
+
 def with_table(files: DataFrame) -> DataFrame:
     """Add ``db`` and ``table`` from the path."""
     return files.withColumns(

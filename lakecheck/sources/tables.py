@@ -54,18 +54,33 @@ def scan_text_rows(spark: SparkSession, *path: str) -> DataFrame:
     )
 
 
-def open_path(path: str) -> pa.NativeFile:
-    """Open a file from inside a task, by the path that Spark's listing reports."""
+def _store(path: str):
+    """File system and key of a path as Spark's listing reports it."""
     from pyarrow import fs
 
     scheme = urlsplit(path).scheme
     if scheme in ("", "file"):
         local = path.split(":", 1)[1] if scheme else path
-        return fs.LocalFileSystem().open_input_file("/" + local.lstrip("/"))
-    store, key = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        return fs.LocalFileSystem(), "/" + local.lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def open_path(path: str) -> pa.NativeFile:
+    """Open a file from inside a task."""
+    store, key = _store(path)
     return store.open_input_file(key)
 
 
+def list_folder(path: str) -> list[tuple]:
+    """``path, length, modification time, is folder`` of everything in a folder."""
+    from pyarrow import fs
+
+    store, key = _store(path)
+    base = path.rstrip("/")
+    entries = store.get_file_info(fs.FileSelector(key, recursive=False))
+    return [(f"{base}/{e.base_name}", e.size, e.mtime, e.type == fs.FileType.Directory) for e in entries]
+
+
 def _text_pieces(handle, piece: int) -> Iterator[str]:
     """Decompressed text of a gzip stream (also of several members), piece by piece.
 
