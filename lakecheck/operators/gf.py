@@ -28,8 +28,10 @@ def matmul(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Small matrix ``a`` times ``x``, whose columns are byte positions."""
     product, _ = tables()
     out = np.zeros((a.shape[0], x.shape[1]), np.uint8)
-    for i, j in zip(*np.nonzero(a)):
-        out[i] ^= x[j] if a[i, j] == 1 else product[a[i, j]][x[j]]
+    for j in np.flatnonzero(a.any(axis=0)):
+        row = x[j].tobytes()  # bytes.translate looks up twice as fast as numpy indexing
+        for i in np.flatnonzero(a[:, j]):
+            out[i] ^= np.frombuffer(row.translate(product[a[i, j]].tobytes()), np.uint8)
     return out
 
 

@@ -261,26 +261,38 @@ def checkable(files: DataFrame) -> DataFrame:
     return marked.withColumn("status", F.when(F.col("msg").isNotNull(), 1).cast("int"))
 
 
-def under_coded(units: DataFrame, policy: Policy) -> DataFrame:
-    """``group_id, path, n_units, n_required, under_coded``.
-
-    ``units`` has ``group_id, path, group_size, unit_index``; a group needs one unit per
-    started data cell, at most k, and all parity units.
-    """
+def _distinct_units(policy: Policy) -> Column:
+    """Distinct ``unit_index`` values of a group, as bits of a few words: a plain aggregate
+    where a distinct count would need another pass."""
+    words = []
+    for low in range(0, policy.n, 64):
+        inside = F.col("unit_index").between(low, min(low + 63, policy.n - 1))
+        bit = F.expr(f"shiftleft(1L, unit_index - {low})")
+        words.append(F.bit_count(F.coalesce(F.bit_or(F.when(inside, bit)), F.lit(0).cast("bigint"))))
+    return reduce(lambda a, b: a + b, words).cast("int")
+
+
+def _groups(units: DataFrame, policy: Policy, *more: Column) -> DataFrame:
+    """One row per block group: ``path, n_units, n_required, under_coded`` and ``more``."""
     groups = units.groupBy("group_id").agg(
         F.max("path").alias("path"),
         F.max("group_size").alias("group_size"),
-        F.countDistinct("unit_index").alias("n_units"),
+        _distinct_units(policy).alias("n_units"),
+        *more,
     )
     cells_started = F.floor((F.col("group_size") - 1) / policy.cell_size) + 1
     required = (F.least(F.lit(policy.k).cast("bigint"), cells_started) + policy.m).cast("int")
-    return groups.select(
-        "group_id",
-        "path",
-        F.col("n_units").cast("int"),
-        required.alias("n_required"),
-        (F.col("n_units") < required).alias("under_coded"),
-    )
+    counted = groups.withColumn("n_required", required)
+    return counted.withColumn("under_coded", F.col("n_units") < F.col("n_required")).drop("group_size")
+
+
+def under_coded(units: DataFrame, policy: Policy) -> DataFrame:
+    """``group_id, path, n_units, n_required, under_coded``.
+
+    ``units`` has ``group_id, path, group_size, unit_index``; a group needs one unit per
+    started data cell, at most k, and all parity units.
+    """
+    return _groups(units, policy).select("group_id", "path", "n_units", "n_required", "under_coded")
 
 
 def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataFrame:
@@ -288,30 +300,29 @@ def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataF
 
     ``units`` has ``group_id, path, unit_index, host, group_size``. ``bad_units`` are all
     parity units that differ anywhere; the message names the first of the first bad stripe.
+    Both inputs are aggregated by ``group_id`` and joined where they lie.
     """
     bad = F.size("bad_parity") > 0
-    first = F.min(F.when(bad, F.struct("stripe_no", "bad_parity")))
+    first = F.min(F.when(bad, F.struct("stripe_no", "bad_parity")))["bad_parity"][0]
     flags = [F.bool_or(F.array_contains("bad_parity", i)) for i in range(policy.m)]
-    listed = F.filter(
-        F.array(*(F.when(flag, policy.k + i) for i, flag in enumerate(flags))), lambda u: u.isNotNull()
-    )
-    audited = stripes.groupBy("group_id").agg(
-        (first["bad_parity"][0] + policy.k).alias("unit_index"), listed.alias("bad_units")
-    )
-    short = under_coded(units, policy)
-    hosts = units.select("group_id", "unit_index", "host").groupBy("group_id", "unit_index").agg(F.min("host").alias("host"))
-    found = short.join(audited, "group_id", "left").join(hosts, ["group_id", "unit_index"], "left")
-    differs = F.col("unit_index").isNotNull() & ~F.col("under_coded")
-    block = F.col("group_id") + F.col("unit_index")
+    listed = F.array_compact(F.array(*(F.when(flag, policy.k + i) for i, flag in enumerate(flags))))
+    audited = stripes.groupBy("group_id").agg(first.alias("first"), listed.alias("bad_units"))
+
+    parity_unit = [F.col("unit_index") == policy.k + i for i in range(policy.m)]
+    hosts = F.array(*(F.min(F.when(here, F.col("host"))) for here in parity_unit)).alias("hosts")
+    found = _groups(units, policy, hosts).join(audited, "group_id", "left")
+
+    differs = F.col("first").isNotNull() & ~F.col("under_coded")
+    host, block = F.get("hosts", F.col("first")), F.col("group_id") + policy.k + F.col("first")
     msg = F.when(F.col("under_coded"), F.lit(f"Status: ERROR, message: {UNDER_CODED}")).when(
-        differs, mismatch_message(F.col("host"), block)
+        differs, mismatch_message(host, block)
     )
     return found.select(
         "group_id",
         "path",
-        F.when(msg.isNotNull(), -1).otherwise(0).cast("int").alias("status"),
+        F.when(F.col("under_coded") | differs, -1).otherwise(0).cast("int").alias("status"),
         msg.alias("msg"),
-        F.when(differs, F.col("host")).alias("bad_host"),
+        F.when(differs, host).alias("bad_host"),
         F.when(differs, block).alias("bad_block"),
         F.coalesce("bad_units", F.array().cast("array<int>")).alias("bad_units"),
     )

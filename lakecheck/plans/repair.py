@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,29 @@ from lakecheck.operators.recovery import locate_bad_units, reconstruct_units
 from lakecheck.session import materialize
 
 
-def repair_units(cells: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
-    """``(located, cells)``: the verdict of :func:`locate_bad_units` for each damaged group,
-    and the recomputed cells of those whose bad units are known.
+class Repair(NamedTuple):
+    """``located``: verdict per damaged group; ``damaged``: all cells of these groups;
+    ``fixed``: the recomputed cells of the groups whose bad units are known."""
+
+    located: DataFrame
+    damaged: DataFrame
+    fixed: DataFrame
+
+
+def repair_units(cells: DataFrame, policy: Policy, screen: bool = False) -> Repair:
+    """Audit all cells, then find and recompute the bad units of the damaged groups.
 
-    Groups that are only ``candidate`` need the content check of each of their unit sets;
-    :func:`candidate_sets` lists them.
+    ``cells`` is read twice, for the audit and to copy the damaged groups to the shared
+    folder; every later step works on that copy. Groups that are only ``candidate`` need
+    the content check of each of their unit sets; :func:`candidate_sets` lists them.
     """
-    located = materialize(locate_bad_units(cells, policy), "located")
+    stripes = audit_parity(cells, policy, screen)
+    bad = materialize(stripes.where(F.size("bad_parity") > 0), "bad-stripes")
+    groups = bad.select("group_id").distinct()
+    damaged = materialize(cells.join(groups, "group_id", "left_semi"), "damaged-cells")
+    located = materialize(locate_bad_units(damaged, policy, stripes=bad), "located")
     known = located.where("outcome = 'located'").select("group_id", F.get("unit_sets", F.lit(0)).alias("excluded"))
-    return located, reconstruct_units(cells, policy, known)
+    return Repair(located, damaged, reconstruct_units(damaged, policy, known))
 
 
 def candidate_sets(located: DataFrame) -> DataFrame:
@@ -37,7 +52,8 @@ def repaired_cells(cells: DataFrame, fixed: DataFrame) -> DataFrame:
 
 
 def verify_repair(cells: DataFrame, fixed: DataFrame, policy: Policy) -> DataFrame:
-    """``group_id, ok``: parity of the repaired groups, checked again."""
+    """``group_id, ok``: parity of the repaired groups, checked again; ``cells`` may be the
+    copy of the damaged groups."""
     groups = fixed.select("group_id").distinct()
     again = audit_parity(repaired_cells(cells.join(groups, "group_id", "left_semi"), fixed), policy)
     return again.groupBy("group_id").agg(F.bool_and(F.size("bad_parity") == 0).alias("ok"))

@@ -14,12 +14,17 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tag_lines(lines: DataFrame) -> DataFrame:
-    """Every line that is not noise, with its fields and a ``reason`` if it is unusable."""
+    """Every line that is not noise, with its fields and a ``reason`` if it is unusable.
+
+    The fields come out of a one-element array, so that a filter on them does not make
+    Spark evaluate their expressions a second time below the filter.
+    """
     line = F.col("value")
-    tagged = lines.where(logs.is_signal(line)).select(
-        line,
-        logs.event_type(line).alias("event_type"),
+    kind = logs.event_type(line)
+    fields = F.struct(
+        kind.alias("event_type"),
         logs.event_host(line).alias("host"),
+        logs.block_id(line, kind).alias("block_id"),
         logs.event_time(line).alias("event_time"),
     )
     reason = (
@@ -27,7 +32,8 @@ def tag_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("block_id").isNull(), "no block")
         .when(F.col("event_time").isNull(), "no time")
     )
-    return tagged.withColumn("block_id", logs.block_id(line, F.col("event_type"))).withColumn("reason", reason)
+    tagged = lines.where(logs.is_signal(line)).select(line, F.inline(F.array(fields)))
+    return tagged.withColumn("reason", reason)
 
 
 def parse_events(lines: DataFrame) -> DataFrame:

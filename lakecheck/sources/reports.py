@@ -28,8 +28,8 @@ def parse_block_report(
     replica = F.regexp_replace(line, rf"^\Q{REPLICA_MARKER}\E:?", "")
     host = F.when(line.startswith(REPLICA_MARKER), short_host(replica, host_prefixes, host_suffixes))
     return (
-        lines.select("block_id", F.when(path != "", path).alias("path"), host.alias("host"))
-        .where("path is not null or host is not null")
+        lines.where(line.startswith(OWNER_MARKER) | line.startswith(REPLICA_MARKER))
+        .select("block_id", F.nullif(path, F.lit("")).alias("path"), host.alias("host"))
         .groupBy("block_id")
         .agg(F.max("path").alias("path"), F.array_sort(F.collect_set("host")).alias("hosts"))
     )

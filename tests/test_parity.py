@@ -190,11 +190,11 @@ def test_repair_gives_the_original(spark):
     flip_many(cells, 2, 2, 5, 2)
     flip_many(cells, 2, 2, 8, 3)
     df = frame(spark, cells)
-    found, fixed = repair_units(df, policy)
-    assert {r["outcome"] for r in found.collect()} == {"located"}
-    rebuilt = as_dict(fixed)
+    repair = repair_units(df, policy)
+    assert {r["outcome"] for r in repair.located.collect()} == {"located"}
+    rebuilt = as_dict(repair.fixed)
     assert all(rebuilt[k] == good[k] for k in rebuilt if k in good) and len(rebuilt) >= 9
-    assert {(r["group_id"], r["ok"]) for r in verify_repair(df, fixed, policy).collect()} == {(-1, True), (-2, True)}
+    assert {(r["group_id"], r["ok"]) for r in verify_repair(repair.damaged, repair.fixed, policy).collect()} == {(-1, True), (-2, True)}
 
 
 # --- verdicts ---------------------------------------------------------------------------

@@ -221,3 +221,4 @@ ORACLES = {
     "verified_repair": f"WITH {GROUPS} SELECT group_id, true AS ok FROM grp WHERE bad_p OR bad_d",
 }
 ORACLES["compact_text_bzip2"] = ORACLES["compact_text"]
+ORACLES["scan_all_files"] = ORACLES["scan_files"]

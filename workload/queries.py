@@ -183,6 +183,13 @@ def scan_files(spark, d):
     return found.select(name.alias("name")).distinct()
 
 
+@query
+def scan_all_files(spark, d):
+    found = files.scan_all_files(spark, d)
+    name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
+    return found.where(name != "").select(name.alias("name")).distinct()
+
+
 @query
 def files_by_table(spark, d):
     found = files.with_table(given.order_files(spark, d))
@@ -632,6 +639,5 @@ def candidate_units(spark, d):
 
 @query
 def verified_repair(spark, d):
-    cells = given.rs_cells(spark, d)
-    _, fixed = repair_units(cells, RS)
-    return verify_repair(cells, fixed, RS)
+    repair = repair_units(given.rs_cells(spark, d), RS)
+    return verify_repair(repair.damaged, repair.fixed, RS)
