@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.operators.lookup import route_format
-from lakecheck.operators.textcheck import check_delimited, check_gzip_delimited, text_verdict
-from lakecheck.sources.tables import open_path, scan_text_rows
+from lakecheck.operators.textcheck import check_gzip_delimited, check_text_tables, text_verdict
+from lakecheck.sources.tables import open_path
 
 DEPTHS = ("footer", "first_group", "full")
 UNIT_SCHEMA = "path string, unit int, file_rows bigint, error string"
@@ -212,10 +212,9 @@ def probe_readable(files: DataFrame, registry: DataFrame) -> DataFrame:
     out = out.unionByName(labelled(check_parquet(of("parquet")), "parquet"))
     out = out.unionByName(labelled(check_gzip_delimited(of("text_gzip"), registry), "text_gzip"))
     folder = F.regexp_extract("path", r"^(.*?\.db/[^/]+)/", 1).alias("folder")
-    folders = [row["folder"] for row in of("text").select(folder).distinct().toLocalIterator()]
-    if folders:
-        rows = scan_text_rows(spark, *folders).join(of("text").select("path"), "path", "left_semi")
-        seen = text_verdict(check_delimited(rows, registry))
-        every = of("text").select("path").join(seen, "path", "left")  # a file without lines is fine
+    layouts = [tuple(row) for row in of("text").select(folder, "n_cols", "sep").distinct().toLocalIterator()]
+    if layouts:  # one per text table
+        rows = check_text_tables(spark, layouts).join(of("text").select("path"), "path", "left_semi")
+        every = of("text").select("path").join(text_verdict(rows), "path", "left")  # a file without lines is fine
         out = out.unionByName(labelled(every.fillna(0, ["status"]), "text"))
     return out

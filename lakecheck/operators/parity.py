@@ -303,7 +303,9 @@ def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataF
     Both inputs are aggregated by ``group_id`` and joined where they lie.
     """
     bad = F.size("bad_parity") > 0
-    first = F.min(F.when(bad, F.struct("stripe_no", "bad_parity")))["bad_parity"][0]
+    # stripe and parity unit in one number: a minimum that hash aggregation can hold
+    packed = F.col("stripe_no").cast("bigint") * 256 + F.get("bad_parity", F.lit(0))
+    first = (F.min(F.when(bad, packed)) % 256).cast("int")
     flags = [F.bool_or(F.array_contains("bad_parity", i)) for i in range(policy.m)]
     listed = F.array_compact(F.array(*(F.when(flag, policy.k + i) for i, flag in enumerate(flags))))
     audited = stripes.groupBy("group_id").agg(first.alias("first"), listed.alias("bad_units"))

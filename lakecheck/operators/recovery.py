@@ -121,15 +121,25 @@ def _unit_rows(pack: Pack, chosen: np.ndarray, gone: tuple[int, ...], solved: np
     return pa.RecordBatch.from_pydict(columns)
 
 
-_PROBE = 256  # byte positions tried first; sets that survive are tested on all of them
+_PROBE = 256  # byte positions per stripe tried first; what survives is tested on all
 
 
-def _explaining(syndrome: np.ndarray, nulls: list[np.ndarray]) -> list[int]:
-    """Numbers of the unit sets whose errors alone can give this syndrome."""
-    columns = syndrome[:, syndrome.any(axis=0)]
-    alive = [e for e, null in enumerate(nulls) if not gf.matmul(null, columns[:, :_PROBE]).any()]
-    if columns.shape[1] > _PROBE:
-        alive = [e for e in alive if not gf.matmul(nulls[e], columns[:, _PROBE:]).any()]
+def _explaining(pack: Pack, syndrome: np.ndarray, nulls: list[np.ndarray]) -> np.ndarray:
+    """Unit set x stripe: can errors in these units alone give the stripe's syndrome?"""
+    n_stripes = len(pack.starts)
+    columns = np.flatnonzero(syndrome.any(axis=0))
+    stripe = np.searchsorted(pack.starts, columns, side="right") - 1
+    order = np.arange(len(columns)) - np.searchsorted(stripe, np.arange(n_stripes))[stripe]
+    seen = syndrome[:, columns]
+
+    def consistent(null: np.ndarray, some: np.ndarray) -> np.ndarray:
+        wrong = gf.matmul(null, seen[:, some]).any(axis=0)
+        return np.bincount(stripe[some][wrong], minlength=n_stripes) == 0
+
+    alive = np.array([consistent(null, order < _PROBE) for null in nulls])
+    for e in np.flatnonzero(alive.any(axis=1)):
+        rest = (order >= _PROBE) & alive[e][stripe]
+        alive[e] &= consistent(nulls[e], rest)
     return alive
 
 
@@ -150,8 +160,7 @@ def locate_bad_units(cells: DataFrame, policy: Policy, max_units: int = 2, strip
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, _ in packs(batches, n):
             syndrome = gf.matmul(check, pack.units)
-            ends = pack.starts + pack.lengths
-            found = [_explaining(syndrome[:, a:b], nulls) for a, b in zip(pack.starts, ends)]
+            found = [np.flatnonzero(sets).tolist() for sets in _explaining(pack, syndrome, nulls).T]
             yield pack.frame({"sets": pa.array(found, pa.list_(pa.int32()))})
 
     stripes = audit_parity(cells, policy) if stripes is None else stripes

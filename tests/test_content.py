@@ -147,6 +147,9 @@ def test_text_verdict_with_line_numbers_over_splits(spark, conf, tmp_path, regis
     late = got["late bad+"]
     assert (late["first_bad_line"], late["n_bad"], late["n_rows"], late["first_bad"]) == (3211, 2, 3912, "a\x01b\x01c\x01d")
     assert got["first"]["first_bad_line"] == 1 and got["unknown"]["msg"] == textcheck.NO_ENTRY
+    assert (late["bad_fields"], got["first"]["bad_fields"], got["good"]["bad_fields"]) in [(0, 0, None), (4, 0, None)]
+    whole = textcheck.check_text_tables(spark, [(f"{tmp_path}/x.db/t", 3, "\x01"), (f"{tmp_path}/x.db/u", None, None)])
+    assert {r["path"]: r for r in textcheck.text_verdict(whole).collect()} == {r["path"]: r for r in got.values()}
     limited = {os.path.basename(r["path"]): r for r in textcheck.text_verdict(rows, line_limit=3210).collect()}
     assert limited["late bad+"]["status"] == 0 and limited["late bad+"]["n_rows"] == 3210
 

@@ -137,7 +137,7 @@ def supplier_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("key"), F.expr("concat('h', l_suppkey)").alias("host"), "l_linenumber", "l_quantity"
     )
     return order_files(spark, sf_dir).join(lines, "key").select(
-        F.col("key").alias("group_id"), "path", "host", F.col("l_linenumber").alias("unit_index"), "l_quantity"
+        F.col("key").alias("group_id"), "path", "host", (F.col("l_linenumber") - 1).alias("unit_index"), "l_quantity"
     )
 
 

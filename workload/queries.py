@@ -348,7 +348,7 @@ def text_field_check(spark, d):
 @query
 def text_field_check_wide(spark, d):
     out = _text_layout(spark, d, "t3", given.lineitem_lines(spark, d))
-    rows = textcheck.check_delimited(tables.scan_text_rows(spark, out), given.registry(spark))
+    rows = textcheck.check_text_tables(spark, [(f"{out}/x.db/t3", 11, "\t")])
     return textcheck.text_verdict(rows).select(
         _part(), "status", "n_rows", "n_bad", _text("first_bad_line"), "first_bad"
     )
