@@ -60,9 +60,9 @@ def event_time(line: Column) -> Column:
 
 def short_host(host: Column, prefixes: Sequence[str] = (), suffixes: Sequence[str] = ()) -> Column:
     """Cut everything after ``com/`` and drop the configured prefix and domain suffixes."""
-    out = java_trim(F.regexp_replace(host, r"com/.*$", "com"))
-    for suffix in suffixes:
-        out = F.regexp_replace(out, rf"\Q{suffix}\E$", "")
-    for prefix in prefixes:
-        out = F.regexp_replace(out, rf"^\Q{prefix}\E", "")
+    cut = F.substring_index(host, "com/", 1)
+    out = java_trim(F.when(host.contains("com/"), F.concat(cut, F.lit("com"))).otherwise(host))
+    for names, anchored in ((suffixes, "(?:{})$"), (prefixes, "^(?:{})")):
+        if names:
+            out = F.regexp_replace(out, anchored.format("|".join(rf"\Q{n}\E" for n in names)), "")
     return out

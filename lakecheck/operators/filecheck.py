@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lakecheck.operators.lookup import route_format
 from lakecheck.operators.textcheck import check_gzip_delimited, check_text_tables, text_verdict
+from lakecheck.session import tasks_for
 from lakecheck.sources.tables import open_path
 
 DEPTHS = ("footer", "first_group", "full")
@@ -146,22 +147,11 @@ def _read_units(opener: Callable, depth: str):
     return run
 
 
-def _task_counts(files: DataFrame) -> tuple[int, int]:
-    """Tasks for opening the files and for reading them, from the listing's totals."""
-    if "length" not in files.columns:
-        n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return n, n
-    total = files.agg(F.count("*").alias("n"), F.sum("length").alias("b")).first()
-    least = files.sparkSession.sparkContext.defaultParallelism
-    opening = max(1, min(math.ceil(total["n"] / FILES_PER_TASK), 10_000), min(least, total["n"]))
-    reading = max(least, math.ceil((total["b"] or 0) / BYTES_PER_TASK))
-    return opening, min(reading, 100_000)
-
-
 def _check(files: DataFrame, opener: Callable, depth: str) -> DataFrame:
     if depth not in DEPTHS:
         raise ValueError(f"depth must be one of {DEPTHS}")
-    opening, reading = _task_counts(files)
+    opening = tasks_for(files, BYTES_PER_TASK, FILES_PER_TASK)
+    reading = tasks_for(files, BYTES_PER_TASK, 0)
     units = files.select("path").repartition(opening, "path").mapInArrow(_list_units(opener), UNIT_SCHEMA)
     spread = units.repartition(reading, "path", "unit").sortWithinPartitions("path", "unit")
     read = spread.mapInArrow(_read_units(opener, depth), READ_SCHEMA)

@@ -13,7 +13,7 @@ SALTS = 32
 
 
 def dimension_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """``left`` with a dimension that is unique per ``key``; ``how``: left, left_semi, left_anti.
+    """``left`` with a dimension; ``how``: left (then unique per ``key``), left_semi, left_anti.
 
     The dimension is measured first. A small one is broadcast. A larger one is joined by
     shuffle with the left side salted, because few keys may hold most of its rows.
@@ -44,7 +44,7 @@ def route_by_prefix(files: DataFrame, prefixes: list[str]) -> DataFrame:
 
 def exclude_databases(files: DataFrame, databases: DataFrame) -> DataFrame:
     """Drop files whose ``db`` is listed (exact match)."""
-    return dimension_join(files, databases.select("db").distinct(), "db", "left_anti")
+    return dimension_join(files, databases.select("db"), "db", "left_anti")
 
 
 def exclude_prefixes(df: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def exclude_prefixes(df: DataFrame, exclusions: DataFrame) -> DataFrame:
 
     Rows without a path stay.
     """
-    listed = exclusions.select(F.col("prefix").alias("_prefix")).distinct()
+    listed = exclusions.select(F.col("prefix").alias("_prefix"))
     keyed = df.withColumn("_prefix", paths.prefix_key(F.col("path")))
     return dimension_join(keyed, listed, "_prefix", "left_anti").drop("_prefix")
 

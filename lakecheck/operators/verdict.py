@@ -10,23 +10,24 @@ from pyspark.sql import functions as F
 NOT_CHECKED = "not checked"
 
 
-def worst_status(results: DataFrame) -> DataFrame:
+def _fields(results: DataFrame) -> DataFrame:
+    """``path, status, msg, bad_host, bad_block``; the last two are null if a check has none."""
+    optional = {"bad_host": "string", "bad_block": "bigint"}
+    columns = [F.col(c) if c in results.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
+    return results.select("path", "status", "msg", *columns)
+
+
+def worst_status(*results: DataFrame) -> DataFrame:
     """``path, status, msg, bad_host, bad_block``: the worst result of each path, in the
     order -1, 0, 1. Takes groups of a file as well as results of several checks."""
-    optional = {"bad_host": "string", "bad_block": "bigint"}
-    columns = [
-        F.col(c) if c in results.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()
-    ]
-    fields = results.select("path", "status", "msg", *columns)
-    worst = fields.groupBy("path").agg(F.min(F.struct("status", "msg", "bad_host", "bad_block")).alias("w"))
+    every = reduce(DataFrame.unionByName, map(_fields, results))
+    worst = every.groupBy("path").agg(F.min(F.struct("status", "msg", "bad_host", "bad_block")).alias("w"))
     return worst.select("path", "w.*")
 
 
 def file_status(paths: DataFrame, *results: DataFrame) -> DataFrame:
     """One row per input path, whatever the checks returned; unchecked paths get status 1."""
-    wanted = ["path", "status", "msg", "bad_host", "bad_block"]
-    found = reduce(DataFrame.unionByName, (worst_status(r).select(wanted) for r in results))
-    joined = paths.select("path").distinct().join(worst_status(found), "path", "left")
+    joined = paths.select("path").distinct().join(worst_status(*results), "path", "left")
     missing = F.col("status").isNull()
     return joined.withColumns(
         {

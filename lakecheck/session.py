@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import shutil
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,11 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="lakecheck-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder of ``spark.checkpoint.dir``.
 
@@ -62,8 +69,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="lakecheck-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/lakecheck/{label}-{uuid.uuid4().hex}"
 
 
@@ -83,3 +89,17 @@ def fits_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 <
     )
     seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
     return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+
+
+def tasks_for(files: DataFrame, bytes_per_task: int, files_per_task: int = 1, most: int = 100_000) -> int:
+    """Tasks for work on a listing: by its total ``length``, and no more than one per
+    ``files_per_task`` files (0: no such bound, for work that is cut finer than files).
+    Reads metadata only; without a ``length`` column the shuffle setting decides."""
+    spark = files.sparkSession
+    if "length" not in files.columns:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = files.agg(F.count("*").alias("n"), F.sum("length").alias("b")).first()
+    wanted = max(spark.sparkContext.defaultParallelism, math.ceil((total["b"] or 0) / bytes_per_task))
+    if files_per_task:
+        wanted = min(wanted, math.ceil(total["n"] / files_per_task))
+    return max(1, min(wanted, most))

@@ -25,7 +25,7 @@ def parse_block_report(
     """
     line = F.col("value")
     path = F.when(line.startswith(OWNER_MARKER), java_trim(F.replace(line, F.lit(OWNER_MARKER), F.lit(""))))
-    replica = F.regexp_replace(line, rf"^\Q{REPLICA_MARKER}\E:?", "")
+    replica = F.ltrim(F.substring(line, F.lit(len(REPLICA_MARKER) + 1), F.length(line)), F.lit(":"))
     host = F.when(line.startswith(REPLICA_MARKER), short_host(replica, host_prefixes, host_suffixes))
     return (
         lines.where(line.startswith(OWNER_MARKER) | line.startswith(REPLICA_MARKER))

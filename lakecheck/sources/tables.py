@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakecheck.functions.text import split_fields
+from lakecheck.session import tasks_for
 
 
 def read_orc(spark: SparkSession, *path: str) -> DataFrame:
@@ -111,6 +112,7 @@ def _lines_of(pieces: Iterator[str]) -> Iterator[list[str]]:
         yield [rest.removesuffix("\r")]
 
 
+GZIP_BYTES_PER_TASK = 64 << 20
 GZIP_SCHEMA = "path string, line_no bigint, value string, error string"
 
 
@@ -141,4 +143,5 @@ def read_gzip_lines(files: DataFrame, piece: int = 1 << 20) -> DataFrame:
                 except (OSError, EOFError, zlib.error) as problem:
                     yield rows(path, 0, [None], f"{type(problem).__name__}: {problem}")
 
-    return files.select("path").mapInArrow(unpack, GZIP_SCHEMA)
+    tasks = tasks_for(files, GZIP_BYTES_PER_TASK)
+    return files.select("path").repartition(tasks, "path").mapInArrow(unpack, GZIP_SCHEMA)

@@ -56,18 +56,12 @@ def block_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclusions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("warehouse/db1.db",), ("warehouse/none.db",)], "prefix string")
+    return spark.sql("SELECT * FROM VALUES ('warehouse/db1.db'), ('warehouse/none.db') AS t(prefix)")
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("t0", "text", 5, "\t"),
-        ("t1", "text_gzip", 5, "\t"),
-        ("t2", "parquet", None, None),
-        ("t3", "text", 11, "\t"),
-        ("t4", "text_gzip", 11, "\t"),
-    ]
-    return spark.createDataFrame(rows, '`table` string, format string, n_cols int, sep string')
+    return spark.sql(r"""SELECT * FROM VALUES ('t0', 'text', 5, '\t'), ('t1', 'text_gzip', 5, '\t'), ('t2', 'parquet', NULL, NULL),
+        ('t3', 'text', 11, '\t'), ('t4', 'text_gzip', 11, '\t') AS t(table, format, n_cols, sep)""")
 
 
 def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:

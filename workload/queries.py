@@ -235,7 +235,7 @@ def path_functions(spark, d):
 @query
 def exclude_paths(spark, d):
     found = files.with_table(given.order_files(spark, d))
-    dbs = spark.createDataFrame([("db0",), ("db9",)], "db string")
+    dbs = spark.sql("SELECT * FROM VALUES ('db0'), ('db9') AS t(db)")
     kept = lookup.exclude_prefixes(lookup.exclude_databases(found, dbs), given.exclusions(spark))
     return kept.select("path")
 
