@@ -124,22 +124,26 @@ def _unit_rows(pack: Pack, chosen: np.ndarray, gone: tuple[int, ...], solved: np
 _PROBE = 256  # byte positions per stripe tried first; what survives is tested on all
 
 
-def _explaining(pack: Pack, syndrome: np.ndarray, nulls: list[np.ndarray]) -> np.ndarray:
-    """Unit set x stripe: can errors in these units alone give the stripe's syndrome?"""
-    n_stripes = len(pack.starts)
-    columns = np.flatnonzero(syndrome.any(axis=0))
-    stripe = np.searchsorted(pack.starts, columns, side="right") - 1
-    order = np.arange(len(columns)) - np.searchsorted(stripe, np.arange(n_stripes))[stripe]
-    seen = syndrome[:, columns]
-
-    def consistent(null: np.ndarray, some: np.ndarray) -> np.ndarray:
-        wrong = gf.matmul(null, seen[:, some]).any(axis=0)
-        return np.bincount(stripe[some][wrong], minlength=n_stripes) == 0
-
-    alive = np.array([consistent(null, order < _PROBE) for null in nulls])
-    for e in np.flatnonzero(alive.any(axis=1)):
-        rest = (order >= _PROBE) & alive[e][stripe]
-        alive[e] &= consistent(nulls[e], rest)
+def _explaining(pack: Pack, syndrome: np.ndarray, sets: list[tuple], nulls: list[np.ndarray]) -> np.ndarray:
+    """Unit set x stripe: can errors in these units alone give the stripe's syndrome?
+
+    ``sets`` are ordered by size; what a single unit explains, its pairs explain as well.
+    """
+    hit = syndrome.any(axis=0)
+    counts = np.add.reduceat(hit, pack.starts, dtype=np.int64)
+    seen, ends = syndrome[:, hit], np.cumsum(counts)
+    begins, tried = ends - counts, np.minimum(counts, _PROBE)
+    first = seen[:, np.concatenate([np.arange(a, a + n) for a, n in zip(begins, tried)])]
+    owner = np.repeat(np.arange(len(counts)), tried)
+
+    alive = np.ones((len(sets), len(counts)), bool)
+    for e, null in enumerate(nulls):
+        alive[e, owner[gf.matmul(null, first).any(axis=0)]] = False
+        implied = np.zeros(len(counts), bool)
+        for unit in sets[e] if len(sets[e]) > 1 else ():
+            implied |= alive[sets.index((unit,))]
+        for s in np.flatnonzero(alive[e] & ~implied & (counts > _PROBE)):
+            alive[e, s] = not gf.matmul(null, seen[:, begins[s] + _PROBE : ends[s]]).any()
     return alive
 
 
@@ -160,7 +164,7 @@ def locate_bad_units(cells: DataFrame, policy: Policy, max_units: int = 2, strip
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, _ in packs(batches, n):
             syndrome = gf.matmul(check, pack.units)
-            found = [np.flatnonzero(sets).tolist() for sets in _explaining(pack, syndrome, nulls).T]
+            found = [np.flatnonzero(row).tolist() for row in _explaining(pack, syndrome, sets, nulls).T]
             yield pack.frame({"sets": pa.array(found, pa.list_(pa.int32()))})
 
     stripes = audit_parity(cells, policy) if stripes is None else stripes
