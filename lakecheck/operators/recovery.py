@@ -31,7 +31,11 @@ def hosts_of_groups(units: DataFrame) -> DataFrame:
 
 def host_pairs(df: DataFrame, hosts: str = "hosts") -> DataFrame:
     """One row per pair of hosts i < j of each row, with ``pair_no`` in the order
-    (0,1), (0,2) .. (1,2) ..; never leaves the row, so nothing is shuffled."""
+    (0,1), (0,2) .. (1,2) ..; never leaves the row, so nothing is shuffled.
+
+    Meant for the hosts of one block group: k + m of them, so at most 91 pairs for a
+    10 + 4 code. Pairs are streamed, not collected.
+    """
     n = F.size(hosts)
     first = df.select("*", F.posexplode(hosts).alias("_i", "_a"))
     both = first.select("*", F.posexplode(hosts).alias("_j", "_b")).where("_i < _j")

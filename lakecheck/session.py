@@ -22,6 +22,8 @@ SETTINGS = {
     "spark.sql.files.openCostInBytes": "1m",
     # a listing of millions of files needs no million tasks
     "spark.sql.files.maxPartitionNum": "50000",
+    # text checks keep a few numbers per split; a task of packed small files has many splits
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # one damaged byte in an uncompressed page is only seen with page checksums
     "spark.hadoop.parquet.page.verify-checksum.enabled": "true",
