@@ -64,12 +64,13 @@ def text_verdict(rows: DataFrame, line_limit: int | None = None) -> DataFrame:
         F.count_if(F.col("n_cols").isNull()).alias("n_unknown"),
         F.min("row_pos").alias("first_pos"),
         F.min(F.when(bad, F.struct("row_pos", "value"))).alias("bad"),
-        # also keeps Spark on hash aggregation, which a minimum of strings alone would not
+        # also keeps Spark on hash aggregation: a minimum of strings alone would sort all rows
         F.percentile_approx(F.when(bad, F.col("n_fields")), 0.5).alias("bad_fields"),
     )
     before = Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     line_no = F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("bad.row_pos") - F.col("first_pos") + 1
-    numbered = splits.withColumn("first", F.when(F.col("bad").isNotNull(), F.struct(line_no.alias("line"), "bad.value")))
+    found = F.col("bad_fields").isNotNull()  # not "bad": so the median is computed with it, see above
+    numbered = splits.withColumn("first", F.when(found, F.struct(line_no.alias("line"), "bad.value")))
     files = numbered.groupBy("path").agg(
         F.sum("n").alias("n_rows"),
         F.sum("n_bad").alias("n_bad"),
@@ -119,14 +120,16 @@ def check_gzip_delimited(
     checked = check_delimited(lines, registry, **tolerance)
     real = F.col("line_no").isNotNull()
     bad = real & ~F.col("row_ok")
-    unknown = files.select("path").distinct()
+    every = files.select("path").distinct()
+    first = F.min(F.when(bad, F.struct(F.col("line_no").alias("line"), "value")))
+    median = F.percentile_approx(F.when(bad, F.col("n_fields")), 0.5)  # see text_verdict
     per_file = checked.groupBy("path").agg(
         F.count_if(real).alias("n_rows"),
         F.count_if(bad).alias("n_bad"),
         F.count_if(real & F.col("n_cols").isNull()).alias("n_unknown"),
-        F.min(F.when(bad, F.struct(F.col("line_no").alias("line"), "value"))).alias("first"),
-        F.percentile_approx(F.when(bad, F.col("n_fields")), 0.5).alias("bad_fields"),
+        F.when(median.isNotNull(), first).alias("first"),
+        median.alias("bad_fields"),
         F.max("error").alias("error"),
     )
-    complete = unknown.join(per_file, "path", "left").fillna(0, ["n_rows", "n_bad", "n_unknown"])
+    complete = every.join(per_file, "path", "left").fillna(0, ["n_rows", "n_bad", "n_unknown"])
     return _verdict(complete, F.col("error")).drop("error")
