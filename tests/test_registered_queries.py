@@ -19,14 +19,14 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", contract.QUERIES)
 def test_query(spark, con, name):
     result = compare(spark, con, SF, name)
     assert result.startswith("ok"), result
 
 
-def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+def test_every_query_of_the_library_has_an_oracle():
+    assert set(contract.QUERIES) == set(contract.ORACLES)
 
 
 def test_entry(spark):
