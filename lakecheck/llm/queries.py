@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakecheck.llm import exact, packing, tokencount
+from lakecheck.llm import exact, packing, quality, tokencount
 from lakecheck.llm.registry import ORACLES, QUERIES
 
-MODULES = (exact, packing, tokencount)
+MODULES = (exact, packing, quality, tokencount)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
