@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakecheck.llm import exact, packing, quality, simhash, tokencount
+from lakecheck.llm import exact, mixing, packing, quality, simhash, tokencount
 from lakecheck.llm.registry import ORACLES, QUERIES
 
-MODULES = (exact, packing, quality, simhash, tokencount)
+MODULES = (exact, mixing, packing, quality, simhash, tokencount)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
