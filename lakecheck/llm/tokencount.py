@@ -2,9 +2,9 @@
 
 Documents are gathered in blocks. A block knows its distinct words, the pre-tokens of each
 word and, for each document, how often every word occurs. Only a block's distinct pre-tokens
-are shuffled: they meet in one list of all distinct pre-tokens, whose pieces are counted by
-the library's model, and the counts go back to the blocks, where they are summed. A pre-token
-of all documents has one row per block.
+are shuffled: equal ones meet, the library's model counts the pieces once for all of them, and
+the counts are joined to the blocks, where they are summed. A pre-token of all documents has
+one row per block.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from lakecheck.llm.registry import query, table
 from lakecheck.session import materialize
 
 #: A block ends when its texts reach this many bytes or rows; a longer text is a block of its own.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 8192
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 65_536
 LIMIT = 2048
 _MARKS = ".,;:!?"
 _BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, pre_tokens array<string>, parts binary, ends binary, postings binary, doc_ends binary"
@@ -67,7 +67,7 @@ def _block(number: int, docs: list[tuple[int | None, bytes]], cut: PreTokens) ->
     for _, text in docs:
         parts = text.split()
         found, often = np.unique(np.fromiter(map(index.__getitem__, parts), np.int64, len(parts)), return_counts=True)
-        words.append(found)
+        words.append(np.diff(found, prepend=0))  # small numbers, as they are sorted
         times.append(often)
         ends.append(len(found))
     pre: defaultdict[str, int] = defaultdict(count().__next__)
@@ -109,13 +109,20 @@ def _blocks(library: str, block_bytes: int):
 
 
 def _count_pieces(library: str):
+    """Rows come sorted by pre-token: each is counted where it first comes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = tokenizer(vocabulary(library))
         model = lib.model
+        last, n = None, 0
         for batch in batches:
-            column = batch.column(0).to_pylist()
-            n = [len(lib.encode(p[1:], add_special_tokens=False).ids if p[:1] == " " else model.tokenize(p)) for p in column]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["pre_token", "n"])
+            counts = []
+            for p in batch.column(0).to_pylist():
+                if p != last:
+                    last, n = p, len(lib.encode(p[1:], add_special_tokens=False).ids if p[:1] == " " else model.tokenize(p))
+                counts.append(n)
+            places = batch.column(2).to_numpy().astype(np.int64) << 32 | np.array(counts, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(places)], ["block", "place_n"])
 
     return run
 
@@ -128,11 +135,14 @@ def _sums(limit: int):
                 pieces = np.zeros(len(known), np.int64)
                 pieces[known >> 32] = known & 0xFFFFFFFF
                 (parts,), (ends,), (doc_ends,) = (_restored(row[c], 1) for c in ("parts", "ends", "doc_ends"))
-                words, times = _restored(row["postings"], 2)
+                steps, times = _restored(row["postings"], 2)
+                upto = np.concatenate([[0], np.cumsum(steps)])
+                starts = np.concatenate([[0], doc_ends])
+                words = upto[1:] - np.repeat(upto[starts[:-1]], np.diff(starts))
                 upto = np.concatenate([[0], np.cumsum(pieces[parts])])
                 per_word = np.diff(upto[np.concatenate([[0], ends])])
                 upto = np.concatenate([[0], np.cumsum(per_word[words] * times)])
-                total = np.diff(upto[np.concatenate([[0], doc_ends])])
+                total = np.diff(upto[starts])
                 columns = pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(total), pa.array(total > limit)
                 yield pa.RecordBatch.from_arrays(list(columns), schema=_RESULT_ARROW)
 
@@ -153,9 +163,10 @@ def count_tokens(
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     blocks = materialize(slim.mapInArrow(_blocks(library, block_bytes), _BLOCKS), "blocks")
     listed = blocks.select("block", F.posexplode("pre_tokens").alias("place", "pre_token"))
-    counted = listed.select("pre_token").distinct().mapInArrow(_count_pieces(library), "pre_token string, n long")
+    # all rows of a pre-token side by side: one for each block that has it
+    counted = listed.select("pre_token", "block", "place").repartition("pre_token").sortWithinPartitions("pre_token").mapInArrow(_count_pieces(library), "block long, place_n long")
     # as many entries for a block as it has distinct pre-tokens, which its bytes bound
-    back = listed.join(counted, "pre_token").groupBy("block").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32) + F.col("n")).alias("counts"))
+    back = counted.groupBy("block").agg(F.collect_list("place_n").alias("counts"))
     return blocks.drop("pre_tokens").join(back, "block", "left").mapInArrow(_sums(limit), _RESULT)
 
 
