@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakecheck.llm import exact, mixing, packing, passages, quality, simhash, tokencount
+from lakecheck.llm import exact, mixing, packing, passages, quality, simhash, tokencount, toxicity
 from lakecheck.llm.registry import ORACLES, QUERIES
 
-MODULES = (exact, mixing, packing, passages, quality, simhash, tokencount)
+MODULES = (exact, mixing, packing, passages, quality, simhash, tokencount, toxicity)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
