@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakecheck.llm import exact, mixing, packing, passages, quality, secrets, simhash, tokencount, toxicity
+from lakecheck.llm import chat, exact, mixing, packing, passages, quality, secrets, simhash, tokencount, toxicity
 from lakecheck.llm.registry import ORACLES, QUERIES
 
-MODULES = (exact, mixing, packing, passages, quality, secrets, simhash, tokencount, toxicity)
+MODULES = (chat, exact, mixing, packing, passages, quality, secrets, simhash, tokencount, toxicity)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
