@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lakecheck.llm import chat, exact, mixing, packing, passages, quality, secrets, simhash, tokencount, toxicity
 from lakecheck.llm.registry import ORACLES, QUERIES
 
 MODULES = (chat, exact, mixing, packing, passages, quality, secrets, simhash, tokencount, toxicity)
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
