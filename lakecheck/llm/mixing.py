@@ -33,8 +33,8 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: fl
     sizes = materialize(docs.select(F.col(source_col).alias("_source"), size.alias("size")).groupBy("_source").agg(F.sum("size").alias("size")), "sizes")
     weight = F.lit(1.0)
     if weights is not None:
-        given = sizes.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, weight double")
-        sizes = sizes.join(F.broadcast(given), F.col("_source").eqNullSafe(given["_source"]), "left").select(sizes["_source"], "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        given = sizes.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_named string, weight double")
+        sizes = sizes.join(F.broadcast(given), F.col("_source").eqNullSafe(F.col("_named")), "left").select("_source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
         weight = F.col("weight")
     all_sizes, all_weights = sizes.agg(F.sum("size"), F.sum(weight)).first()
     if not all_weights:
