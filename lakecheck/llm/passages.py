@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -38,8 +37,14 @@ _LAST = int(np.iinfo(np.int64).max)  # stands for no identifier: later than all
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(n, base, np.uint64)))
+    """The first n powers; a worker keeps the longest list it has made."""
+    if base not in _tables or len(_tables[base]) < n:
+        _tables[base] = np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(max(n, 1 << 14), base, np.uint64)))
+    return _tables[base][:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,8 +56,8 @@ def gram_hashes(h: np.ndarray, width: int, base: int = _BASES[0]) -> np.ndarray:
     """Hashes of all runs of ``width`` words, from differences of one running sum."""
     if len(h) < width:
         return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(base, len(h) - 1))])
-    back = _powers(pow(base, -1, 1 << 64), len(h) - width)  # undoes the power of a run's place
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(base, len(h)))])
+    back = _powers(pow(base, -1, 1 << 64), len(h) - width + 1)  # undoes the power of a run's place
     return _mixed((sums[width:] - sums[:-width]) * back)
 
 
@@ -63,33 +68,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-class Windows:
-    """The long enough documents of a block with the hashes of their phrases and windows."""
+class Texts:
+    """The long enough documents of a block: words, joined by single spaces, and their hashes."""
 
     def __init__(self, block: pd.DataFrame, width: int):
-        self.width, self.hashes = width, WordHashes()
-        self.ids = block["doc_id"].to_numpy(np.int64)
-        self.texts = block["text"]
-
-    def __iter__(self) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
-        """Position, identifier, words, phrase hashes, representing hash of each window."""
-        for at, (doc, text) in enumerate(zip(self.ids, self.texts, strict=True)):
+        hashes = WordHashes()
+        self.lines: list[str] = []
+        self.hashed: list[np.ndarray] = []
+        ids = []
+        for doc, text in zip(block["doc_id"].to_numpy(np.int64).tolist(), block["text"], strict=True):
             words = words_of(text)
-            if len(words) >= self.width:
-                grams = gram_hashes(self.hashes(words), PHRASE)
-                yield at, doc, words, grams, sliding_min(grams, self.width - PHRASE + 1)
-
-    def keys(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        h = self.hashes(words)
-        return gram_hashes(h, self.width), gram_hashes(h, self.width, _BASES[1])
-
+            if len(words) >= width:
+                ids.append(doc), self.lines.append(" ".join(words)), self.hashed.append(hashes(words))
+        self.ids = np.array(ids, np.int64)
 
-def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the smallest identifier of each."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    return keys[first], ids[first]
+    def grams(self, width: int, base: int = _BASES[0]) -> list[np.ndarray]:
+        return [gram_hashes(h, width, base) for h in self.hashed]
 
 
 def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
@@ -112,8 +106,8 @@ def _unpacked(rows: pd.DataFrame, *kinds) -> tuple[np.ndarray, ...]:
 
 def _name_phrases(width: int, parts: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        named = _joined([np.unique(least) for *_, least in Windows(block, width)], np.uint64)
-        named = np.unique(named)
+        grams = Texts(block, width).grams(PHRASE)
+        named = np.unique(_joined([sliding_min(g, width - PHRASE + 1) for g in grams], np.uint64))
         return _packed(block["block"].iloc[0], named % np.uint64(parts), named)
 
     return run
@@ -127,28 +121,33 @@ def _recurring(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else _packed(0, *[np.zeros(0, np.int64)] * 2)
 
 
-def _automaton(windows: Windows, phrases: np.ndarray) -> ahocorasick.Automaton:
+def _word_ends(line: str) -> np.ndarray:
+    """Of the space behind each word, in a line with a space before and behind."""
+    return np.cumsum(np.fromiter(map(len, line.split(" ")), np.int64) + 1)
+
+
+def _automaton(lines: list[str], grams: list[np.ndarray], phrases: np.ndarray) -> ahocorasick.Automaton:
     """Of the block's own wording of the phrases."""
     found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    todo = set(phrases.tolist())
-    for *_, words, grams, least in windows:
-        for at in np.flatnonzero(np.isin(grams, phrases[np.isin(phrases, least)])).tolist():
-            if int(grams[at]) in todo:
-                todo.discard(int(grams[at]))
-                found.add_word(f" {' '.join(words[at : at + PHRASE])} ", 0)
-        if not todo:
-            break
+    every = _joined(grams, np.uint64)
+    here = np.flatnonzero(phrases[np.minimum(np.searchsorted(phrases, every), len(phrases) - 1)] == every)
+    places = here[np.unique(every[here], return_index=True)[1]]
+    starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+    docs = np.searchsorted(starts, places, "right") - 1
+    for doc in np.unique(docs).tolist():
+        words = lines[doc].split(" ")
+        for at in (places[docs == doc] - starts[doc]).tolist():
+            found.add_word(f" {' '.join(words[at : at + PHRASE])} ", 0)
     found.make_automaton()
     return found
 
 
-def _locate(found: ahocorasick.Automaton, words: list[str]) -> np.ndarray:
-    """Whether a phrase of the automaton starts at a word."""
-    line = f" {' '.join(words)} "
-    ends = np.fromiter((end for end, _ in found.iter(line)), np.int64)
-    here = np.zeros(len(words) - PHRASE + 1, bool)
-    word_ends = np.cumsum([len(w) + 1 for w in words])  # of the space behind
-    here[np.searchsorted(word_ends, ends) - PHRASE + 1] = True
+def _locate(found: ahocorasick.Automaton, line: str, n: int) -> np.ndarray:
+    """Whether a phrase of the automaton starts at one of the first n words."""
+    here = np.zeros(n, bool)
+    ends = np.fromiter((end for end, _ in found.iter(f" {line} ")), np.int64) if len(found) else here[:0]
+    if len(ends):
+        here[np.searchsorted(_word_ends(line), ends) - PHRASE + 1] = True
     return here
 
 
@@ -156,28 +155,45 @@ def _name_windows(width: int, parts: int):
     def run(block: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
         if not len(named) or not len(block):
             return _packed(0, *[np.zeros(0, np.int64)] * 3)
-        windows, keys, others, ids = Windows(block, width), [], [], []
-        found = _automaton(windows, np.unique(_unpacked(named, np.uint64)[1]))
-        for _, doc, words, grams, least in windows:
-            here = _locate(found, words) if len(found) else np.zeros(len(grams), bool)
+        texts, keys, others, ids = Texts(block, width), [], [], []
+        grams = texts.grams(PHRASE)
+        found = _automaton(texts.lines, grams, np.unique(_unpacked(named, np.uint64)[1]))
+        for doc, line, h, gram in zip(texts.ids, texts.lines, texts.hashed, grams, strict=True):
+            here = _locate(found, line, len(gram))
             if not here.any():
                 continue
-            located = sliding_min(np.where(here, grams, np.iinfo(np.uint64).max), width - PHRASE + 1) == least
-            key, other = windows.keys(words)
-            keys.append(key[located]), others.append(other[located]), ids.append(np.full(int(located.sum()), doc))
+            least = sliding_min(gram, width - PHRASE + 1)
+            located = sliding_min(np.where(here, gram, np.iinfo(np.uint64).max), width - PHRASE + 1) == least
+            keys.append(gram_hashes(h, width)[located]), others.append(gram_hashes(h, width, _BASES[1])[located])
+            ids.append(np.full(int(located.sum()), doc))
         keys, others, ids = _joined(keys, np.uint64), _joined(others, np.uint64), _joined(ids, np.int64)
-        order = np.lexsort((ids, keys))
-        first = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])] if len(keys) else order
-        return _packed(block["block"].iloc[0], others[first] % np.uint64(parts), keys[first], ids[first])
+        order, starts = _groups(keys)
+        least = np.minimum.reduceat(ids[order], starts) if len(starts) else ids
+        first = order[starts]
+        return _packed(block["block"].iloc[0], others[first] % np.uint64(parts), keys[first], least)
 
     return run
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each key starts in it."""
+    order = np.argsort(keys, kind="stable")
+    return order, np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else order
+
+
+def _least_of(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each entry the smallest identifier among those with its key."""
+    order, starts = _groups(keys)
+    out = ids.copy()
+    if len(starts):
+        out[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.append(starts, len(keys))))
+    return out
+
+
 def _earlier(rows: pd.DataFrame) -> pd.DataFrame:
     """For each block, its windows that a smaller identifier has elsewhere, with that one."""
     blocks, keys, ids = _unpacked(rows, np.uint64, np.int64)
-    known, least = _least(keys, ids)
-    first = least[np.searchsorted(known, keys)]
+    first = _least_of(keys, ids)
     mine = first < ids
     blocks, keys, first = blocks[mine], keys[mine], first[mine]
     order = np.argsort(blocks, kind="stable")
@@ -188,26 +204,30 @@ def _earlier(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _remove(width: int):
     def run(block: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
-        windows = Windows(block, width)
-        _, keys, ids = _unpacked(elsewhere, np.uint64, np.int64) if len(elsewhere) else (None, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keys, ids = [keys], [ids]
-        for _, doc, words, _, least in windows:
-            keys.append(gram_hashes(windows.hashes(words), width))
-            ids.append(np.full(len(least), doc))
-        known, first = _least(np.concatenate(keys), np.concatenate(ids))
-        out = []
-        for doc, text in zip(windows.ids, windows.texts, strict=True):
+        hashes, lines, counts, windows = WordHashes(), [], [], []
+        own = block["doc_id"].to_numpy(np.int64)
+        for text in block["text"]:
             words = words_of(text)
-            gone = np.zeros(len(words), bool)
-            if len(words) >= width:
-                twice = first[np.searchsorted(known, gram_hashes(windows.hashes(words), width))] < doc
-                if twice.any():
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, np.flatnonzero(twice), 1)
-                    np.add.at(edge, np.flatnonzero(twice) + width, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-            kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else " ".join(words)
-            out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
+            lines.append(" ".join(words).encode()), counts.append(len(words))
+            windows.append(gram_hashes(hashes(words), width) if len(words) >= width else np.zeros(0, np.uint64))
+        n = np.array([len(w) for w in windows])
+        ids = np.repeat(own, n)
+        keys, least = _joined(windows, np.uint64), ids
+        if len(elsewhere):
+            _, more, first = _unpacked(elsewhere, np.uint64, np.int64)
+            keys, least = np.concatenate([keys, more]), np.concatenate([least, first])
+        twice = _least_of(keys, least)[: len(ids)] < ids
+        ends, out = np.cumsum(n), []
+        for doc, line, count, start, end in zip(own.tolist(), lines, counts, (ends - n).tolist(), ends.tolist(), strict=True):
+            starts, removed = np.flatnonzero(twice[start:end]), 0
+            if len(starts):
+                edge = np.zeros(count + 1, np.int64)
+                edge[starts] += 1
+                edge[starts + width] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                removed = int(gone.sum())
+                line = b" ".join(w for w, g in zip(line.split(b" "), gone.tolist(), strict=True) if not g)
+            out.append((doc, count, removed, hashlib.sha256(line).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
