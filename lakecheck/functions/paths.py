@@ -16,6 +16,18 @@ def _quoted(roots: Sequence[str]) -> str:
     return "|".join(rf"\Q{r.rstrip('/')}\E" for r in sorted(roots, key=len, reverse=True))
 
 
+def one_form(path: Column) -> Column:
+    """The form in which Spark lists a path: ``file:/a`` for ``/a`` and ``file:///a``. Listings
+    and scans of all sources use it, so that their paths can be joined."""
+    local = F.when(path.startswith("file:/"), F.regexp_replace(path, "^file:/+", "file:/")).when(path.startswith("/"), F.concat(F.lit("file:"), path))
+    return F.coalesce(local, path)
+
+
+def is_marker(path: Column) -> Column:
+    """Names that start with ``_`` or ``.``: no content of a table."""
+    return F.substring_index(path, "/", -1).rlike(r"^[_.]")
+
+
 def db_name(path: Column) -> Column:
     """``b`` of ``/a/b.db/t/...``, null if the path has no ``.db`` part."""
     return F.when(path.contains(".db/"), F.substring_index(F.substring_index(path, ".db/", 1), "/", -1))

@@ -48,7 +48,3 @@ def sort_events(events: DataFrame) -> DataFrame:
     """Total order by type, then block."""
     return events.orderBy("event_type", "block_id")
 
-
-def cap_blocks(events: DataFrame, limit: int = 20_000) -> DataFrame:
-    """The first ``limit`` distinct blocks in order of their number: a top-k, no full sort."""
-    return distinct_blocks(events).orderBy("block_id").limit(limit)

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakecheck.functions.paths import is_marker, one_form
 from lakecheck.operators.lookup import route_format
 from lakecheck.operators.textcheck import check_gzip_delimited, check_text_tables, text_verdict
-from lakecheck.session import tasks_for
-from lakecheck.sources.tables import open_path
+from lakecheck.session import materialize, tasks_for
+from lakecheck.sources.tables import NOT_OPENED, open_path, trouble
 
-DEPTHS = ("footer", "first_group", "full")
 UNIT_SCHEMA = "path string, unit int, file_rows bigint, error string"
 READ_SCHEMA = "path string, unit int, file_rows bigint, read_rows bigint, error string"
 BYTES_PER_TASK = 512 << 20
@@ -46,9 +46,6 @@ class _Parquet:
         ]
         self.units = len(self._parts)
 
-    def group_of(self, unit: int) -> int:
-        return self._parts[unit][0]
-
     def read(self, unit: int) -> int:
         """Decode one part; its rows count for the file only in the first column range."""
         group, columns = self._parts[unit]
@@ -75,17 +72,10 @@ class _Orc:
         self.rows = self._file.nrows
         self.units = self._file.nstripes
 
-    def group_of(self, unit: int) -> int:
-        return unit
-
     def read(self, unit: int) -> int:
         return self._file.read_stripe(unit).num_rows
 
 
-def _message(problem: Exception) -> str:
-    return f"{type(problem).__name__}: {problem}"
-
-
 _PROBLEMS = (OSError, ValueError, EOFError, NotImplementedError, pa.ArrowException)
 
 
@@ -102,7 +92,7 @@ def _list_units(opener: Callable):
                         units = range(file.units) if file.units else [None]
                         out += [(path, unit, file.rows, None) for unit in units]
                 except _PROBLEMS as problem:
-                    out.append((path, None, None, _message(problem)))
+                    out.append((path, None, None, trouble(problem)))
             columns = list(zip(*out)) or [()] * 4
             types = (pa.string(), pa.int32(), pa.int64(), pa.string())
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
@@ -111,26 +101,23 @@ def _list_units(opener: Callable):
     return run
 
 
-def _read_units(opener: Callable, depth: str):
+def _read_units(opener: Callable):
     """Task body: read the units to the end. Neighbouring units of a file share its handle."""
 
-    def read(file, unit: int) -> int:
-        return 0 if depth == "first_group" and file.group_of(unit) > 0 else file.read(unit)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, handle, file = None, None, None
         for batch in batches:
             counts, errors = [], []
             for path, unit, error in zip(*(batch.column(c).to_pylist() for c in ("path", "unit", "error"))):
                 n_rows = 0
-                if error is None and unit is not None and depth != "footer":
+                if error is None and unit is not None:
                     try:
                         if path != opened:
                             opened, handle = None, open_path(path)
                             file, opened = opener(handle), path
-                        n_rows = read(file, unit)
+                        n_rows = file.read(unit)
                     except _PROBLEMS as problem:
-                        opened, error = None, _message(problem)
+                        opened, error = None, trouble(problem)
                 counts.append(n_rows)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays(
@@ -147,25 +134,25 @@ def _read_units(opener: Callable, depth: str):
     return run
 
 
-def _check(files: DataFrame, opener: Callable, depth: str) -> DataFrame:
-    if depth not in DEPTHS:
-        raise ValueError(f"depth must be one of {DEPTHS}")
+def _check(files: DataFrame, opener: Callable) -> DataFrame:
     opening = tasks_for(files, BYTES_PER_TASK, FILES_PER_TASK)
     reading = tasks_for(files, BYTES_PER_TASK, 0)
     units = files.select("path").repartition(opening, "path").mapInArrow(_list_units(opener), UNIT_SCHEMA)
     spread = units.repartition(reading, "path", "unit").sortWithinPartitions("path", "unit")
-    read = spread.mapInArrow(_read_units(opener, depth), READ_SCHEMA)
+    read = materialize(spread.mapInArrow(_read_units(opener), READ_SCHEMA), "units-read")  # a short row per unit
+    bad = F.col("error").isNotNull()
     per_file = read.groupBy("path").agg(
-        F.min(F.when(F.col("error").isNotNull(), F.struct("unit", "error")))["error"].alias("error"),
+        F.min(F.when(bad, F.coalesce("unit", F.lit(-1)))).alias("first"),  # numbers alone: hash aggregation
         F.max("file_rows").alias("n_rows"),
         F.sum("read_rows").alias("read_rows"),
         F.count("unit").alias("n_units"),
     )
-    short = F.lit(depth == "full") & (F.col("read_rows") != F.col("n_rows"))
-    status = (
-        F.when(F.col("error").startswith(UNSUPPORTED), 1).when(F.col("error").isNotNull() | short, -1).otherwise(0)
-    )
-    return per_file.select(
+    errors = read.where(bad).select("path", F.coalesce("unit", F.lit(-1)).alias("first"), "error").groupBy("path", "first").agg(F.min("error").alias("error"))
+    found = per_file.join(errors, ["path", "first"], "left")
+    short = F.col("read_rows") != F.col("n_rows")
+    unchecked = F.col("error").startswith(UNSUPPORTED) | F.col("error").startswith(NOT_OPENED)
+    status = F.when(unchecked, 1).when(F.col("error").isNotNull() | short, -1).otherwise(0)
+    return found.select(
         "path",
         status.cast("int").alias("status"),
         F.coalesce("error", F.when(short, "rows read differ from the footer")).alias("msg"),
@@ -174,37 +161,51 @@ def _check(files: DataFrame, opener: Callable, depth: str) -> DataFrame:
     )
 
 
-def check_parquet(files: DataFrame, depth: str = "full") -> DataFrame:
-    """``path, status, msg, n_rows, n_units`` of Parquet files; ``length`` sizes the tasks."""
-    return _check(files, _Parquet, depth)
+def check_parquet(files: DataFrame) -> DataFrame:
+    """``path, status, msg, n_rows, n_units`` of Parquet files; ``length`` sizes the tasks. A
+    file that the store doesn't give is not checked: status 1."""
+    return _check(files, _Parquet)
+
+
+def check_orc(files: DataFrame) -> DataFrame:
+    """``path, status, msg, n_rows, n_units`` of ORC files, likewise."""
+    return _check(files, _Orc)
 
 
-def check_orc(files: DataFrame, depth: str = "full") -> DataFrame:
-    """``path, status, msg, n_rows, n_units`` of ORC files; ``length`` sizes the tasks."""
-    return _check(files, _Orc, depth)
+MARKER, NOT_READ = "marker file", "not read"
 
 
 def probe_readable(files: DataFrame, registry: DataFrame) -> DataFrame:
     """``path, format, status, msg`` for files of mixed formats, routed by their table.
 
-    Plain text is scanned by table folder, so the driver sees folder names only.
+    The routed listing is written once. Hidden files and job markers are not checked. Plain
+    text is scanned by layout, all folders of one in one scan; a text file of which no line
+    was counted is fine only if it is empty.
     """
     spark = files.sparkSession
-    routed = route_format(files, registry)
+    listed = files.withColumn("path", one_form(F.col("path")))
+    routed = materialize(route_format(listed, registry).withColumn("marker", is_marker(F.col("path"))), "routed")
 
     def of(fmt: str) -> DataFrame:
-        return routed.where(F.col("format") == fmt)
+        return routed.where((F.col("format") == fmt) & ~F.col("marker"))
 
     def labelled(df: DataFrame, fmt: str) -> DataFrame:
         return df.select("path", F.lit(fmt).alias("format"), "status", "msg")
 
-    out = labelled(check_orc(of("orc")), "orc")
-    out = out.unionByName(labelled(check_parquet(of("parquet")), "parquet"))
-    out = out.unionByName(labelled(check_gzip_delimited(of("text_gzip"), registry), "text_gzip"))
-    folder = F.regexp_extract("path", r"^(.*?\.db/[^/]+)/", 1).alias("folder")
-    layouts = [tuple(row) for row in of("text").select(folder, "n_cols", "sep").distinct().toLocalIterator()]
-    if layouts:  # one per text table
+    out = routed.where("marker").select("path", "format", F.lit(1).alias("status"), F.lit(MARKER).alias("msg"))
+    present = {row["format"] for row in routed.where("not marker").select("format").distinct().collect()}  # a handful
+    if "orc" in present:
+        out = out.unionByName(labelled(check_orc(of("orc")), "orc"))
+    if "parquet" in present:
+        out = out.unionByName(labelled(check_parquet(of("parquet")), "parquet"))
+    if "text_gzip" in present:
+        out = out.unionByName(labelled(check_gzip_delimited(of("text_gzip"), registry), "text_gzip"))
+    if "text" in present:
+        folder = F.regexp_extract("path", r"^(.*?\.db/[^/]+)/", 1).alias("folder")
+        layouts = [tuple(row) for row in of("text").select(folder, "n_cols", "sep").distinct().toLocalIterator()]
         rows = check_text_tables(spark, layouts).join(of("text").select("path"), "path", "left_semi")
-        every = of("text").select("path").join(text_verdict(rows), "path", "left")  # a file without lines is fine
-        out = out.unionByName(labelled(every.fillna(0, ["status"]), "text"))
+        every = of("text").select("path", "length").join(text_verdict(rows), "path", "left")
+        unread = F.col("status").isNull() & (F.coalesce("length", F.lit(1)) > 0)
+        every = every.withColumns({"status": F.when(unread, 1).otherwise(F.coalesce("status", F.lit(0))).cast("int"), "msg": F.when(unread, NOT_READ).otherwise(F.col("msg"))})
+        out = out.unionByName(labelled(every, "text"))
     return out

@@ -67,8 +67,12 @@ def blocks_to_files(blocks: DataFrame, block_map: DataFrame) -> DataFrame:
 
 
 def with_file_status(blocks: DataFrame, results: DataFrame) -> DataFrame:
-    """Add the ``status`` of the block's file. A file is checked once, not once per block."""
-    return blocks.join(results.select("path", "status"), "path", "left")
+    """Add the ``status`` of the block's file. A file is checked once, not once per block.
+    Blocks without a file, which may be many, take no part in the join."""
+    status = results.select("path", "status")
+    joined = blocks.where("path is not null").join(status, "path", "left")
+    unknown = blocks.where("path is null").withColumn("status", F.lit(None).cast(status.schema["status"].dataType))
+    return joined.unionByName(unknown)
 
 
 def pending(work: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:

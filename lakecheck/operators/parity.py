@@ -8,7 +8,7 @@ filled up with zeros.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import UNDER_CODED, mismatch_message
 from lakecheck.operators import gf
+from lakecheck.session import fits_broadcast, materialize
+
+NOT_READ = "not read completely"
 
 
 @dataclass(frozen=True)
@@ -30,12 +33,15 @@ class Policy:
     m: int
     codec: str = "rs"
     cell_size: int = 1 << 20
+    matrix: tuple[tuple[int, ...], ...] | None = None  # of another code: m rows of k coefficients
 
     def __post_init__(self) -> None:
         if self.codec not in ("rs", "xor") or (self.codec == "xor" and self.m != 1):
             raise ValueError("codec is rs, or xor with one parity unit")
         if not (self.k > 0 < self.m and self.n <= 256):
             raise ValueError("needs 0 < k, 0 < m, k + m <= 256")
+        if self.matrix is not None and np.shape(self.matrix) != (self.m, self.k):
+            raise ValueError("the matrix has m rows of k coefficients")
 
     @property
     def n(self) -> int:
@@ -43,6 +49,8 @@ class Policy:
 
     def parity_matrix(self) -> np.ndarray:
         """m x k: the parity units as combinations of the data units."""
+        if self.matrix is not None:
+            return np.array(self.matrix, np.uint8)
         if self.codec == "xor":
             return np.ones((1, self.k), np.uint8)
         _, inverse = gf.tables()
@@ -63,6 +71,7 @@ class Pack:
     lengths: np.ndarray
     units: np.ndarray
     sizes: np.ndarray  # stripe x unit: payload bytes, -1 if the unit is missing
+    clashes: np.ndarray  # stripe x unit: several rows with different payloads
 
     def any_byte(self, flags: np.ndarray) -> np.ndarray:
         """Per stripe and row of ``flags``: is any byte position set?"""
@@ -76,16 +85,28 @@ class Pack:
 def by_stripe(cells: DataFrame, policy: Policy, *extra: str) -> DataFrame:
     """The units of a stripe next to each other: the only shuffle of an audit.
 
-    Its key has at most n rows, so neither a large file nor a large group is hot.
+    Its key has at most n rows, so neither a large file nor a large group is hot. It is a
+    column of its own: the exchange of a join on group and stripe would stand in for one on
+    the same columns, and such an exchange may be read in pieces that tear stripes apart.
     """
+    names = ["group_id", "stripe_no", "unit_index", "payload", *extra]
     return (
         cells.where(F.col("unit_index").between(0, policy.n - 1) & F.col("payload").isNotNull())
         .select("group_id", F.col("stripe_no").cast("int"), F.col("unit_index").cast("int"), "payload", *extra)
-        .repartition("group_id", "stripe_no")
-        .sortWithinPartitions("group_id", "stripe_no", "unit_index")
+        .withColumn("_stripe", F.xxhash64("group_id", "stripe_no"))
+        .repartition("_stripe")
+        .sortWithinPartitions("_stripe", "group_id", "stripe_no", "unit_index")
+        .select(*names)
     )
 
 
+def only_stripes(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """The cells of the stripes in ``keys`` (``group_id, stripe_no``, a written table). Few
+    stripes, as measured, are broadcast, and no payload of another stripe moves."""
+    keys = keys.select("group_id", "stripe_no")
+    return cells.join(F.broadcast(keys) if fits_broadcast(keys) else keys, ["group_id", "stripe_no"], "left_semi")
+
+
 def _changes(table: pa.Table, names: list[str]) -> np.ndarray:
     """True where a row differs from the one before it in one of the columns."""
     change = np.zeros(table.num_rows, bool)
@@ -100,15 +121,22 @@ def packs(batches: Iterator[pa.RecordBatch], n_units: int) -> Iterator[tuple[Pac
     """Cut sorted batches into packs of complete stripes, with the rows they came from.
 
     Only the last stripe of a batch is carried over, so memory stays at a batch plus one
-    stripe. A second row for the same unit is ignored.
+    stripe. A second row for the same unit is left out; if its payload differs, the unit
+    clashes with itself.
     """
-    carry = None
+    carry, unit_key = None, ["group_id", "stripe_no", "unit_index"]
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        table = table if carry is None else pa.concat_tables([carry, table])
-        table = table.filter(pa.array(_changes(table, ["group_id", "stripe_no", "unit_index"]))).combine_chunks()
+        table = table.append_column("_clash", pa.array(np.zeros(table.num_rows, bool)))
+        table = (table if carry is None else pa.concat_tables([carry, table])).combine_chunks()
         if not table.num_rows:
             continue
+        new = _changes(table, unit_key)
+        clash = table["_clash"].to_numpy().copy()
+        for row in np.flatnonzero(~new):
+            clash[row] |= not table["payload"][row].equals(table["payload"][row - 1])
+        table = table.set_column(table.schema.get_field_index("_clash"), "_clash", pa.array(np.logical_or.reduceat(clash, np.flatnonzero(new))[np.cumsum(new) - 1]))
+        table = table.filter(pa.array(new)).combine_chunks()
         last = int(np.flatnonzero(_changes(table, ["group_id", "stripe_no"]))[-1])
         if last:
             head = table.slice(0, last)
@@ -132,7 +160,9 @@ def _pack(table: pa.Table, n_units: int) -> Pack:
         units[unit[row], at[row] : at[row] + size[row]] = np.frombuffer(payload.as_buffer(), np.uint8)
     sizes = np.full((len(first), n_units), -1, np.int64)
     sizes[stripe, unit] = size
-    return Pack(table["group_id"].to_numpy()[first], table["stripe_no"].to_numpy()[first], starts, lengths, units, sizes)
+    clashes = np.zeros((len(first), n_units), bool)
+    clashes[stripe, unit] = table["_clash"].to_numpy()
+    return Pack(table["group_id"].to_numpy()[first], table["stripe_no"].to_numpy()[first], starts, lengths, units, sizes, clashes)
 
 
 def ints(per_row: list) -> pa.Array:
@@ -159,26 +189,25 @@ def encode(cells: DataFrame, policy: Policy) -> DataFrame:
 def audit_parity(cells: DataFrame, policy: Policy, screen: bool = False) -> DataFrame:
     """``group_id, stripe_no, bad_parity``: parity units (0-based) that differ, per stripe.
 
-    With ``screen`` only stripes that fail :func:`screen_parity` are shuffled and compared
-    byte by byte; the others are returned as intact. That moves a few bytes per cell in
-    place of its payload.
+    A unit with several rows that differ makes its stripe bad: all parity units if it is a
+    data unit. With ``screen`` only stripes that fail :func:`screen_parity` are shuffled and
+    compared byte by byte; the others are returned as intact. That moves a few bytes per cell
+    in place of its payload; the checksums are written once.
     """
     matrix, k = policy.parity_matrix(), policy.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, _ in packs(batches, policy.n):
-            differs = gf.matmul(matrix, pack.units[:k]) != pack.units[k:]
-            bad = [np.flatnonzero(row).tolist() for row in pack.any_byte(differs)]
-            yield pack.frame({"bad_parity": ints(bad)})
+            differs = pack.any_byte(gf.matmul(matrix, pack.units[:k]) != pack.units[k:])
+            differs |= pack.clashes[:, k:] | pack.clashes[:, :k].any(axis=1)[:, None]
+            yield pack.frame({"bad_parity": ints([np.flatnonzero(row).tolist() for row in differs])})
 
     schema = "group_id bigint, stripe_no int, bad_parity array<int>"
     if not screen:
         return by_stripe(cells, policy).mapInArrow(run, schema)
-    screened = screen_parity(cells, policy)
-    keys = ["group_id", "stripe_no"]
-    suspects = cells.join(screened.where("suspect").select(*keys), keys, "left_semi")
-    exact = by_stripe(suspects, policy).mapInArrow(run, schema)
-    passed = screened.where("not suspect").select(*keys, F.array().cast("array<int>").alias("bad_parity"))
+    screened = materialize(screen_parity(cells, policy), "screened")
+    exact = by_stripe(only_stripes(cells, screened.where("suspect")), policy).mapInArrow(run, schema)
+    passed = screened.where("not suspect").select("group_id", "stripe_no", F.array().cast("array<int>").alias("bad_parity"))
     return passed.unionByName(exact)
 
 
@@ -188,7 +217,8 @@ def screen_parity(cells: DataFrame, policy: Policy) -> DataFrame:
     A checksum that is linear over xor is taken of each unit times its coefficient, where
     the unit lies; ``bit_xor`` adds them up per stripe and parity row, and combines before
     the shuffle. An intact stripe gives zero. A damaged one gives zero with a chance of
-    about 2^-64.
+    about 2^-64. A stripe with a repeated unit is suspect whatever it gives, as equal rows
+    would cancel out.
     """
     matrix, k, m = policy.parity_matrix(), policy.k, policy.m
     product, _ = gf.tables()
@@ -215,15 +245,17 @@ def screen_parity(cells: DataFrame, policy: Policy) -> DataFrame:
                         sums[i, row] = checksum(data, lookup[i][unit])
                 else:
                     sums[unit - k, row] = checksum(data, own)
-            heads = [batch.column("group_id"), batch.column("stripe_no")]
+            heads = [batch.column("group_id"), batch.column("stripe_no"), batch.column("unit_index")]
             arrays = heads + [pa.array(s.view(np.int64)) for s in sums]
-            yield pa.RecordBatch.from_arrays(arrays, ["group_id", "stripe_no", *names])
+            yield pa.RecordBatch.from_arrays(arrays, ["group_id", "stripe_no", "unit_index", *names])
 
     usable = cells.where(F.col("unit_index").between(0, policy.n - 1) & F.col("payload").isNotNull())
     typed = usable.select("group_id", F.col("stripe_no").cast("int"), F.col("unit_index").cast("int"), "payload")
-    sums = typed.mapInArrow(run, "group_id bigint, stripe_no int, " + ", ".join(f"{n} bigint" for n in names))
-    folded = sums.groupBy("group_id", "stripe_no").agg(*(F.bit_xor(n).alias(n) for n in names))
-    suspect = reduce(lambda a, b: a | b, (F.col(n) != 0 for n in names))
+    sums = typed.mapInArrow(run, "group_id bigint, stripe_no int, unit_index int, " + ", ".join(f"{n} bigint" for n in names))
+    folded = sums.groupBy("group_id", "stripe_no").agg(
+        *(F.bit_xor(n).alias(n) for n in names), (F.count("*") != _distinct_units(policy)).alias("repeated")
+    )
+    suspect = reduce(lambda a, b: a | b, (F.col(n) != 0 for n in names)) | F.col("repeated")
     return folded.select("group_id", "stripe_no", suspect.alias("suspect"))
 
 
@@ -242,10 +274,11 @@ def audit_xor(words: DataFrame) -> DataFrame:
 # --- verdicts ---------------------------------------------------------------------------
 
 
-def checkable(files: DataFrame) -> DataFrame:
+def checkable(files: DataFrame, policies: Collection[str] | None = None) -> DataFrame:
     """Add ``status`` 1 and ``msg`` to files that cannot be audited, null to the others.
 
-    ``files`` has ``path, exists, is_file, is_closed, policy``.
+    ``files`` has ``path, exists, is_file, is_closed, policy``; ``policies`` are the known
+    names, if it matters.
     """
 
     def reason(text: str) -> Column:
@@ -257,6 +290,8 @@ def checkable(files: DataFrame) -> DataFrame:
         .when(~F.coalesce("is_closed", F.lit(False)), reason("is not closed"))
         .when(F.col("policy").isNull(), reason("is not erasure coded"))
     )
+    if policies is not None:
+        msg = msg.when(~F.col("policy").isin(*policies), reason("has an unknown policy"))
     marked = files.withColumn("msg", msg)
     return marked.withColumn("status", F.when(F.col("msg").isNotNull(), 1).cast("int"))
 
@@ -272,18 +307,16 @@ def _distinct_units(policy: Policy) -> Column:
     return reduce(lambda a, b: a + b, words).cast("int")
 
 
-def _groups(units: DataFrame, policy: Policy, *more: Column) -> DataFrame:
-    """One row per block group: ``path, n_units, n_required, under_coded`` and ``more``."""
-    groups = units.groupBy("group_id").agg(
-        F.max("path").alias("path"),
-        F.max("group_size").alias("group_size"),
-        _distinct_units(policy).alias("n_units"),
-        *more,
-    )
+def _groups(units: DataFrame, policy: Policy) -> DataFrame:
+    """One row per block group: ``path, group_size, n_units, n_required, under_coded``.
+
+    Only numbers are aggregated, so the aggregates hash; path and size belong to the key.
+    """
+    groups = units.groupBy("group_id", "path", "group_size").agg(_distinct_units(policy).alias("n_units"))
     cells_started = F.floor((F.col("group_size") - 1) / policy.cell_size) + 1
     required = (F.least(F.lit(policy.k).cast("bigint"), cells_started) + policy.m).cast("int")
     counted = groups.withColumn("n_required", required)
-    return counted.withColumn("under_coded", F.col("n_units") < F.col("n_required")).drop("group_size")
+    return counted.withColumn("under_coded", F.col("n_units") < F.col("n_required"))
 
 
 def under_coded(units: DataFrame, policy: Policy) -> DataFrame:
@@ -292,7 +325,7 @@ def under_coded(units: DataFrame, policy: Policy) -> DataFrame:
     ``units`` has ``group_id, path, group_size, unit_index``; a group needs one unit per
     started data cell, at most k, and all parity units.
     """
-    return _groups(units, policy).select("group_id", "path", "n_units", "n_required", "under_coded")
+    return _groups(units, policy).drop("group_size")
 
 
 def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataFrame:
@@ -300,7 +333,9 @@ def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataF
 
     ``units`` has ``group_id, path, unit_index, host, group_size``. ``bad_units`` are all
     parity units that differ anywhere; the message names the first of the first bad stripe.
-    Both inputs are aggregated by ``group_id`` and joined where they lie.
+    A group whose stripes were not all seen, as its size asks for, and that shows no damage
+    is not checked: status 1. Both inputs are aggregated by ``group_id`` and joined where they
+    lie; hosts are looked up for the damaged groups alone.
     """
     bad = F.size("bad_parity") > 0
     # stripe and parity unit in one number: a minimum that hash aggregation can hold
@@ -308,23 +343,28 @@ def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataF
     first = (F.min(F.when(bad, packed)) % 256).cast("int")
     flags = [F.bool_or(F.array_contains("bad_parity", i)) for i in range(policy.m)]
     listed = F.array_compact(F.array(*(F.when(flag, policy.k + i) for i, flag in enumerate(flags))))
-    audited = stripes.groupBy("group_id").agg(first.alias("first"), listed.alias("bad_units"))
-
-    parity_unit = [F.col("unit_index") == policy.k + i for i in range(policy.m)]
-    hosts = F.array(*(F.min(F.when(here, F.col("host"))) for here in parity_unit)).alias("hosts")
-    found = _groups(units, policy, hosts).join(audited, "group_id", "left")
-
+    audited = stripes.groupBy("group_id").agg(first.alias("first"), listed.alias("bad_units"), F.count("*").alias("n_seen"))
+    expected = F.ceil(F.col("group_size") / (policy.k * policy.cell_size))
+    found = _groups(units, policy).join(audited, "group_id", "left")
     differs = F.col("first").isNotNull() & ~F.col("under_coded")
-    host, block = F.get("hosts", F.col("first")), F.col("group_id") + policy.k + F.col("first")
-    msg = F.when(F.col("under_coded"), F.lit(f"Status: ERROR, message: {UNDER_CODED}")).when(
-        differs, mismatch_message(host, block)
+    status = F.when(F.col("under_coded") | differs, -1).when(F.coalesce("n_seen", F.lit(0)) < expected, 1).otherwise(0)
+    judged = found.withColumns({"status": status.cast("int"), "differs": differs})
+
+    at = judged.where("differs").select("group_id", (policy.k + F.col("first")).alias("unit_index"))
+    hosts = units.join(at, ["group_id", "unit_index"]).groupBy("group_id").agg(F.min("host").alias("host"))
+    named = judged.join(hosts, "group_id", "left")
+    block = F.col("group_id") + policy.k + F.col("first")
+    msg = (
+        F.when(F.col("under_coded"), F.lit(f"Status: ERROR, message: {UNDER_CODED}"))
+        .when(F.col("differs"), mismatch_message(F.col("host"), block))
+        .when(F.col("status") == 1, F.lit(NOT_READ))
     )
-    return found.select(
+    return named.select(
         "group_id",
         "path",
-        F.when(F.col("under_coded") | differs, -1).otherwise(0).cast("int").alias("status"),
+        "status",
         msg.alias("msg"),
-        F.when(differs, host).alias("bad_host"),
-        F.when(differs, block).alias("bad_block"),
+        F.when(F.col("differs"), F.col("host")).alias("bad_host"),
+        F.when(F.col("differs"), block).alias("bad_block"),
         F.coalesce("bad_units", F.array().cast("array<int>")).alias("bad_units"),
     )

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import reported_path, suspect_host
 from lakecheck.operators import gf
-from lakecheck.operators.parity import Pack, Policy, audit_parity, by_stripe, packs
+from lakecheck.operators.parity import Pack, Policy, audit_parity, by_stripe, only_stripes, packs
+from lakecheck.session import fits_broadcast, materialize
 
 
 def parse_error_report(lines: DataFrame, needle: str) -> DataFrame:
@@ -65,13 +66,30 @@ def plan_attempts(damaged: DataFrame, hosts: DataFrame, force: bool = True) -> D
     return first.unionByName(pairs)
 
 
+def plan_group_attempts(damaged: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The attempts of :func:`plan_attempts` where each damaged group has a message of its own:
+    ``damaged`` has ``path, group_id, msg``, and only these groups are planned for."""
+    key = ["path", "group_id"]
+    targets = hosts.join(damaged.select(*key, suspect_host(F.col("msg")).alias("_suspect")), key)
+    first = targets.where("_suspect is not null").select(*key, F.lit(1).alias("attempt_no"), F.array("_suspect").alias("excluded"))
+    pairs = host_pairs(targets).select(*key, (F.col("pair_no") + 2).alias("attempt_no"), F.col("pair").alias("excluded"))
+    return first.unionByName(pairs)
+
+
+def best_attempts(attempts: DataFrame) -> DataFrame:
+    """``path, group_id, attempt_no``: the first good attempt of every group that was tried,
+    null if there is none. ``attempts`` has ``path, group_id, attempt_no, ok``."""
+    good = F.when(F.coalesce("ok", F.lit(False)), F.col("attempt_no"))
+    return attempts.groupBy("path", "group_id").agg(F.min(good).alias("attempt_no"))
+
+
 def recovery_outcome(damaged: DataFrame, attempts: DataFrame) -> DataFrame:
-    """``path, outcome, attempt_no, excluded``: the first good attempt of each damaged file,
-    or ``failed``. ``attempts`` has ``path, attempt_no, excluded, ok``."""
-    best = attempts.where("ok").groupBy("path").agg(F.min(F.struct("attempt_no", "excluded")).alias("_best"))
-    joined = damaged.select("path").distinct().join(best, "path", "left")
-    outcome = F.when(F.col("_best").isNull(), "failed").otherwise("recovered")
-    return joined.select("path", outcome.alias("outcome"), "_best.attempt_no", "_best.excluded")
+    """``path, outcome, n_groups, n_recovered`` of each damaged file: ``recovered`` if every
+    group that was tried has a good attempt, else ``failed``; also if none was tried."""
+    per_file = best_attempts(attempts).groupBy("path").agg(F.count("*").alias("n_groups"), F.count("attempt_no").alias("n_recovered"))
+    joined = damaged.select("path").distinct().join(per_file, "path", "left").fillna(0, ["n_groups", "n_recovered"])
+    whole = (F.col("n_groups") > 0) & (F.col("n_groups") == F.col("n_recovered"))
+    return joined.select("path", F.when(whole, "recovered").otherwise("failed").alias("outcome"), "n_groups", "n_recovered")
 
 
 def unrecoverable(outcome: DataFrame) -> DataFrame:
@@ -101,11 +119,21 @@ def reconstruct_units(cells: DataFrame, policy: Policy, excluded: DataFrame) ->
                 left, _ = gf.eliminate(check[:, list(gone)])
                 yield _unit_rows(pack, chosen, gone, gf.matmul(left, gf.matmul(check, units)))
 
-    usable = excluded.where(F.size("excluded").between(1, policy.m)).select("group_id", "excluded")
-    wanted = by_stripe(cells.join(usable, "group_id"), policy, "excluded")
+    usable = excluded.where(F.size(F.array_distinct("excluded")).between(1, policy.m)).select("group_id", F.array_distinct("excluded").alias("excluded"))
+    side = F.broadcast(usable) if fits_broadcast(usable) else usable
+    wanted = by_stripe(cells.join(side, "group_id"), policy, "excluded")
     return wanted.mapInArrow(run, "group_id bigint, stripe_no int, unit_index int, payload binary")
 
 
+def refused_groups(policy: Policy, excluded: DataFrame) -> DataFrame:
+    """``group_id, reason`` of the groups that :func:`reconstruct_units` can't compute: more
+    distinct units than the code has parities, or none. Every group asked of it has either
+    cells there or a row here."""
+    n = F.size(F.array_distinct("excluded"))
+    reason = F.when(n > policy.m, "too many units").when(F.coalesce(n, F.lit(0)) < 1, "no units")
+    return excluded.select("group_id", reason.alias("reason")).where("reason is not null")
+
+
 def _unit_rows(pack: Pack, chosen: np.ndarray, gone: tuple[int, ...], solved: np.ndarray) -> pa.RecordBatch:
     """Rows for the units ``gone`` of the chosen stripes, cut from their solved bytes."""
     stripes = np.flatnonzero(chosen)
@@ -151,18 +179,19 @@ def _explaining(pack: Pack, syndrome: np.ndarray, sets: list[tuple], nulls: list
     return alive
 
 
-def locate_bad_units(cells: DataFrame, policy: Policy, max_units: int = 2, stripes: DataFrame | None = None) -> DataFrame:
+def locate_bad_units(cells: DataFrame, policy: Policy, stripes: DataFrame | None = None) -> DataFrame:
     """Which units of a damaged group are wrong: ``group_id, n_stripes, outcome, unit_sets``.
 
     A set of units explains a group if leaving it out makes every stripe consistent; single
     units are preferred to pairs. ``located``: exactly one smallest set, and at least one
     check is left that could have contradicted it. ``candidate``: several such sets, or as
     many units as parities, where parity proves nothing and the content has to be checked.
-    ``failed``: no set of up to ``max_units`` units. Only stripes that fail the audit
-    (``stripes``, else computed) are looked at.
+    ``failed``: no set of as many units as the code can place (m - 1, and m where that is 1
+    or 2). Only stripes that fail the audit (``stripes``, else computed) are looked at.
     """
     check, n = policy.check_matrix(), policy.n
-    sets = [e for size in range(1, min(max_units, policy.m) + 1) for e in combinations(range(n), size)]
+    most = policy.m if policy.m <= 2 else policy.m - 1
+    sets = [e for size in range(1, most + 1) for e in combinations(range(n), size)]
     nulls = [gf.eliminate(check[:, list(e)])[1] for e in sets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +200,9 @@ def locate_bad_units(cells: DataFrame, policy: Policy, max_units: int = 2, strip
             found = [np.flatnonzero(row).tolist() for row in _explaining(pack, syndrome, sets, nulls).T]
             yield pack.frame({"sets": pa.array(found, pa.list_(pa.int32()))})
 
-    stripes = audit_parity(cells, policy) if stripes is None else stripes
-    bad = stripes.where(F.size("bad_parity") > 0).select("group_id", "stripe_no")
-    suspects = cells.join(bad, ["group_id", "stripe_no"], "left_semi")
-    explained = by_stripe(suspects, policy).mapInArrow(run, "group_id bigint, stripe_no int, sets array<int>")
+    stripes = audit_parity(cells, policy, screen=True) if stripes is None else stripes
+    bad = materialize(stripes.where(F.size("bad_parity") > 0).select("group_id", "stripe_no"), "bad-stripes")
+    explained = by_stripe(only_stripes(cells, bad), policy).mapInArrow(run, "group_id bigint, stripe_no int, sets array<int>")
 
     # set -1 stands for the stripe itself; the sets per group are as many as the code allows
     votes = explained.select("group_id", F.explode(F.array_append("sets", F.lit(-1))).alias("s"))

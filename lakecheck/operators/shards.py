@@ -15,13 +15,15 @@ def with_row_index(df: DataFrame, *order_by: str, partitions: int | None = None)
 
     Rows are range-partitioned and sorted, then written once, so that positions stay the
     same even if an executor is lost. Each partition needs only the row counts of those
-    before it; no window or sort runs in a single task. A hash of the row breaks ties, so
-    one frequent key spreads over partitions. Equal rows are interchangeable.
+    before it; no window or sort runs in a single task. A hash of the row and its
+    place in the input break ties, so that one frequent key, and equal rows too, spread over
+    partitions. Equal rows are interchangeable.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in order_by] + [F.xxhash64(*df.columns)]
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    keys = [F.col(c) for c in order_by] + [F.xxhash64(*df.columns), F.col("_place")]
+    ranged = placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_place")
     fixed = materialize(ranged.withColumn("_pos", F.monotonically_increasing_id()), "ranged")
 
     part = F.shiftright("_pos", _ROW_BITS)

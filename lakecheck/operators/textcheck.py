@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakecheck.functions.text import field_count, fields_ok, not_blank
 from lakecheck.operators.lookup import dimension_join, with_registry
 from lakecheck.sources.files import with_table
-from lakecheck.sources.tables import read_gzip_lines, scan_text_rows
+from lakecheck.sources.tables import NOT_OPENED, read_gzip_lines, scan_text_rows
 
 NO_ENTRY = "no registry entry"
 
@@ -38,25 +38,25 @@ def check_text_tables(spark: SparkSession, layouts: Sequence[tuple[str, int | No
     no row has to find its table first.
     """
 
-    def checked(folder: str, n_cols: int | None, sep: str | None) -> DataFrame:
-        rows = scan_text_rows(spark, folder)
+    def checked(n_cols: int | None, sep: str | None, folders: list[str]) -> DataFrame:
+        rows = scan_text_rows(spark, *folders)
         layout = {"n_cols": F.lit(n_cols).cast("int"), "sep": F.lit(sep).cast("string")}
         return check_rows(rows.withColumns(layout), **tolerance)
 
-    return reduce(DataFrame.unionByName, (checked(*layout) for layout in layouts))
+    alike: dict[tuple, list[str]] = {}
+    for folder, n_cols, sep in layouts:  # one scan for each distinct layout
+        alike.setdefault((n_cols, sep), []).append(folder)
+    return reduce(DataFrame.unionByName, (checked(*layout, folders) for layout, folders in alike.items()))
 
 
-def text_verdict(rows: DataFrame, line_limit: int | None = None) -> DataFrame:
+def text_verdict(rows: DataFrame) -> DataFrame:
     """One verdict per file from checked rows of a text scan.
 
     ``path, status, msg, n_rows, n_bad, bad_fields, first_bad_line, first_bad``; status 1 if
     the table is unknown; ``bad_fields`` is the median field count of
     the bad rows in the first split that has any. Lines are counted per split first, which needs no row shuffle; their
-    numbers in the file follow from the counts of the splits before. ``line_limit`` leaves
-    out later lines; off by default.
+    numbers in the file follow from the counts of the splits before.
     """
-    if line_limit is not None:
-        rows = _number_lines(rows).where(F.col("line_no") <= line_limit)
     bad = ~F.col("row_ok")
     splits = rows.groupBy("path", "block_start").agg(
         F.count("*").alias("n"),
@@ -81,21 +81,10 @@ def text_verdict(rows: DataFrame, line_limit: int | None = None) -> DataFrame:
     return _verdict(files, F.lit(None).cast("string"))
 
 
-def _number_lines(rows: DataFrame) -> DataFrame:
-    """Add ``line_no``. Only for the optional limit: it scans once more to count the splits."""
-    counts = rows.groupBy("path", "block_start").agg(F.count("*").alias("n"), F.min("row_pos").alias("first_pos"))
-    before = Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "path", "block_start", "first_pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before")
-    )
-    joined = rows.join(starts, ["path", "block_start"])
-    return joined.withColumn("line_no", F.col("n_before") + F.col("row_pos") - F.col("first_pos") + 1)
-
-
 def _verdict(files: DataFrame, error) -> DataFrame:
     damaged = (F.col("n_bad") > 0) | error.isNotNull()
     unknown = F.col("n_unknown") > 0
-    status = F.when(error.isNotNull(), -1).when(unknown, 1).when(damaged, -1).otherwise(0)
+    status = F.when(error.startswith(NOT_OPENED), 1).when(error.isNotNull(), -1).when(unknown, 1).when(damaged, -1).otherwise(0)
     shown = F.concat(F.lit("field count differs in line "), F.col("first.line").cast("string"))
     msg = F.coalesce(error, F.when(unknown, F.lit(NO_ENTRY)), F.when(F.col("n_bad") > 0, shown))
     return files.select(
@@ -110,13 +99,10 @@ def _verdict(files: DataFrame, error) -> DataFrame:
     )
 
 
-def check_gzip_delimited(
-    files: DataFrame, registry: DataFrame, line_limit: int | None = None, **tolerance: int
-) -> DataFrame:
-    """The same verdict for gzip text files, given by ``path``; a broken stream is damage."""
+def check_gzip_delimited(files: DataFrame, registry: DataFrame, **tolerance: int) -> DataFrame:
+    """The same verdict for gzip text files, given by ``path``; a broken stream is damage, one
+    that can't be opened is not checked."""
     lines = read_gzip_lines(files)
-    if line_limit is not None:
-        lines = lines.where(F.col("line_no").isNull() | (F.col("line_no") <= line_limit))
     checked = check_delimited(lines, registry, **tolerance)
     real = F.col("line_no").isNotNull()
     bad = real & ~F.col("row_ok")

@@ -19,10 +19,13 @@ def _fields(results: DataFrame) -> DataFrame:
 
 def worst_status(*results: DataFrame) -> DataFrame:
     """``path, status, msg, bad_host, bad_block``: the worst result of each path, in the
-    order -1, 0, 1. Takes groups of a file as well as results of several checks."""
+    order -1, 0, 1. Takes groups of a file as well as results of several checks. What it
+    says is the least of what the results of that status say, if any says something."""
     every = reduce(DataFrame.unionByName, map(_fields, results))
-    worst = every.groupBy("path").agg(F.min(F.struct("status", "msg", "bad_host", "bad_block")).alias("w"))
-    return worst.select("path", "w.*")
+    worst = every.groupBy("path").agg(F.min("status").alias("status"))  # a number: hash aggregation
+    told = every.where("msg is not null or bad_host is not null or bad_block is not null")
+    details = told.groupBy("path", "status").agg(F.min(F.struct("msg", "bad_host", "bad_block")).alias("w"))
+    return worst.join(details, ["path", "status"], "left").select("path", "status", "w.*")
 
 
 def file_status(paths: DataFrame, *results: DataFrame) -> DataFrame:

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakecheck.operators.parity import Policy, audit_parity, checkable, group_verdict
+from lakecheck.operators.parity import NOT_READ, Policy, audit_parity, checkable, group_verdict
 from lakecheck.operators.verdict import file_status
+from lakecheck.session import fits_broadcast, materialize
 
 
-def audit_files(files: DataFrame, units: DataFrame, cells: DataFrame, policy: Policy, screen: bool = False) -> DataFrame:
+def audit_files(files: DataFrame, units: DataFrame, cells: DataFrame, policies: Mapping[str, Policy], screen: bool = True) -> DataFrame:
     """``path, status, msg, bad_host, bad_block``, one row per file.
 
-    ``files``: ``path, exists, is_file, is_closed, policy`` (see :func:`checkable`).
-    ``units``: ``group_id, path, unit_index, host, group_size``. A file without block groups
-    is fine if it can be checked at all.
+    ``files``: ``path, exists, is_file, is_closed, policy, length`` (see :func:`checkable`);
+    ``policies`` says what each name of ``policy`` stands for, and files of other names are not
+    checkable. ``units``: ``group_id, path, unit_index, host, group_size``. A file without
+    block groups is fine only if it is empty. One audit per policy in use, each over the cells
+    of its own groups.
     """
-    marked = checkable(files)
-    skipped = marked.where("status = 1").select("path", "status", "msg")
-    candidates = marked.where("status is null").select("path")
-    audited = group_verdict(audit_parity(cells, policy, screen), units, policy)
-    found = candidates.join(audited, "path", "left").select(
-        "path", F.coalesce("status", F.lit(0)).alias("status"), "msg", "bad_host", "bad_block"
-    )
-    return file_status(files, skipped, found)
+    marked = materialize(checkable(files, policies).select("path", "policy", "length", "status", "msg"), "checkable")
+    results = [marked.where("status = 1").select("path", "status", "msg")]
+    wanted = marked.where("status is null")
+    placed = units.join(wanted.select("path", "policy"), "path")
+    groups = materialize(placed.select("group_id", "policy").distinct(), "groups") if len(policies) > 1 else None
+    for name, policy in policies.items():
+        mine, own = placed, cells
+        if groups is not None:
+            of_policy = groups.where(F.col("policy") == name).select("group_id")
+            if not of_policy.take(1):
+                continue
+            mine = placed.where(F.col("policy") == name)
+            own = cells.join(F.broadcast(of_policy) if fits_broadcast(of_policy) else of_policy, "group_id", "left_semi")
+        results.append(group_verdict(audit_parity(own, policy, screen), mine, policy))
+    bare = wanted.join(units.select("path"), "path", "left_anti")
+    empty = F.coalesce(F.col("length") == 0, F.lit(False))
+    results.append(bare.select("path", F.when(empty, 0).otherwise(1).alias("status"), F.when(~empty, NOT_READ).alias("msg")))
+    return file_status(files, *results)

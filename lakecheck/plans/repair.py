@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.operators.parity import Policy, audit_parity
-from lakecheck.operators.recovery import locate_bad_units, reconstruct_units
-from lakecheck.session import materialize
+from lakecheck.operators.recovery import best_attempts, locate_bad_units, reconstruct_units
+from lakecheck.session import fits_broadcast, materialize
 
 
 class Repair(NamedTuple):
@@ -21,17 +22,18 @@ class Repair(NamedTuple):
     fixed: DataFrame
 
 
-def repair_units(cells: DataFrame, policy: Policy, screen: bool = False) -> Repair:
+def repair_units(cells: DataFrame, policy: Policy, screen: bool = True) -> Repair:
     """Audit all cells, then find and recompute the bad units of the damaged groups.
 
-    ``cells`` is read twice, for the audit and to copy the damaged groups to the shared
+    ``cells`` is read for the audit, and once more to copy the damaged groups to the shared
     folder; every later step works on that copy. Groups that are only ``candidate`` need
     the content check of each of their unit sets; :func:`candidate_sets` lists them.
     """
     stripes = audit_parity(cells, policy, screen)
     bad = materialize(stripes.where(F.size("bad_parity") > 0), "bad-stripes")
-    groups = bad.select("group_id").distinct()
-    damaged = materialize(cells.join(groups, "group_id", "left_semi"), "damaged-cells")
+    groups = materialize(bad.select("group_id").distinct(), "bad-groups")
+    few = F.broadcast(groups) if fits_broadcast(groups) else groups
+    damaged = materialize(cells.join(few, "group_id", "left_semi"), "damaged-cells")
     located = materialize(locate_bad_units(damaged, policy, stripes=bad), "located")
     known = located.where("outcome = 'located'").select("group_id", F.get("unit_sets", F.lit(0)).alias("excluded"))
     return Repair(located, damaged, reconstruct_units(damaged, policy, known))
@@ -57,3 +59,62 @@ def verify_repair(cells: DataFrame, fixed: DataFrame, policy: Policy) -> DataFra
     groups = fixed.select("group_id").distinct()
     again = audit_parity(repaired_cells(cells.join(groups, "group_id", "left_semi"), fixed), policy)
     return again.groupBy("group_id").agg(F.bool_and(F.size("bad_parity") == 0).alias("ok"))
+
+
+def attempt_units(attempts: DataFrame, units: DataFrame) -> DataFrame:
+    """``path, group_id, attempt_no, excluded``: the unit numbers that an attempt's hosts hold.
+
+    ``attempts``: ``path, group_id, attempt_no, excluded`` with hosts; ``units``: ``path,
+    group_id, unit_index, host``. Hosts without a unit of the group leave nothing out.
+    """
+    hosts = attempts.select("path", "group_id", "attempt_no", F.explode("excluded").alias("host"))
+    held = hosts.join(units.select("path", "group_id", "host", "unit_index"), ["path", "group_id", "host"], "left")
+    return held.groupBy("path", "group_id", "attempt_no").agg(F.array_sort(F.collect_set("unit_index")).alias("excluded"))
+
+
+class Trials(NamedTuple):
+    """``outcome``: ``path, group_id, attempt_no, ok``; ``content``: ``path, group_id,
+    attempt_no`` and the cells that each attempt gives."""
+
+    outcome: DataFrame
+    content: DataFrame
+
+
+def try_attempts(cells: DataFrame, attempts: DataFrame, policy: Policy, content_ok: Callable[[DataFrame], DataFrame] | None = None) -> Trials:
+    """Recompute the units that each attempt leaves out, and check what comes out.
+
+    ``attempts`` is the result of :func:`attempt_units`. The parity of an attempt's cells must
+    be right; with as many units left out as there are parities that proves nothing, and the
+    attempt is good only if ``content_ok`` says so. It takes ``attempt_id`` and the data cells
+    and returns ``attempt_id, ok``; where it is given, every attempt has to pass it as well.
+    Attempts run side by side, each on its own copy of the group's cells.
+    """
+    numbered = materialize(attempts.withColumn("attempt_id", F.monotonically_increasing_id()), "attempts")
+    side = numbered.select("group_id", "attempt_id")
+    copies = cells.join(F.broadcast(side) if fits_broadcast(side) else side, "group_id")
+    copies = materialize(copies.select(F.col("attempt_id").alias("group_id"), "stripe_no", "unit_index", "payload"), "copies")
+    fixed = reconstruct_units(copies, policy, numbered.select(F.col("attempt_id").alias("group_id"), "excluded"))
+    content = materialize(repaired_cells(copies, materialize(fixed, "fixed")), "content")
+    parity = audit_parity(content, policy).groupBy(F.col("group_id").alias("attempt_id")).agg(F.bool_and(F.size("bad_parity") == 0).alias("ok"))
+    judged = numbered.join(parity, "attempt_id", "left")
+    ok, proven = F.coalesce("ok", F.lit(False)), F.size("excluded").between(1, policy.m - 1)
+    if content_ok is None:
+        good = ok & proven
+    else:
+        data = content.where(F.col("unit_index") < policy.k).withColumnRenamed("group_id", "attempt_id")
+        judged = judged.join(content_ok(data).select("attempt_id", F.col("ok").alias("content_ok")), "attempt_id", "left")
+        good = ok & F.coalesce("content_ok", F.lit(False)) & F.size("excluded").between(1, policy.m)
+    outcome = materialize(judged.select("path", "group_id", "attempt_no", "attempt_id", good.alias("ok")), "outcome")
+    places = outcome.select("attempt_id", "path", F.col("group_id").alias("_group"), "attempt_no")
+    named = content.withColumnRenamed("group_id", "attempt_id").join(places, "attempt_id")
+    return Trials(outcome.drop("attempt_id"), named.select("path", F.col("_group").alias("group_id"), "attempt_no", "stripe_no", "unit_index", "payload"))
+
+
+def recovered_cells(trials: Trials) -> DataFrame:
+    """``path, group_id, stripe_no, unit_index, payload`` of the first good attempt of each
+    group, for the files of which every group has one."""
+    best = best_attempts(trials.outcome)
+    whole = best.groupBy("path").agg(F.bool_and(F.col("attempt_no").isNotNull()).alias("whole")).where("whole").select("path")
+    kept = materialize(best.join(whole, "path", "left_semi"), "best")
+    keys = ["path", "group_id", "attempt_no"]
+    return trials.content.join(F.broadcast(kept) if fits_broadcast(kept) else kept, keys, "left_semi").drop("attempt_no")

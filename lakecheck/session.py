@@ -24,7 +24,6 @@ SETTINGS = {
     "spark.sql.files.maxPartitionNum": "50000",
     # text checks keep a few numbers per split; a task of packed small files has many splits
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # one damaged byte in an uncompressed page is only seen with page checksums
     "spark.hadoop.parquet.page.verify-checksum.enabled": "true",
 }
@@ -67,7 +66,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     Only a local session may fall back to a folder of this machine: on a cluster the
     executors would each write to their own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

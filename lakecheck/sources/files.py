@@ -24,7 +24,7 @@ def scan_files(spark: SparkSession, *roots: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(list(roots))
-        .select("path", "length", F.col("modificationTime").alias("modification_time"))
+        .select(paths.one_form(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("modification_time"))
     )
     return with_table(found)
 
@@ -36,9 +36,11 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     types = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_())
     for batch in batches:
         for folder in batch.column("path").to_pylist():
-            columns = list(zip(*list_folder(folder))) or [()] * 4
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["path", "length", "modification_time", "is_dir"])
+            entries = list_folder(folder)
+            for at in range(0, len(entries), 10_000):
+                columns = zip(*entries[at : at + 10_000])
+                arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "length", "modification_time", "is_dir"])
 
 
 def scan_all_files(spark: SparkSession, *roots: str) -> DataFrame:
@@ -47,7 +49,7 @@ def scan_all_files(spark: SparkSession, *roots: str) -> DataFrame:
     Folders are listed in tasks, one level of the tree per job; a level is written to the
     shared folder before the next, so the number of jobs is the depth of the tree.
     """
-    found, folders = [], spark.createDataFrame([(r,) for r in roots], "path string")
+    found, folders = [], spark.createDataFrame([(r,) for r in roots], "path string").select(paths.one_form(F.col("path")).alias("path"))
     tasks = spark.sparkContext.defaultParallelism * 4
     while True:
         spread = folders.select("path").repartition(tasks, "path")

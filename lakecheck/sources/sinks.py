@@ -3,7 +3,8 @@ to pass through one task: ``rebalance`` lets Spark split the large ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import report_line
@@ -15,21 +16,38 @@ def _by_partition(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *map(F.col, keys))
 
 
+def _replacing(df: DataFrame) -> DataFrameWriter:
+    """Of a whole table: partitions of an earlier run go, whatever the session's setting."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+
+
 def write_manifests(files: DataFrame, out: str) -> None:
     """One manifest folder ``db=../table=..`` per table; ``files`` has ``db, table, path``."""
     rows = files.select("db", "table", F.col("path").alias("value"))
-    _by_partition(rows, "db", "table").write.mode("overwrite").partitionBy("db", "table").text(out)
+    _replacing(_by_partition(rows, "db", "table")).partitionBy("db", "table").text(out)
 
 
-def write_check_report(results: DataFrame, out: str, mode: str = "errorifexists") -> None:
+def is_complete(spark: SparkSession, out: str) -> bool:
+    """Whether a report was written to its end: its summary comes last."""
+    try:
+        return spark.read.text(f"{out}/summary/_SUCCESS").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def write_check_report(results: DataFrame, out: str, redo: bool = False) -> bool:
     """``out/damaged`` with ``path===msg`` lines of status -1 and ``out/summary`` with one
-    row ``n_checked, n_bad, n_unchecked``. The default mode refuses to redo a finished
-    report; the summary is written last and says that it is complete. The checks run
-    once: their rows are kept in the shared folder for both outputs."""
+    row ``n_checked, n_bad, n_unchecked``. A finished report is left as it is, before any
+    check runs, unless ``redo``; says whether it was written. Output without a summary is
+    unfinished and replaced. The checks run once: their rows are kept in the shared folder
+    for both outputs."""
+    if not redo and is_complete(results.sparkSession, out):
+        return False
     results = materialize(results, "results")
     damaged = results.where("status = -1").select(report_line(F.col("path"), F.col("msg")).alias("value"))
-    damaged.write.mode(mode).text(f"{out}/damaged")
-    report_summary(results).write.mode(mode).parquet(f"{out}/summary")
+    damaged.write.mode("overwrite").text(f"{out}/damaged")
+    report_summary(results).write.mode("overwrite").parquet(f"{out}/summary")
+    return True
 
 
 def report_summary(results: DataFrame) -> DataFrame:
@@ -85,7 +103,7 @@ def write_block_map(block_map: DataFrame, out: str) -> None:
 def write_shards(df: DataFrame, out: str, value: str = "value") -> None:
     """Text below ``shard=`` folders; ``df`` has ``shard`` and the line column."""
     rows = df.select("shard", F.col(value).cast("string").alias("value"))
-    _by_partition(rows, "shard").write.mode("overwrite").partitionBy("shard").text(out)
+    _replacing(_by_partition(rows, "shard")).partitionBy("shard").text(out)
 
 
 def write_compressed(lines: DataFrame, out: str, codec: str = "gzip") -> None:

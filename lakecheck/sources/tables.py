@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import time
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakecheck.functions.paths import one_form
 from lakecheck.functions.text import split_fields
 from lakecheck.session import tasks_for
 
@@ -47,7 +50,7 @@ def scan_text_rows(spark: SparkSession, *path: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true")
         .text(list(path))
         .select(
-            decoded.alias("path"),
+            one_form(decoded).alias("path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("row_pos"),
             "value",
@@ -55,21 +58,68 @@ def scan_text_rows(spark: SparkSession, *path: str) -> DataFrame:
     )
 
 
-def _store(path: str):
-    """File system and key of a path as Spark's listing reports it."""
+@cache
+def _client(scheme: str, authority: str):
+    """One client per store in a worker, and what its keys start with."""
     from pyarrow import fs
 
-    scheme = urlsplit(path).scheme
-    if scheme in ("", "file"):
-        local = path.split(":", 1)[1] if scheme else path
-        return fs.LocalFileSystem(), "/" + local.lstrip("/")
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    if scheme == "file":
+        return fs.LocalFileSystem(), ""
+    store, start = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    return store, start.rstrip("/")
+
+
+def _store(path: str):
+    """File system and key of a path as Spark's listing reports it. Only scheme and authority
+    are taken as a URI; the key may have any character in it."""
+    scheme, _, rest = path.partition(":") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) else ("file", "", path)
+    authority, rest = (rest[2:].split("/", 1) + [""])[:2] if rest.startswith("//") and scheme != "file" else ("", rest)
+    store, start = _client(scheme, authority)
+    return store, f"{start}/{rest.lstrip('/')}"
+
+
+#: Starts the message about a file that the store didn't give, which says nothing about its content.
+NOT_OPENED = "cannot read: "
+
+
+def trouble(problem: Exception) -> str:
+    """Message of a problem. A missing file, a refusal or a lost connection has a number of the
+    operating system; damaged content doesn't."""
+    outside = isinstance(problem, OSError) and (problem.errno is not None or isinstance(problem, (FileNotFoundError, PermissionError, TimeoutError, ConnectionError)))
+    return f"{NOT_OPENED if outside else ''}{type(problem).__name__}: {problem}"
 
 
 def open_path(path: str) -> pa.NativeFile:
-    """Open a file from inside a task."""
+    """Open a file from inside a task; what may pass is tried twice."""
     store, key = _store(path)
-    return store.open_input_file(key)
+    try:
+        return store.open_input_file(key)
+    except (FileNotFoundError, PermissionError, IsADirectoryError):
+        raise
+    except OSError:
+        time.sleep(1)
+        return store.open_input_file(key)
+
+
+def write_blobs(folder: str):
+    """Task body: rows ``part, content`` -> a file ``part=../blob-..`` for each in a folder that
+    all executors share; gives ``path, length``. Names follow from the content, so that a
+    task that runs twice writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            written = []
+            for part, content in zip(batch.column("part").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                path = f"{folder}/part={part}/blob-{zlib.crc32(content):08x}"
+                store, key = _store(path)
+                store.create_dir(key.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(key) as out:
+                    out.write(content)
+                written.append((path if ":" in path else f"file:{path}", len(content)))
+            columns = list(zip(*written, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], ["path", "length"])
+
+    return run
 
 
 def list_folder(path: str) -> list[tuple]:
@@ -141,7 +191,7 @@ def read_gzip_lines(files: DataFrame, piece: int = 1 << 20) -> DataFrame:
                             yield rows(path, line_no, lines, None)
                             line_no += len(lines)
                 except (OSError, EOFError, zlib.error) as problem:
-                    yield rows(path, 0, [None], f"{type(problem).__name__}: {problem}")
+                    yield rows(path, 0, [None], trouble(problem))
 
     tasks = tasks_for(files, GZIP_BYTES_PER_TASK)
     return files.select("path").repartition(tasks, "path").mapInArrow(unpack, GZIP_SCHEMA)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakecheck.operators import gf, parity, recovery, verdict
 from lakecheck.operators.parity import Policy
 from lakecheck.plans.audit import audit_files
-from lakecheck.plans.repair import candidate_sets, repair_units, verify_repair
+from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_attempts, verify_repair
 
 CELLS = "group_id bigint, stripe_no int, unit_index int, payload binary"
 POLICIES = [Policy(2, 1, "xor"), Policy(3, 2), Policy(6, 3), Policy(10, 4)]
@@ -115,6 +115,69 @@ def test_encode_and_audit(spark, conf, policy):
     assert {(r["group_id"], r["stripe_no"]) for r in suspects.collect()} == set(expected)
 
 
+@pytest.mark.parametrize("screen", [False, True])
+def test_repeated_rows_hide_nothing(spark, screen):
+    policy = Policy(3, 2)
+    cells = coded(policy, 2)
+    cells[0, 1, 0] = bytes(len(cells[0, 1, 0]))  # wrong, and delivered twice: its checksums cancel out
+    wrong = frame(spark, {(0, 1, 0): cells[0, 1, 0]})
+    other = frame(spark, {(-1, 0, 2): b"other", (-1, 2, 4): b"parity"})  # second rows that differ from the first
+    got = bad_stripes(parity.audit_parity(frame(spark, cells).unionByName(wrong).unionByName(other), policy, screen=screen))
+    assert got == {(0, 1): [0, 1], (-1, 0): [0, 1], (-1, 2): [1]}
+
+
+def test_stripes_stay_whole_after_joins(spark, tmp_path):
+    """Many input files of incompressible cells, so that every exchange is read by many tasks."""
+    policy, rng, rows = Policy(6, 3), np.random.default_rng(5), []
+    for g in range(60):
+        data = rng.integers(0, 256, (6, 1 << 15), dtype=np.uint8)
+        whole = np.concatenate([data, gf.matmul(policy.parity_matrix(), data)])
+        whole[0, 7] ^= 0xFF if g % 12 == 0 else 0
+        rows += [(g, 0, u, whole[u].tobytes()) for u in range(9)]
+    df = spark.createDataFrame(rows, "group_id bigint, stripe_no int, unit_index int, payload binary").repartition(12)
+    df.write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    exact, screened = (parity.audit_parity(cells, policy, screen=s) for s in (False, True))
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, screened.collect())) and screened.count() == 60
+    got = recovery.locate_bad_units(cells, policy).collect()
+    assert {(r["group_id"], r["n_stripes"], r["outcome"], str(r["unit_sets"])) for r in got} == {(g, 1, "located", "[[0]]") for g in range(0, 60, 12)}
+
+
+def test_refused_groups_have_a_reason(spark):
+    asked = spark.createDataFrame([(1, [0, 1, 1]), (2, [0, 1, 2]), (3, []), (4, None)], "group_id bigint, excluded array<int>")
+    got = {r["group_id"]: r["reason"] for r in recovery.refused_groups(Policy(3, 2), asked).collect()}
+    assert got == {2: "too many units", 3: "no units", 4: "no units"}
+
+
+def test_attempts_are_tried(spark):
+    policy = Policy(3, 2)
+    good = coded(policy, 3, seed=8)
+    cells = dict(good)
+    flip_many(cells, 1, 0, 1, 1)
+    flip_many(cells, 2, 0, 0, 2)
+    flip_many(cells, 2, 0, 3, 3)
+    held = units(spark, {-1: "/f", -2: "/f"}, policy)
+    rows = [("/f", -1, 1, ["10.0.0.4"]), ("/f", -1, 2, ["10.0.0.1"]), ("/f", -2, 1, ["10.0.0.0"]), ("/f", -2, 2, ["10.0.0.0", "10.0.0.3"])]
+    attempts = attempt_units(spark.createDataFrame(rows, "path string, group_id bigint, attempt_no int, excluded array<string>"), held)
+
+    def outcome(content_ok):
+        trials = try_attempts(frame(spark, cells), attempts, policy, content_ok)
+        return {(r["group_id"], r["attempt_no"]): r["ok"] for r in trials.outcome.collect()}, trials
+
+    assert outcome(None)[0] == {(-1, 1): False, (-1, 2): True, (-2, 1): False, (-2, 2): False}  # two units of two parities prove nothing
+    right = {bytes(v) for v in good.values()}
+
+    def content(data):
+        known = spark.createDataFrame([(bytearray(v),) for v in right], "payload binary")
+        data = data.where("hex(payload) rlike '[1-9A-F]'")  # a unit past the end is zeros
+        return data.join(known.withColumn("known", F.lit(True)), "payload", "left").groupBy("attempt_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("ok"))
+
+    oks, trials = outcome(content)
+    assert oks == {(-1, 1): False, (-1, 2): True, (-2, 1): False, (-2, 2): True}
+    got = {(r["group_id"], r["stripe_no"], r["unit_index"]): bytes(r["payload"]) for r in recovered_cells(trials).collect()}
+    assert all(got[k] == v for k, v in good.items() if k[0] != 0 and k[2] < policy.k)
+
+
 def test_audit_xor_words(spark):
     rows = [(g, 0, w, u, (g * 31 + w * 7 + u) ** 5 % (1 << 62)) for g in range(5) for w in range(4) for u in range(3)]
     words = spark.createDataFrame(rows, "group_id bigint, stripe_no int, word_no int, unit_index int, word bigint")
@@ -219,14 +282,18 @@ def test_worst_group_wins(spark):
     policy = Policy(3, 2)
     cells = coded(policy, 2)
     flip(cells, 1, 0, 4, 2)
-    groups = units(spark, {0: "/w/f", -1: "/w/f", -2: "/w/short"}, policy).where("not (group_id = -2 and unit_index = 0)")
+    groups = units(spark, {0: "/w/f", -1: "/w/f", -2: "/w/short", -9: "/w/unread"}, policy, size=3 * policy.k << 20).where("not (group_id = -2 and unit_index = 0)")
     meta = [("/w/f", True, True, True, "rs"), ("/w/short", True, True, True, "rs"), ("/w/none", False, None, None, None),
-            ("/w/dir", True, False, True, "rs"), ("/w/open", True, True, False, "rs"), ("/w/plain", True, True, True, None), ("/w/empty", True, True, True, "rs")]
+            ("/w/dir", True, False, True, "rs"), ("/w/open", True, True, False, "rs"), ("/w/plain", True, True, True, None), ("/w/empty", True, True, True, "rs"), ("/w/bare", True, True, True, "rs"),
+            ("/w/unread", True, True, True, "rs"), ("/w/odd", True, True, True, "rs-9-9")]
     files = spark.createDataFrame(meta, "path string, exists boolean, is_file boolean, is_closed boolean, policy string")
+    files = files.withColumn("length", F.when(F.col("path") == "/w/empty", 0).otherwise(5))
     for screen in (False, True):
-        got = {r["path"]: r for r in audit_files(files, groups, frame(spark, cells), policy, screen).collect()}
+        got = {r["path"]: r for r in audit_files(files, groups, frame(spark, cells), {"rs": policy}, screen).collect()}
         assert {p: r["status"] for p, r in got.items()} == {
-            "/w/f": -1, "/w/short": -1, "/w/none": 1, "/w/dir": 1, "/w/open": 1, "/w/plain": 1, "/w/empty": 0}
+            "/w/f": -1, "/w/short": -1, "/w/none": 1, "/w/dir": 1, "/w/open": 1, "/w/plain": 1, "/w/empty": 0,
+            "/w/bare": 1, "/w/unread": 1, "/w/odd": 1}
+        assert got["/w/bare"]["msg"] == got["/w/unread"]["msg"] == parity.NOT_READ and "unknown policy" in got["/w/odd"]["msg"]
         assert (got["/w/f"]["bad_host"], got["/w/f"]["bad_block"]) == ("10.0.0.4", 3)
         assert got["/w/short"]["msg"].endswith("under-erasure-coded.") and got["/w/short"]["bad_host"] is None
         assert got["/w/none"]["msg"] == "File /w/none does not exist."

@@ -33,13 +33,15 @@ def test_plan_starts_with_the_suspect(spark):
 
 
 def test_first_success_wins(spark):
-    rows = [("p", 1, ["a"], False), ("p", 3, ["c"], True), ("p", 2, ["b"], True), ("q", 1, ["a"], False)]
-    attempts = spark.createDataFrame(rows, "path string, attempt_no int, excluded array<string>, ok boolean")
-    damaged = spark.createDataFrame([("p",), ("q",), ("r",)], "path string")
+    rows = [("p", 7, 1, False), ("p", 7, 3, True), ("p", 7, 2, True), ("q", 8, 1, False), ("s", 1, 1, True), ("s", 2, 1, False), ("s", 2, 2, None)]
+    attempts = spark.createDataFrame(rows, "path string, group_id bigint, attempt_no int, ok boolean")
+    damaged = spark.createDataFrame([("p",), ("q",), ("r",), ("s",)], "path string")
+    best = {(r["path"], r["group_id"]): r["attempt_no"] for r in recovery.best_attempts(attempts).collect()}
+    assert best == {("p", 7): 2, ("q", 8): None, ("s", 1): 1, ("s", 2): None}
     outcome = recovery.recovery_outcome(damaged, attempts)
-    got = {r["path"]: (r["outcome"], r["attempt_no"], r["excluded"]) for r in outcome.collect()}
-    assert got == {"p": ("recovered", 2, ["b"]), "q": ("failed", None, None), "r": ("failed", None, None)}
-    assert sorted(r["path"] for r in recovery.unrecoverable(outcome).collect()) == ["q", "r"]
+    got = {r["path"]: (r["outcome"], r["n_groups"], r["n_recovered"]) for r in outcome.collect()}
+    assert got == {"p": ("recovered", 1, 1), "q": ("failed", 1, 0), "r": ("failed", 0, 0), "s": ("failed", 2, 1)}  # one group of a file isn't the file
+    assert sorted(r["path"] for r in recovery.unrecoverable(outcome).collect()) == ["q", "r", "s"]
 
 
 def test_error_report_paths(spark):

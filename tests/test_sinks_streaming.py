@@ -1,9 +1,10 @@
 from __future__ import annotations
 
-import pytest
-from pyspark.errors import AnalysisException
+import shutil
+
 from pyspark.sql import functions as F
 
+from lakecheck.operators import shards
 from lakecheck.plans.mining import damaged_files
 from lakecheck.session import fits_broadcast, scratch_path
 from lakecheck.sources import lists, logs, reports, sinks
@@ -53,8 +54,33 @@ def test_report_is_not_redone(spark, tmp_path):
     sinks.write_check_report(results, out)
     assert [r["value"] for r in lists.read_error_report(spark, out + "/damaged").collect()] == ["p===bad"]
     assert tuple(spark.read.parquet(out + "/summary").first()) == (2, 1, 1)
-    with pytest.raises(AnalysisException):
-        sinks.write_check_report(results, out)
+    unread = results.withColumn("status", F.raise_error(F.lit("checked again")).cast("int"))
+    assert not sinks.write_check_report(unread, out)  # refused before any check runs
+    shutil.rmtree(out + "/summary")  # as after a crash between the two outputs
+    assert sinks.write_check_report(results.limit(0), out) and spark.read.text(out + "/damaged").isEmpty()
+    assert sinks.write_check_report(results, out, redo=True) and spark.read.text(out + "/damaged").count() == 1
+
+
+def test_rewriting_leaves_nothing_old(spark, conf, tmp_path):
+    conf("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    out = str(tmp_path / "shards")
+    for n in (10, 3):
+        sinks.write_shards(spark.range(n).selectExpr("cast(id as int) as shard", "'x' as value"), out)
+    assert spark.read.text(out).select("shard").distinct().count() == 3
+
+
+def test_equal_rows_spread_over_shards(spark, monkeypatch):
+    sizes, write = [], shards.materialize
+
+    def counted(df, label):
+        sizes.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        return write(df, label)
+
+    monkeypatch.setattr(shards, "materialize", counted)
+    equal = spark.range(40_000).selectExpr("1 as a")
+    placed = shards.with_row_index(equal, "a", partitions=4)
+    assert [r["idx"] for r in placed.orderBy("idx").limit(3).collect()] == [0, 1, 2]
+    assert len(sizes) == 4 and max(sizes) < 20_000 and sum(sizes) == 40_000
 
 
 def test_block_status_only_if_any(spark, tmp_path):

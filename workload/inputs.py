@@ -14,7 +14,8 @@ from lakecheck.operators.parity import Policy, encode
 
 ROOT = "/warehouse"
 FIRST_BLOCK = 9_000_000
-RS = Policy(6, 3)
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+RS = Policy(6, 3, cell_size=16)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,14 +114,25 @@ def rs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("group_id", "stripe_no", "unit_index", payload.alias("payload"))
 
 
+def beyond_repair(cells: DataFrame) -> DataFrame:
+    """Flip a bit in all parity units of every 47th group, in a different byte of each."""
+    at = F.expr("unit_index - 5")
+    hexed = F.hex("payload")
+    byte = F.conv(F.substring(hexed, at * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(1)
+    changed = F.concat(F.substring(hexed, F.lit(1), at * 2), F.lpad(F.hex(byte), 2, "0"), F.substring(hexed, at * 2 + 3, F.lit(64)))
+    hit = F.expr("group_id % 47 = 0 and unit_index > 5 and stripe_no = 0")
+    return cells.withColumn("payload", F.when(hit, F.unhex(changed)).otherwise(F.col("payload")))
+
+
 def rs_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nine units of the group of every order that has lines."""
-    groups = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")).distinct()
+    """All nine units of the group of every order that has lines; its size is that of the
+    cells up to the last line."""
+    groups = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_linenumber").alias("last"))
     files = order_files(spark, sf_dir).join(groups, "key")
     return files.select(
         F.col("key").alias("group_id"),
         "path",
-        F.lit(8 << 20).cast("bigint").alias("group_size"),
+        (F.col("last") * 16).cast("bigint").alias("group_size"),
         F.explode(F.sequence(F.lit(0), F.lit(8))).alias("unit_index"),
     ).withColumn("host", F.expr("concat('10.0.', unit_index, '.', group_id % 200)"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 EV = """ev AS (SELECT CASE event_type WHEN 'error' THEN 'invalidDecoding' WHEN 'purchase' THEN 'reconstruct'
       ELSE 'failed' END AS event_type, 'dn' || (user_id % 12) || '.example.com' AS host,
     -(9000000 + (event_id // 3) * 5) AS block_id, date_trunc('second', ts) AS event_time
@@ -53,10 +54,6 @@ DAMAGED = f"""{FILES}, dmg AS (SELECT key, path, CASE WHEN o_orderstatus = 'F' T
 ATTEMPTS = f"""{HOSTS}, {DAMAGED}, att AS (
     SELECT g, path, 1 AS attempt_no, host AS excluded FROM dmg JOIN (SELECT DISTINCT g FROM r) x ON x.g = dmg.key WHERE host IS NOT NULL
     UNION ALL SELECT g, path, pair_no + 2, pair FROM dmg JOIN p ON p.g = dmg.key)"""
-OUTCOME = f"""{ATTEMPTS}, best AS (SELECT path, min(attempt_no) AS attempt_no, arg_min(excluded, attempt_no) AS excluded
-    FROM att WHERE (attempt_no * 7 + g) % 5 = 0 GROUP BY path),
-  outc AS (SELECT path, CASE WHEN best.attempt_no IS NULL THEN 'failed' ELSE 'recovered' END AS outcome, attempt_no, excluded
-    FROM (SELECT DISTINCT path FROM dmg) x LEFT JOIN best USING (path))"""
 RESULTS = f"""{FILES}, res AS (SELECT path, CASE WHEN o_orderstatus = 'F' OR o_orderpriority = '1-URGENT' THEN -1
       WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS status,
     CASE WHEN o_orderstatus = 'F' THEN 'Status: ERROR, message: EC compute result not match.:ip is 10.0.0.' || (o_custkey % 250)
@@ -69,14 +66,22 @@ STRIPES = """s AS (SELECT l_orderkey AS group_id, CAST((l_linenumber - 1) // 6 A
   FROM lineitem GROUP BY l_orderkey, (l_linenumber - 1) // 6), bad_stripes AS (SELECT group_id, stripe_no, CASE WHEN bad_d THEN '0,1,2' WHEN bad_p THEN '0' ELSE '' END AS bad_parity FROM s)"""
 GROUPS = f"""{STRIPES}, grp AS (SELECT group_id, bool_or(bad_p) AS bad_p, bool_or(bad_d) AS bad_d,
     min(stripe_no) FILTER (bad_parity <> '') AS first_bad FROM s JOIN bad_stripes USING (group_id, stripe_no) GROUP BY group_id)"""
+# stripes that the size of a group asks for, and those that any line belongs to
+SEEN = """seen AS (SELECT l_orderkey AS group_id, (max(l_linenumber) - 1) // 6 + 1 AS n_stripes, count(DISTINCT (l_linenumber - 1) // 6) AS n_seen
+  FROM lineitem GROUP BY l_orderkey)"""
 META = """CASE WHEN o_orderpriority = '5-LOW' THEN 'does not exist' WHEN o_orderstatus = 'P' THEN 'is not a regular file'
   WHEN o_custkey % 4 = 0 THEN 'is not closed' WHEN key % 6 = 0 THEN 'is not erasure coded' END"""
 PARQUET = " UNION ALL ".join(
     f"SELECT '{t}' AS name, 0 AS status, count(*) AS n_rows FROM {t}"
-    for t in (
-        "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-    ).split()
+    for t in TABLES
 )
+DAMAGED_PARTS = "SELECT DISTINCT CAST(o_custkey % 4 AS VARCHAR) AS part, CASE WHEN o_custkey % 4 IN (1, 2) THEN -1 ELSE 0 END AS status FROM orders"
+# groups of which a file's repair must fail, and what the tried groups of a file give
+TRIED = f"""{GROUPS}, tried AS (SELECT group_id, '/w/f' || (group_id // 2) AS path, group_id % 47 = 0 AS hopeless,
+    CASE WHEN group_id % 47 = 0 THEN 0 WHEN bad_d AND bad_p THEN 7 WHEN bad_d THEN 2 ELSE 1 END AS attempt_no
+  FROM grp WHERE bad_p OR bad_d OR group_id % 47 = 0),
+  outc AS (SELECT path, CASE WHEN bool_or(hopeless) THEN 'failed' ELSE 'recovered' END AS outcome, count(*) AS n_groups,
+    count(*) FILTER (NOT hopeless) AS n_recovered FROM tried GROUP BY path)"""
 
 ORACLES = {
     # logs
@@ -85,7 +90,6 @@ ORACLES = {
     "read_logs": f"WITH {EV} SELECT event_type, host, count(*) AS n FROM ev GROUP BY ALL",
     "stream_log_events": f"WITH {EV} SELECT event_type, strftime(event_time, '%Y-%m-%d') AS dt, count(*) AS n FROM ev GROUP BY ALL",
     "distinct_blocks": f"WITH {EV} SELECT DISTINCT block_id FROM ev",
-    "block_cap": f"WITH {EV} SELECT DISTINCT block_id FROM ev ORDER BY block_id LIMIT 500",
     "sort_events": f"WITH {EV} SELECT event_type, block_id FROM ev ORDER BY ALL",
     "manifest_counts": f"WITH {EV} SELECT count(*) AS n_lines, count(DISTINCT block_id) AS n_distinct FROM ev",
     "write_events": f"WITH {EV} SELECT *, strftime(event_time, '%Y-%m-%d') AS dt FROM ev",
@@ -102,7 +106,8 @@ ORACLES = {
         SELECT -(9000000 + key) AS block_id, path, coalesce(hosts, '') AS hosts FROM f FULL JOIN h USING (key)""",
     "read_block_ids": "SELECT -o_orderkey AS block_id FROM orders",
     # inventory
-    "scan_files": "SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations']) AS name",
+    "scan_files": """SELECT 'x' AS db, 't' || left(o_orderpriority, 1) AS tab, CAST(o_custkey % 3 AS VARCHAR) AS part, CAST(1 AS BIGINT) AS n_files,
+          true AS filled FROM orders GROUP BY ALL""",
     "files_by_table": f"WITH {FILES} SELECT db, tab, CAST(sum(length) AS BIGINT) AS n_bytes, count(*) AS n_files FROM f GROUP BY ALL",
     "dir_size": f"WITH {FILES} SELECT CAST(sum(length) AS BIGINT) AS n_bytes, count(*) AS n_files FROM f",
     "compaction_files": f"""WITH {FILES}, s AS (SELECT db, tab, CAST(sum(length) * 20 AS BIGINT) AS n FROM f GROUP BY ALL)
@@ -122,27 +127,30 @@ ORACLES = {
     "write_manifests": f"WITH {FILES} SELECT db, tab, path FROM f",
     "read_manifest": f"WITH {FILES} SELECT path FROM f",
     "rows_per_file": " UNION ALL ".join(
-        f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in ("lineitem", "orders", "events")
+        f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in TABLES
     ),
     # content
     "check_parquet": PARQUET,
-    "check_parquet_first_group": PARQUET,
+    "check_parquet_damaged": DAMAGED_PARTS,
+    "check_orc_damaged": DAMAGED_PARTS.replace("IN (1, 2)", "= 1"),
+    "check_gzip_damaged": """SELECT CAST(c_custkey % 4 AS VARCHAR) AS part, c_custkey % 4 IN (1, 2) AS broken,
+          CASE WHEN c_custkey % 4 IN (1, 2) OR bool_or(c_custkey % 13 = 0 OR c_custkey % 17 = 0) THEN -1 ELSE 0 END AS status
+        FROM customer GROUP BY c_custkey % 4""",
     "check_orc": "SELECT left(o_orderpriority, 1) AS part, 0 AS status, count(*) AS n_rows FROM orders GROUP BY ALL",
     "read_orc": "SELECT o_orderkey, o_totalprice FROM orders",
     "read_delimited": """SELECT c_custkey AS key, CASE WHEN c_custkey % 13 = 0 THEN 2 WHEN c_custkey % 17 = 0 THEN 6 ELSE 5 END AS n
         FROM customer""",
     "text_field_check": f"WITH {CUSTOMER} {TEXT_VERDICT}",
     "text_field_check_wide": f"WITH {LINES} {TEXT_VERDICT}",
-    "text_line_limit": f"""WITH {CUSTOMER} SELECT part, CASE WHEN count(bad_value) > 0 THEN -1 ELSE 0 END AS status, count(*) AS n_rows,
-        count(bad_value) AS n_bad FROM c WHERE line <= 40 GROUP BY part""",
     "check_gzip": f"WITH {CUSTOMER} {TEXT_VERDICT}",
     "row_field_count": """SELECT CASE WHEN l_partkey % 23 = 0 THEN 4 WHEN l_partkey % 19 = 0 THEN 5 WHEN l_partkey % 29 = 0 THEN 13 ELSE 11 END
         AS n_fields, l_partkey % 23 <> 0 AS row_ok, count(*) AS n FROM lineitem GROUP BY ALL""",
     "probe_readable": """WITH o AS (SELECT DISTINCT CAST(o_orderkey % 4 AS VARCHAR) AS part FROM orders),
           c AS (SELECT CAST(c_custkey % 8 % 4 AS VARCHAR) AS part, CASE WHEN bool_or(c_custkey % 13 = 0 OR c_custkey % 17 = 0) THEN -1 ELSE 0 END AS status
-            FROM customer GROUP BY ALL)
-        SELECT unnest(['orc', 'parquet']) AS format, part, 0 AS status FROM o
-        UNION ALL SELECT unnest(['text', 'text_gzip']), part, status FROM c""",
+            FROM customer GROUP BY ALL),
+          found AS (SELECT unnest(['orc', 'parquet']) AS format, part, 0 AS status FROM o
+            UNION ALL SELECT unnest(['text', 'text_gzip']), part, status FROM c)
+        SELECT listing, format, part, status, status AS highest FROM found, (SELECT unnest(['tasks', 'spark']) AS listing)""",
     "word_count": r"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM documents)
         WHERE word <> '' GROUP BY word""",
     "line_functions": r"""SELECT conv_id, turn, regexp_matches(text, '[^\s]') AS visible,
@@ -176,24 +184,33 @@ ORACLES = {
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""",
     "checkable": f"""WITH {FILES}, t AS (SELECT path, {META} AS why FROM f)
         SELECT path, CASE WHEN why IS NOT NULL THEN '1' END AS status, 'File ' || path || ' ' || why || '.' AS msg FROM t""",
-    "group_verdict": f"""WITH {GROUPS}, {FILES} SELECT group_id, path, CASE WHEN bad_p OR bad_d THEN -1 ELSE 0 END AS status,
+    "group_verdict": f"""WITH {GROUPS}, {SEEN}, {FILES} SELECT group_id, path, CASE WHEN bad_p OR bad_d THEN -1 WHEN n_seen < n_stripes THEN 1 ELSE 0 END AS status,
           CASE WHEN bad_p OR bad_d THEN 'Status: ERROR, message: EC compute result not match.:ip is 10.0.6.' || (group_id % 200)
-            || ' block is : ' || (group_id + 6) END AS msg,
+            || ' block is : ' || (group_id + 6) WHEN n_seen < n_stripes THEN 'not read completely' END AS msg,
           CASE WHEN bad_p OR bad_d THEN '10.0.6.' || (group_id % 200) END AS bad_host,
           CASE WHEN bad_p OR bad_d THEN CAST(group_id + 6 AS VARCHAR) END AS bad_block,
           CASE WHEN bad_d THEN '6,7,8' WHEN bad_p THEN '6' ELSE '' END AS bad_units
-        FROM grp JOIN f ON f.key = grp.group_id""",
-    "file_audit": f"""WITH {GROUPS}, {FILES}, t AS (SELECT key, path, {META} AS why FROM f),
-          j AS (SELECT path, why, group_id, why IS NULL AND coalesce(bad_p OR bad_d, false) AS bad FROM t LEFT JOIN grp ON group_id = key)
-        SELECT path, CASE WHEN why IS NOT NULL THEN 1 WHEN bad THEN -1 ELSE 0 END AS status,
+        FROM grp JOIN seen USING (group_id) JOIN f ON f.key = grp.group_id""",
+    "file_audit": f"""WITH {GROUPS}, {SEEN}, {FILES}, t AS (SELECT key, path, {META} AS why FROM f),
+          left_over AS (SELECT group_id, bool_or(bad_p OR bad_d) AS bad, count(*) AS n FROM s
+            WHERE group_id % 47 <> 0 AND NOT (group_id % 5 = 0 AND stripe_no = 1) GROUP BY group_id),
+          j AS (SELECT key, path, why, seen.group_id, why IS NULL AND coalesce(bad, false) AS bad,
+              CASE WHEN seen.group_id IS NULL THEN key % 7 <> 0 ELSE coalesce(n, 0) < n_stripes END AS unread
+            FROM t LEFT JOIN seen ON seen.group_id = key LEFT JOIN left_over ON left_over.group_id = key)
+        SELECT path, CASE WHEN why IS NOT NULL THEN 1 WHEN bad THEN -1 WHEN unread THEN 1 ELSE 0 END AS status,
           CASE WHEN why IS NOT NULL THEN 'File ' || path || ' ' || why || '.'
             WHEN bad THEN 'Status: ERROR, message: EC compute result not match.:ip is 10.0.6.' || (group_id % 200)
-              || ' block is : ' || (group_id + 6) END AS msg,
+              || ' block is : ' || (group_id + 6) WHEN unread THEN 'not read completely' END AS msg,
           CASE WHEN bad THEN '10.0.6.' || (group_id % 200) END AS bad_host, CASE WHEN bad THEN CAST(group_id + 6 AS VARCHAR) END AS bad_block FROM j""",
+    "file_audit_mixed": f"""WITH {FILES}, l AS (SELECT l_orderkey AS key, CASE l_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 6 END AS k, l_linenumber AS line FROM lineitem),
+          g AS (SELECT key, k, key % 11 = 0 AND min(line) <= k AS bad, count(DISTINCT (line - 1) // k) < (max(line) - 1) // k + 1 AS unread FROM l GROUP BY key, k)
+        SELECT path, CASE WHEN f.key % 4 = 3 THEN 1 WHEN bad THEN -1 WHEN unread THEN 1 ELSE 0 END AS status,
+          CASE WHEN f.key % 4 <> 3 AND bad THEN 'h' || k END AS bad_host
+        FROM f LEFT JOIN g USING (key)""",
     "file_status": f"""WITH {RESULTS}, l AS (SELECT f.path, min(CASE WHEN l_quantity > 49 THEN -1 WHEN l_quantity < 3 THEN 1 ELSE 0 END) AS s
           FROM lineitem JOIN f ON key = l_orderkey GROUP BY f.path)
         SELECT path, least(coalesce(s, 9), coalesce(c, 9), 1) AS status, CASE WHEN s IS NULL AND c IS NULL THEN 'not checked'
-            WHEN c IS NULL OR s < c THEN 'unit' END AS msg
+            WHEN c IS NULL OR s <= c THEN 'unit' END AS msg
         FROM (SELECT path, s, CASE WHEN status >= 0 THEN status END AS c FROM res LEFT JOIN l USING (path))""",
     "check_report": f"WITH {RESULTS} SELECT path || '===' || msg AS line FROM res WHERE status = -1",
     "report_summary": f"""WITH {RESULTS} SELECT count(*) FILTER (status <> 1) AS n_checked, count(*) FILTER (status = -1) AS n_bad,
@@ -208,8 +225,14 @@ ORACLES = {
     "attempt_plan": f"WITH {ATTEMPTS} SELECT g AS group_id, attempt_no, excluded FROM att",
     "attempt_plan_named_only": f"""WITH {ATTEMPTS} SELECT g AS group_id, count(*) AS n FROM att
         WHERE path IN (SELECT path FROM dmg WHERE host IS NOT NULL) GROUP BY g""",
-    "recovery_outcome": f"WITH {OUTCOME} SELECT path, outcome, CAST(attempt_no AS VARCHAR) AS attempt_no, excluded FROM outc",
-    "unrecoverable": f"WITH {OUTCOME} SELECT path FROM outc WHERE outcome = 'failed'",
+    "group_attempts": f"WITH {TRIED} SELECT group_id, CAST(attempt_no AS INTEGER) AS attempt_no FROM tried",
+    "recovery_outcome": f"WITH {TRIED} SELECT * FROM outc",
+    "unrecoverable": f"WITH {TRIED} SELECT path FROM outc WHERE outcome = 'failed'",
+    "repaired_payloads": f"""WITH {TRIED}, {BYTES}, cell AS (
+          SELECT group_id, stripe_no, unit AS unit_index, string_agg(printf('%02x', v), '' ORDER BY i) AS payload FROM bytes GROUP BY ALL)
+        SELECT cell.* FROM cell JOIN tried USING (group_id) JOIN outc USING (path) WHERE outcome = 'recovered' AND payload <> repeat('0', 32)""",
+    "refused_groups": """SELECT l_orderkey AS group_id, 'too many units' AS reason FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) > 3""",
+    "report_is_kept": f"WITH {RESULTS} SELECT count(*) AS n_damaged, false AS written_again FROM res WHERE status = -1",
     "reconstruct": f"""WITH {BYTES}, st AS (SELECT DISTINCT group_id, stripe_no FROM bytes), want AS (
           SELECT group_id, stripe_no, unit, i FROM st, (SELECT CAST(range AS INTEGER) AS unit FROM range(3)), pos)
         SELECT group_id, stripe_no, unit AS unit_index, string_agg(printf('%02x', coalesce(v, 0)), '' ORDER BY i) AS payload

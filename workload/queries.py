@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +14,8 @@ from lakecheck.operators import aggregates, compaction, filecheck, lookup, parit
 from lakecheck.plans.audit import audit_files
 from lakecheck.plans.compaction import compact_table
 from lakecheck.plans.mining import damaged_files as damaged_files_plan
-from lakecheck.plans.repair import candidate_sets, repair_units, verify_repair
-from lakecheck.session import scratch_path, ship_package
+from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_attempts, verify_repair
+from lakecheck.session import materialize, scratch_path, ship_package
 from lakecheck.sources import files, lists, reports, sinks, tables
 from lakecheck.sources import logs as log_source
 from lakecheck.streaming.logs import append_events, stream_events
@@ -81,11 +81,6 @@ def distinct_blocks(spark, d):
     return aggregates.distinct_blocks(log_source.parse_events(given.log_lines(spark, d)))
 
 
-@query
-def block_cap(spark, d):
-    return aggregates.cap_blocks(log_source.parse_events(given.log_lines(spark, d)), 500)
-
-
 @query
 def sort_events(spark, d):
     return aggregates.sort_events(log_source.parse_events(given.log_lines(spark, d))).select("event_type", "block_id")
@@ -176,18 +171,30 @@ def read_block_ids(spark, d):
 # --- inventory --------------------------------------------------------------------------
 
 
+def _written_orders(spark, d):
+    """The orders as a warehouse: a file for each customer remainder of every priority's table."""
+    root = scratch_path(spark, "warehouse")
+    orders = table(spark, d, "orders").select("o_orderkey", F.expr("concat('t', substr(o_orderpriority, 1, 1))").alias("tab"), F.expr("cast(o_custkey % 3 as int)").alias("part"))
+    for tab in ("t1", "t2", "t3", "t4", "t5"):
+        mine = orders.where(F.col("tab") == tab)
+        mine.repartition(3, "part").write.partitionBy("part").parquet(f"{root}/x.db/{tab}")
+    return root
+
+
+def _listed(found):
+    part = F.regexp_extract("path", r"/part=(\d)/", 1)
+    kept = found.where(F.col("path").endswith(".parquet") & ~paths.is_marker(F.col("path")))
+    return kept.groupBy("db", F.col("table").alias("tab"), part.alias("part")).agg(F.count("*").alias("n_files"), (F.sum("length") > 0).alias("filled"))
+
+
 @query
 def scan_files(spark, d):
-    found = files.scan_files(spark, d).where("length > 0")
-    name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
-    return found.select(name.alias("name")).distinct()
+    return _listed(files.scan_files(spark, _written_orders(spark, d)))
 
 
 @query
 def scan_all_files(spark, d):
-    found = files.scan_all_files(spark, d)
-    name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
-    return found.where(name != "").select(name.alias("name")).distinct()
+    return _listed(files.scan_all_files(spark, _written_orders(spark, d)))
 
 
 @query
@@ -277,8 +284,7 @@ def read_manifest(spark, d):
 
 @query
 def rows_per_file(spark, d):
-    counts = [aggregates.rows_per_file(tables.read_parquet(spark, f"{d}/{t}.parquet")) for t in ("lineitem", "orders", "events")]
-    every = counts[0].union(counts[1]).union(counts[2])
+    every = reduce(DataFrame.union, (aggregates.rows_per_file(tables.read_parquet(spark, f"{d}/{t}.parquet")) for t in given.TABLES))
     name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
     return every.groupBy(name.alias("name")).agg(F.sum("n_rows").alias("n_rows"))
 
@@ -293,11 +299,38 @@ def check_parquet(spark, d):
     return checked.groupBy(name.alias("name")).agg(F.min("status").alias("status"), F.sum("n_rows").alias("n_rows"))
 
 
+def _damaged_copy(spark, source: str, below: str = "", overwritten: str = "2"):
+    """A copy of written files in which part 1 is cut short and one is overwritten from the
+    first quarter to the last; copied in tasks of Spark, file by file."""
+    out = scratch_path(spark, "damaged") + below
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    part = F.regexp_extract("path", r"part=(\d)", 1)
+    quarter = F.expr("cast(length div 4 as int)")
+    filled = F.expr("unhex(repeat('00', cast(length div 4 as int) * 2))")
+    flipped = F.concat(F.substring("content", F.lit(1), quarter), filled, F.expr("substring(content, cast(length div 4 as int) * 3 + 1)"))
+    content = F.when(part == "1", F.expr("substring(content, 1, cast(length - length div 3 as int))")).when(part == overwritten, flipped).otherwise(F.col("content"))
+    changed = read.select(part.alias("part"), content.alias("content"))
+    return changed.mapInArrow(tables.write_blobs(out), "path string, length bigint")
+
+
 @query
-def check_parquet_first_group(spark, d):
-    checked = filecheck.check_parquet(files.scan_files(spark, d), "first_group")
-    name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
-    return checked.groupBy(name.alias("name")).agg(F.min("status").alias("status"), F.sum("n_rows").alias("n_rows"))
+def check_parquet_damaged(spark, d):
+    source = scratch_path(spark, "parquet")
+    rows = table(spark, d, "orders").withColumn("part", F.expr("cast(o_custkey % 4 as int)"))
+    rows.repartition(4, "part").write.partitionBy("part").parquet(source)
+    checked = filecheck.check_parquet(materialize(_damaged_copy(spark, source), "copied"))
+    return checked.groupBy(F.regexp_extract("path", r"part=(\d)", 1).alias("part")).agg(F.min("status").alias("status"))
+
+
+@query
+def check_gzip_damaged(spark, d):
+    source = scratch_path(spark, "gzip")
+    lines = given.customer_lines(spark, d).select("value", F.expr("p % 4 as part"))
+    lines.repartition(4, "part").write.partitionBy("part").option("compression", "gzip").text(source)
+    found = files.with_table(materialize(_damaged_copy(spark, source, "/x.db/t1"), "copied"))
+    checked = textcheck.check_gzip_delimited(found, given.registry(spark))
+    broken = F.coalesce(F.col("msg").rlike("^(EOFError|error|BadGzipFile|OSError)"), F.lit(False)).alias("broken")
+    return checked.select(F.regexp_extract("path", r"part=(\d)", 1).alias("part"), "status", broken)
 
 
 @query
@@ -309,6 +342,16 @@ def check_orc(spark, d):
     return checked.groupBy(part.alias("part")).agg(F.min("status").alias("status"), F.sum("n_rows").alias("n_rows"))
 
 
+@query
+def check_orc_damaged(spark, d):
+    source = scratch_path(spark, "orc")
+    rows = table(spark, d, "orders").withColumn("part", F.expr("cast(o_custkey % 4 as int)"))
+    rows.repartition(4, "part").write.partitionBy("part").orc(source)
+    copied = _damaged_copy(spark, source, overwritten="none")  # ORC has no checksums: other bytes can be other values
+    checked = filecheck.check_orc(materialize(copied, "copied"))
+    return checked.groupBy(F.regexp_extract("path", r"part=(\d)", 1).alias("part")).agg(F.min("status").alias("status"))
+
+
 @query
 def read_orc(spark, d):
     out = scratch_path(spark, "orc")
@@ -354,15 +397,6 @@ def text_field_check_wide(spark, d):
     )
 
 
-@query
-def text_line_limit(spark, d):
-    out = _text_layout(spark, d, "t0", given.customer_lines(spark, d))
-    rows = textcheck.check_delimited(tables.scan_text_rows(spark, out), given.registry(spark))
-    return textcheck.text_verdict(rows, line_limit=40).select(
-        _part(), "status", "n_rows", "n_bad"
-    )
-
-
 @query
 def check_gzip(spark, d):
     out = _text_layout(spark, d, "t1", given.customer_lines(spark, d), compression="gzip")
@@ -389,8 +423,10 @@ def probe_readable(spark, d):
     lines = given.customer_lines(spark, d).select("value", F.expr("p % 4 as p"))
     lines.write.partitionBy("p").text(f"{base}/t0")
     lines.write.partitionBy("p").option("compression", "gzip").text(f"{base}/t1")
-    seen = filecheck.probe_readable(files.scan_files(spark, root), given.registry(spark))
-    return seen.groupBy("format", _part()).agg(F.min("status").alias("status"))
+    plain = filecheck.probe_readable(files.scan_all_files(spark, root.removeprefix("file:")), given.registry(spark))
+    listed = filecheck.probe_readable(files.scan_files(spark, root), given.registry(spark))
+    seen = plain.where(F.col("msg").isNull() | (F.col("msg") != filecheck.MARKER)).withColumn("listing", F.lit("tasks")).unionByName(listed.withColumn("listing", F.lit("spark")))
+    return seen.groupBy("listing", "format", _part()).agg(F.min("status").alias("status"), F.max("status").alias("highest"))
 
 
 @query
@@ -494,6 +530,7 @@ def _metadata(spark, d):
         F.expr("o_orderstatus <> 'P'").alias("is_file"),
         F.expr("o_custkey % 4 <> 0").alias("is_closed"),
         F.expr("if(o_orderkey % 6 = 0, null, 'rs-6-3')").alias("policy"),
+        F.expr("if(o_orderkey % 7 = 0, 0, 1000)").alias("length"),
     )
 
 
@@ -511,10 +548,34 @@ def group_verdict(spark, d):
 
 @query
 def file_audit(spark, d):
-    found = audit_files(_metadata(spark, d), given.rs_units(spark, d), given.rs_cells(spark, d), RS)
+    """Some groups have no cells at all, some lack their last stripe."""
+    cells = given.rs_cells(spark, d).where("group_id % 47 <> 0 and not (group_id % 5 = 0 and stripe_no = 1)")
+    found = audit_files(_metadata(spark, d), given.rs_units(spark, d), cells, {"rs-6-3": RS})
     return found.withColumn("bad_block", _text("bad_block"))
 
 
+@query
+def file_audit_mixed(spark, d):
+    """Groups of three codes in one job, and a policy that nobody knows."""
+    codes = {"xor-2-1": parity.Policy(2, 1, "xor", 16), "rs-3-2": parity.Policy(3, 2, cell_size=16), "rs-6-3": RS}
+    lines = given.line_units(spark, d)
+    word = "lpad(hex({0}), 16, '0')"
+    data = lines.selectExpr("g AS group_id", "line - 1 AS at", f"unhex(concat({word.format('a')}, {word.format('b')})) AS payload")
+    cells, units = [], []
+    orders = given.order_files(spark, d).join(lines.groupBy(F.col("g").alias("key")).agg(F.max("line").alias("last")), "key")
+    for number, policy in enumerate(codes.values()):
+        own = data.where(F.col("group_id") % 4 == number).selectExpr(
+            "group_id", f"cast(at div {policy.k} as int) AS stripe_no", f"cast(at % {policy.k} as int) AS unit_index", "payload")
+        flipped = F.when(F.expr(f"group_id % 11 = 0 and unit_index = {policy.k} and stripe_no = 0"), F.unhex(F.lpad(F.lit("1"), 32, "0"))).otherwise(F.col("payload"))
+        coded = parity.encode(own, policy).withColumn("payload", flipped)
+        cells.append(own.unionByName(coded))
+        units.append(orders.where(F.col("key") % 4 == number).select(F.col("key").alias("group_id"), "path", (F.col("last") * 16).alias("group_size"), F.explode(F.sequence(F.lit(0), F.lit(policy.n - 1))).alias("unit_index")))
+    units = reduce(DataFrame.unionByName, units).withColumn("host", F.expr("concat('h', unit_index)"))
+    name = F.expr("case o_orderkey % 4 when 0 then 'xor-2-1' when 1 then 'rs-3-2' when 2 then 'rs-6-3' else 'rs-1-1' end")
+    meta = table(spark, d, "orders").select(F.expr(given.PATH).alias("path"), F.lit(True).alias("exists"), F.lit(True).alias("is_file"), F.lit(True).alias("is_closed"), name.alias("policy"), F.lit(0).alias("length"))
+    return audit_files(meta, units, reduce(DataFrame.unionByName, cells), codes).select("path", "status", "bad_host")
+
+
 @query
 def file_status(spark, d):
     lines = given.supplier_units(spark, d)
@@ -593,21 +654,60 @@ def attempt_plan_named_only(spark, d):
     return attempts.groupBy("group_id").agg(F.count("*").alias("n"))
 
 
-def _outcome(spark, d):
-    damaged, attempts = _attempts(spark, d)
-    tried = attempts.withColumn("ok", F.expr("(attempt_no * 7 + group_id) % 5 = 0"))
-    return recovery.recovery_outcome(damaged, tried)
+def _trials(spark, d):
+    """Files of two groups each: the damaged groups' attempts, all tried. All parity units of
+    every 47th group are wrong as well, each in another byte, which no pair explains."""
+    cells = given.beyond_repair(given.rs_cells(spark, d))
+    units = given.rs_units(spark, d).withColumn("path", F.expr("concat('/w/f', group_id div 2)"))
+    bad = materialize(parity.group_verdict(parity.audit_parity(cells, RS, screen=True), units, RS).where("status = -1"), "bad")
+    of_groups = bad.select("path", "group_id", "msg")
+    hosts = recovery.hosts_of_groups(units.join(of_groups.select("group_id"), "group_id", "left_semi"))
+    attempts = recovery.plan_group_attempts(of_groups, hosts)
+    return of_groups, try_attempts(cells, attempt_units(attempts, units), RS)
+
+
+@query
+def group_attempts(spark, d):
+    """The first attempt that makes each damaged group right."""
+    best = recovery.best_attempts(_trials(spark, d)[1].outcome)
+    return best.select("group_id", F.coalesce("attempt_no", F.lit(0)).alias("attempt_no"))
 
 
 @query
 def recovery_outcome(spark, d):
-    found = _outcome(spark, d)
-    return found.withColumns({"excluded": F.array_join("excluded", ","), "attempt_no": _text("attempt_no")})
+    damaged, trials = _trials(spark, d)
+    return recovery.recovery_outcome(damaged, trials.outcome)
 
 
 @query
 def unrecoverable(spark, d):
-    return recovery.unrecoverable(_outcome(spark, d))
+    damaged, trials = _trials(spark, d)
+    return recovery.unrecoverable(recovery.recovery_outcome(damaged, trials.outcome))
+
+
+@query
+def repaired_payloads(spark, d):
+    """Data cells of the repaired files' groups, to be compared with what they held at first."""
+    got = recovered_cells(_trials(spark, d)[1]).where(f"unit_index < {RS.k}")
+    hexed = F.lower(F.hex("payload")).alias("payload")
+    return got.select("group_id", "stripe_no", "unit_index", hexed).where("payload <> repeat('0', 32)")
+
+
+@query
+def refused_groups(spark, d):
+    """As many units as an order has lines, asked of a code with three parities."""
+    asked = given.line_units(spark, d).groupBy(F.col("g").alias("group_id")).agg(F.collect_list(F.expr("cast(line - 1 as int)")).alias("excluded"))
+    return recovery.refused_groups(RS, asked)
+
+
+@query
+def report_is_kept(spark, d):
+    """A finished report is not written again; one without a summary is."""
+    out = scratch_path(spark, "report")
+    sinks.write_check_report(given.check_results(spark, d), out)
+    again = sinks.write_check_report(given.check_results(spark, d).where("status = 1"), out)
+    lines = lists.read_error_report(spark, f"{out}/damaged").agg(F.count("*").alias("n_damaged"))
+    return lines.withColumn("written_again", F.lit(again))
 
 
 @query
