@@ -63,6 +63,9 @@ def features(text: str, start: int, end: int, known: set[str]) -> list[float]:
     ]
 
 
+N_FEATURES = len(features("x" * 12, 0, 12, set()))
+
+
 @dataclass(frozen=True)
 class Forest:
     """Complete trees in level order: ``feature, cut`` of inner nodes, ``share`` of leaves."""
@@ -137,7 +140,7 @@ def _found(known: set[str], forest: Forest | None, label: str | None):
                     out.append((doc, start, end - start, int(any(start < m <= end for m in marks))))
                     x.append(features(text, start, end, known))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
-            x = np.array(x, float).reshape(len(out), -1)
+            x = np.array(x, float).reshape(len(out), N_FEATURES)
             if forest is None:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "start", "length", "label", "x"])
             elif out:
@@ -159,8 +162,7 @@ def train(docs: DataFrame, known: set[str], findings: DataFrame | None = None, t
         few = findings.select("doc_id", "start", F.col("label").cast("int").alias("label")).dropna().orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(sample)
         found = found.drop("label").join(F.broadcast(few), ["doc_id", "start"])  # bounded by the sample
     rows = found.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "label").limit(sample).toPandas()
-    width = len(features("x" * 12, 0, 12, set()))
-    return grow_forest(np.array(rows["x"].tolist(), float).reshape(len(rows), width), rows["label"].to_numpy(float))
+    return grow_forest(np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES), rows["label"].to_numpy(float))
 
 
 def scan(docs: DataFrame, known: set[str], forest: Forest, text_col: str = "text", id_col: str = "doc_id", least_chance: float = LEAST_CHANCE) -> DataFrame:

@@ -89,7 +89,7 @@ def test_packing_messy_rows(messy):
 def test_piece_lengths(n):
     cut = packing.piece_lengths(n)
     assert sum(cut) == n and all(x <= 2048 for x in cut)
-    assert all(2048 % x == 0 for x in cut[:-1]) and (n < 32 or min(cut) >= 32)
+    assert all(2048 % x == 0 for x in cut[:-1]) and (0 < n % 2048 < 32 or min(cut) >= 32)
 
 
 def check_counts(docs, df):
