@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -110,6 +111,33 @@ def try_attempts(cells: DataFrame, attempts: DataFrame, policy: Policy, content_
     return Trials(outcome.drop("attempt_id"), named.select("path", F.col("_group").alias("group_id"), "attempt_no", "stripe_no", "unit_index", "payload"))
 
 
+ROUNDS = (1, 4, 16)
+
+
+def try_until_good(cells: DataFrame, attempts: DataFrame, policy: Policy, content_ok: Callable[[DataFrame], DataFrame] | None = None, rounds: Sequence[int] = ROUNDS) -> Trials:
+    """Like :func:`try_attempts`, but a group's later attempts are only made if none of the
+    earlier ones was good: those up to each number of ``rounds`` together, then all others.
+    Cells of other groups are read once."""
+    asked = materialize(attempts, "attempts-left")
+    groups = materialize(asked.select("group_id").distinct(), "groups-tried")
+    cells = materialize(cells.join(F.broadcast(groups) if fits_broadcast(groups) else groups, "group_id", "left_semi"), "cells-tried")
+    outcome, content, low = [], [], 0
+    for high in (*rounds, None):
+        now = asked.where(F.col("attempt_no") > low) if high is None else asked.where(F.col("attempt_no").between(low + 1, high))
+        trials = try_attempts(cells, now, policy, content_ok)
+        outcome.append(trials.outcome)
+        content.append(trials.content)
+        if high is None:
+            break
+        won = materialize(trials.outcome.where("ok").select("path", "group_id").distinct(), "won")
+        later = asked.where(F.col("attempt_no") > high)
+        asked = materialize(later.join(F.broadcast(won) if fits_broadcast(won) else won, ["path", "group_id"], "left_anti"), "attempts-left")
+        if not asked.take(1):
+            break
+        low = high
+    return Trials(reduce(DataFrame.unionByName, outcome), reduce(DataFrame.unionByName, content))
+
+
 def recovered_cells(trials: Trials) -> DataFrame:
     """``path, group_id, stripe_no, unit_index, payload`` of the first good attempt of each
     group, for the files of which every group has one."""

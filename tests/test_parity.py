@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakecheck.operators import gf, parity, recovery, verdict
 from lakecheck.operators.parity import Policy
 from lakecheck.plans.audit import audit_files
-from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_attempts, verify_repair
+from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_attempts, try_until_good, verify_repair
 
 CELLS = "group_id bigint, stripe_no int, unit_index int, payload binary"
 POLICIES = [Policy(2, 1, "xor"), Policy(3, 2), Policy(6, 3), Policy(10, 4)]
@@ -172,6 +172,8 @@ def test_attempts_are_tried(spark):
         data = data.where("hex(payload) rlike '[1-9A-F]'")  # a unit past the end is zeros
         return data.join(known.withColumn("known", F.lit(True)), "payload", "left").groupBy("attempt_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("ok"))
 
+    stepwise = try_until_good(frame(spark, cells), attempts, policy, content, rounds=(1,))
+    assert {(r["group_id"], r["attempt_no"]): r["ok"] for r in stepwise.outcome.collect()} == {(-1, 1): False, (-1, 2): True, (-2, 1): False, (-2, 2): True}
     oks, trials = outcome(content)
     assert oks == {(-1, 1): False, (-1, 2): True, (-2, 1): False, (-2, 2): True}
     got = {(r["group_id"], r["stripe_no"], r["unit_index"]): bytes(r["payload"]) for r in recovered_cells(trials).collect()}

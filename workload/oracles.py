@@ -77,9 +77,11 @@ PARQUET = " UNION ALL ".join(
 )
 DAMAGED_PARTS = "SELECT DISTINCT CAST(o_custkey % 4 AS VARCHAR) AS part, CASE WHEN o_custkey % 4 IN (1, 2) THEN -1 ELSE 0 END AS status FROM orders"
 # groups of which a file's repair must fail, and what the tried groups of a file give
-TRIED = f"""{GROUPS}, tried AS (SELECT group_id, '/w/f' || (group_id // 2) AS path, group_id % 47 = 0 AS hopeless,
-    CASE WHEN group_id % 47 = 0 THEN 0 WHEN bad_d AND bad_p THEN 7 WHEN bad_d THEN 2 ELSE 1 END AS attempt_no
-  FROM grp WHERE bad_p OR bad_d OR group_id % 47 = 0),
+TRIED = f"""{GROUPS}, hurt AS (SELECT group_id, bool_or(bad_p) AS bad_p, bool_or(bad_d) AS bad_d,
+    group_id % 47 = 0 AND min(stripe_no) = 0 AS hopeless FROM s GROUP BY group_id),
+  tried AS (SELECT group_id, '/w/f' || (group_id // 2) AS path, hopeless,
+    CASE WHEN hopeless THEN 0 WHEN bad_d AND bad_p THEN 7 WHEN bad_d THEN 2 ELSE 1 END AS attempt_no
+  FROM hurt WHERE bad_p OR bad_d OR hopeless),
   outc AS (SELECT path, CASE WHEN bool_or(hopeless) THEN 'failed' ELSE 'recovered' END AS outcome, count(*) AS n_groups,
     count(*) FILTER (NOT hopeless) AS n_recovered FROM tried GROUP BY path)"""
 

@@ -14,7 +14,7 @@ from lakecheck.operators import aggregates, compaction, filecheck, lookup, parit
 from lakecheck.plans.audit import audit_files
 from lakecheck.plans.compaction import compact_table
 from lakecheck.plans.mining import damaged_files as damaged_files_plan
-from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_attempts, verify_repair
+from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_until_good, verify_repair
 from lakecheck.session import materialize, scratch_path, ship_package
 from lakecheck.sources import files, lists, reports, sinks, tables
 from lakecheck.sources import logs as log_source
@@ -663,7 +663,7 @@ def _trials(spark, d):
     of_groups = bad.select("path", "group_id", "msg")
     hosts = recovery.hosts_of_groups(units.join(of_groups.select("group_id"), "group_id", "left_semi"))
     attempts = recovery.plan_group_attempts(of_groups, hosts)
-    return of_groups, try_attempts(cells, attempt_units(attempts, units), RS)
+    return of_groups, try_until_good(cells, attempt_units(attempts, units), RS)
 
 
 @query
