@@ -25,7 +25,7 @@ from lakecheck.llm.registry import query, table
 from lakecheck.session import materialize
 
 #: A block ends when its texts reach this many bytes or rows; a longer text is a block of its own.
-BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 65_536
+BLOCK_BYTES, BLOCK_ROWS = 20 << 20, 65_536
 LIMIT = 2048
 _MARKS = ".,;:!?"
 _BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, pre_tokens array<string>, parts binary, ends binary, postings binary, doc_ends binary"
