@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.llm.registry import query, table
+from lakecheck.llm.sampling import hash_sample
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """Trees from at most ``sample_rows`` labelled documents; without any, nothing is rejected
     beyond the base rules. Rows without an identifier or a label are left out."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)  # bounds the broadcast
+    chosen = hash_sample(marked, ["_id", "_y"], sample_rows)  # bounds the broadcast
 
     @F.pandas_udf("array<double>")
     def stats(texts: pd.Series) -> pd.Series:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.llm.registry import query, table
+from lakecheck.llm.sampling import hash_sample
+from lakecheck.session import materialize
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}")
 _DIGIT = re.compile(r"[0-9]")
@@ -159,9 +161,9 @@ def train(docs: DataFrame, known: set[str], findings: DataFrame | None = None, t
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = slim.mapInArrow(_found(known, None, KEY_FORMATS), "doc_id long, start long, length long, label int, x array<double>")
     if findings is not None:
-        few = findings.select("doc_id", "start", F.col("label").cast("int").alias("label")).dropna().orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start").limit(sample)
+        few = hash_sample(findings.select("doc_id", "start", F.col("label").cast("int").alias("label")).dropna(), ["doc_id", "start"], sample)
         found = found.drop("label").join(F.broadcast(few), ["doc_id", "start"])  # bounded by the sample
-    rows = found.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "label").limit(sample).toPandas()
+    rows = hash_sample(materialize(found, "findings"), ["doc_id", "start", "label"], sample).toPandas()
     return grow_forest(np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES), rows["label"].to_numpy(float))
 
 

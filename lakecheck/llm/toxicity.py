@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.llm.registry import query, table
+from lakecheck.llm.sampling import hash_sample
 from lakecheck.llm.words import words_of
 
 WINDOW, STRIDE = 64, 32
@@ -258,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """A net from labelled rows that are not held out. Rows without an identifier or a label
     are left out; with labels of one kind or none, all documents get one score."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().where(fold(F.col("_id")) != 0)
-    chosen = [marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, toxic), (0, clean))]
+    chosen = [hash_sample(marked.where(F.col("_y") == y), ["_id"], n) for y, n in ((1, toxic), (0, clean))]
     few = chosen[0].union(chosen[1])  # bounds the broadcast
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
