@@ -120,16 +120,16 @@ SCHEMAS: Schemas = {
 
 
 def rendered_calls(conversations: DataFrame) -> DataFrame:
-    """The table's conversations as tool dialogues: an assistant's turn calls a tool about its
-    own text, after its call two turns before, and the user's next turn is the result."""
-    length, turn = F.length("text"), F.col("turn")
+    """The table's conversations as tool dialogues: an assistant's turn keeps its whole text and
+    calls a tool about it, after its call two turns before, and the user's next turn is the result."""
+    length, turn, listed = F.length("text"), F.col("turn"), F.to_json(F.array("text"))
+    whole = F.substr(listed, F.lit(2), F.length(listed) - 2)  # the text as JSON
     identifier = F.concat(F.lit("c"), turn.cast("string"))
     name = F.when(length % 13 == 0, F.lit("draw")).when(length % 2 == 0, F.lit("measure")).otherwise(F.lit("search"))
     arguments = F.when(length % 2 == 0, F.concat(F.lit('{ "unit":"chars", "length" : '), F.when(length % 7 == 0, F.lit("null")).otherwise(length.cast("string")), F.lit("}"))).otherwise(
-        F.concat(F.lit('{"phrase": '), F.to_json(F.array(F.substring("text", 1, 20))), F.lit(',"limit":5}')))
-    arguments = F.regexp_replace(arguments, r'"phrase": \[(.*)\],"limit"', '"phrase": $1,"limit"')
+        F.concat(F.lit('{"phrase": '), whole, F.lit(',"limit":5}')))
     call = F.concat(
-        F.lit('{"tool_calls":[{"name":"'), name, F.lit('","arguments":'), arguments, F.lit(',"id":"'), identifier,
+        F.lit('{"content":'), whole, F.lit(',"tool_calls":[{"name":"'), name, F.lit('","arguments":'), arguments, F.lit(',"id":"'), identifier,
         F.lit('","after":['), F.when(turn >= 3, F.concat(F.lit('"c'), (turn - 2).cast("string"), F.lit('"'))).otherwise(F.lit("")), F.lit("]}]}"))
     answers = (F.col("role") == "user") & (turn >= 2)
     result = F.to_json(F.struct(F.concat(F.lit("c"), (turn - 1).cast("string")).alias("tool_call_id"), F.col("text").alias("content")))
