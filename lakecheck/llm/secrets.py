@@ -1,6 +1,7 @@
 """Secret scans: a random forest removes false findings among secret-like strings.
 
-A candidate is a run of 12 or more letters, digits and ``+/_-`` with a digit in it. The forest
+A candidate is a run of 12 or more letters, digits and ``+/_-`` with a digit in it, and the
+value of every match of a known key format, with or without a digit. The forest
 sees its length, how its characters change class, how much of it a dictionary of the corpus
 covers, what looks like a path in and around it, and the words next to it. It is grown here
 from labelled findings.
@@ -31,13 +32,54 @@ DICTIONARY_WORDS, SAMPLE_FINDINGS = 4096, 8192
 NEIGHBOURS, AROUND = 16, 48
 N_TREES, DEPTH, BINS, LEAST_CHANCE = 40, 5, 32, 0.5
 
-# Key formats of the findings that a corpus without labels is labelled by.
-KEY_FORMATS = r"AKIA[0-9A-Z]{16}\b|(?i:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{12,}"
+# Key formats of the findings that a corpus without labels is labelled by. What
+# follows the name of a key, and the bodies of keys, are values of 12 characters or more.
+KEY_FORMATS = (
+    r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bgithub_pat_[A-Za-z0-9_]{20,}|\bglpat-[A-Za-z0-9_\-]{20,}|\bxox[abeoprs]-[A-Za-z0-9\-]{10,}|\bAIza[A-Za-z0-9_\-]{35}"
+    r"|\b[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|\bsk-[A-Za-z0-9_\-]{20,}|\bnpm_[A-Za-z0-9]{30,}|\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
+    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{12,}|(?i:bearer\s+|(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?)[A-Za-z0-9+/_\-]{12,}"
+)
+#: Judged false without labels: dates, numbers, identifiers in hex groups, parts of addresses.
+KNOWN_FALSE = r"(?:19|20)\d\d[-/_]\d\d[-/_]\d\d[-/_\dTZ]*|[\d\-_/+]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|/?(?:[a-z]+\d{0,4}[/_\-])+[a-z]*\d{0,4}/?|[a-z]+\d{1,4}"
+_KEY, _FALSE = re.compile(KEY_FORMATS), re.compile(KNOWN_FALSE)
+_NAMED = re.compile(r"(?:bearer\s+|(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?)", re.IGNORECASE)
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+#: Every match of KEY_FORMATS has one of these, the latter ones after case folding.
+_HINTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "AIza", "k_live_", "k_test_", "sk-", "npm_", "eyJ", "-----BEGIN ")
+_NAME_HINTS = ("bearer", "passw", "secret", "token", "key")
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    """Start and end of the value of every key, without the name before it."""
+    out, folded = [], text.casefold()
+    if not (any(h in text for h in _HINTS) or any(h in folded for h in _NAME_HINTS)):
+        return out
+    for m in _KEY.finditer(text):
+        named = _NAMED.match(m[0]) or _PEM.match(m[0])
+        out.append((m.start() + (named.end() if named else 0), m.end()))
+    return out
+
+
+def _judged(text: str) -> list[tuple[int, int, int]]:
+    """Candidates with 1 for a key format, 0 for a known false form, -1 for neither."""
+    keys, out = _values(text), []
+    runs, k = [m.span() for m in _RUN.finditer(text)], 0
+    met = set()
+    for start, end in runs:
+        while k < len(keys) and keys[k][1] <= start:
+            k += 1
+        inside = range(k, next((j for j in range(k, len(keys)) if keys[j][0] >= end), len(keys)))
+        met.update(inside)
+        if inside or _DIGIT.search(text, start, end):
+            out.append((start, end, 1 if inside else 0 if _FALSE.fullmatch(text, start, end) else -1))
+    # keys all of whose runs are shorter than a candidate
+    out += [(*span, 1) for at, span in enumerate(keys) if at not in met]
+    return sorted(out)
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Start and end, in characters, of every candidate of a whole text; null: none."""
-    return [m.span() for m in _RUN.finditer(text or "") if _DIGIT.search(m[0])]
+    return [(start, end) for start, end, _ in _judged(text or "")]
 
 
 def features(text: str, start: int, end: int, known: set[str]) -> list[float]:
@@ -129,17 +171,14 @@ def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_
 _FOUND = "doc_id long, start long, length long, label int, chance double"
 
 
-def _found(known: set[str], forest: Forest | None, label: str | None):
+def _found(known: set[str], forest: Forest | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = re.compile(label) if label else None
         for batch in batches:
             out, x = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                spans = candidates(text)
-                marks = [m.end() for m in marked.finditer(text)] if marked and spans else []
-                for start, end in spans:
-                    out.append((doc, start, end - start, int(any(start < m <= end for m in marks))))
+                for start, end, label in _judged(text):
+                    out.append((doc, start, end - start, label))
                     x.append(features(text, start, end, known))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
             x = np.array(x, float).reshape(len(out), N_FEATURES)
@@ -155,14 +194,16 @@ def train(docs: DataFrame, known: set[str], findings: DataFrame | None = None, t
     """A forest from at most ``sample`` findings, chosen by a hash of their place.
 
     ``findings``: ``doc_id, start, label`` of judged candidates. Without it, the candidates of
-    the known key formats count as secrets and all others as false; those without a document
-    identifier are left out.
+    known key formats count as secrets, those of KNOWN_FALSE as false; what is neither, or has
+    no document identifier, is left out.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = slim.mapInArrow(_found(known, None, KEY_FORMATS), "doc_id long, start long, length long, label int, x array<double>")
+    found = slim.mapInArrow(_found(known, None), "doc_id long, start long, length long, label int, x array<double>")
     if findings is not None:
         few = hash_sample(findings.select("doc_id", "start", F.col("label").cast("int").alias("label")).dropna(), ["doc_id", "start"], sample)
         found = found.drop("label").join(F.broadcast(few), ["doc_id", "start"])  # bounded by the sample
+    else:
+        found = found.where("label >= 0")
     rows = hash_sample(materialize(found, "findings"), ["doc_id", "start", "label"], sample).toPandas()
     return grow_forest(np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES), rows["label"].to_numpy(float))
 
@@ -174,7 +215,7 @@ def scan(docs: DataFrame, known: set[str], forest: Forest, text_col: str = "text
     identifiers are kept, repeated rows repeat their candidates. No rows in: no rows out.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    found = slim.mapInArrow(_found(known, forest, None), _FOUND)
+    found = slim.mapInArrow(_found(known, forest), _FOUND)
     return found.select("doc_id", "start", "length", "chance", (F.col("chance") >= least_chance).alias("secret"))
 
 
