@@ -101,6 +101,14 @@ def open_path(path: str) -> pa.NativeFile:
         return store.open_input_file(key)
 
 
+def open_sink(path: str) -> pa.NativeFile:
+    """Open a new file for writing from inside a task, its folder too. The folder is one that
+    all executors share; a name that no other attempt of the task takes is up to the caller."""
+    store, key = _store(path)
+    store.create_dir(key.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(key)
+
+
 def write_blobs(folder: str):
     """Task body: rows ``part, content`` -> a file ``part=../blob-..`` for each in a folder that
     all executors share; gives ``path, length``. Names follow from the content, so that a
@@ -111,9 +119,7 @@ def write_blobs(folder: str):
             written = []
             for part, content in zip(batch.column("part").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 path = f"{folder}/part={part}/blob-{zlib.crc32(content):08x}"
-                store, key = _store(path)
-                store.create_dir(key.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(key) as out:
+                with open_sink(path) as out:
                     out.write(content)
                 written.append((path if ":" in path else f"file:{path}", len(content)))
             columns = list(zip(*written, strict=True)) or [(), ()]
