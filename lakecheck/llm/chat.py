@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakecheck.llm.registry import ORACLES, query, table
-from lakecheck.session import materialize
+from lakecheck.session import materialize, scratch_path
 
 #: Tool -> parameter -> (type, required). Types: string, integer, number, boolean, array, object.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -39,28 +39,69 @@ def problem_of(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return out.otherwise(F.lit("unknown_tool"))
 
 
+_STATE = "conv_id string, call_id string, target string, dist long, n_needs long, most long, level long, moved boolean"
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level`` of the calls that have one: 0 without dependencies, else one
     more than the highest of those it comes after. Calls in or behind a cycle, or after a call
-    that doesn't exist, have none. One round per level; each writes the calls it settles.
+    that doesn't exist, have none.
+
+    Levels by pointer doubling: a need is a link to a call and its distance. In a round a link
+    to a settled call gives a level, and one to a call with a single link takes over that
+    link, distances added, so a chain of n calls takes log2(n) rounds. A call with several links
+    is settled once all of them are: those on top of each other take a round each. A distance
+    beyond the conversation's calls is a cycle's. A round writes one table: what it settled and
+    the links that are left. Joins are by conversation and call, so no conversation is hot.
     """
-    needs = materialize(calls.select(*KEY, F.explode("after").alias("need")).distinct(), "needs")
+    spark = calls.sparkSession
+    keys = calls.select(*KEY).distinct()
+    needs = calls.select(*KEY, F.explode("after").alias("target")).distinct()
     asked = needs.groupBy(*KEY).agg(F.count("*").alias("n_needs"))
-    known = materialize(calls.select(*KEY).distinct().join(asked, KEY, "left"), "known")
-    settled = materialize(known.where("n_needs IS NULL").select(*KEY, F.lit(0).alias("level")), "level")
-    waiting, latest, done, level = known.where("n_needs IS NOT NULL"), settled, [settled], 0
-    while latest.take(1) and waiting.take(1):
-        level += 1
-        met = needs.join(latest.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).groupBy(*KEY).agg(F.count("*").alias("n_met"))
-        left = waiting.join(met, KEY, "left").select(*KEY, (F.col("n_needs") - F.coalesce("n_met", F.lit(0))).alias("n_needs"))
-        left = materialize(left, "waiting")
-        latest = left.where("n_needs = 0").select(*KEY, F.lit(level).alias("level"))
-        waiting = left.where("n_needs > 0")
-        done.append(latest)
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
+    sizes = keys.groupBy("conv_id").agg(F.count("*").alias("most"))
+    known = keys.join(asked, KEY, "left").join(sizes, "conv_id")
+    links = needs.join(known, KEY).select(*KEY, "target", F.lit(1).cast("long").alias("dist"), "n_needs", "most", F.lit(None).cast("long").alias("level"), F.lit(True).alias("moved"))
+    free = known.where("n_needs IS NULL").select(
+        *KEY, F.lit(None).cast("string").alias("target"), F.lit(0).cast("long").alias("dist"), F.lit(0).cast("long").alias("n_needs"), "most", F.lit(0).cast("long").alias("level"), F.lit(True).alias("moved"))
+    rounds = [scratch_path(spark, "levels")]
+    links.unionByName(free).write.parquet(rounds[0])
+    before = None
+    while True:
+        state = spark.read.schema(_STATE).parquet(rounds[-1])
+        seen = state.agg(F.count("*").alias("all"), F.count("level").alias("settled"), F.count_if(F.col("level").isNull() & F.col("moved")).alias("moved")).first()
+        left = seen["all"] - seen["settled"]
+        if not left or not (seen["moved"] or seen["settled"] or left < before):
+            break
+        before = left
+        rounds.append(scratch_path(spark, "levels"))
+        _settle(state.where("level IS NULL"), _settled(spark, rounds[:-1])).write.parquet(rounds[-1])
+    return _settled(spark, rounds).select(*KEY, F.col("level").cast("int").alias("level"))
+
+
+def _settled(spark: SparkSession, rounds: list[str]) -> DataFrame:
+    return spark.read.schema(_STATE).parquet(*rounds).where("level IS NOT NULL").select(*KEY, "level")
+
+
+def _settle(links: DataFrame, settled: DataFrame) -> DataFrame:
+    """One round: links that are left, and a row for each call that is settled by them."""
+    nothing = F.lit(None)
+    places = settled.select("conv_id", F.col("call_id").alias("target"), F.col("level").alias("_level"), nothing.cast("string").alias("_next"), nothing.cast("long").alias("_step"))
+    single = F.col("n_needs") == 1
+    waiting = links.select("conv_id", F.col("call_id").alias("target"), nothing.cast("long").alias("_level"), F.when(single, F.col("target")).alias("_next"), F.when(single, F.col("dist")).alias("_step"))
+    # a call with several links is there once, however many are left
+    places = places.unionByName(waiting.dropDuplicates(["conv_id", "target"])).withColumn("_there", F.lit(True))
+    met = links.drop("level", "moved").join(places, ["conv_id", "target"], "left")
+    dist = F.col("dist") + F.coalesce("_step", F.lit(0))
+    met = met.select(
+        *KEY, F.coalesce("_next", "target").alias("target"), dist.alias("dist"), "n_needs", "most", (F.col("dist") + F.col("_level")).alias("_value"),
+        (F.col("_there").isNull() | (dist > F.col("most"))).alias("_dead"), F.col("_next").isNotNull().alias("moved"))
+    call = Window.partitionBy(*KEY)
+    judged = met.withColumns({
+        "_lost": F.bool_or("_dead").over(call), "_all": F.count("_value").over(call) == F.col("n_needs"), "_top": F.max("_value").over(call),
+        "_first": F.row_number().over(call.orderBy("target"))})
+    some = judged.where("NOT _lost AND (NOT _all OR _first = 1)")
+    level = F.when(F.col("_all"), F.col("_top"))
+    return some.select(*KEY, F.when(~F.col("_all"), F.col("target")).alias("target"), "dist", "n_needs", "most", level.alias("level"), "moved")
 
 
 def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
@@ -74,13 +115,14 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     doesn't exist), ``no_result``, ``ok``; of a result without a call ``orphan``; else null. Of
     several results the first counts. A result with a call has no row of its own. Text that
     isn't such an object is a plain message, null the empty one; a call without an identifier
-    is linked to nothing. Null conversations are one conversation. No rows in: no rows out.
-    No task ever holds a conversation; other columns are not read.
+    is linked to nothing. Null conversations are one conversation, apart from that named ``''``;
+    a null turn comes before all others. Very long texts and conversations are rows like others:
+    no task ever holds a conversation. No rows in: no rows out. Other columns are not read.
     """
     slim = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    slim = slim.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    slim = slim.withColumn("conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))  # a key that is never null
     # only text that can be an object is parsed
-    parsed = slim.withColumn("v", F.when(F.col("text").startswith("{"), F.try_parse_json("text")))
+    parsed = slim.withColumn("v", F.when(F.ltrim("text", F.lit(" \t\r\n")).startswith("{"), F.try_parse_json("text")))
     is_result = (F.col("role") == "tool") & F.try_variant_get("v", "$.tool_call_id", "string").isNotNull()
     parsed = materialize(parsed.select(
         "conv_id", "turn", "role", "text", F.coalesce(is_result, F.lit(False)).alias("is_result"),
@@ -95,7 +137,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     calls = parsed.where("asked IS NOT NULL").select("conv_id", "turn", F.posexplode("asked").alias("part", "call")).select(
         "conv_id", "turn", (F.col("part") + 1).alias("part"), F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.try_parse_json("call.arguments").alias("arguments"), F.col("call.after").alias("after"))
     order = calls.select(*KEY, "after").where("call_id IS NOT NULL")
-    place = F.col("turn") * 65536 + F.col("part")
+    place = F.struct("turn", "part")
     firsts = calls.where("call_id IS NOT NULL").groupBy(*KEY).agg(F.min(place).alias("first"))
     results = parsed.where("is_result").groupBy(*KEY).agg(F.min_by("result", "turn").alias("result"), F.min("turn").alias("answered"))
     linked = calls.join(firsts, KEY, "left").join(call_levels(order), KEY, "left").join(results, KEY, "left")
@@ -110,7 +152,8 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     orphans = parsed.where("is_result").join(firsts, KEY, "left_anti").select(
         "conv_id", "turn", F.lit(0).alias("part"), "role", "call_id", F.lit(-1).alias("level"), F.lit("orphan").alias("status"),
         F.to_json(F.struct(F.try_parse_json("result").alias("content"), "role", F.col("call_id").alias("tool_call_id"))).alias("json"))
-    return plain.unionByName(asked).unionByName(orphans)
+    out = plain.unionByName(asked).unionByName(orphans)
+    return out.withColumn("conv_id", F.when(F.col("conv_id") != "", F.substring("conv_id", 2, 1 << 30)))
 
 
 SCHEMAS: Schemas = {
@@ -159,12 +202,12 @@ linked AS (
                 WHEN level IS NULL THEN 'no_order' WHEN answer IS NULL THEN 'no_result' ELSE 'ok' END AS status
     FROM calls c LEFT JOIN chains USING (conv_id, turn) LEFT JOIN answers USING (conv_id, turn))
 SELECT conv_id::VARCHAR AS conv_id, turn, 0 AS part, role, NULL::VARCHAR AS call_id, -1 AS level, NULL::VARCHAR AS status,
-       '{"content":' || CASE WHEN role = 'assistant' THEN '""' ELSE to_json(text)::VARCHAR END || ',"role":"' || role || '"}' AS json
+       '{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '"}' AS json
 FROM conversations WHERE NOT (role = 'user' AND turn >= 2)
 UNION ALL
 SELECT conv_id::VARCHAR, turn, 1, 'assistant', 'c' || turn, coalesce(level, -1)::INT, status,
        '{"arguments":{' || CASE WHEN n % 2 = 0 THEN '"length":' || CASE WHEN n % 7 = 0 THEN 'null' ELSE n::VARCHAR END || ',"unit":"chars"'
-            ELSE '"limit":5,"phrase":' || to_json(text[1:20])::VARCHAR END
+            ELSE '"limit":5,"phrase":' || to_json(text)::VARCHAR END
        || '},"id":"c' || turn || '","name":"' || name || '"' || CASE WHEN status = 'ok' THEN ',"result":' || to_json(answer)::VARCHAR ELSE '' END || '}'
 FROM linked
 UNION ALL

@@ -96,7 +96,7 @@ def test_tool_calls(spark):
     assert ("1", 4, "tool", "orphan", '{"content":"nobody asked","role":"tool","tool_call_id":"zz"}') in plain
     assert ("1", 1, "assistant", None, '{"content":"on it","role":"assistant"}') in plain
     assert ("2", 1, "assistant", None, '{"content":"{\\"tool_calls\\": oops","role":"assistant"}') in plain
-    assert plain.count(("", 0, "user", None, '{"content":"","role":"user"}')) == 2 and len(plain) == 11
+    assert plain.count((None, 0, "user", None, '{"content":"","role":"user"}')) == 2 and len(plain) == 11
     assert rows(chat.link_tool_calls(messages.limit(0), chat.SCHEMAS)) == []
 
 
@@ -106,8 +106,8 @@ def test_levels_of_a_long_chain(spark):
 
 
 def test_pipeline_against_stages_by_hand(spark, documents, labels):
-    from .test_dedup import components_brute, fingerprint_brute
     from .test_models import kept_brute
+    from .test_similar import stays_brute
 
     docs, seen = documents, [r.asDict() for r in documents.collect()]
     outs = {}
@@ -123,9 +123,8 @@ def test_pipeline_against_stages_by_hand(spark, documents, labels):
         best[r["text"]] = max(best.get(r["text"], -1), r["doc_id"])
     seen = [r for r in seen if best[r["text"]] == r["doc_id"]]
     assert sorted(r.doc_id for r in outs["exact_dedup"].collect()) == sorted(r["doc_id"] for r in seen)
-    ids = [r["doc_id"] for r in seen]
-    group = components_brute([fingerprint_brute(r["text"]) for r in seen], ids)
-    seen = [r for r, g in zip(seen, group, strict=True) if r["doc_id"] == g]
+    stays = set(stays_brute([(r["doc_id"], r["text"]) for r in seen]))
+    seen = [r for r in seen if r["doc_id"] in stays]
     assert sorted(r.doc_id for r in outs["near_dedup"].collect()) == sorted(r["doc_id"] for r in seen)
     sizes = {}
     for r in seen:
