@@ -22,7 +22,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,9 @@ THRESHOLD, LONGEST, SHARDS, TOP = 10, 3, 2, 2000
 #: Slots of the array that tells what is frequent: one byte each, whatever the corpus.
 SLOTS = 1 << 24
 #: Words that a task counts at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Words that a task knows by number; beyond it, between chunks, it starts anew.
+MOST_WORDS = 500_000
 #: Groups that a language's phrases are dealt to before its first ones are taken from theirs.
 DEALT = 64
 UNKNOWN = "und"
@@ -46,8 +48,8 @@ NEVER = 255
 
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _TOKEN = re.compile(rb"[^ \t\n]+|\n")
-_COUNTS = "lang string, phrase string, size int, since int, n long"
-_COUNTS_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("since", pa.int32()), ("n", pa.int64())])
+_COUNTS = "key string, n long"
+_FIRST = 48  # character of scan 0 at the start of a key
 
 
 # --- hashes that all tasks share ----------------------------------------------------------
@@ -78,90 +80,137 @@ def _ready(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
 # --- one scan -----------------------------------------------------------------------------
 
 
-class Chunk:
-    """Words of some texts as numbers; 0 stands between pieces."""
+class Words:
+    """Words of a task by number, per language; 0 stands between pieces."""
 
-    def __init__(self):
-        self.numbers = count(1).__next__
+    def __init__(self, marks: np.ndarray):
+        self.marks, self.numbers = marks, count(1).__next__
         self.index: dict[bytes, defaultdict[bytes, int]] = {}
-        self.parts: list[np.ndarray] = []
-        self.n_words: defaultdict[bytes, int] = defaultdict(int)
-        self.size = 0
+        self.words, self.langs, self.hashes, self.seen = [b""], [b""], np.zeros(1, np.uint64), {}
 
-    def add(self, lang: bytes, text: bytes) -> None:
+    def ids(self, lang: bytes, text: bytes) -> np.ndarray:
         known = self.index.get(lang)
         if known is None:
             known = self.index[lang] = defaultdict(self.numbers)
             known[b"\n"] = 0
         tokens = _TOKEN.findall(text.lower().translate(_BREAKS))
         tokens.append(b"\n")
-        ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+
+    def catch_up(self) -> None:
+        """Words, languages and hashes of the numbers given since the last time."""
+        fresh = []
+        for lang, known in self.index.items():
+            at = self.seen.get(lang, 1)  # the first is the break
+            fresh += [(i, lang, word) for word, i in islice(known.items(), at, None)]
+            self.seen[lang] = len(known)
+        fresh.sort()
+        self.words += [w for _, _, w in fresh]
+        self.langs += [lang for _, lang, _ in fresh]
+        self.hashes = np.concatenate([self.hashes, np.array([_word_hash(lang, w) for _, lang, w in fresh], np.uint64)])
+
+
+class Chunk:
+    """Some texts of a task, counted at once."""
+
+    def __init__(self, words: Words):
+        self.words, self.parts, self.size = words, [], 0
+        self.n_words: defaultdict[bytes, int] = defaultdict(int)
+
+    def add(self, lang: bytes, text: bytes) -> None:
+        ids = self.words.ids(lang, text)
         self.parts.append(ids)
         self.n_words[lang] += int(np.count_nonzero(ids))
         self.size += len(ids)
 
-    def counts(self, scan: int, shards: int, longest: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def counts(self, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
         """Rows of the phrases that are active in this scan."""
-        pairs = sorted((i, lang, word) for lang, known in self.index.items() for word, i in known.items() if i)
-        words = pa.array([b"", *(w for _, _, w in pairs)], pa.binary()).cast(pa.string())
-        langs = pa.array([b"", *(lang for _, lang, _ in pairs)], pa.binary()).cast(pa.string())
-        hashed = np.array([0, *(_word_hash(lang, w) for _, lang, w in pairs)], np.uint64)
+        self.words.catch_up()
+        words, langs = (pa.array(x, pa.binary()).cast(pa.string()) for x in (self.words.words, self.words.langs))
+        marks, hashed, n_words = self.words.marks, self.words.hashes, len(self.words.words)
         x = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
-        n_words = len(words)
+        self.parts = []
         if scan < shards:
-            names, totals = zip(*self.n_words.items(), strict=True) if self.n_words else ((), ())
-            yield _rows(pa.array(names, pa.binary()).cast(pa.string()), pa.array([""] * len(names), pa.string()), 0, np.zeros(len(names), np.int32), np.array(totals, np.int64))
+            for lang, n in self.n_words.items():
+                yield _rows(pa.array([""]), pa.array([lang.decode()]), np.zeros(1, np.int64), np.array([n]))
             often = np.bincount(x, minlength=n_words)
+            often[0] = 0
             own = np.flatnonzero(often)
-            own = own[own > 0]
-            yield _rows(langs.take(pa.array(own)), words.take(pa.array(own)), 1, np.zeros(len(own), np.int32), often[own])
-        if scan == 0:
+            yield _rows(words.take(pa.array(own)), langs.take(pa.array(own)), np.zeros(len(own), np.int64), often[own])
+        if scan == 0:  # nothing is marked yet
             return
-        # phrases by their first place: dense number, hash, and from which scan longer ones count
         ready = _ready(hashed, marks)
         ready[0] = NEVER
-        gram, own_hash, own_ready = x, hashed[x], ready[x]
+        # at each place: hash of the phrase that begins there, and the scan that may count longer ones
+        own_hash, own_ready = hashed[x], ready[x]
         for size in range(2, longest + 1):
-            if len(gram) < 2:
+            if len(own_ready) < 2:
                 return
             since = np.maximum(own_ready[:-1], own_ready[1:])
-            at = np.flatnonzero(since <= scan)  # their subphrases are ready, so no piece ends in them
-            last = x[at + size - 1]
-            keys, first, number, often = np.unique(gram[at] * n_words + last, return_index=True, return_inverse=True, return_counts=True)
-            begun = since[at[first]].astype(np.int32)
-            running = np.flatnonzero(begun + shards > scan)
-            place = at[first[running]]
-            if len(place):
-                spelled = [words.take(pa.array(x[place + i])) for i in range(size)]
-                phrases = pc.binary_join_element_wise(*spelled, " ")
-                yield _rows(langs.take(pa.array(x[place])), phrases, size, begun[running], often[running])
-            if size == longest:
-                return
-            full = np.zeros(len(since), np.int64)
-            full[at] = number
-            hashes = np.zeros(len(since), np.uint64)
-            hashes[at] = _longer(own_hash[at], hashed[last])
-            later = np.full(len(since), NEVER, np.uint8)
-            later[at] = np.maximum(_ready(hashes[at], marks), since[at])
-            gram, own_hash, own_ready = full, hashes, later
-
-
-def _rows(langs: pa.Array, phrases: pa.Array, size: int, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.full(len(n), size, np.int32)), pa.array(since, pa.int32()), pa.array(n, pa.int64())], schema=_COUNTS_ARROW)
+            active = since <= scan  # both subphrases are ready, so no piece ends in it
+            at = np.flatnonzero(active & (since + np.int64(shards) > scan))
+            spelled, often = _distinct([x[at + i] for i in range(size)], n_words)
+            if len(often):
+                begun = _since(spelled, hashed, ready, marks)
+                phrases = pc.binary_join_element_wise(*(words.take(pa.array(w)) for w in spelled), " ")
+                yield _rows(phrases, langs.take(pa.array(spelled[0])), begun, often)
+            if size < longest:
+                at = np.flatnonzero(active)
+                hashes, later = np.zeros(len(since), np.uint64), np.full(len(since), NEVER, np.uint8)
+                hashes[at] = _longer(own_hash[at], hashed[x[at + size - 1]])
+                later[at] = np.maximum(_ready(hashes[at], marks), since[at])
+                own_hash, own_ready = hashes, later
+
+
+def _distinct(columns: list[np.ndarray], n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of word numbers, and how often each occurs."""
+    if n_words ** len(columns) < 1 << 63:
+        keys = columns[0]
+        for column in columns[1:]:
+            keys = keys * n_words + column
+        keys, often = np.unique(keys, return_counts=True)
+        out = []
+        for _ in columns:
+            keys, last = np.divmod(keys, n_words)
+            out.append(last)
+        return out[::-1], often
+    rows, often = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    return list(rows.T), often
+
+
+def _since(spelled: list[np.ndarray], hashed: np.ndarray, ready: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The scan in which a phrase's cycle began, the same in every scan that counts it."""
+    hashes, levels = [hashed[w] for w in spelled], [ready[w] for w in spelled]
+    for size in range(2, len(spelled) + 1):
+        since = [np.maximum(a, b) for a, b in zip(levels, levels[1:])]
+        hashes = [_longer(h, hashed[w]) for h, w in zip(hashes, spelled[size - 1 :])]
+        levels = since if size == len(spelled) else [np.maximum(_ready(h, marks), s) for h, s in zip(hashes, since)]
+    return levels[0].astype(np.int64)
+
+
+def _rows(phrases: pa.Array, langs: pa.Array, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A key is the scan in which a phrase's cycle began, the phrase and, behind a line end,
+    which no phrase has in it, the language."""
+    begun = pa.array([chr(_FIRST + i) for i in range(int(since.max(initial=0)) + 1)]).take(pa.array(since))
+    key = pc.binary_join_element_wise(pc.binary_join_element_wise(begun, phrases, ""), langs, "\n")
+    return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64())], ["key", "n"])
 
 
 def _scan(scan: int, shards: int, longest: int, packed, chunk_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(zlib.decompress(packed.value), np.uint8)
-        chunk = Chunk()
+        words = Words(marks)
+        chunk = Chunk(words)
         for batch in batches:
             for lang, text in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns), strict=True):
                 chunk.add(lang, text)
                 if chunk.size >= chunk_words:
-                    yield from chunk.counts(scan, shards, longest, marks)
-                    chunk = Chunk()
+                    yield from chunk.counts(scan, shards, longest)
+                    if len(words.words) > MOST_WORDS:
+                        words = Words(marks)
+                    chunk = Chunk(words)
         if chunk.size:
-            yield from chunk.counts(scan, shards, longest, marks)
+            yield from chunk.counts(scan, shards, longest)
 
     return run
 
@@ -172,8 +221,9 @@ def _slots_of(n_slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = np.zeros(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns), strict=True)):
-                first, *rest = phrase.split(b" ")
+            for i, key in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
+                phrase, lang = key.split(b"\n", 1)
+                first, *rest = phrase[1:].split(b" ")
                 h = np.array([_word_hash(lang, first)], np.uint64)
                 for word in rest:
                     h = _longer(h, np.uint64(_word_hash(lang, word)))
@@ -183,19 +233,20 @@ def _slots_of(n_slots: int):
     return run
 
 
-def _mark(fresh: DataFrame, marks: np.ndarray, scan: int) -> bool:
-    """Mark the slots of phrases that have reached the threshold; none: false. What comes to the
-    driver is a bit map of the slots, of a fixed size."""
-    slots = fresh.select("lang", "phrase").mapInArrow(_slots_of(len(marks)), "slot long")
-    bits = slots.groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+def _mark(frequent: DataFrame, marks: np.ndarray, scan: int) -> bool:
+    """Mark the slots of phrases that have reached the threshold (those of earlier ones keep
+    their mark); whether any mark is new. What comes to the driver is a bit map of the slots,
+    of a fixed size."""
+    slots = frequent.select("key").mapInArrow(_slots_of(len(marks)), "slot long")
+    bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
     got = bits.toArrow()
-    if not got.num_rows:
-        return False
-    places, words = got["word"].to_numpy(), got["bits"].to_numpy()
+    places, words, fresh = got["word"].to_numpy(), got["bits"].to_numpy(), False
     for bit in range(64):
         at = places[(words >> np.int64(bit)) & 1 == 1] * 64 + bit
-        marks[at] = np.minimum(marks[at], scan)
-    return True
+        at = at[marks[at] == NEVER]
+        marks[at] = scan
+        fresh |= len(at) > 0
+    return fresh
 
 
 # --- the cycle ----------------------------------------------------------------------------
@@ -218,18 +269,21 @@ def frequent_phrases(
     slim = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shard = F.pmod(F.xxhash64("text"), F.lit(shards))
     marks = np.full(slots, NEVER, np.uint8)
+    phrase = F.expr("substring(substring_index(key, '\n', 1), 2)")
+    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
     running, done, scan, until = None, [], 0, shards
     while scan < until:
         packed = spark.sparkContext.broadcast(zlib.compress(marks.tobytes(), 1))
-        counted = slim.where(shard == scan % shards).mapInArrow(_scan(scan, shards, longest, packed, chunk_words), _COUNTS).withColumn("told", F.lit(False))
+        counted = slim.where(shard == scan % shards).mapInArrow(_scan(scan, shards, longest, packed, chunk_words), _COUNTS)
         both = counted if running is None else running.unionByName(counted)
-        summed = both.groupBy("lang", "phrase", "size", "since").agg(F.sum("n").alias("n"), F.bool_or("told").alias("told"))
-        over, enough = F.col("since") + shards - 1 <= scan, (F.col("n") >= threshold) | (F.col("size") == 0)
-        state = materialize(summed.where(enough | ~over).select("*", over.alias("over"), enough.alias("enough")), "phrases")
-        done.append(state.where("over").select("lang", "phrase", "size", "n"))
-        running = state.where("NOT over").select("lang", "phrase", "size", "since", "n", F.col("enough").alias("told"))
+        summed = both.groupBy("key").agg(F.sum("n").alias("n"))
+        over = F.ascii(F.substring("key", 1, 1)) - _FIRST + shards - 1 <= scan
+        enough = (F.col("n") >= threshold) | (F.substring("key", 2, 1) == "\n")
+        state = materialize(summed.select("key", "n", over.alias("over"), enough.alias("enough")).where("enough OR NOT over"), "phrases")
+        done.append(state.where("over").select(F.expr("substring(key, instr(key, '\n') + 1)").alias("lang"), phrase.alias("phrase"), size.cast("int").alias("size"), "n"))
+        running = state.where("NOT over").select("key", "n")
         scan += 1
-        if _mark(state.where((F.col("size").between(1, longest - 1)) & F.col("enough") & ~F.col("told")), marks, scan):
+        if _mark(state.where("enough").where(size.between(1, longest - 1)), marks, scan):
             until = scan + shards
         packed.unpersist()
     out = done[0]
