@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lakecheck.functions.paths import is_marker, one_form
 from lakecheck.operators.lookup import route_format
-from lakecheck.operators.textcheck import check_gzip_delimited, check_text_tables, text_verdict
+from lakecheck.operators.textcheck import check_gzip_delimited, check_text_files
 from lakecheck.session import materialize, tasks_for
 from lakecheck.sources.tables import NOT_OPENED, open_path, trouble
 
@@ -172,40 +172,33 @@ def check_orc(files: DataFrame) -> DataFrame:
     return _check(files, _Orc)
 
 
-MARKER, NOT_READ = "marker file", "not read"
+MARKER = "marker file"
+
+
+def check_content(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """``path, format, status, msg`` of files (``path, length, table``), each read to its end by
+    the format of its table."""
+    routed = materialize(route_format(files.select("path", "length", "table"), registry).select("path", "length", "format"), "routed")
+    present = {row["format"] for row in routed.select("format").distinct().collect()}  # a handful
+    checks = {
+        "orc": check_orc, "parquet": check_parquet,
+        "text_gzip": lambda own: check_gzip_delimited(own, registry), "text": lambda own: check_text_files(own, registry),
+    }
+    unknown = ~F.col("format").isin(*checks)
+    out = routed.where(unknown).select("path", "format", F.lit(1).alias("status"), F.concat(F.lit("no check for format "), F.col("format")).alias("msg"))
+    for fmt in sorted(present & checks.keys()):
+        own = routed.where(F.col("format") == fmt).select("path", "length")
+        out = out.unionByName(checks[fmt](own).select("path", F.lit(fmt).alias("format"), "status", "msg"))
+    return out
 
 
 def probe_readable(files: DataFrame, registry: DataFrame) -> DataFrame:
     """``path, format, status, msg`` for files of mixed formats, routed by their table.
 
-    The routed listing is written once. Hidden files and job markers are not checked. Plain
-    text is scanned by layout, all folders of one in one scan; a text file of which no line
-    was counted is fine only if it is empty.
+    Hidden files and job markers are not checked. Every file has a verdict of its own: one
+    that is damaged or can't be opened leaves the others alone.
     """
-    spark = files.sparkSession
     listed = files.withColumn("path", one_form(F.col("path")))
-    routed = materialize(route_format(listed, registry).withColumn("marker", is_marker(F.col("path"))), "routed")
-
-    def of(fmt: str) -> DataFrame:
-        return routed.where((F.col("format") == fmt) & ~F.col("marker"))
-
-    def labelled(df: DataFrame, fmt: str) -> DataFrame:
-        return df.select("path", F.lit(fmt).alias("format"), "status", "msg")
-
-    out = routed.where("marker").select("path", "format", F.lit(1).alias("status"), F.lit(MARKER).alias("msg"))
-    present = {row["format"] for row in routed.where("not marker").select("format").distinct().collect()}  # a handful
-    if "orc" in present:
-        out = out.unionByName(labelled(check_orc(of("orc")), "orc"))
-    if "parquet" in present:
-        out = out.unionByName(labelled(check_parquet(of("parquet")), "parquet"))
-    if "text_gzip" in present:
-        out = out.unionByName(labelled(check_gzip_delimited(of("text_gzip"), registry), "text_gzip"))
-    if "text" in present:
-        folder = F.regexp_extract("path", r"^(.*?\.db/[^/]+)/", 1).alias("folder")
-        layouts = [tuple(row) for row in of("text").select(folder, "n_cols", "sep").distinct().toLocalIterator()]
-        rows = check_text_tables(spark, layouts).join(of("text").select("path"), "path", "left_semi")
-        every = of("text").select("path", "length").join(text_verdict(rows), "path", "left")
-        unread = F.col("status").isNull() & (F.coalesce("length", F.lit(1)) > 0)
-        every = every.withColumns({"status": F.when(unread, 1).otherwise(F.coalesce("status", F.lit(0))).cast("int"), "msg": F.when(unread, NOT_READ).otherwise(F.col("msg"))})
-        out = out.unionByName(labelled(every, "text"))
-    return out
+    marker = is_marker(F.col("path"))
+    markers = route_format(listed.where(marker), registry).select("path", "format", F.lit(1).alias("status"), F.lit(MARKER).alias("msg"))
+    return check_content(listed.where(~marker), registry).unionByName(markers)

@@ -8,7 +8,7 @@ filled up with zeros.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -211,20 +211,14 @@ def audit_parity(cells: DataFrame, policy: Policy, screen: bool = False) -> Data
     return passed.unionByName(exact)
 
 
-def screen_parity(cells: DataFrame, policy: Policy) -> DataFrame:
-    """``group_id, stripe_no, suspect`` without moving payloads.
-
-    A checksum that is linear over xor is taken of each unit times its coefficient, where
-    the unit lies; ``bit_xor`` adds them up per stripe and parity row, and combines before
-    the shuffle. An intact stripe gives zero. A damaged one gives zero with a chance of
-    about 2^-64. A stripe with a repeated unit is suspect whatever it gives, as equal rows
-    would cancel out.
-    """
+def _linear_sums(policy: Policy):
+    """Checksums of a cell that are linear over xor: one per parity row, of the cell times its
+    coefficient. None for units that the code doesn't have."""
     matrix, k, m = policy.parity_matrix(), policy.k, policy.m
     product, _ = gf.tables()
     # two CRCs per row, of the bytes times 1 and times 2
     lookup = [[(product[c].tobytes(), product[product[c][2]].tobytes()) for c in row] for row in matrix]
-    names = [f"h{i}" for i in range(m)]
+    own = (product[1].tobytes(), product[2].tobytes())
 
     def crc(data: bytes) -> int:
         return zlib.crc32(data, 0xFFFFFFFF) ^ 0xFFFFFFFF  # register starts at 0: linear
@@ -232,31 +226,82 @@ def screen_parity(cells: DataFrame, policy: Policy) -> DataFrame:
     def checksum(data: bytes, pair: tuple[bytes, bytes]) -> int:
         return crc(data.translate(pair[0])) << 32 | crc(data.translate(pair[1]))
 
-    own = (product[1].tobytes(), product[2].tobytes())
+    def sums(unit: int, reversed_data: bytes) -> list[int]:
+        if unit < k:
+            return [checksum(reversed_data, lookup[i][unit]) for i in range(m)]
+        return [checksum(reversed_data, own) if i == unit - k else 0 for i in range(m)] if unit < policy.n else [0] * m
+
+    return sums
+
+
+def screen_policies(cells: DataFrame, policies: Sequence[Policy]) -> DataFrame:
+    """``group_id, stripe_no, suspects``: for each policy whether the stripe fails it.
+
+    One scan for all policies, without moving payloads: sums are taken of each cell under
+    every policy where the cell lies, ``bit_xor`` adds them up per stripe and parity row and
+    combines before the shuffle. Which of the answers counts is said by the policy of the
+    group, to be joined to these short rows. An intact stripe gives zero. A damaged one gives
+    zero with a chance of about 2^-64. A stripe with a repeated unit is suspect whatever it
+    gives, as equal rows would cancel out.
+    """
+    names = [[f"h{j}_{i}" for i in range(policy.m)] for j, policy in enumerate(policies)]
+    flat, widest = [n for own in names for n in own], max(policy.n for policy in policies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = [_linear_sums(policy) for policy in policies]
         for batch in batches:
-            sums = np.zeros((m, batch.num_rows), np.uint64)
-            units = batch.column("unit_index").to_pylist()
-            for row, (unit, payload) in enumerate(zip(units, batch.column("payload"))):
+            table = np.zeros((len(flat), batch.num_rows), np.uint64)
+            for row, (unit, payload) in enumerate(zip(batch.column("unit_index").to_pylist(), batch.column("payload"))):
                 data = payload.as_buffer().to_pybytes()[::-1]  # zeros in front change nothing
-                if unit < k:
-                    for i in range(m):
-                        sums[i, row] = checksum(data, lookup[i][unit])
-                else:
-                    sums[unit - k, row] = checksum(data, own)
+                table[:, row] = [x for sums in of for x in sums(unit, data)]
             heads = [batch.column("group_id"), batch.column("stripe_no"), batch.column("unit_index")]
-            arrays = heads + [pa.array(s.view(np.int64)) for s in sums]
-            yield pa.RecordBatch.from_arrays(arrays, ["group_id", "stripe_no", "unit_index", *names])
+            yield pa.RecordBatch.from_arrays(heads + [pa.array(s.view(np.int64)) for s in table], ["group_id", "stripe_no", "unit_index", *flat])
 
-    usable = cells.where(F.col("unit_index").between(0, policy.n - 1) & F.col("payload").isNotNull())
+    usable = cells.where(F.col("unit_index").between(0, widest - 1) & F.col("payload").isNotNull())
     typed = usable.select("group_id", F.col("stripe_no").cast("int"), F.col("unit_index").cast("int"), "payload")
-    sums = typed.mapInArrow(run, "group_id bigint, stripe_no int, unit_index int, " + ", ".join(f"{n} bigint" for n in names))
-    folded = sums.groupBy("group_id", "stripe_no").agg(
-        *(F.bit_xor(n).alias(n) for n in names), (F.count("*") != _distinct_units(policy)).alias("repeated")
-    )
-    suspect = reduce(lambda a, b: a | b, (F.col(n) != 0 for n in names)) | F.col("repeated")
-    return folded.select("group_id", "stripe_no", suspect.alias("suspect"))
+    sums = typed.mapInArrow(run, "group_id bigint, stripe_no int, unit_index int, " + ", ".join(f"{n} bigint" for n in flat))
+    inside = [F.col("unit_index") < policy.n for policy in policies]
+    repeated = [(F.count_if(own) != _distinct_units(policy)).alias(f"r{j}") for j, (own, policy) in enumerate(zip(inside, policies))]
+    seen = [F.bool_or(own).alias(f"s{j}") for j, own in enumerate(inside)]
+    folded = sums.groupBy("group_id", "stripe_no").agg(*(F.bit_xor(n).alias(n) for n in flat), *repeated, *seen)
+    fails = [F.when(F.col(f"s{j}"), reduce(lambda a, b: a | b, (F.col(n) != 0 for n in own)) | F.col(f"r{j}")) for j, own in enumerate(names)]
+    return folded.select("group_id", "stripe_no", F.array(*fails).alias("suspects"))  # null: no unit of this code
+
+
+def screen_parity(cells: DataFrame, policy: Policy) -> DataFrame:
+    """``group_id, stripe_no, suspect``, see :func:`screen_policies`."""
+    usable = cells.where(F.col("unit_index").between(0, policy.n - 1))
+    return screen_policies(usable, [policy]).select("group_id", "stripe_no", F.get("suspects", F.lit(0)).alias("suspect"))
+
+
+def audit_policies(cells: DataFrame, groups: DataFrame, policies: Mapping[str, Policy]) -> dict[str, DataFrame]:
+    """For each policy in use the stripes of its groups, as from :func:`audit_parity`.
+
+    ``groups`` (``group_id, policy``, a written table) says which code a group has. Cells are
+    read for one screen of all policies and, if any stripe is suspect, once more for those
+    stripes alone, whose payloads are the only ones that move.
+    """
+    names = sorted({r["policy"] for r in groups.select("policy").distinct().collect()} & policies.keys())  # a handful
+    if not names:
+        return {}
+    screened = screen_policies(cells, [policies[n] for n in names])
+    known = groups.where(F.col("policy").isin(names)).select("group_id", "policy")
+    told = materialize(screened.join(known, "group_id").select("group_id", "stripe_no", "policy", F.get("suspects", _place(names)).alias("suspect")), "screened")
+    counts = {r["policy"]: r["suspects"] for r in told.groupBy("policy").agg(F.count_if("suspect").alias("suspects")).collect()}  # one row per policy
+    suspects = told.where("suspect")
+    moved = materialize(only_stripes(cells, suspects), "suspect-cells") if any(counts.values()) else None
+    out = {}
+    for name in names:
+        own = told.where(F.col("policy") == name)
+        passed = own.where("suspect = false").select("group_id", "stripe_no", F.array().cast("array<int>").alias("bad_parity"))
+        if counts.get(name):
+            passed = passed.unionByName(audit_parity(only_stripes(moved, own.where("suspect")), policies[name]))
+        out[name] = passed
+    return out
+
+
+def _place(names: Sequence[str]) -> Column:
+    return reduce(lambda found, i: found.when(F.col("policy") == names[i], i), range(1, len(names)), F.when(F.col("policy") == names[0], 0))
 
 
 def audit_xor(words: DataFrame) -> DataFrame:
@@ -333,9 +378,9 @@ def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataF
 
     ``units`` has ``group_id, path, unit_index, host, group_size``. ``bad_units`` are all
     parity units that differ anywhere; the message names the first of the first bad stripe.
-    A group whose stripes were not all seen, as its size asks for, and that shows no damage
-    is not checked: status 1. Both inputs are aggregated by ``group_id`` and joined where they
-    lie; hosts are looked up for the damaged groups alone.
+    A group of unknown size, or whose stripes were not all seen, as its size asks for, and that
+    shows no damage is not checked: status 1. Both inputs are aggregated by ``group_id`` and
+    joined where they lie; hosts are looked up for the damaged groups alone.
     """
     bad = F.size("bad_parity") > 0
     # stripe and parity unit in one number: a minimum that hash aggregation can hold
@@ -343,11 +388,15 @@ def group_verdict(stripes: DataFrame, units: DataFrame, policy: Policy) -> DataF
     first = (F.min(F.when(bad, packed)) % 256).cast("int")
     flags = [F.bool_or(F.array_contains("bad_parity", i)) for i in range(policy.m)]
     listed = F.array_compact(F.array(*(F.when(flag, policy.k + i) for i, flag in enumerate(flags))))
-    audited = stripes.groupBy("group_id").agg(first.alias("first"), listed.alias("bad_units"), F.count("*").alias("n_seen"))
-    expected = F.ceil(F.col("group_size") / (policy.k * policy.cell_size))
-    found = _groups(units, policy).join(audited, "group_id", "left")
+    groups = _groups(units, policy).withColumn("expected", F.ceil(F.col("group_size") / (policy.k * policy.cell_size)))
+    # a stripe past the group's end is no evidence that the others were read
+    sizes = groups.select("group_id", "expected").groupBy("group_id").agg(F.max("expected").alias("expected"))
+    asked = F.col("stripe_no").between(0, F.col("expected") - 1)
+    audited = stripes.join(sizes, "group_id").groupBy("group_id").agg(first.alias("first"), listed.alias("bad_units"), F.count_if(asked).alias("n_seen"))
+    found = groups.join(audited, "group_id", "left")
     differs = F.col("first").isNotNull() & ~F.col("under_coded")
-    status = F.when(F.col("under_coded") | differs, -1).when(F.coalesce("n_seen", F.lit(0)) < expected, 1).otherwise(0)
+    unread = F.col("expected").isNull() | (F.coalesce("n_seen", F.lit(0)) < F.col("expected"))
+    status = F.when(F.col("under_coded") | differs, -1).when(unread, 1).otherwise(0)
     judged = found.withColumns({"status": status.cast("int"), "differs": differs})
 
     at = judged.where("differs").select("group_id", (policy.k + F.col("first")).alias("unit_index"))

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import reported_path, suspect_host
@@ -103,15 +103,18 @@ def unrecoverable(outcome: DataFrame) -> DataFrame:
 def reconstruct_units(cells: DataFrame, policy: Policy, excluded: DataFrame) -> DataFrame:
     """Cells of the excluded units, computed from the others.
 
-    ``excluded`` has ``group_id, excluded array<int>`` with up to m units per group. A unit
-    that is there but not trusted keeps its length; a missing one gets the stripe's.
+    ``excluded`` has ``group_id, excluded array<int>`` with up to m units per group, or
+    ``group_id, stripe_no, excluded`` with units of their own for each stripe that is named. A
+    unit that is there but not trusted keeps its length; a missing one gets the stripe's.
     """
     check = policy.check_matrix()
+    key = ["group_id", *(c for c in ["stripe_no"] if c in excluded.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, table in packs(batches, policy.n):
-            asked = dict(zip(table["group_id"].to_pylist(), table["excluded"].to_pylist()))
-            gone_of = [tuple(sorted(set(asked[g]))) for g in pack.group_id.tolist()]
+            places = zip(*(table[c].to_pylist() for c in ("group_id", "stripe_no", "excluded")))
+            asked = {(g, s): tuple(sorted(set(e))) for g, s, e in places}
+            gone_of = [asked[p] for p in zip(pack.group_id.tolist(), pack.stripe_no.tolist())]
             for gone in set(gone_of):
                 chosen = np.array([g == gone for g in gone_of])
                 units = pack.units[:, np.repeat(chosen, pack.lengths)]
@@ -119,12 +122,22 @@ def reconstruct_units(cells: DataFrame, policy: Policy, excluded: DataFrame) ->
                 left, _ = gf.eliminate(check[:, list(gone)])
                 yield _unit_rows(pack, chosen, gone, gf.matmul(left, gf.matmul(check, units)))
 
-    usable = excluded.where(F.size(F.array_distinct("excluded")).between(1, policy.m)).select("group_id", F.array_distinct("excluded").alias("excluded"))
+    usable = excluded.where(F.size(F.array_distinct("excluded")).between(1, policy.m)).select(*key, F.array_distinct("excluded").alias("excluded"))
     side = F.broadcast(usable) if fits_broadcast(usable) else usable
-    wanted = by_stripe(cells.join(side, "group_id"), policy, "excluded")
+    wanted = by_stripe(cells.join(side, key), policy, "excluded")
     return wanted.mapInArrow(run, "group_id bigint, stripe_no int, unit_index int, payload binary")
 
 
+def rebuilt_groups(cells: DataFrame, policy: Policy, excluded: DataFrame) -> DataFrame:
+    """All cells of the groups in ``excluded`` (``group_id, excluded``, a written table), those of
+    the excluded units recomputed. The other cells' payloads don't move, if few groups are asked for."""
+    key = ["group_id", "stripe_no", "unit_index", "payload"]
+    usable = excluded.where(F.size(F.array_distinct("excluded")).between(1, policy.m)).select("group_id", "excluded")
+    kept = cells.join(F.broadcast(usable) if fits_broadcast(usable) else usable, "group_id")
+    kept = kept.where(~F.array_contains("excluded", F.col("unit_index"))).select(*key)
+    return kept.unionByName(reconstruct_units(cells, policy, usable).select(*key))
+
+
 def refused_groups(policy: Policy, excluded: DataFrame) -> DataFrame:
     """``group_id, reason`` of the groups that :func:`reconstruct_units` can't compute: more
     distinct units than the code has parities, or none. Every group asked of it has either
@@ -159,8 +172,10 @@ _PROBE = 256  # byte positions per stripe tried first; what survives is tested o
 def _explaining(pack: Pack, syndrome: np.ndarray, sets: list[tuple], nulls: list[np.ndarray]) -> np.ndarray:
     """Unit set x stripe: can errors in these units alone give the stripe's syndrome?
 
-    ``sets`` are ordered by size; what a single unit explains, its pairs explain as well.
+    ``sets`` are ordered by size; what a single unit explains, larger sets with it explain as
+    well. A unit with rows that differ from each other has to be in a set.
     """
+    singles = {e[0]: i for i, e in enumerate(sets) if len(e) == 1}
     hit = syndrome.any(axis=0)
     counts = np.add.reduceat(hit, pack.starts, dtype=np.int64)
     seen, ends = syndrome[:, hit], np.cumsum(counts)
@@ -173,10 +188,55 @@ def _explaining(pack: Pack, syndrome: np.ndarray, sets: list[tuple], nulls: list
         alive[e, owner[gf.matmul(null, first).any(axis=0)]] = False
         implied = np.zeros(len(counts), bool)
         for unit in sets[e] if len(sets[e]) > 1 else ():
-            implied |= alive[sets.index((unit,))]
+            if unit in singles:
+                implied |= alive[singles[unit]]
         for s in np.flatnonzero(alive[e] & ~implied & (counts > _PROBE)):
             alive[e, s] = not gf.matmul(null, seen[:, begins[s] + _PROBE : ends[s]]).any()
-    return alive
+    outside = np.array([[u not in e for u in range(pack.clashes.shape[1])] for e in sets], bool)
+    return alive & ~(outside.astype(np.int64) @ pack.clashes.T.astype(np.int64)).astype(bool)
+
+
+def _explained(cells: DataFrame, policy: Policy, bad: DataFrame, sets: list[tuple]) -> DataFrame:
+    """``group_id, stripe_no, sets``: numbers of the unit sets that explain each stripe of
+    ``bad`` (a written table). Only the payloads of these stripes move."""
+    check = policy.check_matrix()
+    nulls = [gf.eliminate(check[:, list(e)])[1] for e in sets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, _ in packs(batches, policy.n):
+            syndrome = gf.matmul(check, pack.units)
+            found = [np.flatnonzero(row).tolist() for row in _explaining(pack, syndrome, sets, nulls).T]
+            yield pack.frame({"sets": pa.array(found, pa.list_(pa.int32()))})
+
+    return by_stripe(only_stripes(cells, bad), policy).mapInArrow(run, "group_id bigint, stripe_no int, sets array<int>")
+
+
+def _bad_stripes(stripes: DataFrame) -> DataFrame:
+    return materialize(stripes.where(F.size("bad_parity") > 0).select("group_id", "stripe_no"), "bad-stripes")
+
+
+def judge_attempts(cells: DataFrame, attempts: DataFrame, policy: Policy, stripes: DataFrame | None = None) -> DataFrame:
+    """``path, group_id, attempt_no, excluded, fits, proven``: what parity says of each attempt.
+
+    ``attempts``: ``path, group_id, attempt_no, excluded array<int>`` (unit numbers). An attempt
+    fits if leaving its units out makes every stripe of the group consistent. All unit sets
+    that any attempt names (as many as the code is wide, not as there are groups) are
+    tested in one pass over the damaged stripes; nothing is copied or rebuilt. ``proven`` says
+    whether a check was left that could have contradicted it: fewer units than parities.
+    """
+    spark = cells.sparkSession
+    asked = attempts.select("path", "group_id", "attempt_no", F.array_sort(F.array_distinct("excluded")).alias("excluded"))
+    named = asked.select("excluded").distinct().where(F.size("excluded").between(1, policy.m) & F.forall("excluded", lambda u: u.between(0, policy.n - 1)))
+    sets = sorted((tuple(r["excluded"]) for r in named.collect()), key=lambda e: (len(e), e))  # bounded by the code
+    bad = _bad_stripes(audit_parity(cells, policy, screen=True) if stripes is None else stripes)
+    if not sets:
+        return asked.withColumns({"fits": F.lit(False), "proven": F.lit(False)})
+    votes = _explained(cells, policy, bad, sets).select("group_id", F.explode("sets").alias("s")).groupBy("group_id", "s").agg(F.count("*").alias("n"))
+    numbers = spark.createDataFrame([(i, list(e)) for i, e in enumerate(sets)], "s int, excluded array<int>")
+    wanted = asked.join(F.broadcast(numbers), "excluded", "left").join(bad.groupBy("group_id").agg(F.count("*").alias("n_bad")), "group_id", "left")
+    judged = wanted.join(votes, ["group_id", "s"], "left")
+    fits = F.col("s").isNotNull() & (F.coalesce("n", F.lit(0)) == F.coalesce("n_bad", F.lit(0)))
+    return judged.select("path", "group_id", "attempt_no", "excluded", fits.alias("fits"), (F.size("excluded") < policy.m).alias("proven"))
 
 
 def locate_bad_units(cells: DataFrame, policy: Policy, stripes: DataFrame | None = None) -> DataFrame:
@@ -186,28 +246,18 @@ def locate_bad_units(cells: DataFrame, policy: Policy, stripes: DataFrame | None
     units are preferred to pairs. ``located``: exactly one smallest set, and at least one
     check is left that could have contradicted it. ``candidate``: several such sets, or as
     many units as parities, where parity proves nothing and the content has to be checked.
-    ``failed``: no set of as many units as the code can place (m - 1, and m where that is 1
+    ``located_per_stripe``: no set for the whole group is proven, but one for each damaged stripe is;
+    :func:`locate_per_stripe` names them. ``failed``: no set of as many units as the code can place (m - 1, and m where that is 1
     or 2). Only stripes that fail the audit (``stripes``, else computed) are looked at.
     """
-    check, n = policy.check_matrix(), policy.n
-    most = policy.m if policy.m <= 2 else policy.m - 1
-    sets = [e for size in range(1, most + 1) for e in combinations(range(n), size)]
-    nulls = [gf.eliminate(check[:, list(e)])[1] for e in sets]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, _ in packs(batches, n):
-            syndrome = gf.matmul(check, pack.units)
-            found = [np.flatnonzero(row).tolist() for row in _explaining(pack, syndrome, sets, nulls).T]
-            yield pack.frame({"sets": pa.array(found, pa.list_(pa.int32()))})
-
-    stripes = audit_parity(cells, policy, screen=True) if stripes is None else stripes
-    bad = materialize(stripes.where(F.size("bad_parity") > 0).select("group_id", "stripe_no"), "bad-stripes")
-    explained = by_stripe(only_stripes(cells, bad), policy).mapInArrow(run, "group_id bigint, stripe_no int, sets array<int>")
+    sets = unit_sets(policy)
+    explained = _explained(cells, policy, _bad_stripes(audit_parity(cells, policy, screen=True) if stripes is None else stripes), sets)
+    per_stripe = materialize(explained, "explained")
 
     # set -1 stands for the stripe itself; the sets per group are as many as the code allows
-    votes = explained.select("group_id", F.explode(F.array_append("sets", F.lit(-1))).alias("s"))
+    votes = per_stripe.select("group_id", F.explode(F.array_append("sets", F.lit(-1))).alias("s"))
     counts = votes.groupBy("group_id", "s").agg(F.count("*").alias("n"))
-    meaning = F.array(*(F.array(*map(F.lit, e)) for e in sets))
+    meaning = _meaning(sets)
     groups = counts.groupBy("group_id").agg(
         F.max(F.when(F.col("s") == -1, F.col("n"))).alias("n_stripes"),
         F.collect_list(F.when(F.col("s") >= 0, F.struct("s", "n"))).alias("seen"),
@@ -219,5 +269,36 @@ def locate_bad_units(cells: DataFrame, policy: Policy, stripes: DataFrame | None
         "unit_sets", F.filter("named", lambda e: F.size(e) == smallest)
     )
     proven = (F.size("unit_sets") == 1) & (F.size(F.get("unit_sets", F.lit(0))) < policy.m)
-    outcome = F.when(F.size("unit_sets") == 0, "failed").when(proven, "located").otherwise("candidate")
-    return best.select("group_id", "n_stripes", outcome.alias("outcome"), "unit_sets")
+    alone = _located_stripes(per_stripe, sets, policy).groupBy("group_id").agg(F.count("*").alias("n_alone"))
+    every = best.join(alone, "group_id", "left")
+    each = F.coalesce("n_alone", F.lit(0)) == F.col("n_stripes")
+    outcome = F.when(proven, "located").when(each, "located_per_stripe").when(F.size("unit_sets") == 0, "failed").otherwise("candidate")
+    return every.select("group_id", "n_stripes", outcome.alias("outcome"), F.when(outcome == "located_per_stripe", F.array().cast("array<array<int>>")).otherwise(F.col("unit_sets")).alias("unit_sets"))
+
+
+def unit_sets(policy: Policy) -> list[tuple]:
+    """Sets of units that may be wrong together, by size: of as many units as the code can place."""
+    most = policy.m if policy.m <= 2 else policy.m - 1
+    return [e for size in range(1, most + 1) for e in combinations(range(policy.n), size)]
+
+
+def _meaning(sets: list[tuple]) -> Column:
+    return F.array(*(F.array(*map(F.lit, e)) for e in sets))
+
+
+def _located_stripes(explained: DataFrame, sets: list[tuple], policy: Policy) -> DataFrame:
+    """``group_id, stripe_no, excluded`` of the stripes with exactly one smallest set, one that
+    a check could have contradicted."""
+    named = explained.withColumn("named", F.transform("sets", lambda i: F.get(_meaning(sets), i)))
+    least = F.array_min(F.transform("named", F.size))
+    best = named.withColumn("best", F.filter("named", lambda e: F.size(e) == least))
+    alone = best.where(F.size("best") == 1).select("group_id", "stripe_no", F.get("best", F.lit(0)).alias("excluded"))
+    return alone.where(F.size("excluded") < policy.m)
+
+
+def locate_per_stripe(cells: DataFrame, policy: Policy, stripes: DataFrame) -> DataFrame:
+    """``group_id, stripe_no, excluded``: the wrong units of each damaged stripe, where parity
+    proves which they are; other units in each stripe of a group are no hindrance. ``stripes``
+    is an audit's result, or the part of it that is asked for."""
+    sets = unit_sets(policy)
+    return _located_stripes(_explained(cells, policy, _bad_stripes(stripes), sets), sets, policy)

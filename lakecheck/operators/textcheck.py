@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakecheck.functions.text import field_count, fields_ok, not_blank
 from lakecheck.operators.lookup import dimension_join, with_registry
 from lakecheck.sources.files import with_table
-from lakecheck.sources.tables import NOT_OPENED, read_gzip_lines, scan_text_rows
+from lakecheck.sources.tables import NOT_OPENED, read_gzip_lines, read_text_lines, scan_text_rows
 
 NO_ENTRY = "no registry entry"
 
@@ -55,13 +55,18 @@ def text_verdict(rows: DataFrame) -> DataFrame:
     ``path, status, msg, n_rows, n_bad, bad_fields, first_bad_line, first_bad``; status 1 if
     the table is unknown; ``bad_fields`` is the median field count of
     the bad rows in the first split that has any. Lines are counted per split first, which needs no row shuffle; their
-    numbers in the file follow from the counts of the splits before.
+    numbers in the file follow from the counts of the splits before. A row with ``error`` says
+    that its file broke off, or couldn't be opened (status 1), and counts as no line.
     """
-    bad = ~F.col("row_ok")
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    real = F.col("error").isNull()
+    bad = real & ~F.col("row_ok")
     splits = rows.groupBy("path", "block_start").agg(
-        F.count("*").alias("n"),
+        F.count_if(real).alias("n"),
+        F.max("error").alias("error"),
         F.count_if(bad).alias("n_bad"),
-        F.count_if(F.col("n_cols").isNull()).alias("n_unknown"),
+        F.count_if(real & F.col("n_cols").isNull()).alias("n_unknown"),
         F.min("row_pos").alias("first_pos"),
         F.min(F.when(bad, F.struct("row_pos", "value"))).alias("bad"),
         # also keeps Spark on hash aggregation: a minimum of strings alone would sort all rows
@@ -77,8 +82,9 @@ def text_verdict(rows: DataFrame) -> DataFrame:
         F.sum("n_unknown").alias("n_unknown"),
         F.min("first").alias("first"),
         F.min_by("bad_fields", "first").alias("bad_fields"),
+        F.max("error").alias("error"),
     )
-    return _verdict(files, F.lit(None).cast("string"))
+    return _verdict(files, F.col("error"))
 
 
 def _verdict(files: DataFrame, error) -> DataFrame:
@@ -119,3 +125,11 @@ def check_gzip_delimited(files: DataFrame, registry: DataFrame, **tolerance: int
     )
     complete = every.join(per_file, "path", "left").fillna(0, ["n_rows", "n_bad", "n_unknown"])
     return _verdict(complete, F.col("error")).drop("error")
+
+
+def check_text_files(files: DataFrame, registry: DataFrame, **tolerance: int) -> DataFrame:
+    """The same verdict for text files given by ``path, length``, plain or compressed, one row
+    each: a file that can't be read says so and leaves the others alone."""
+    rows = check_delimited(read_text_lines(files), registry, **tolerance)
+    found = files.select("path").distinct().join(text_verdict(rows), "path", "left")
+    return found.withColumn("status", F.coalesce("status", F.lit(0))).fillna(0, ["n_rows", "n_bad"])

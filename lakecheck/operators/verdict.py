@@ -28,6 +28,17 @@ def worst_status(*results: DataFrame) -> DataFrame:
     return worst.join(details, ["path", "status"], "left").select("path", "status", "w.*")
 
 
+def whole_files(groups: DataFrame) -> DataFrame:
+    """One result per file from those of its block groups, of which none may be missing: damaged
+    if any is, else not checked (1) if any isn't, else fine. Named is what :func:`worst_status` names."""
+    unread = groups.groupBy("path").agg(F.count_if(F.col("status") == 1).alias("_unread"))
+    worst = worst_status(groups).join(unread, "path")
+    told = groups.where("status = 1").groupBy("path").agg(F.min("msg").alias("_msg"))
+    open_ = (F.col("status") == 0) & (F.col("_unread") > 0)
+    named = worst.join(told, "path", "left").withColumn("msg", F.when(open_, F.col("_msg")).otherwise(F.col("msg")))
+    return named.select("path", F.when(open_, 1).otherwise(F.col("status")).cast("int").alias("status"), "msg", "bad_host", "bad_block")
+
+
 def file_status(paths: DataFrame, *results: DataFrame) -> DataFrame:
     """One row per input path, whatever the checks returned; unchecked paths get status 1."""
     joined = paths.select("path").distinct().join(worst_status(*results), "path", "left")

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakecheck.operators.filecheck import check_content
 from lakecheck.operators.parity import Policy, audit_parity
-from lakecheck.operators.recovery import best_attempts, locate_bad_units, reconstruct_units
+from lakecheck.operators.recovery import best_attempts, judge_attempts, locate_bad_units, locate_per_stripe, rebuilt_groups, reconstruct_units
 from lakecheck.session import fits_broadcast, materialize
+from lakecheck.sources.files import with_table
+from lakecheck.sources.tables import PARTS
+from lakecheck.sources.units import write_parts
 
 
 class Repair(NamedTuple):
     """``located``: verdict per damaged group; ``damaged``: all cells of these groups;
-    ``fixed``: the recomputed cells of the groups whose bad units are known."""
+    ``fixed``: the recomputed cells of the groups, or stripes, whose bad units are known."""
 
     located: DataFrame
     damaged: DataFrame
@@ -27,7 +30,7 @@ def repair_units(cells: DataFrame, policy: Policy, screen: bool = True) -> Repai
     """Audit all cells, then find and recompute the bad units of the damaged groups.
 
     ``cells`` is read for the audit, and once more to copy the damaged groups to the shared
-    folder; every later step works on that copy. Groups that are only ``candidate`` need
+    folder; every later step works on that copy. Stripes of a group may have different bad units. Groups that are only ``candidate`` need
     the content check of each of their unit sets; :func:`candidate_sets` lists them.
     """
     stripes = audit_parity(cells, policy, screen)
@@ -37,7 +40,12 @@ def repair_units(cells: DataFrame, policy: Policy, screen: bool = True) -> Repai
     damaged = materialize(cells.join(few, "group_id", "left_semi"), "damaged-cells")
     located = materialize(locate_bad_units(damaged, policy, stripes=bad), "located")
     known = located.where("outcome = 'located'").select("group_id", F.get("unit_sets", F.lit(0)).alias("excluded"))
-    return Repair(located, damaged, reconstruct_units(damaged, policy, known))
+    fixed = reconstruct_units(damaged, policy, known)
+    apart = located.where("outcome = 'located_per_stripe'").select("group_id")
+    if apart.take(1):
+        sets = materialize(locate_per_stripe(damaged, policy, bad.join(apart, "group_id", "left_semi")), "stripe-sets")
+        fixed = fixed.unionByName(reconstruct_units(damaged, policy, sets))
+    return Repair(located, damaged, fixed)
 
 
 def candidate_sets(located: DataFrame) -> DataFrame:
@@ -73,76 +81,123 @@ def attempt_units(attempts: DataFrame, units: DataFrame) -> DataFrame:
     return held.groupBy("path", "group_id", "attempt_no").agg(F.array_sort(F.collect_set("unit_index")).alias("excluded"))
 
 
-class Trials(NamedTuple):
-    """``outcome``: ``path, group_id, attempt_no, ok``; ``content``: ``path, group_id,
-    attempt_no`` and the cells that each attempt gives."""
+def try_attempts(cells: DataFrame, attempts: DataFrame, policy: Policy, stripes: DataFrame | None = None) -> DataFrame:
+    """``path, group_id, attempt_no, excluded, fits, proven, ok`` of attempts as given by
+    :func:`attempt_units`.
+
+    An attempt is good if leaving its units out makes the parity of every stripe right and a
+    check was left that could have said otherwise; with as many units left out as there are
+    parities that proves nothing, and content decides: :func:`repair_files`. All attempts are
+    judged in one pass over the damaged stripes (``stripes``: an audit's result, else
+    computed); no cell is copied for an attempt.
+    """
+    judged = judge_attempts(cells, attempts, policy, stripes)
+    return materialize(judged.withColumn("ok", F.col("fits") & F.col("proven")), "outcome")
+
+
+def winners(outcome: DataFrame) -> DataFrame:
+    """``path, group_id, attempt_no, excluded`` of the first good attempt of each group."""
+    best = best_attempts(outcome).where("attempt_no IS NOT NULL")
+    return best.join(outcome.select("path", "group_id", "attempt_no", "excluded"), ["path", "group_id", "attempt_no"])
+
+
+def recovered_cells(cells: DataFrame, outcome: DataFrame, policy: Policy) -> DataFrame:
+    """``path, group_id, stripe_no, unit_index, payload`` of the first good attempt of each
+    group, for the files of which every group that was tried has one."""
+    whole = best_attempts(outcome).groupBy("path").agg(F.bool_and(F.col("attempt_no").isNotNull()).alias("whole")).where("whole").select("path")
+    kept = materialize(winners(outcome).join(whole, "path", "left_semi").select("path", "group_id", "excluded"), "best")
+    places = kept.select("group_id", "path")
+    fixed = rebuilt_groups(cells, policy, kept.select("group_id", "excluded"))
+    return fixed.join(F.broadcast(places) if fits_broadcast(places) else places, "group_id").select("path", "group_id", "stripe_no", "unit_index", "payload")
 
-    outcome: DataFrame
-    content: DataFrame
 
+# --- whole files, decided by their content ------------------------------------------------
 
-def try_attempts(cells: DataFrame, attempts: DataFrame, policy: Policy, content_ok: Callable[[DataFrame], DataFrame] | None = None) -> Trials:
-    """Recompute the units that each attempt leaves out, and check what comes out.
 
-    ``attempts`` is the result of :func:`attempt_units`. The parity of an attempt's cells must
-    be right; with as many units left out as there are parities that proves nothing, and the
-    attempt is good only if ``content_ok`` says so. It takes ``attempt_id`` and the data cells
-    and returns ``attempt_id, ok``; where it is given, every attempt has to pass it as well.
-    Attempts run side by side, each on its own copy of the group's cells.
+def file_pieces(cells: DataFrame, layout: DataFrame, policy: Policy) -> DataFrame:
+    """``target, at, payload``: the bytes of files, from the data cells of their groups.
+
+    ``layout``: ``group_id, target, group_start, group_size``: where in which file a group's
+    bytes go. Cells are cut where their group ends; missing ones are for the writer to fill.
     """
-    numbered = materialize(attempts.withColumn("attempt_id", F.monotonically_increasing_id()), "attempts")
-    side = numbered.select("group_id", "attempt_id")
-    copies = cells.join(F.broadcast(side) if fits_broadcast(side) else side, "group_id")
-    copies = materialize(copies.select(F.col("attempt_id").alias("group_id"), "stripe_no", "unit_index", "payload"), "copies")
-    fixed = reconstruct_units(copies, policy, numbered.select(F.col("attempt_id").alias("group_id"), "excluded"))
-    content = materialize(repaired_cells(copies, materialize(fixed, "fixed")), "content")
-    parity = audit_parity(content, policy).groupBy(F.col("group_id").alias("attempt_id")).agg(F.bool_and(F.size("bad_parity") == 0).alias("ok"))
-    judged = numbered.join(parity, "attempt_id", "left")
-    ok, proven = F.coalesce("ok", F.lit(False)), F.size("excluded").between(1, policy.m - 1)
-    if content_ok is None:
-        good = ok & proven
-    else:
-        data = content.where(F.col("unit_index") < policy.k).withColumnRenamed("group_id", "attempt_id")
-        judged = judged.join(content_ok(data).select("attempt_id", F.col("ok").alias("content_ok")), "attempt_id", "left")
-        good = ok & F.coalesce("content_ok", F.lit(False)) & F.size("excluded").between(1, policy.m)
-    outcome = materialize(judged.select("path", "group_id", "attempt_no", "attempt_id", good.alias("ok")), "outcome")
-    places = outcome.select("attempt_id", "path", F.col("group_id").alias("_group"), "attempt_no")
-    named = content.withColumnRenamed("group_id", "attempt_id").join(places, "attempt_id")
-    return Trials(outcome.drop("attempt_id"), named.select("path", F.col("_group").alias("group_id"), "attempt_no", "stripe_no", "unit_index", "payload"))
-
-
-ROUNDS = (1, 4, 16)
-
-
-def try_until_good(cells: DataFrame, attempts: DataFrame, policy: Policy, content_ok: Callable[[DataFrame], DataFrame] | None = None, rounds: Sequence[int] = ROUNDS) -> Trials:
-    """Like :func:`try_attempts`, but a group's later attempts are only made if none of the
-    earlier ones was good: those up to each number of ``rounds`` together, then all others.
-    Cells of other groups are read once."""
-    asked = materialize(attempts, "attempts-left")
-    groups = materialize(asked.select("group_id").distinct(), "groups-tried")
-    cells = materialize(cells.join(F.broadcast(groups) if fits_broadcast(groups) else groups, "group_id", "left_semi"), "cells-tried")
-    outcome, content, low = [], [], 0
-    for high in (*rounds, None):
-        now = asked.where(F.col("attempt_no") > low) if high is None else asked.where(F.col("attempt_no").between(low + 1, high))
-        trials = try_attempts(cells, now, policy, content_ok)
-        outcome.append(trials.outcome)
-        content.append(trials.content)
-        if high is None:
-            break
-        won = materialize(trials.outcome.where("ok").select("path", "group_id").distinct(), "won")
-        later = asked.where(F.col("attempt_no") > high)
-        asked = materialize(later.join(F.broadcast(won) if fits_broadcast(won) else won, ["path", "group_id"], "left_anti"), "attempts-left")
-        if not asked.take(1):
-            break
-        low = high
-    return Trials(reduce(DataFrame.unionByName, outcome), reduce(DataFrame.unionByName, content))
+    data = cells.where(F.col("unit_index").between(0, policy.k - 1))
+    placed = data.join(F.broadcast(layout) if fits_broadcast(layout) else layout, "group_id")
+    inside = (F.col("stripe_no").cast("long") * policy.k + F.col("unit_index")) * policy.cell_size
+    n = F.least(F.octet_length("payload").cast("long"), F.col("group_size") - inside)
+    cut = F.when(n < F.octet_length("payload"), F.substring(F.col("payload"), F.lit(1), n.cast("int"))).otherwise(F.col("payload"))
+    return placed.where(n > 0).select("target", (F.col("group_start") + inside).alias("at"), cut.alias("payload"))
 
 
-def recovered_cells(trials: Trials) -> DataFrame:
-    """``path, group_id, stripe_no, unit_index, payload`` of the first good attempt of each
-    group, for the files of which every group has one."""
-    best = best_attempts(trials.outcome)
-    whole = best.groupBy("path").agg(F.bool_and(F.col("attempt_no").isNotNull()).alias("whole")).where("whole").select("path")
-    kept = materialize(best.join(whole, "path", "left_semi"), "best")
-    keys = ["path", "group_id", "attempt_no"]
-    return trials.content.join(F.broadcast(kept) if fits_broadcast(kept) else kept, keys, "left_semi").drop("attempt_no")
+class FileRepair(NamedTuple):
+    """``outcome``: ``path, outcome, attempt_no, target, msg``; ``tried``: ``path, attempt_no, status, msg``
+    of every content check that was made."""
+
+    outcome: DataFrame
+    tried: DataFrame
+
+
+def repair_files(
+    cells: DataFrame, files: DataFrame, groups: DataFrame, attempts: DataFrame, policy: Policy, registry: DataFrame, folder: str, stripes: DataFrame | None = None
+) -> FileRepair:
+    """Rebuild damaged files and let their content decide between attempts.
+
+    ``files``: ``path, length`` of the damaged files, whose last two folders name database and
+    table; ``groups``: ``path, group_id, group_no, group_size`` of all their groups;
+    ``attempts``: ``path, attempt_no, group_id, excluded array<int>``: an attempt leaves the same
+    hosts out in all damaged groups of a file, so ``excluded`` are the units that they hold, and
+    a group without a row in an attempt takes part as it is.
+
+    Attempts that parity refutes in any damaged group are out. The others are made one by
+    one for each file, all files side by side: damaged groups are rebuilt, the file's cells are
+    written below ``folder`` by many tasks, a part each, and checked by the table's format
+    like any file. A file that fails goes on to its next attempt, so rounds are as many as the
+    attempts of a file that parity can't refute (3 for one xor group, 10 for two units of
+    RS(3,2)). Only the cells of files still open are read again.
+    """
+    stripes = materialize(audit_parity(cells, policy, screen=True) if stripes is None else stripes, "stripes")
+    hurt = stripes.where(F.size("bad_parity") > 0).select("group_id").distinct()
+    damaged = materialize(groups.join(hurt, "group_id").select("path", "group_id"), "damaged-groups")
+    judged = judge_attempts(cells, attempts.join(hurt, "group_id", "left_semi"), policy, stripes)
+    # every damaged group of the file has to fit
+    needed = damaged.groupBy("path").agg(F.count("*").alias("n"))
+    fitting = judged.where("fits").groupBy("path", "attempt_no").agg(F.count("*").alias("n"))
+    ranked = fitting.join(needed, ["path", "n"], "left_semi").select("path", "attempt_no")
+    order = Window.partitionBy("path").orderBy("attempt_no")  # as many rows as a file has attempts
+    waiting = materialize(ranked.select("path", "attempt_no", F.row_number().over(order).alias("turn")), "attempts-left")
+    chosen = materialize(judged.where("fits").select("path", "attempt_no", "group_id", "excluded"), "fitting")
+    starts = groups.withColumn("group_start", F.coalesce(F.sum("group_size").over(Window.partitionBy("path").orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = materialize(starts.select("path", "group_id", "group_start", "group_size"), "group-starts")
+    tried, turn = [], 1
+    while True:
+        now = waiting.where(F.col("turn") == turn).select("path", "attempt_no")
+        if tried:
+            done = tried[-1].where("status = 0").select("path")
+            waiting = materialize(waiting.join(F.broadcast(done) if fits_broadcast(done) else done, "path", "left_anti"), "attempts-left")
+            now = waiting.where(F.col("turn") == turn).select("path", "attempt_no")
+        if not now.take(1):
+            break
+        own = files.select("path", "length").join(now, "path").withColumn("target", rebuilt_path(folder, F.col("path"), F.col("attempt_no")))
+        own = materialize(own, "targets")
+        layout = materialize(starts.join(own.select("path", "target", "attempt_no"), "path"), "layout")
+        leave = materialize(chosen.join(now, ["path", "attempt_no"], "left_semi").select("group_id", "excluded"), "left-out")
+        intact = layout.select("group_id").join(leave.select("group_id"), "group_id", "left_anti")
+        fixed = cells.join(F.broadcast(intact) if fits_broadcast(intact) else intact, "group_id", "left_semi").select("group_id", "stripe_no", "unit_index", "payload")
+        fixed = fixed.unionByName(rebuilt_groups(cells, policy, leave))
+        pieces = file_pieces(fixed, layout.select("group_id", "target", "group_start", "group_size"), policy)
+        written = materialize(write_parts(pieces, own.select("target", "length")), "written")
+        listed = with_table(own.join(written.groupBy("target").agg(F.sum("length").alias("_written")), "target").select(F.col("target").alias("path"), "length"))
+        checked = check_content(listed, registry).select(F.col("path").alias("target"), "status", "msg")
+        tried.append(materialize(own.join(checked, "target", "left").select("path", "attempt_no", "target", F.coalesce("status", F.lit(1)).alias("status"), "msg"), "tried"))
+        turn += 1
+    every = reduce(DataFrame.unionByName, tried) if tried else cells.sparkSession.createDataFrame([], "path string, attempt_no int, target string, status int, msg string")
+    best = every.where("status = 0").select("path", "attempt_no", "target")
+    said = every.groupBy("path").agg(F.max_by("msg", "attempt_no").alias("msg"))
+    outcome = files.select("path").join(best, "path", "left").join(said, "path", "left")
+    named = F.when(F.col("target").isNotNull(), "recovered").otherwise("failed")
+    return FileRepair(outcome.select("path", named.alias("outcome"), "attempt_no", "target", F.when(F.col("target").isNull(), F.col("msg")).alias("msg")), every.drop("target"))
+
+
+def rebuilt_path(folder: str, path: Column, attempt: Column) -> Column:
+    """Where an attempt's file goes: the same database and table, so that its format is known."""
+    inside = F.regexp_extract(path, r"([^/]+\.db/.*)$", 1)
+    return F.concat(F.lit(f"{folder.rstrip('/')}/attempt="), attempt.cast("string"), F.lit("/"), inside, F.lit(PARTS))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
+import io
 import re
 import time
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,16 +93,86 @@ def trouble(problem: Exception) -> str:
     return f"{NOT_OPENED if outside else ''}{type(problem).__name__}: {problem}"
 
 
+#: Ending of a folder that stands for one file, cut into parts that several tasks wrote.
+PARTS = ".parts"
+_PART_NAME = re.compile(r"^part-\d{6}$")
+
+
+def part_path(target: str, part: int) -> str:
+    return f"{target}/part-{part:06d}"
+
+
+class _Joined(io.RawIOBase):
+    """Parts of a file read as one; a part is open at a time."""
+
+    def __init__(self, store, folder: str):
+        from pyarrow import fs
+
+        self._at, self._open, self._handle = 0, None, None
+        listed = [e for e in store.get_file_info(fs.FileSelector(folder)) if _PART_NAME.match(e.base_name)]
+        if not listed:
+            raise FileNotFoundError(f"no parts in {folder}")
+        self._store, self._parts = store, sorted((e.path, e.size) for e in listed)
+        self._ends = list(accumulate(size for _, size in self._parts))
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self._at = offset + (0, self._at, self._ends[-1])[whence]
+        return self._at
+
+    def readinto(self, buffer) -> int:
+        number = bisect_right(self._ends, self._at)
+        if number == len(self._parts):
+            return 0
+        path, size = self._parts[number]
+        if self._open != number:
+            if self._handle:
+                self._handle.close()
+            self._handle, self._open = self._store.open_input_file(path), number
+        self._handle.seek(self._at - (self._ends[number] - size))
+        data = self._handle.read(len(buffer))
+        buffer[: len(data)] = data
+        self._at += len(data)
+        return len(data)
+
+    def close(self) -> None:
+        if self._handle:
+            self._handle.close()
+        super().close()
+
+
 def open_path(path: str) -> pa.NativeFile:
-    """Open a file from inside a task; what may pass is tried twice."""
+    """Open a file from inside a task, or the parts of one; what may pass is tried twice."""
     store, key = _store(path)
+    opened = (lambda: pa.PythonFile(io.BufferedReader(_Joined(store, key)), mode="r")) if key.endswith(PARTS) else (lambda: store.open_input_file(key))
     try:
-        return store.open_input_file(key)
+        return opened()
     except (FileNotFoundError, PermissionError, IsADirectoryError):
         raise
     except OSError:
         time.sleep(1)
-        return store.open_input_file(key)
+        return opened()
+
+
+def move_file(path: str, target: str) -> None:
+    """Give a finished file its name; one that another attempt of the task finished stays."""
+    store, key = _store(path)
+    try:
+        store.move(key, _store(target)[1])
+    except OSError:
+        from pyarrow import fs
+
+        if store.get_file_info(_store(target)[1]).type != fs.FileType.File:
+            raise
+        store.delete_file(key)
 
 
 def open_sink(path: str) -> pa.NativeFile:
@@ -109,7 +183,7 @@ def open_sink(path: str) -> pa.NativeFile:
     return store.open_output_stream(key)
 
 
-def write_blobs(folder: str):
+def write_blobs(folder: str, suffix: str = ""):
     """Task body: rows ``part, content`` -> a file ``part=../blob-..`` for each in a folder that
     all executors share; gives ``path, length``. Names follow from the content, so that a
     task that runs twice writes the same files."""
@@ -118,7 +192,7 @@ def write_blobs(folder: str):
         for batch in batches:
             written = []
             for part, content in zip(batch.column("part").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                path = f"{folder}/part={part}/blob-{zlib.crc32(content):08x}"
+                path = f"{folder}/part={part}/blob-{zlib.crc32(content):08x}{suffix}"
                 with open_sink(path) as out:
                     out.write(content)
                 written.append((path if ":" in path else f"file:{path}", len(content)))
@@ -143,7 +217,6 @@ def _text_pieces(handle, piece: int) -> Iterator[str]:
 
     Raises ``EOFError`` if the stream stops early and ``zlib.error`` if it is damaged.
     """
-    import codecs
     import gzip
 
     decode = codecs.getincrementaldecoder("utf-8")(errors="replace").decode
@@ -201,3 +274,81 @@ def read_gzip_lines(files: DataFrame, piece: int = 1 << 20) -> DataFrame:
 
     tasks = tasks_for(files, GZIP_BYTES_PER_TASK)
     return files.select("path").repartition(tasks, "path").mapInArrow(unpack, GZIP_SCHEMA)
+
+
+TEXT_RANGE = 64 << 20
+TEXT_SCHEMA = "path string, block_start bigint, row_pos bigint, value string, error string"
+#: Plain text is read in ranges; what has one of these endings is one stream.
+_PACKED = r"\.(gz|bz2)(\.parts)?$"
+
+
+def _range_lines(handle, start: int, end: int | None, piece: int) -> Iterator[list[str]]:
+    r"""Lists of the lines that start in a range of bytes, split at ``\n``, ``\r`` and ``\r\n``.
+
+    From the byte before the range on, everything up to the first line end belongs to an
+    earlier range, even if it is that byte alone.
+    """
+    at, rest, skip = max(start - 1, 0), b"", start > 0
+    handle.seek(at)
+    while True:
+        data = handle.read(piece)
+        lines = (rest + data).splitlines(keepends=True)
+        rest = lines.pop() if data and lines and not lines[-1].endswith(b"\n") else b""  # \r may be half of \r\n
+        if skip and lines:
+            at += len(lines.pop(0))
+            skip = False
+        ends = list(accumulate(map(len, lines), initial=at))
+        own = len(lines) if end is None else bisect_left(ends, end, 0, len(lines))
+        if own:
+            yield b"\n".join(x.removesuffix(b"\n").removesuffix(b"\r") for x in lines[:own]).decode("utf-8", "replace").split("\n")
+        if not data or own < len(lines) or end is not None and ends[-1] >= end:
+            return
+        at = ends[-1]
+
+
+def _stream_lines(path: str, handle, piece: int) -> Iterator[list[str]]:
+    if path.removesuffix(PARTS).endswith(".bz2"):
+        import bz2
+
+        stream = bz2.BZ2File(handle)
+        decode = codecs.getincrementaldecoder("utf-8")(errors="replace").decode
+        return _lines_of(chain((decode(data) for data in iter(lambda: stream.read(piece), b"")), iter(lambda: decode(b"", True), "")))
+    return _lines_of(_text_pieces(handle, piece))
+
+
+def read_text_lines(files: DataFrame, range_bytes: int = TEXT_RANGE, piece: int = 1 << 20) -> DataFrame:
+    """``path, length`` rows -> ``path, block_start, row_pos, value, error``: all lines of text
+    files, like :func:`scan_text_rows`, but a file that can't be read or breaks off gives a
+    row with ``error`` where that scan would fail for all files.
+
+    A plain file is cut into ranges of bytes that spread over tasks, each of which reads the
+    lines that start in it; a compressed one (``.gz``, ``.bz2``) is a stream for one task. A
+    task holds a piece and the line it stands in.
+    """
+    names = ["path", "block_start", "row_pos", "value", "error"]
+
+    def rows(path: str, start: int, first: int, lines: list, error: str | None) -> pa.RecordBatch:
+        n = len(lines)
+        at = pa.array(range(first, first + n), pa.int64()) if error is None else pa.nulls(n, pa.int64())
+        columns = [pa.array([path] * n, pa.string()), pa.array([start] * n, pa.int64()), at, pa.array(lines, pa.string()), pa.array([error] * n, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, end, packed in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "packed"))):
+                first = 0
+                try:
+                    with open_path(path) as handle:
+                        for lines in _stream_lines(path, handle, piece) if packed else _range_lines(handle, start, end, piece):
+                            yield rows(path, start, first, lines, None)
+                            first += len(lines)
+                except (OSError, EOFError, zlib.error) as problem:
+                    yield rows(path, start, 0, [None], trouble(problem))
+
+    packed = F.col("path").rlike(_PACKED)
+    sized = files.select("path", (F.col("length") if "length" in files.columns else F.lit(None).cast("bigint")).alias("length"), packed.alias("packed"))
+    last = F.when(F.col("packed") | F.col("length").isNull(), 0).otherwise(F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / range_bytes))
+    cut = sized.select("path", "packed", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("n"))
+    # the last range ends with the file, however long that is by now
+    ranges = cut.select("path", "packed", (F.col("n") * range_bytes).alias("start"), F.when(F.col("n") < F.col("last"), (F.col("n") + 1) * range_bytes).cast("bigint").alias("end"))
+    return ranges.repartition(tasks_for(files, max(range_bytes, TEXT_RANGE), 0), "path", "start").mapInArrow(run, TEXT_SCHEMA)

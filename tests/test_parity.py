@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lakecheck.operators import gf, parity, recovery, verdict
 from lakecheck.operators.parity import Policy
 from lakecheck.plans.audit import audit_files
-from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_attempts, try_until_good, verify_repair
+from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_attempts, verify_repair
 
 CELLS = "group_id bigint, stripe_no int, unit_index int, payload binary"
 POLICIES = [Policy(2, 1, "xor"), Policy(3, 2), Policy(6, 3), Policy(10, 4)]
@@ -160,24 +161,82 @@ def test_attempts_are_tried(spark):
     rows = [("/f", -1, 1, ["10.0.0.4"]), ("/f", -1, 2, ["10.0.0.1"]), ("/f", -2, 1, ["10.0.0.0"]), ("/f", -2, 2, ["10.0.0.0", "10.0.0.3"])]
     attempts = attempt_units(spark.createDataFrame(rows, "path string, group_id bigint, attempt_no int, excluded array<string>"), held)
 
-    def outcome(content_ok):
-        trials = try_attempts(frame(spark, cells), attempts, policy, content_ok)
-        return {(r["group_id"], r["attempt_no"]): r["ok"] for r in trials.outcome.collect()}, trials
-
-    assert outcome(None)[0] == {(-1, 1): False, (-1, 2): True, (-2, 1): False, (-2, 2): False}  # two units of two parities prove nothing
-    right = {bytes(v) for v in good.values()}
+    outcome = try_attempts(frame(spark, cells), attempts, policy)
+    got = {(r["group_id"], r["attempt_no"]): (r["fits"], r["proven"], r["ok"]) for r in outcome.collect()}
+    assert got == {(-1, 1): (False, True, False), (-1, 2): (True, True, True), (-2, 1): (False, True, False), (-2, 2): (True, False, False)}  # two units of two parities prove nothing
+    assert recovered_cells(frame(spark, cells), outcome, policy).count() == 0  # one group of the file has no good attempt
+    alone = outcome.withColumn("path", F.concat("path", F.col("group_id").cast("string")))
+    rebuilt = {(r["group_id"], r["stripe_no"], r["unit_index"]): bytes(r["payload"]) for r in recovered_cells(frame(spark, cells), alone, policy).collect()}
+    assert {k for k in good if k[0] == -1} <= set(rebuilt) and {k[0] for k in rebuilt} == {-1}
+    assert all(rebuilt[k].rstrip(b"\0") == v.rstrip(b"\0") for k, v in good.items() if k[0] == -1)
+
+
+def test_attempts_copy_nothing(spark):
+    """Many attempts of many groups write less than the damaged cells."""
+    policy = Policy(10, 4)
+    cells = coded(policy, 6, seed=4, size=20_000)
+    for g in range(1, 6):
+        flip_many(cells, g, 0, g, 7)
+    df = frame(spark, cells)
+    stripes = parity.audit_parity(df, policy)
+    rows = [("/f", -g, n, list(e)) for g in range(1, 6) for n, e in enumerate(itertools.combinations(range(14), 2), 1)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.rglob("*.parquet"))
+    outcome = try_attempts(df, spark.createDataFrame(rows, "path string, group_id bigint, attempt_no int, excluded array<int>"), policy, stripes)
+    fits = {(r["group_id"], tuple(r["excluded"])) for r in outcome.where("fits").collect()}
+    assert fits == {(-g, e) for g in range(1, 6) for e in itertools.combinations(range(14), 2) if g in e}
+    written = sum(f.stat().st_size for f in set(shared.rglob("*.parquet")) - before)
+    assert written < 100_000 < sum(len(v) for v in cells.values())
+
+
+def test_a_unit_that_clashes_has_to_go(spark):
+    policy = Policy(6, 3)
+    cells = coded(policy, 2)
+    extra = spark.createDataFrame([(-1, 0, 2, bytearray(b"z" * 40))], CELLS)
+    attempts = spark.createDataFrame([("/f", -1, 1, [2]), ("/f", -1, 2, [3])], "path string, group_id bigint, attempt_no int, excluded array<int>")
+    got = {r["attempt_no"]: r["fits"] for r in try_attempts(frame(spark, cells).unionByName(extra), attempts, policy).collect()}
+    assert got == {1: True, 2: False}
 
-    def content(data):
-        known = spark.createDataFrame([(bytearray(v),) for v in right], "payload binary")
-        data = data.where("hex(payload) rlike '[1-9A-F]'")  # a unit past the end is zeros
-        return data.join(known.withColumn("known", F.lit(True)), "payload", "left").groupBy("attempt_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("ok"))
 
-    stepwise = try_until_good(frame(spark, cells), attempts, policy, content, rounds=(1,))
-    assert {(r["group_id"], r["attempt_no"]): r["ok"] for r in stepwise.outcome.collect()} == {(-1, 1): False, (-1, 2): True, (-2, 1): False, (-2, 2): True}
-    oks, trials = outcome(content)
-    assert oks == {(-1, 1): False, (-1, 2): True, (-2, 1): False, (-2, 2): True}
-    got = {(r["group_id"], r["stripe_no"], r["unit_index"]): bytes(r["payload"]) for r in recovered_cells(trials).collect()}
-    assert all(got[k] == v for k, v in good.items() if k[0] != 0 and k[2] < policy.k)
+def test_other_units_in_each_stripe(spark):
+    policy = Policy(6, 3)
+    good = coded(policy, 3, seed=6)
+    cells = dict(good)
+    for s, u in enumerate((0, 3, 7)):
+        flip_many(cells, 1, s, u, s)
+    for u in (1, 5):
+        flip_many(cells, 2, 0, u, u)
+    repair = repair_units(frame(spark, cells), policy)
+    assert located(repair.located) == {1: ("located_per_stripe", []), 2: ("located", [[1, 5]])}
+    fixed = as_dict(repair.fixed)
+    assert {k for k in fixed if k[0] == -1} == {(-1, 0, 0), (-1, 1, 3), (-1, 2, 7)}
+    assert all(fixed[k].rstrip(b"\0") == good.get(k, b"").rstrip(b"\0") for k in fixed)
+    assert all(r["ok"] for r in verify_repair(repair.damaged, repair.fixed, policy).collect())
+
+
+def test_a_stray_stripe_is_no_evidence(spark):
+    """A group without a known size, or with a stripe past its end in place of one of its own."""
+    policy = Policy(3, 2)
+    cells = {(-g, 57 if g == 1 and s == 1 else s, u): v for (g, s, u), v in ((( -k[0], k[1], k[2]), v) for k, v in coded(policy, 4).items())}
+    held = units(spark, {0: "/ok", -1: "/stray", -2: "/unsized", -3: "/two", -9: "/two"}, policy, size=3 * policy.k << 20)
+    held = held.withColumn("group_size", F.when(F.col("group_id") != -2, F.col("group_size")))
+    stripes = parity.audit_parity(frame(spark, cells), policy)
+    got = {r["group_id"]: r["status"] for r in parity.group_verdict(stripes, held, policy).collect()}
+    assert got == {0: 0, -1: 1, -2: 1, -3: 0, -9: 1}
+    files = spark.createDataFrame([(p, True, True, True, "rs", 1) for p in ("/ok", "/stray", "/unsized", "/two")], "path string, exists boolean, is_file boolean, is_closed boolean, policy string, length int")
+    for policies in ({"rs": policy}, {"rs": policy, "other": Policy(6, 3)}):
+        audited = {r["path"]: r["status"] for r in audit_files(files, held, frame(spark, cells), policies).collect()}
+        assert audited == {"/ok": 0, "/stray": 1, "/unsized": 1, "/two": 1}  # a group that nobody read keeps the file from being fine
+
+
+def test_screen_of_several_codes(spark):
+    """One scan answers for every code what a screen of that code alone does."""
+    for own in POLICIES:
+        cells = coded(own, 5)
+        flip(cells, 3, 1, own.n - 1, 2)
+        df = frame(spark, cells)
+        got = {(r["group_id"], r["stripe_no"]): r["suspects"][POLICIES.index(own)] for r in parity.screen_policies(df, POLICIES).collect()}
+        assert {k for k, suspect in got.items() if suspect} == {(-3, 1)} and len(got) == 15
 
 
 def test_audit_xor_words(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import UNDER_CODED, mismatch_message
 from lakecheck.operators.parity import Policy, encode
+from lakecheck.session import materialize
 
 ROOT = "/warehouse"
 FIRST_BLOCK = 9_000_000
@@ -104,14 +105,32 @@ def _flip(byte: int) -> Column:
 
 
 def rs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RS(6,3) cells. Damage: first parity unit if ``g % 41 = 0``, and the first data unit
-    of stripe 0 if ``g % 43 = 0`` and it is there."""
+    """RS(6,3) cells, rendered once and written. Damage: first parity unit if ``g % 41 = 0``, and
+    the first data unit of stripe 0 if ``g % 43 = 0`` and it is there."""
     data = data_cells(spark, sf_dir)
     cells = data.unionByName(encode(data, RS)).withColumn("h", F.hex("payload"))
     bad_parity = F.expr("group_id % 41 = 0 and unit_index = 6")
     bad_data = F.expr("group_id % 43 = 0 and unit_index = 0 and stripe_no = 0")
     payload = F.when(bad_parity, _flip(0)).when(bad_data, _flip(9)).otherwise(F.col("payload"))
-    return cells.select("group_id", "stripe_no", "unit_index", payload.alias("payload"))
+    return materialize(cells.select("group_id", "stripe_no", "unit_index", payload.alias("payload")), "cells")
+
+
+def long_groups(cells: DataFrame) -> DataFrame:
+    """The stripes of 250 orders as those of one group: two stripes for each order."""
+    return cells.selectExpr("group_id div 250 as group_id", "cast(group_id % 250 * 2 + stripe_no as int) as stripe_no", "unit_index", "payload")
+
+
+def whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undamaged RS(6,3) cells of :func:`long_groups`, written."""
+    data = data_cells(spark, sf_dir)
+    return materialize(long_groups(data.unionByName(encode(data, RS))), "cells")
+
+
+def one_bit(payload: Column) -> Column:
+    """Payload with the last bit of its first byte inverted."""
+    h = F.hex(payload)
+    byte = F.conv(F.substring(h, 1, 2), 16, 10).cast("int").bitwiseXOR(1)
+    return F.unhex(F.concat(F.lpad(F.hex(byte), 2, "0"), F.substring(h, 3, 1 << 30)))
 
 
 def beyond_repair(cells: DataFrame) -> DataFrame:
@@ -190,6 +209,12 @@ def customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab lines of 5 columns of all customers, in 8 parts ``p``."""
+    line = "concat_ws('\t', c_custkey, c_name, c_nationkey, c_mktsegment, 'z')"
+    return table(spark, sf_dir, "customer").select(F.expr("cast(c_custkey % 8 as int)").alias("p"), F.expr(line).alias("value"))
+
+
 def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab lines of 11 columns in 8 parts ``p``, with 4 fields (``l_partkey % 23``, bad), 5
     (``% 19``, fine) or 13 (``% 29``, fine)."""

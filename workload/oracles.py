@@ -69,6 +69,8 @@ GROUPS = f"""{STRIPES}, grp AS (SELECT group_id, bool_or(bad_p) AS bad_p, bool_o
 # stripes that the size of a group asks for, and those that any line belongs to
 SEEN = """seen AS (SELECT l_orderkey AS group_id, (max(l_linenumber) - 1) // 6 + 1 AS n_stripes, count(DISTINCT (l_linenumber - 1) // 6) AS n_seen
   FROM lineitem GROUP BY l_orderkey)"""
+# stripes and data units of groups of 250 orders
+LONG = """l AS (SELECT l_orderkey // 250 AS g, l_orderkey % 250 * 2 + (l_linenumber - 1) // 6 AS stripe, (l_linenumber - 1) % 6 AS unit FROM lineitem)"""
 META = """CASE WHEN o_orderpriority = '5-LOW' THEN 'does not exist' WHEN o_orderstatus = 'P' THEN 'is not a regular file'
   WHEN o_custkey % 4 = 0 THEN 'is not closed' WHEN key % 6 = 0 THEN 'is not erasure coded' END"""
 PARQUET = " UNION ALL ".join(
@@ -153,6 +155,9 @@ ORACLES = {
           found AS (SELECT unnest(['orc', 'parquet']) AS format, part, 0 AS status FROM o
             UNION ALL SELECT unnest(['text', 'text_gzip']), part, status FROM c)
         SELECT listing, format, part, status, status AS highest FROM found, (SELECT unnest(['tasks', 'spark']) AS listing)""",
+    "probe_isolated": """WITH p AS (SELECT DISTINCT CAST(c_custkey % 8 AS VARCHAR) AS part FROM customer),
+          f AS (SELECT unnest(['plain', 'packed']) AS kind, part, 0 AS status FROM p UNION ALL SELECT 'broken', '5', -1 UNION ALL SELECT 'gone', '9', 1)
+        SELECT kind, part, status, status AS highest FROM f""",
     "word_count": r"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM documents)
         WHERE word <> '' GROUP BY word""",
     "line_functions": r"""SELECT conv_id, turn, regexp_matches(text, '[^\s]') AS visible,
@@ -194,10 +199,10 @@ ORACLES = {
           CASE WHEN bad_d THEN '6,7,8' WHEN bad_p THEN '6' ELSE '' END AS bad_units
         FROM grp JOIN seen USING (group_id) JOIN f ON f.key = grp.group_id""",
     "file_audit": f"""WITH {GROUPS}, {SEEN}, {FILES}, t AS (SELECT key, path, {META} AS why FROM f),
-          left_over AS (SELECT group_id, bool_or(bad_p OR bad_d) AS bad, count(*) AS n FROM s
+          left_over AS (SELECT group_id, bool_or(bad_p OR bad_d) AS bad, count(*) FILTER (NOT (group_id % 53 = 0 AND stripe_no = 1)) AS n FROM s
             WHERE group_id % 47 <> 0 AND NOT (group_id % 5 = 0 AND stripe_no = 1) GROUP BY group_id),
           j AS (SELECT key, path, why, seen.group_id, why IS NULL AND coalesce(bad, false) AS bad,
-              CASE WHEN seen.group_id IS NULL THEN key % 7 <> 0 ELSE coalesce(n, 0) < n_stripes END AS unread
+              CASE WHEN seen.group_id IS NULL THEN key % 7 <> 0 ELSE key % 59 = 0 OR coalesce(n, 0) < n_stripes END AS unread
             FROM t LEFT JOIN seen ON seen.group_id = key LEFT JOIN left_over ON left_over.group_id = key)
         SELECT path, CASE WHEN why IS NOT NULL THEN 1 WHEN bad THEN -1 WHEN unread THEN 1 ELSE 0 END AS status,
           CASE WHEN why IS NOT NULL THEN 'File ' || path || ' ' || why || '.'
@@ -209,6 +214,13 @@ ORACLES = {
         SELECT path, CASE WHEN f.key % 4 = 3 THEN 1 WHEN bad THEN -1 WHEN unread THEN 1 ELSE 0 END AS status,
           CASE WHEN f.key % 4 <> 3 AND bad THEN 'h' || k END AS bad_host
         FROM f LEFT JOIN g USING (key)""",
+    "unit_file_audit": f"""WITH {LONG}, st AS (SELECT g, stripe, bool_or(unit = 2 AND stripe % 4 = 0) AND g % 7 = 0 AS bad_d, g % 5 = 0 AS bad_p FROM l GROUP BY g, stripe),
+          grp AS (SELECT g, g % 11 = 3 OR g % 13 = 4 AS unread, bool_or(bad_d OR bad_p) AS bad,
+            arg_min(CASE WHEN bad_d THEN 'h6' ELSE 'h7' END, stripe) FILTER (bad_d OR bad_p) AS host FROM st GROUP BY g)
+        SELECT '/w/g' || g AS path, CASE WHEN unread THEN 1 WHEN bad THEN -1 ELSE 0 END AS status, CASE WHEN NOT unread AND bad THEN host END AS bad_host FROM grp""",
+    "unit_cells": f"""WITH {BYTES}, cell AS (
+          SELECT group_id, stripe_no, unit AS unit_index, string_agg(printf('%02x', v), '' ORDER BY i) AS payload FROM bytes GROUP BY ALL)
+        SELECT group_id // 250 AS group_id, CAST(group_id % 250 * 2 + stripe_no AS INTEGER) AS stripe_no, unit_index, payload FROM cell WHERE payload <> repeat('0', 32)""",
     "file_status": f"""WITH {RESULTS}, l AS (SELECT f.path, min(CASE WHEN l_quantity > 49 THEN -1 WHEN l_quantity < 3 THEN 1 ELSE 0 END) AS s
           FROM lineitem JOIN f ON key = l_orderkey GROUP BY f.path)
         SELECT path, least(coalesce(s, 9), coalesce(c, 9), 1) AS status, CASE WHEN s IS NULL AND c IS NULL THEN 'not checked'
@@ -233,6 +245,12 @@ ORACLES = {
     "repaired_payloads": f"""WITH {TRIED}, {BYTES}, cell AS (
           SELECT group_id, stripe_no, unit AS unit_index, string_agg(printf('%02x', v), '' ORDER BY i) AS payload FROM bytes GROUP BY ALL)
         SELECT cell.* FROM cell JOIN tried USING (group_id) JOIN outc USING (path) WHERE outcome = 'recovered' AND payload <> repeat('0', 32)""",
+    "repaired_files": """WITH c AS (SELECT DISTINCT o_orderkey % 4 AS p, unnest(['t2', 't9']) AS tab FROM orders
+          UNION ALL SELECT DISTINCT c_custkey % 4, unnest(['t0', 't1']) FROM customer)
+        SELECT tab, CAST(p AS VARCHAR) AS part, CASE WHEN p = 2 THEN 'failed' ELSE 'recovered' END AS outcome, CASE WHEN p = 2 THEN 'failed' ELSE 'recovered' END AS highest,
+          CASE p WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 1 END AS attempt_no, p <> 2 AS same FROM c WHERE p > 0""",
+    "located_per_stripe": f"""WITH {LONG}, st AS (SELECT g, stripe, bool_or(unit = stripe % 9) OR stripe % 9 > 5 AS hurt FROM l WHERE g % 3 = 0 GROUP BY g, stripe)
+        SELECT g AS group_id, 'located_per_stripe' AS outcome, count(*) AS n_fixed, count(*) AS n_same FROM st WHERE hurt GROUP BY g""",
     "refused_groups": """SELECT l_orderkey AS group_id, 'too many units' AS reason FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) > 3""",
     "report_is_kept": f"WITH {RESULTS} SELECT count(*) AS n_damaged, false AS written_again FROM res WHERE status = -1",
     "reconstruct": f"""WITH {BYTES}, st AS (SELECT DISTINCT group_id, stripe_no FROM bytes), want AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce, wraps
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 from lakecheck.functions import logs, paths, text
 from lakecheck.functions.messages import report_line, suspect_host
 from lakecheck.operators import aggregates, compaction, filecheck, lookup, parity, recovery, shards, textcheck, verdict
-from lakecheck.plans.audit import audit_files
+from lakecheck.plans.audit import audit_files, audit_unit_files
 from lakecheck.plans.compaction import compact_table
 from lakecheck.plans.mining import damaged_files as damaged_files_plan
-from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_units, try_until_good, verify_repair
+from lakecheck.plans.repair import attempt_units, candidate_sets, recovered_cells, repair_files, repair_units, try_attempts, verify_repair
 from lakecheck.session import materialize, scratch_path, ship_package
-from lakecheck.sources import files, lists, reports, sinks, tables
+from lakecheck.sources import files, lists, reports, sinks, tables, units
 from lakecheck.sources import logs as log_source
 from lakecheck.streaming.logs import append_events, stream_events
 from workload import inputs as given
@@ -429,6 +430,24 @@ def probe_readable(spark, d):
     return seen.groupBy("listing", "format", _part()).agg(F.min("status").alias("status"), F.max("status").alias("highest"))
 
 
+@query
+def probe_isolated(spark, d):
+    """Text files, plain and compressed, of which one is a stream cut in half and one isn't
+    there: each has a verdict of its own."""
+    base = scratch_path(spark, "isolated")
+    lines = given.clean_lines(spark, d)
+    lines.write.partitionBy("p").text(f"{base}/plain/x.db/t0")
+    lines.write.partitionBy("p").option("compression", "gzip").text(f"{base}/packed/x.db/t0")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/packed").where("path like '%/p=5/%'")
+    halves = read.select(F.lit("5").alias("part"), F.expr("substring(content, 1, cast(length div 2 as int))").alias("content"))
+    broken = materialize(halves.mapInArrow(tables.write_blobs(f"{base}/broken/x.db/t0", ".gz"), "path string, length bigint"), "broken")
+    gone = lines.select(F.lit(f"{base}/gone/x.db/t0/p=9/part-0").alias("path")).distinct().withColumn("length", F.lit(10).cast("bigint"))
+    found = files.scan_files(spark, f"{base}/plain", f"{base}/packed").select("path", "length")
+    probed = filecheck.probe_readable(files.with_table(found.unionByName(broken).unionByName(gone)), given.registry(spark))
+    seen = probed.select(F.regexp_extract("path", r"/(\w+)/x\.db/", 1).alias("kind"), F.regexp_extract("path", r"p(?:art)?=(\d)", 1).alias("part"), "status")
+    return seen.groupBy("kind", "part").agg(F.min("status").alias("status"), F.max("status").alias("highest"))
+
+
 @query
 def word_count(spark, d):
     return aggregates.word_count(table(spark, d, "documents"), "text")
@@ -548,9 +567,12 @@ def group_verdict(spark, d):
 
 @query
 def file_audit(spark, d):
-    """Some groups have no cells at all, some lack their last stripe."""
+    """Some groups have no cells at all, some lack their last stripe, some have one past their
+    end in place of it, and of some the size isn't known."""
     cells = given.rs_cells(spark, d).where("group_id % 47 <> 0 and not (group_id % 5 = 0 and stripe_no = 1)")
-    found = audit_files(_metadata(spark, d), given.rs_units(spark, d), cells, {"rs-6-3": RS})
+    stray = F.expr("if(group_id % 53 = 0 and stripe_no = 1, 57, stripe_no)")
+    units = given.rs_units(spark, d).withColumn("group_size", F.expr("if(group_id % 59 = 0, null, group_size)"))
+    found = audit_files(_metadata(spark, d), units, cells.withColumn("stripe_no", stray), {"rs-6-3": RS})
     return found.withColumn("bad_block", _text("bad_block"))
 
 
@@ -576,6 +598,44 @@ def file_audit_mixed(spark, d):
     return audit_files(meta, units, reduce(DataFrame.unionByName, cells), codes).select("path", "status", "bad_host")
 
 
+def _unit_files(spark, cells, folder):
+    """A file per unit of each long group, its cells in their places and zeros between them;
+    ``group_id, unit_index, path, length``. A file is put together by a task, cell by cell."""
+    size = RS.cell_size
+    named = F.concat(F.lit(f"{folder}/group="), F.col("group_id").cast("string"), F.lit("/unit="), F.col("unit_index").cast("string"), F.lit(tables.PARTS))
+    pieces = cells.select(named.alias("target"), (F.col("stripe_no").cast("long") * size).alias("at"), "payload")
+    ends = cells.groupBy("group_id").agg(((F.max("stripe_no") + 1).cast("long") * size).alias("length"))
+    every = materialize(ends.select("group_id", "length", F.explode(F.sequence(F.lit(0), F.lit(RS.n - 1))).alias("unit_index")).withColumn("target", named), "unit-files")
+    materialize(units.write_parts(pieces, every.select("target", "length")), "written")
+    return every.select("group_id", "unit_index", F.col("target").alias("path"), "length")
+
+
+@query
+def unit_file_audit(spark, d):
+    """Captured unit files, read by ranges of 64 cells. In every 5th group a bit of unit 7 is
+    wrong in all its stripes, in every 7th one of unit 2 in those of every other order; of every
+    11th a unit's file is gone, and of every 13th one is shorter than listed."""
+    cells = given.whole_cells(spark, d)
+    hit = F.expr("(group_id % 5 = 0 and unit_index = 7) or (group_id % 7 = 0 and unit_index = 2 and stripe_no % 4 = 0)")
+    cells = cells.withColumn("payload", F.when(hit, given.one_bit(F.col("payload"))).otherwise(F.col("payload")))
+    written = materialize(_unit_files(spark, cells, scratch_path(spark, "units")), "listed")
+    gone = F.expr("group_id % 11 = 3 and unit_index = 4")
+    captured = written.withColumn("path", F.when(gone, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")))
+    captured = captured.withColumn("length", F.expr("if(group_id % 13 = 4 and unit_index = 1, length + 16, length)")).withColumn("cell_size", F.lit(RS.cell_size))
+    path = F.concat(F.lit("/w/g"), F.col("group_id").cast("string"))
+    held = written.select("group_id", path.alias("path"), "unit_index", F.concat(F.lit("h"), F.col("unit_index").cast("string")).alias("host"), (F.col("length") * RS.k).alias("group_size"))
+    meta = held.select("path").distinct().select("path", F.lit(True).alias("exists"), F.lit(True).alias("is_file"), F.lit(True).alias("is_closed"), F.lit("rs-6-3").alias("policy"), F.lit(1).alias("length"))
+    return audit_unit_files(meta, held, captured, {"rs-6-3": RS}).select("path", "status", "bad_host")
+
+
+@query
+def unit_cells(spark, d):
+    """The cells that unit files give back, but for those of zeros."""
+    listed = _unit_files(spark, given.whole_cells(spark, d), scratch_path(spark, "units")).withColumn("cell_size", F.lit(RS.cell_size))
+    cells = units.scan_unit_cells(listed, range_bytes=64 * RS.cell_size).where(f"unit_index < {RS.k} and payload <> unhex(repeat('0', {2 * RS.cell_size}))")
+    return cells.select("group_id", "stripe_no", "unit_index", F.lower(F.hex("payload")).alias("payload"))
+
+
 @query
 def file_status(spark, d):
     lines = given.supplier_units(spark, d)
@@ -654,45 +714,118 @@ def attempt_plan_named_only(spark, d):
     return attempts.groupBy("group_id").agg(F.count("*").alias("n"))
 
 
+class Trials(NamedTuple):
+    cells: DataFrame
+    damaged: DataFrame
+    outcome: DataFrame
+
+
 def _trials(spark, d):
-    """Files of two groups each: the damaged groups' attempts, all tried. All parity units of
+    """Files of two groups each: the damaged groups' attempts, all judged. All parity units of
     every 47th group are wrong as well, each in another byte, which no pair explains."""
     cells = given.beyond_repair(given.rs_cells(spark, d))
     units = given.rs_units(spark, d).withColumn("path", F.expr("concat('/w/f', group_id div 2)"))
-    bad = materialize(parity.group_verdict(parity.audit_parity(cells, RS, screen=True), units, RS).where("status = -1"), "bad")
+    stripes = materialize(parity.audit_parity(cells, RS, screen=True), "stripes")
+    bad = materialize(parity.group_verdict(stripes, units, RS).where("status = -1"), "bad")
     of_groups = bad.select("path", "group_id", "msg")
-    hosts = recovery.hosts_of_groups(units.join(of_groups.select("group_id"), "group_id", "left_semi"))
-    attempts = recovery.plan_group_attempts(of_groups, hosts)
-    return of_groups, try_until_good(cells, attempt_units(attempts, units), RS)
+    own = materialize(units.join(of_groups.select("group_id"), "group_id", "left_semi"), "units")
+    attempts = recovery.plan_group_attempts(of_groups, recovery.hosts_of_groups(own))
+    return Trials(cells, of_groups, try_attempts(cells, attempt_units(attempts, own), RS, stripes))
 
 
 @query
 def group_attempts(spark, d):
     """The first attempt that makes each damaged group right."""
-    best = recovery.best_attempts(_trials(spark, d)[1].outcome)
+    best = recovery.best_attempts(_trials(spark, d).outcome)
     return best.select("group_id", F.coalesce("attempt_no", F.lit(0)).alias("attempt_no"))
 
 
 @query
 def recovery_outcome(spark, d):
-    damaged, trials = _trials(spark, d)
-    return recovery.recovery_outcome(damaged, trials.outcome)
+    trials = _trials(spark, d)
+    return recovery.recovery_outcome(trials.damaged, trials.outcome)
 
 
 @query
 def unrecoverable(spark, d):
-    damaged, trials = _trials(spark, d)
-    return recovery.unrecoverable(recovery.recovery_outcome(damaged, trials.outcome))
+    trials = _trials(spark, d)
+    return recovery.unrecoverable(recovery.recovery_outcome(trials.damaged, trials.outcome))
 
 
 @query
 def repaired_payloads(spark, d):
     """Data cells of the repaired files' groups, to be compared with what they held at first."""
-    got = recovered_cells(_trials(spark, d)[1]).where(f"unit_index < {RS.k}")
+    trials = _trials(spark, d)
+    got = recovered_cells(trials.cells, trials.outcome, RS).where(f"unit_index < {RS.k}")
     hexed = F.lower(F.hex("payload")).alias("payload")
     return got.select("group_id", "stripe_no", "unit_index", hexed).where("payload <> repeat('0', 32)")
 
 
+CUT = parity.Policy(2, 1, "xor", 256)
+
+
+def _coded_files(spark, found):
+    """Files cut into two xor-coded groups each: ``groups`` and all cells. ``found``: ``path, length, p``."""
+    per_stripe = CUT.k * CUT.cell_size
+    first = F.ceil(F.ceil(F.col("length") / per_stripe) / 2) * per_stripe
+    held = found.withColumn("file_id", F.shiftrightunsigned(F.xxhash64("path"), 2)).withColumn("first", F.least(first, F.col("length")))
+    sizes = F.array(F.col("first"), F.col("length") - F.col("first"))
+    groups = held.select("path", "p", "file_id", "first", F.posexplode(sizes).alias("group_no", "group_size")).where("group_size > 0")
+    groups = materialize(groups.withColumn("group_id", F.col("file_id") * 2 + F.col("group_no")), "groups")
+    raw = units.scan_unit_cells(held.select("path", "length", F.col("file_id").alias("group_id"), F.lit(0).alias("unit_index"), F.lit(CUT.cell_size).alias("cell_size")))
+    starts = F.broadcast(held.select(F.col("file_id").alias("group_id"), F.ceil(F.col("first") / CUT.cell_size).cast("int").alias("n_first")))
+    placed = raw.join(starts, "group_id").withColumn("second", (F.col("stripe_no") >= F.col("n_first")).cast("int"))
+    at = F.col("stripe_no") - F.col("second") * F.col("n_first")
+    data = placed.select((F.col("group_id") * 2 + F.col("second")).alias("group_id"), F.floor(at / CUT.k).cast("int").alias("stripe_no"), (at % CUT.k).cast("int").alias("unit_index"), "payload")
+    data = materialize(data, "data-cells")
+    return groups, data, materialize(data.unionByName(parity.encode(data, CUT)), "coded-cells")
+
+
+@query
+def repaired_files(spark, d):
+    """ORC, Parquet, text and gzip files in xor-coded cells: parity finds damage but can't place
+    it, so every unit is left out in turn, the parity unit first, and the rebuilt file's
+    content decides. Damaged is the second unit (part 1), both data units of the first stripe
+    (part 2: no attempt helps) or the parity unit (part 3) of each group."""
+    base = scratch_path(spark, "whole")
+    orders = table(spark, d, "orders").withColumn("p", F.expr("cast(o_orderkey % 4 as int)"))
+    orders.write.partitionBy("p").parquet(f"{base}/x.db/t2")
+    orders.write.partitionBy("p").orc(f"{base}/x.db/t9")
+    lines = given.clean_lines(spark, d).select("value", F.expr("p % 4 as p"))
+    lines.write.partitionBy("p").text(f"{base}/x.db/t0")
+    lines.write.partitionBy("p").option("compression", "gzip").text(f"{base}/x.db/t1")
+    found = materialize(files.scan_files(spark, base).select("path", "length", F.regexp_extract("path", r"/p=(\d)/", 1).cast("int").alias("p")), "found")
+    groups, data, coded = _coded_files(spark, found)
+    parts = groups.select("group_id", "p")
+    noise = F.unhex(F.expr("substring(repeat('780A', 128), 1, 2 * octet_length(payload))"))
+    hit = F.expr("p = 1 and unit_index = 1 or p = 2 and unit_index < 2 and stripe_no = 0 or p = 3 and unit_index = 2")
+    cells = materialize(coded.join(F.broadcast(parts), "group_id").select("group_id", "stripe_no", "unit_index", F.when(hit, noise).otherwise(F.col("payload")).alias("payload")), "cells")
+    order = F.array(*(F.struct(F.lit(n).alias("attempt_no"), F.array(F.lit(u)).alias("excluded")) for n, u in enumerate((2, 0, 1), 1)))
+    attempts = groups.select("path", "group_id", F.explode(order).alias("a")).select("path", "group_id", "a.attempt_no", "a.excluded")
+    hurt = found.where("p > 0")
+    repair = repair_files(cells, hurt.select("path", "length"), groups.join(hurt.select("path"), "path", "left_semi"), attempts, CUT, given.registry(spark), scratch_path(spark, "repaired"))
+    fixed = repair.outcome.join(hurt.select("path", "length", "p"), "path")
+    # every cell of a repaired file against the file that was there at first
+    again = fixed.where("target is not null").select(F.col("target").alias("path"), "length", F.shiftrightunsigned(F.xxhash64("path"), 2).alias("group_id"), F.lit(0).alias("unit_index"), F.lit(CUT.cell_size).alias("cell_size"))
+    first = units.scan_unit_cells(hurt.select("path", "length", F.shiftrightunsigned(F.xxhash64("path"), 2).alias("group_id"), F.lit(0).alias("unit_index"), F.lit(CUT.cell_size).alias("cell_size")))
+    same = first.alias("x").join(units.scan_unit_cells(again).alias("y"), ["group_id", "stripe_no"]).groupBy("group_id").agg(F.bool_and(F.col("x.payload") == F.col("y.payload")).alias("same"))
+    told = fixed.withColumn("group_id", F.shiftrightunsigned(F.xxhash64("path"), 2)).join(same, "group_id", "left")
+    return told.groupBy(F.regexp_extract("path", r"/x\.db/(\w+)/", 1).alias("tab"), F.col("p").cast("string").alias("part")).agg(
+        F.min("outcome").alias("outcome"), F.max("outcome").alias("highest"), F.coalesce(F.max("attempt_no"), F.lit(0)).alias("attempt_no"), F.coalesce(F.bool_and("same"), F.lit(False)).alias("same"))
+
+
+@query
+def located_per_stripe(spark, d):
+    """Groups in which each stripe has a wrong bit in another unit: stripe s in unit s % 9."""
+    whole = given.whole_cells(spark, d)
+    hit = F.expr("group_id % 3 = 0 and unit_index = stripe_no % 9")
+    cells = materialize(whole.withColumn("payload", F.when(hit, given.one_bit(F.col("payload"))).otherwise(F.col("payload"))), "cells")
+    repair = repair_units(cells, RS)
+    key = ["group_id", "stripe_no", "unit_index"]
+    held = repair.fixed.join(whole.withColumnRenamed("payload", "_was"), key).groupBy("group_id").agg(F.count("*").alias("n_fixed"), F.count_if(F.col("payload") == F.col("_was")).alias("n_same"))
+    return repair.located.select("group_id", "outcome").join(held, "group_id", "left")
+
+
 @query
 def refused_groups(spark, d):
     """As many units as an order has lines, asked of a code with three parities."""
