@@ -41,7 +41,11 @@ KEY_FORMATS = (
 )
 #: Judged false without labels: dates, numbers, identifiers in hex groups, parts of addresses.
 KNOWN_FALSE = r"(?:19|20)\d\d[-/_]\d\d[-/_]\d\d[-/_\dTZ]*|[\d\-_/+]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|/?(?:[a-z]+\d{0,4}[/_\-])+[a-z]*\d{0,4}/?|[a-z]+\d{1,4}"
+#: Judged false inside a key format: placeholders, keys of documentation, runs of few characters.
+PLACEHOLDER = r"(?i:.*(?:example|sample|placeholder|changeme|change_me|dummy|redacted|your[_-]|my[_-](?:secret|token|key)|xxxx|\*\*\*\*).*)"
+LEAST_CHARACTERS = 5
 _KEY, _FALSE = re.compile(KEY_FORMATS), re.compile(KNOWN_FALSE)
+_PLACEHOLDER = re.compile(PLACEHOLDER)
 _NAMED = re.compile(r"(?:bearer\s+|(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?)", re.IGNORECASE)
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 #: Every match of KEY_FORMATS has one of these, the latter ones after case folding.
@@ -60,8 +64,14 @@ def _values(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _label(value: str) -> int:
+    """1 for the value of a key, 0 if it only stands in for one."""
+    return 0 if _PLACEHOLDER.fullmatch(value) or len(set(value)) < LEAST_CHARACTERS else 1
+
+
 def _judged(text: str) -> list[tuple[int, int, int]]:
-    """Candidates with 1 for a key format, 0 for a known false form, -1 for neither."""
+    """Candidates with 1 for a key format, 0 for a known false form or a stand-in inside a key
+    format, -1 for neither."""
     keys, out = _values(text), []
     runs, k = [m.span() for m in _RUN.finditer(text)], 0
     met = set()
@@ -71,9 +81,9 @@ def _judged(text: str) -> list[tuple[int, int, int]]:
         inside = range(k, next((j for j in range(k, len(keys)) if keys[j][0] >= end), len(keys)))
         met.update(inside)
         if inside or _DIGIT.search(text, start, end):
-            out.append((start, end, 1 if inside else 0 if _FALSE.fullmatch(text, start, end) else -1))
+            out.append((start, end, _label(text[start:end]) if inside else 0 if _FALSE.fullmatch(text, start, end) else -1))
     # keys all of whose runs are shorter than a candidate
-    out += [(*span, 1) for at, span in enumerate(keys) if at not in met]
+    out += [(*span, _label(text[slice(*span)])) for at, span in enumerate(keys) if at not in met]
     return sorted(out)
 
 
@@ -155,7 +165,8 @@ def grow_forest(x: np.ndarray, y: np.ndarray, n_trees: int = N_TREES, depth: int
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> set[str]:
-    """The words that occur most often in all documents."""
+    """The words that occur most often in all documents; of those with equal counts the first
+    by name."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +176,24 @@ def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select(F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()}
+    counts = materialize(counts.withColumn("size", F.floor(F.log2("n")).cast("int")), "word-counts")
+    # words by the power of two of their count: those below the power that completes the dictionary stay where they are
+    above, least = 0, 0
+    for r in counts.groupBy("size").count().orderBy(F.desc("size")).collect():  # at most 63 rows
+        above, least = above + r["count"], r["size"]
+        if above >= words:
+            break
+    some = counts.where(F.col("size") >= least)
+    if above > 8 * words:  # very many with counts alike: by their exact count
+        seen, low = 0, 0
+        for r in some.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+            seen, low = seen + r["count"], r["n"]
+            if seen >= words:
+                break
+        some = some.where(F.col("n") >= low)
+    # what is left is sorted by tasks; only the dictionary itself comes to the driver
+    ranked = some.repartitionByRange(8, F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word")
+    return {r["word"] for r in ranked.limit(words).collect()}
 
 
 _FOUND = "doc_id long, start long, length long, label int, chance double"
@@ -191,11 +219,13 @@ def _found(known: set[str], forest: Forest | None):
 
 
 def train(docs: DataFrame, known: set[str], findings: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE_FINDINGS) -> Forest:
-    """A forest from at most ``sample`` findings, chosen by a hash of their place.
+    """A forest from at most half of ``sample`` findings of each label, chosen by a hash of their
+    place, so that a rare label is there.
 
     ``findings``: ``doc_id, start, label`` of judged candidates. Without it, the candidates of
-    known key formats count as secrets, those of KNOWN_FALSE as false; what is neither, or has
-    no document identifier, is left out.
+    known key formats count as secrets, those of KNOWN_FALSE, and stand-ins inside key formats
+    (PLACEHOLDER, few different characters), as false; what is neither, or has no document
+    identifier, is left out.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = slim.mapInArrow(_found(known, None), "doc_id long, start long, length long, label int, x array<double>")
@@ -204,14 +234,17 @@ def train(docs: DataFrame, known: set[str], findings: DataFrame | None = None, t
         found = found.drop("label").join(F.broadcast(few), ["doc_id", "start"])  # bounded by the sample
     else:
         found = found.where("label >= 0")
-    rows = hash_sample(materialize(found, "findings"), ["doc_id", "start", "label"], sample).toPandas()
+    told = materialize(found, "findings")
+    each = [hash_sample(told.where(F.col("label") == y), ["doc_id", "start", "label"], sample // 2) for y in (0, 1)]
+    rows = each[0].union(each[1]).toPandas().sort_values(["label", "doc_id", "start"], ignore_index=True)
     return grow_forest(np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES), rows["label"].to_numpy(float))
 
 
 def scan(docs: DataFrame, known: set[str], forest: Forest, text_col: str = "text", id_col: str = "doc_id", least_chance: float = LEAST_CHANCE) -> DataFrame:
     """One row per candidate: ``doc_id, start, length, chance, secret``.
 
-    ``start`` and ``length`` count characters. Null and empty texts have no candidates. Null
+    ``start`` and ``length`` count characters, of a very long text as of any. Other columns are
+    not read, whatever their names. Null and empty texts have no candidates. Null
     identifiers are kept, repeated rows repeat their candidates. No rows in: no rows out.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
