@@ -246,7 +246,8 @@ def remove_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(math.ceil(size / block_bytes), docs.sparkSession.sparkContext.defaultParallelism)
-    blocks = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    # as many partitions as blocks: what a task reads stays at a few blocks, whatever the corpus
+    blocks = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "block")
     packed = "part long, block long, c0 binary"
     named = blocks.groupBy("block").applyInPandas(_name_phrases(width, n), packed)
     several = named.groupBy("part").applyInPandas(_recurring, packed)
