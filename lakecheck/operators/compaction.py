@@ -30,3 +30,15 @@ def compact_text(lines: DataFrame, n_files: int) -> DataFrame:
         .sortWithinPartitions("value")
         .select("value")
     )
+
+
+def line_fingerprint(lines: DataFrame) -> DataFrame:
+    """One row ``n_lines, h1, h2`` that is the same for two tables of lines if, and but for a chance
+    of about 2^-128 only if, they hold the same lines equally often, in any order and any
+    files: counts and sums of two 64-bit hashes, which combine before the shuffle."""
+    wide = "decimal(38,0)"  # room for 10^18 lines
+    return lines.agg(
+        F.count("*").alias("n_lines"),
+        F.coalesce(F.sum(F.xxhash64("value").cast(wide)), F.lit(0).cast(wide)).alias("h1"),
+        F.coalesce(F.sum(F.xxhash64(F.lit("second"), "value").cast(wide)), F.lit(0).cast(wide)).alias("h2"),
+    )

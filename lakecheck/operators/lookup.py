@@ -42,6 +42,25 @@ def route_by_prefix(files: DataFrame, prefixes: list[str]) -> DataFrame:
     return files.withColumn("format", F.when(hit, "parquet").otherwise(DEFAULT_FORMAT))
 
 
+def route_by_prefixes(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Add ``format``: that of the longest prefix of the path in ``prefixes`` (``prefix, format``,
+    each prefix once), else the default.
+
+    Any number of prefixes: a path is looked up by equality, once for each length that a prefix
+    has, so there is no chain of tests and no list of prefixes on the driver, which gets
+    their lengths alone (no more than the longest path has characters).
+    """
+    lengths = sorted(r["n"] for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect() if r["n"] is not None)
+    if not lengths:
+        return files.withColumn("format", F.lit(DEFAULT_FORMAT))
+    tried = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
+    starts = files.select("path").distinct().select("path", F.explode(F.transform(tried, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("prefix"))
+    hits = dimension_join(starts, prefixes.select("prefix", "format"), "prefix", "left").where("format is not null")
+    best = hits.groupBy("path").agg(F.max(F.struct(F.length("prefix").alias("n"), "format")).alias("_best"))
+    routed = files.join(best, "path", "left").withColumn("format", F.coalesce("_best.format", F.lit(DEFAULT_FORMAT)))
+    return routed.select(*files.columns, "format")
+
+
 def exclude_databases(files: DataFrame, databases: DataFrame) -> DataFrame:
     """Drop files whose ``db`` is listed (exact match)."""
     return dimension_join(files, databases.select("db"), "db", "left_anti")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakecheck.operators import aggregates, lookup, shards
+from lakecheck.operators.compaction import line_fingerprint
 from lakecheck.sources import files
 
 
@@ -111,3 +112,26 @@ def test_alert(spark):
     rows = [(1, "p", 0), (2, "p", -1), (3, None, None), (4, "q", 1)]
     got = aggregates.alert(spark.createDataFrame(rows, "block_id int, path string, status int")).first()
     assert (got["n_alerts"], got["raise"]) == (2, True)
+
+
+def test_prefixes_as_a_table(spark, conf):
+    paths = ["/w/a.db/t/f1", "/w/a.db/t/f12", "/w/a.db/u/f", "/w", "", "/x"]
+    files = spark.createDataFrame([(p, 1) for p in [*paths, "/x"]], "path string, size int")
+    prefixes = spark.createDataFrame([("/w/a", "text"), ("/w/a.db/t/f1", "parquet"), ("/w/a.db/t/f12", "text_gzip"), (None, "none")], "prefix string, format string")
+    want = {"/w/a.db/t/f1": "parquet", "/w/a.db/t/f12": "text_gzip", "/w/a.db/u/f": "text", "/w": "orc", "": "orc", "/x": "orc"}
+    got = lookup.route_by_prefixes(files, prefixes)
+    assert {r["path"]: r["format"] for r in got.collect()} == want and got.count() == 7 and got.columns == ["path", "size", "format"]
+    assert {r["format"] for r in lookup.route_by_prefixes(files, prefixes.limit(0)).collect()} == {"orc"}
+    many = spark.range(120_000).selectExpr("concat('/w/p', id) AS prefix", "'parquet' AS format")
+    routed = lookup.route_by_prefixes(spark.createDataFrame([("/w/p77777/f",), ("/v/p1",)], "path string"), many)
+    assert {r["path"]: r["format"] for r in routed.collect()} == {"/w/p77777/f": "parquet", "/v/p1": "orc"}
+
+
+def test_fingerprints_of_lines(spark):
+    lines = spark.createDataFrame([("a",), ("b",), ("b",), ("",)], "value string")
+
+    def of(rows):
+        return tuple(line_fingerprint(spark.createDataFrame([(r,) for r in rows], "value string")).first())
+
+    assert of(["b", "", "a", "b"]) == tuple(line_fingerprint(lines).first())
+    assert len({of(x) for x in (["a", "b"], ["a", "a"], ["b", "b"], ["ab"], ["a", "b", ""], [])}) == 6

@@ -125,6 +125,9 @@ ORACLES = {
     "route_format": f"""WITH {FILES} SELECT path, CASE tab WHEN 't0' THEN 'text' WHEN 't1' THEN 'text_gzip' WHEN 't2' THEN 'parquet'
           WHEN 't3' THEN 'text' WHEN 't4' THEN 'text_gzip' ELSE 'orc' END AS format,
           CASE WHEN tab IN ('t0', 't1') THEN '5' WHEN tab IN ('t3', 't4') THEN '11' END AS n_cols FROM f""",
+    "route_by_prefixes": f"""WITH {FILES}, p AS (SELECT db, tab, left(path, length(path) - 1) AS prefix, CASE o_orderstatus WHEN 'F' THEN 'text' WHEN 'O' THEN 'parquet' ELSE 'text_gzip' END AS format
+          FROM f WHERE key % 10 = 3)
+        SELECT f.path, coalesce(arg_max(p.format, length(p.prefix)), 'orc') AS format FROM f LEFT JOIN p ON p.db = f.db AND p.tab = f.tab AND starts_with(f.path, p.prefix) GROUP BY f.path""",
     "route_by_prefix": f"""WITH {FILES} SELECT path, CASE WHEN db = 'db4' OR (db = 'db3' AND tab = 't1') THEN 'parquet' ELSE 'orc' END AS format
         FROM f""",
     "pending": f"WITH {FILES} SELECT path FROM f WHERE o_orderstatus <> 'F'",
@@ -166,6 +169,9 @@ ORACLES = {
             ELSE length(rtrim(text, ',')) - length(replace(rtrim(text, ','), ',', '')) + 1 END AS INTEGER) AS n_fields
         FROM conversations""",
     # compaction and shards
+    "compaction_proof": r"""WITH n AS (SELECT count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents))
+        SELECT kind, n + CASE kind WHEN 'dropped' THEN -1 WHEN 'doubled' THEN 1 ELSE 0 END AS n_lines, kind = 'moved' AS same
+        FROM n, (SELECT unnest(['moved', 'dropped', 'doubled', 'both']) AS kind)""",
     "compact_text": r"""SELECT md5(line) AS line, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents)
         GROUP BY ALL""",
     "shard_even": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM orders)

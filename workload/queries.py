@@ -260,6 +260,15 @@ def route_by_prefix(spark, d):
     return lookup.route_by_prefix(given.order_files(spark, d), prefixes).select("path", "format")
 
 
+@query
+def route_by_prefixes(spark, d):
+    """A tenth of all paths without their last character as prefixes, each with a format; the
+    longest one that fits counts."""
+    own = table(spark, d, "orders").where("o_orderkey % 10 = 3").select(F.expr(given.PATH).alias("path"), "o_orderstatus")
+    prefixes = own.select(F.expr("substring(path, 1, length(path) - 1)").alias("prefix"), F.expr("decode(o_orderstatus, 'F', 'text', 'O', 'parquet', 'text_gzip')").alias("format"))
+    return lookup.route_by_prefixes(given.order_files(spark, d), prefixes).select("path", "format")
+
+
 @query
 def pending(spark, d):
     done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.expr(given.PATH).alias("path"))
@@ -476,6 +485,24 @@ def compact_text(spark, d):
     return tables.scan_small_text(spark, out).groupBy(F.md5("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+@query
+def compaction_proof(spark, d):
+    """Fingerprints of all lines: in other partitions, with one line gone, with one twice, and with
+    one gone and another twice."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("at", "value"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    start = F.col("at") == 0
+    marked = materialize(docs.select("value", (start & (F.col("doc_id") == low)).alias("first"), (start & (F.col("doc_id") == high)).alias("last")), "lines")
+    cases = {
+        "moved": marked.repartition(5), "dropped": marked.where("not first"), "doubled": marked.unionByName(marked.where("last")),
+        "both": marked.where("not first").unionByName(marked.where("last")),
+    }
+    whole = compaction.line_fingerprint(marked).first()
+    same = (F.col("n_lines") == whole["n_lines"]) & (F.col("h1") == whole["h1"]) & (F.col("h2") == whole["h2"])
+    told = [compaction.line_fingerprint(lines).select(F.lit(name).alias("kind"), "n_lines", same.alias("same")) for name, lines in cases.items()]
+    return reduce(DataFrame.unionByName, told)
+
+
 @query
 def compact_text_bzip2(spark, d):
     out = scratch_path(spark, "compact")
