@@ -8,9 +8,11 @@ it hashes to, so that one very large file keeps many tasks busy. A damaged file
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,37 @@ class _Parquet:
         ]
         self.units = len(self._parts)
 
+    def _said(self, group: int, columns: list[int]) -> dict[str, tuple]:
+        """Name -> what the footer says of a flat column's chunk: nulls, least and greatest value,
+        null where it says nothing. Bounds may be rounded outwards, so values lie within."""
+        out = {}
+        for i in columns:
+            leaf, chunk = self._file.metadata.schema.column(i), self._file.metadata.row_group(group).column(i)
+            stats = chunk.statistics if "." not in leaf.path and leaf.max_repetition_level == 0 else None
+            if stats is not None:
+                plain = leaf.physical_type in ("INT32", "INT64", "FLOAT", "DOUBLE") and leaf.logical_type.type in ("NONE", "INT")
+                bounds = stats.has_min_max and plain and stats.min == stats.min and stats.max == stats.max
+                out[leaf.path] = (stats.null_count if stats.has_null_count else None, *((stats.min, stats.max) if bounds else (None, None)))
+        return out
+
     def read(self, unit: int) -> int:
-        """Decode one part; its rows count for the file only in the first column range."""
+        """Decode one part; its rows count for the file only in the first column range. Decoded
+        values have to lie within what the footer says of their chunk: without checksums,
+        overwritten bytes may well decode."""
         group, columns = self._parts[unit]
-        batches = self._file.reader.iter_batches(16384, row_groups=[group], column_indices=columns, use_threads=False)
-        n_rows = sum(batch.num_rows for batch in batches)
+        said, n_rows, nulls = self._said(group, columns), 0, Counter()
+        for batch in self._file.reader.iter_batches(16384, row_groups=[group], column_indices=columns, use_threads=False):
+            n_rows += batch.num_rows
+            for name, (_, least, greatest) in said.items():
+                values = batch.column(name)
+                nulls[name] += values.null_count
+                if least is not None:
+                    seen = pc.min_max(values).as_py()  # of floats without NaN
+                    if seen["min"] is not None and not least <= seen["min"] <= seen["max"] <= greatest and seen["min"] == seen["min"]:
+                        raise ValueError(f"values of {name} in row group {group} leave the range of the footer")
+        for name, (n_null, _, _) in said.items():
+            if n_null is not None and n_null != nulls[name]:
+                raise ValueError(f"nulls of {name} in row group {group} differ from the footer")
         if n_rows != self._file.metadata.row_group(group).num_rows:
             raise ValueError(f"row group {group} has {n_rows} rows")
         return n_rows if columns[:1] in ([0], []) else 0

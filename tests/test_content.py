@@ -230,3 +230,23 @@ def test_compaction_keeps_the_bag_and_spreads_hot_lines(spark, tmp_path):
     assert done.n_files == 1 and done.whole and done.n_lines == spark.read.text(str(tmp_path / "in")).count()
     back = Counter(r["value"] for r in tables.scan_small_text(spark, str(tmp_path / "out")).collect())
     assert back == Counter(lines)
+
+
+def test_values_outside_the_footer(spark, tmp_path):
+    """Bytes changed in a page without compression and checksum decode to other values."""
+
+    n = 5000
+    table = pa.table({
+        "k": pa.array(range(1000, 1000 + n), pa.int64()), "f": pa.array([float(i % 7) + 1 if i % 9 else None for i in range(n)]), "s": pa.array([f"s{i}" for i in range(n)]),
+        "nan": pa.array([float("nan")] * n), "none": pa.array([None] * n, pa.int32()), "l": pa.array([[i] for i in range(n)]), "t": pa.array(range(n), pa.timestamp("us")), "u": pa.array([2**32 - 1 - i % 5 for i in range(n)], pa.uint32()),
+    })
+    for name in ("good", "key", "small"):
+        pq.write_table(table, tmp_path / name, compression="none", use_dictionary=False, row_group_size=2000)
+    data = (tmp_path / "key").read_bytes()
+    at = data.index((1500).to_bytes(8, "little"))
+    (tmp_path / "key").write_bytes(data[:at] + b"\xff" * 7 + b"\x7f" + data[at + 8 :])
+    (tmp_path / "small").write_bytes(data[:at] + (1600).to_bytes(8, "little") + data[at + 8 :])  # within the range: not seen
+    files = spark.createDataFrame([(str(tmp_path / n), 1000) for n in ("good", "key", "small")], "path string, length bigint")
+    got = {r["path"].rsplit("/", 1)[1]: (r["status"], r["msg"]) for r in filecheck.check_parquet(files).collect()}
+    assert got["good"] == (0, None) and got["small"][0] == 0
+    assert got["key"][0] == -1 and "leave the range" in got["key"][1]

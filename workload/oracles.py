@@ -139,6 +139,7 @@ ORACLES = {
     # content
     "check_parquet": PARQUET,
     "check_parquet_damaged": DAMAGED_PARTS,
+    "check_parquet_values": DAMAGED_PARTS,
     "check_orc_damaged": DAMAGED_PARTS.replace("IN (1, 2)", "= 1"),
     "check_gzip_damaged": """SELECT CAST(c_custkey % 4 AS VARCHAR) AS part, c_custkey % 4 IN (1, 2) AS broken,
           CASE WHEN c_custkey % 4 IN (1, 2) OR bool_or(c_custkey % 13 = 0 OR c_custkey % 17 = 0) THEN -1 ELSE 0 END AS status

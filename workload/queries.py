@@ -332,6 +332,17 @@ def check_parquet_damaged(spark, d):
     return checked.groupBy(F.regexp_extract("path", r"part=(\d)", 1).alias("part")).agg(F.min("status").alias("status"))
 
 
+@query
+def check_parquet_values(spark, d):
+    """Damage in files without compression and checksums, where other bytes are other values."""
+    source = scratch_path(spark, "parquet")
+    rows = table(spark, d, "orders").withColumn("part", F.expr("cast(o_custkey % 4 as int)"))
+    plain = {"compression": "none", "parquet.page.write-checksum.enabled": "false", "parquet.enable.dictionary": "false"}
+    rows.repartition(4, "part").write.partitionBy("part").options(**plain).parquet(source)
+    checked = filecheck.check_parquet(materialize(_damaged_copy(spark, source), "copied"))
+    return checked.groupBy(F.regexp_extract("path", r"part=(\d)", 1).alias("part")).agg(F.min("status").alias("status"))
+
+
 @query
 def check_gzip_damaged(spark, d):
     source = scratch_path(spark, "gzip")
