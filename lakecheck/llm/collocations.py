@@ -18,11 +18,9 @@ state of phrases whose cycle runs is a written table.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +35,14 @@ from lakecheck.session import fits_broadcast, materialize
 THRESHOLD, LONGEST, SHARDS, TOP = 10, 3, 2, 2000
 #: Slots of the array that tells what is frequent: one byte each, whatever the corpus.
 SLOTS = 1 << 24
-#: Words that a task counts at once.
-CHUNK = 1_000_000
-#: Words that a task knows by number; beyond it, between chunks, it starts anew.
-MOST_WORDS = 500_000
+#: Text bytes that a task counts at once; a longer text is counted alone.
+CHUNK_BYTES = 8 << 20
 #: Groups that a language's phrases are dealt to before its first ones are taken from theirs.
 DEALT = 64
 UNKNOWN = "und"
 NEVER = 255
 
-_BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-_TOKEN = re.compile(rb"[^ \t\n]+|\n")
+_BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _COUNTS = "key string, n long"
 _FIRST = 48  # character of scan 0 at the start of a key
 
@@ -80,59 +75,50 @@ def _ready(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
 # --- one scan -----------------------------------------------------------------------------
 
 
-class Words:
-    """Words of a task by number, per language; 0 stands between pieces."""
-
-    def __init__(self, marks: np.ndarray):
-        self.marks, self.numbers = marks, count(1).__next__
-        self.index: dict[bytes, defaultdict[bytes, int]] = {}
-        self.words, self.langs, self.hashes, self.seen = [b""], [b""], np.zeros(1, np.uint64), {}
-
-    def ids(self, lang: bytes, text: bytes) -> np.ndarray:
-        known = self.index.get(lang)
-        if known is None:
-            known = self.index[lang] = defaultdict(self.numbers)
-            known[b"\n"] = 0
-        tokens = _TOKEN.findall(text.lower().translate(_BREAKS))
-        tokens.append(b"\n")
-        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-
-    def catch_up(self) -> None:
-        """Words, languages and hashes of the numbers given since the last time."""
-        fresh = []
-        for lang, known in self.index.items():
-            at = self.seen.get(lang, 1)  # the first is the break
-            fresh += [(i, lang, word) for word, i in islice(known.items(), at, None)]
-            self.seen[lang] = len(known)
-        fresh.sort()
-        self.words += [w for _, _, w in fresh]
-        self.langs += [lang for _, lang, _ in fresh]
-        self.hashes = np.concatenate([self.hashes, np.array([_word_hash(lang, w) for _, lang, w in fresh], np.uint64)])
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Words of some texts as numbers from 1, 0 between pieces and behind the last one, and the
+    words by number. Whole texts side by side: no loop over words."""
+    data = np.frombuffer(b"\n".join(texts).lower().translate(_BREAKS), np.uint8)
+    inside = (data != 32) & (data != 10)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    before = np.cumsum(data == 10, dtype=np.int64)[starts]
+    fresh = np.diff(before, prepend=before[:1]) > 0  # a piece ends before the word
+    out = np.zeros(n + int(fresh.sum()) + 1, np.int64)
+    out[np.arange(n) + np.cumsum(fresh)] = words.indices.to_numpy() + 1
+    return out, words.dictionary.cast(pa.large_string()).cast(pa.string())
 
 
 class Chunk:
     """Some texts of a task, counted at once."""
 
-    def __init__(self, words: Words):
-        self.words, self.parts, self.size = words, [], 0
-        self.n_words: defaultdict[bytes, int] = defaultdict(int)
+    def __init__(self):
+        self.texts: defaultdict[bytes, list[bytes]] = defaultdict(list)
+        self.size = 0
 
     def add(self, lang: bytes, text: bytes) -> None:
-        ids = self.words.ids(lang, text)
-        self.parts.append(ids)
-        self.n_words[lang] += int(np.count_nonzero(ids))
-        self.size += len(ids)
+        self.texts[lang].append(text)
+        self.size += len(text) + 1
 
-    def counts(self, scan: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+    def counts(self, scan: int, shards: int, longest: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of the phrases that are active in this scan."""
-        self.words.catch_up()
-        words, langs = (pa.array(x, pa.binary()).cast(pa.string()) for x in (self.words.words, self.words.langs))
-        marks, hashed, n_words = self.words.marks, self.words.hashes, len(self.words.words)
-        x = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
-        self.parts = []
+        parts, own_words, own_langs, hashes, base = [], [pa.array([""])], [pa.array([""])], [np.zeros(1, np.uint64)], 0
+        for lang, texts in self.texts.items():
+            ids, known = numbered(texts)
+            if scan < shards:
+                yield _rows(pa.array([""]), pa.array([lang.decode()]), np.zeros(1, np.int64), np.array([np.count_nonzero(ids)]))
+            parts.append(np.where(ids > 0, ids + base, 0))
+            own_words.append(known)
+            own_langs.append(pa.array([lang.decode()]).take(pa.array(np.zeros(len(known), np.int64))))
+            hashes.append(np.fromiter((_word_hash(lang, w) for w in known.cast(pa.binary()).to_pylist()), np.uint64, len(known)))
+            base += len(known)
+        self.texts.clear()
+        words, langs, hashed, n_words = pa.concat_arrays(own_words), pa.concat_arrays(own_langs), np.concatenate(hashes), base + 1
+        x = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         if scan < shards:
-            for lang, n in self.n_words.items():
-                yield _rows(pa.array([""]), pa.array([lang.decode()]), np.zeros(1, np.int64), np.array([n]))
             often = np.bincount(x, minlength=n_words)
             often[0] = 0
             own = np.flatnonzero(often)
@@ -196,21 +182,18 @@ def _rows(phrases: pa.Array, langs: pa.Array, since: np.ndarray, n: np.ndarray)
     return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64())], ["key", "n"])
 
 
-def _scan(scan: int, shards: int, longest: int, packed, chunk_words: int):
+def _scan(scan: int, shards: int, longest: int, packed, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(zlib.decompress(packed.value), np.uint8)
-        words = Words(marks)
-        chunk = Chunk(words)
+        chunk = Chunk()
         for batch in batches:
             for lang, text in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns), strict=True):
                 chunk.add(lang, text)
-                if chunk.size >= chunk_words:
-                    yield from chunk.counts(scan, shards, longest)
-                    if len(words.words) > MOST_WORDS:
-                        words = Words(marks)
-                    chunk = Chunk(words)
+                if chunk.size >= chunk_bytes:
+                    yield from chunk.counts(scan, shards, longest, marks)
+                    chunk = Chunk()
         if chunk.size:
-            yield from chunk.counts(scan, shards, longest)
+            yield from chunk.counts(scan, shards, longest, marks)
 
     return run
 
@@ -254,7 +237,7 @@ def _mark(frequent: DataFrame, marks: np.ndarray, scan: int) -> bool:
 
 def frequent_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS,
-    slots: int = SLOTS, chunk_words: int = CHUNK,
+    slots: int = SLOTS, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """``lang, phrase, size, n`` of all phrases of 1 to ``longest`` words with at least
     ``threshold`` occurrences, and for each language a row of size 0 with all its words.
@@ -274,7 +257,7 @@ def frequent_phrases(
     running, done, scan, until = None, [], 0, shards
     while scan < until:
         packed = spark.sparkContext.broadcast(zlib.compress(marks.tobytes(), 1))
-        counted = slim.where(shard == scan % shards).mapInArrow(_scan(scan, shards, longest, packed, chunk_words), _COUNTS)
+        counted = slim.where(shard == scan % shards).mapInArrow(_scan(scan, shards, longest, packed, chunk_bytes), _COUNTS)
         both = counted if running is None else running.unionByName(counted)
         summed = both.groupBy("key").agg(F.sum("n").alias("n"))
         over = F.ascii(F.substring("key", 1, 1)) - _FIRST + shards - 1 <= scan

@@ -58,7 +58,7 @@ def test_every_count_is_exact(spark, shards, longest, slots, chunk):
     docs = texts(shards)
     f, n = counts_brute(docs, longest)
     df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
-    got = col.frequent_phrases(df, longest=longest, shards=shards, slots=slots, chunk_words=chunk).collect()
+    got = col.frequent_phrases(df, longest=longest, shards=shards, slots=slots, chunk_bytes=chunk).collect()
     want = [(lang, " ".join(p), len(p), a) for lang in f for p, a in f[lang].items() if a >= 10] + [(lang, "", 0, k) for lang, k in n.items()]
     assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
     assert any(len(p) == 3 and a >= 10 for lang in f for p, a in f[lang].items()) or longest == 2
