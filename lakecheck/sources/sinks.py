@@ -3,8 +3,11 @@ to pass through one task: ``rebalance`` lets Spark split the large ones."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import report_line
@@ -111,6 +114,35 @@ def write_compressed(lines: DataFrame, out: str, codec: str = "gzip") -> None:
     lines.select("value").write.mode("overwrite").option("compression", codec).text(out)
 
 
+_POINTERS = "seq bigint, path string"
+
+
+def publish(df: DataFrame, out: str, write: Callable[[DataFrame, str], object]) -> str:
+    """Write a new version of an output below ``out`` with one of the writers above, then point to
+    it. Until the pointer is there, a row that Spark commits as a whole, readers get the
+    version before; a run that dies leaves that one as it was. Earlier versions stay, for
+    readers that have begun; remove them when none has."""
+    spark = df.sparkSession
+    version = f"{out.rstrip('/')}/versions/{uuid.uuid4().hex}"
+    write(df, version)
+    seq = max((r["seq"] for r in _pointers(spark, out)), default=0) + 1
+    spark.createDataFrame([(seq, version)], _POINTERS).coalesce(1).write.mode("append").parquet(f"{out.rstrip('/')}/pointers")
+    return version
+
+
+def published(spark: SparkSession, out: str) -> str | None:
+    """The folder of the version that was published last, if there is one."""
+    last = max(((r["seq"], r["path"]) for r in _pointers(spark, out)), default=None)
+    return last and last[1]
+
+
+def _pointers(spark: SparkSession, out: str) -> list[Row]:
+    try:
+        return spark.read.schema(_POINTERS).parquet(f"{out.rstrip('/')}/pointers").orderBy(F.desc("seq"), F.desc("path")).limit(1).collect()
+    except AnalysisException:  # nothing was published yet
+        return []
+
+
 def keep_recent(df: DataFrame, today: str, days: int = 3) -> DataFrame:
     """Rows whose ``dt`` is less than ``days`` days old; prunes partitions of a ``dt=`` table."""
     return df.where(F.col("dt") > F.date_sub(F.lit(today).cast("date"), days))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakecheck.operators import shards
@@ -132,3 +133,23 @@ def test_broadcast_is_measured(spark):
     df = spark.range(1000).withColumn("v", F.lit("x" * 100))
     assert fits_broadcast(df) and fits_broadcast(df.limit(0))
     assert not fits_broadcast(df, max_rows=999) and not fits_broadcast(df, max_bytes=1000)
+
+
+def test_a_dead_run_leaves_the_old_version(spark, tmp_path):
+    out = str(tmp_path / "out")
+    old, new = (spark.createDataFrame([(x, "d", "t", x)], "path string, db string, table string, value string") for x in ("old", "new"))
+
+    def dies(df, version):
+        sinks.write_manifests(df, version)
+        raise RuntimeError
+
+    assert sinks.published(spark, out) is None
+    with pytest.raises(RuntimeError):
+        sinks.publish(new, out, dies)
+    assert sinks.published(spark, out) is None
+    for df, name in ((old, "old"), (new, "new"), (old, "old")):
+        assert sinks.publish(df, out, sinks.write_manifests) == sinks.published(spark, out)
+        assert [r["value"] for r in spark.read.text(sinks.published(spark, out)).collect()] == [name]
+        with pytest.raises(RuntimeError):
+            sinks.publish(new, out, dies)
+        assert [r["value"] for r in spark.read.text(sinks.published(spark, out)).collect()] == [name]

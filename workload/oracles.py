@@ -270,5 +270,6 @@ ORACLES = {
         FROM lineitem, range(8) u WHERE l_orderkey % 37 = 0""",
     "verified_repair": f"WITH {GROUPS} SELECT group_id, true AS ok FROM grp WHERE bad_p OR bad_d",
 }
+ORACLES["publish_manifests"] = ORACLES["write_manifests"]
 ORACLES["compact_text_bzip2"] = ORACLES["compact_text"]
 ORACLES["scan_all_files"] = ORACLES["scan_files"]

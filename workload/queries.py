@@ -283,6 +283,27 @@ def write_manifests(spark, d):
     return lines.select("db", F.col("table").alias("tab"), F.col("value").alias("path"))
 
 
+@query
+def publish_manifests(spark, d):
+    """Manifests of finished orders, then those of all, then a run that dies half-way: what
+    readers get are all."""
+    out = scratch_path(spark, "published")
+    listed = files.with_table(given.order_files(spark, d))
+
+    def dies(rows, version):
+        sinks.write_manifests(rows, version)
+        raise InterruptedError("killed before the end")
+
+    sinks.publish(files.with_table(_order_results(spark, d).where("status = -1").select("path")), out, sinks.write_manifests)
+    sinks.publish(listed, out, sinks.write_manifests)
+    try:
+        sinks.publish(listed.where("db = 'db1'"), out, dies)
+    except InterruptedError:
+        pass
+    lines = spark.read.text(sinks.published(spark, out))
+    return lines.select("db", F.col("table").alias("tab"), F.col("value").alias("path"))
+
+
 @query
 def read_manifest(spark, d):
     out = scratch_path(spark, "manifest")
