@@ -36,7 +36,7 @@ THRESHOLD, LONGEST, SHARDS, TOP = 10, 3, 2, 2000
 #: Slots of the array that tells what is frequent: one byte each, whatever the corpus.
 SLOTS = 1 << 24
 #: Text bytes that a task counts at once; a longer text is counted alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Groups that a language's phrases are dealt to before its first ones are taken from theirs.
 DEALT = 64
 UNKNOWN = "und"
@@ -85,7 +85,7 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     n = len(starts)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
     words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
-    before = np.cumsum(data == 10, dtype=np.int64)[starts]
+    before = np.cumsum(data == 10, dtype=np.int32)[starts]
     fresh = np.diff(before, prepend=before[:1]) > 0  # a piece ends before the word
     out = np.zeros(n + int(fresh.sum()) + 1, np.int64)
     out[np.arange(n) + np.cumsum(fresh)] = words.indices.to_numpy() + 1
