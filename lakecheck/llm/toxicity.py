@@ -34,12 +34,48 @@ MOST_WORDS = 200_000
 _STRIP = ".,;:!?|#$%&*\"'()"
 
 
-def _rows_of(word: str) -> tuple[int, list[int]]:
-    """The word's own embedding row and those of its character sequences."""
-    core = word.strip(_STRIP).lower() or word.lower()
-    line = f"^{core}$".encode()
-    grams = [line[i : i + 3] for i in range(len(line) - 2)] + [line[:n] for n in range(4, min(len(line), 7) + 1)]
-    return zlib.crc32(line) % WORD_ROWS, [zlib.crc32(g) % CHAR_ROWS for g in grams or [line]]
+def _line_of(word: str) -> bytes:
+    """The word as it is embedded, between two marks."""
+    return f"^{word.strip(_STRIP).lower() or word.lower()}$".encode()
+
+
+def _crc_table() -> np.ndarray:
+    rows = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        rows = np.where(rows & 1, np.uint32(0xEDB88320), np.uint32(0)) ^ (rows >> np.uint32(1))
+    return rows
+
+
+_CRC = _crc_table()
+
+
+def _crc_step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """CRC-32 states after one more byte each."""
+    return _CRC[(state ^ byte) & np.uint32(0xFF)] ^ (state >> np.uint32(8))
+
+
+def _grams_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of the character sequences of all words, and where each word's end: all
+    of three bytes, and the word's first four to seven. Rows are CRC-32 of the sequences."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    text = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint32)
+    first = np.cumsum(n) - n
+    state = np.full(max(len(text) - 2, 0), 0xFFFFFFFF, np.uint32)
+    for k in range(3):
+        state = _crc_step(state, text[k : len(state) + k])
+    threes = n - 2  # a line has a byte between its marks at least
+    ends = np.cumsum(threes + np.minimum(n, 7) - 3)
+    begins = ends - (threes + np.minimum(n, 7) - 3)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint32)
+    inside = np.arange(threes.sum()) - np.repeat(np.cumsum(threes) - threes, threes)
+    out[inside + np.repeat(begins, threes)] = state[inside + np.repeat(first, threes)]
+    long, so_far = np.arange(len(n)), state[first]
+    for k in range(4, 8):
+        some = n[long] >= k
+        long = long[some]
+        so_far = _crc_step(so_far[some], text[first[long] + k - 1])
+        out[begins[long] + threes[long] + k - 4] = so_far
+    return ((out ^ np.uint32(0xFFFFFFFF)) % CHAR_ROWS).astype(np.int64), ends
 
 
 def starts_of(n: int) -> range:
@@ -61,8 +97,8 @@ class Words:
 
     @classmethod
     def of(cls, words: list[str]) -> Words:
-        rows = [_rows_of(w) for w in words]
-        return cls(np.array([r[0] for r in rows], np.int64), np.array([g for r in rows for g in r[1]], np.int64), np.cumsum([len(r[1]) for r in rows], dtype=np.int64))
+        lines = [_line_of(w) for w in words]
+        return cls(np.fromiter(map(zlib.crc32, lines), np.int64, len(lines)) % WORD_ROWS, *_grams_of(lines))
 
     def embedded(self, net: dict) -> np.ndarray:
         if not len(self.own):
