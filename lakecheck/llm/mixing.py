@@ -64,11 +64,11 @@ def mix(
     """The rows of ``docs``, each as often as drawn, in a random order; ``copy_col`` counts from 1.
 
     Rows with the same identifier are drawn alike, rows without one too. A null text has size
-    one, a null source is a source. No rows in: no rows out. A column of ``docs`` of the name
-    ``copy_col`` must be renamed before; all other names are free.
+    one, a null source is a source. No rows in: no rows out. Names of columns are free: while ``docs``
+    has one of the name ``copy_col``, in any case, that name gets a ``_`` at its end.
     """
-    if copy_col in docs.columns:
-        raise ValueError(f"docs has a column {copy_col}")
+    while copy_col and copy_col.lower() in {c.lower() for c in docs.columns}:
+        copy_col += "_"
     per_source = rates(docs, weights, total, source_col, text_col)
     draws = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
     per_source = materialize(per_source.select("_source", draws.alias("_draws"), _distribution(F.col("rate") / draws).alias("_upto")), "rates")

@@ -62,9 +62,12 @@ def test_mixing_reaches_its_weights(spark):
     assert shares.keys() == {"big", "s1", "s2"} and shares["s1"] == pytest.approx(0.5, abs=0.02)
 
 
-def test_mixing_refuses_a_clash(messy):
-    with pytest.raises(ValueError):
-        mixing.mix(messy.withColumn("copy", F.lit(1)))
+def test_mixing_names_its_column_past_a_clash(messy):
+    plain = mixing.mix(messy.drop("key"))
+    got = mixing.mix(messy.drop("key").withColumns({"Copy": F.lit("own"), "copy_": F.lit("own")}))
+    assert got.columns[-3:] == ["Copy", "copy_", "copy__"] and {r["Copy"] for r in got.collect()} == {"own"}
+    assert rows(got.select("doc_id", "copy__")) == rows(plain.select("doc_id", "copy"))
+    assert "key" in mixing.mix(messy).columns
 
 
 def call(identifier, name, arguments, after=()):
