@@ -137,8 +137,10 @@ def grow(x: np.ndarray, y: np.ndarray, signs: list[int], n_trees: int = 60, dept
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Trees from at most ``sample_rows`` labelled documents; without any, nothing is rejected
-    beyond the base rules. Rows without an identifier or a label are left out."""
+    beyond the base rules. Rows without an identifier or a label are left out. An
+    identifier that repeats counts once: with its highest label and the last of its texts."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
+    marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = hash_sample(marked, ["_id", "_y"], sample_rows)  # bounds the broadcast
 
     @F.pandas_udf("array<double>")
@@ -146,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         return texts.map(statistics)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("_y", stats("_text").alias("x")).limit(2 * sample_rows).toPandas()
+    rows = rows.groupBy("_id", "_y").agg(F.max("_text").alias("_text"))  # at most sample_rows
+    got = rows.select("_y", stats("_text").alias("x")).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(BASE) + len(FEATURES))[:, len(BASE) :]
     order = np.lexsort((*x.T, got["_y"]))  # the same trees whatever the order of arrival
     return grow(x[order], got["_y"].to_numpy(float)[order], list(FEATURES.values()))
@@ -171,7 +174,8 @@ def score_quality(docs: DataFrame, model: Trees, text_col: str = "text", id_col:
     """One row per row of ``docs``: ``doc_id``, the base counts, ``base_failed, chance, kept``.
 
     Null text is the empty text and fails the base rule, as all texts under 50 words. Null
-    identifiers and repeated rows are judged like others. No rows in: no rows out.
+    identifiers and repeated rows are judged like others; a very long text is one row's work in
+    its task. No rows in: no rows out. Other columns, whatever their names, are not read.
     """
     return docs.select(F.col(id_col).alias("doc_id"), judge(model)(F.col(text_col)).alias("q")).select("doc_id", "q.*")
 

@@ -293,8 +293,10 @@ def fold(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
           toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, steps: int = STEPS) -> dict:
     """A net from labelled rows that are not held out. Rows without an identifier or a label
-    are left out; with labels of one kind or none, all documents get one score."""
+    are left out; with labels of one kind or none, all documents get one score. An identifier
+    that repeats counts once: toxic if any of its labels says so, with the last of its texts."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().where(fold(F.col("_id")) != 0)
+    marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = [hash_sample(marked.where(F.col("_y") == y), ["_id"], n) for y, n in ((1, toxic), (0, clean))]
     few = chosen[0].union(chosen[1])  # bounds the broadcast
 
@@ -308,8 +310,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
                 out += [(doc, y, s, " ".join(words[s : s + WINDOW])) for s in starts[pick].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["doc", "y", "start", "words"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_id", "_y", "_text")
-    got = rows.mapInArrow(cut, "doc long, y int, start long, words string").limit((toxic + clean) * SAMPLE_WINDOWS).toPandas()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.max("_text").alias("_text"))  # at most the sample's rows
+    got = rows.mapInArrow(cut, "doc long, y int, start long, words string").toPandas()
     got = got.sort_values(["doc", "y", "start", "words"], ignore_index=True)  # the same net whatever the order of arrival
     names, doc = np.unique(got["doc"], return_inverse=True)
     label = np.zeros(len(names))
@@ -321,8 +324,10 @@ def score_toxicity(docs: DataFrame, net: dict, text_col: str = "text", id_col: s
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     Null text is the empty text and is scored by what the net says about a window without
-    words. A null identifier is not held out. Repeated rows get the same score. No rows in: no rows out.
-    Nothing but the text is an input of the score.
+    words. A very long text is cut into windows in its task; its score is that of the highest, as
+    ever. A null identifier is not held out. Repeated rows get the same score. No rows in: no rows
+    out. Nothing but the text is an input of the score; other columns, whatever their names, are
+    not read.
     """
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

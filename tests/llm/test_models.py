@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakecheck.llm import quality, secrets, toxicity
 
@@ -89,6 +91,66 @@ def test_network_gradients():
             assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(grad[name][place], abs=2e-3)
 
 
+def window_brute(net, words):
+    """One window's logit, number by number."""
+    hidden, width = toxicity.HIDDEN, toxicity.WIDTH
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    def embedded(word):
+        core = word.strip(toxicity._STRIP).lower() or word.lower()
+        line = f"^{core}$".encode()
+        grams = [line[i : i + 3] for i in range(len(line) - 2)] + [line[:n] for n in range(4, 8) if n <= len(line)]
+        own = net["words"][zlib.crc32(line) % toxicity.WORD_ROWS]
+        return [own[k] + sum(net["chars"][zlib.crc32(g) % toxicity.CHAR_ROWS][k] for g in grams) / len(grams) for k in range(width)]
+
+    states = [[0.0] * (2 * hidden) for _ in words]
+    for way in (0, 1):
+        h = [0.0] * hidden
+        for t in range(len(words)) if way == 0 else reversed(range(len(words))):
+            x = embedded(words[t])
+            gate = [net["bias"][way, 0, j] + sum(x[k] * net["in"][way, k, j] for k in range(width)) for j in range(3 * hidden)]
+            back = [sum(h[k] * net["back"][way, k, j] for k in range(hidden)) for j in range(3 * hidden)]
+            z, r = ([sigmoid(gate[j] + back[j]) for j in range(at, at + hidden)] for at in (0, hidden))
+            new = [math.tanh(gate[2 * hidden + j] + r[j] * back[2 * hidden + j]) for j in range(hidden)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(hidden)]
+            states[t][way * hidden : (way + 1) * hidden] = h
+    look = [[math.tanh(sum(s[k] * net["look"][k, j] for k in range(2 * hidden))) for j in range(hidden)] for s in states]
+    weight = [math.exp(sum(v[j] * net["key"][j] for j in range(hidden))) for v in look]
+    pooled = [sum(w * s[k] for w, s in zip(weight, states, strict=True)) / sum(weight) for k in range(2 * hidden)] if words else [0.0] * (2 * hidden)
+    return sum(pooled[k] * net["out"][k] for k in range(2 * hidden)) + net["shift"][0]
+
+
+def test_scores_are_those_of_the_highest_window():
+    rng = np.random.default_rng(8)
+    some = ["the", "Idiot!", "x", "...", "überlang", "日本語", "#", "a" * 40, "it's", "w1", "w2", "w3"]
+    texts = [None, "", " ", "x", "...", *[" ".join(rng.choice(some, n)) for n in (2, 33, 64, 65, 97, 130)]]
+    net = toxicity.new_net(3) | {"scale": np.array([1.7]), "offset": np.array([-0.4])}
+    net = {k: (v.astype(np.float32) if v.dtype == float and k not in ("scale", "offset") else v) for k, v in net.items()}
+    want = []
+    for text in texts:
+        words, best = WORD.findall(text or ""), -math.inf
+        at = 0
+        while True:
+            best = max(best, window_brute(net, words[at : at + 64]))
+            if at + 64 >= len(words):
+                break
+            at += 32
+        want.append(1 / (1 + math.exp(-(1.7 * best - 0.4))))
+    assert toxicity.Scorer(net)(texts) == pytest.approx(want, abs=1e-5)
+
+
+def test_repeated_identifiers_train_one_net(documents, labels):
+    """Whatever rows of an identifier come first."""
+    few = documents.where("doc_id < 60")
+    twice = few.unionByName(few.withColumn("text", F.lit(""))).unionByName(few)
+    one, other = (toxicity.train(d, m, steps=3) for d, m in ((few, labels), (twice.repartition(7), labels.union(labels))))
+    assert all((one[k] == other[k]).all() for k in one)
+    x = np.random.default_rng(2).random((20, len(quality.FEATURES)))
+    assert (quality.train(few, labels).chance(x) == quality.train(twice.repartition(7), labels.union(labels)).chance(x)).all()
+
+
 def test_windows_cover_every_word_and_overlap():
     for n in (0, 1, 32, 63, 64, 65, 96, 97, 1000):
         covered = [w for s in toxicity.starts_of(n) for w in range(s, min(n, s + toxicity.WINDOW))]
