@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import codecs
 import io
+import os
 import re
 import time
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -202,14 +204,30 @@ def write_blobs(folder: str, suffix: str = ""):
     return run
 
 
-def list_folder(path: str) -> list[tuple]:
-    """``path, length, modification time, is folder`` of everything in a folder."""
+def _local_entry(base: str, entry) -> tuple:
+    try:
+        found, is_dir = entry.stat(), entry.is_dir()
+    except OSError:  # gone meanwhile, or a link to nothing
+        return f"{base}/{entry.name}", None, None, False
+    return f"{base}/{entry.name}", None if is_dir else found.st_size, found.st_mtime_ns // 1000, is_dir
+
+
+def list_folder(path: str, page: int = 10_000) -> Iterator[list[tuple]]:
+    """``path, length, modification time, is folder`` of everything in a folder, in pages. A
+    local folder is read page by page, whatever its size; the clients of other stores list
+    one whole."""
     from pyarrow import fs
 
     store, key = _store(path)
     base = path.rstrip("/")
-    entries = store.get_file_info(fs.FileSelector(key, recursive=False))
-    return [(f"{base}/{e.base_name}", e.size, e.mtime, e.type == fs.FileType.Directory) for e in entries]
+    with ExitStack() as opened:
+        if isinstance(store, fs.LocalFileSystem):
+            entries = (_local_entry(base, e) for e in opened.enter_context(os.scandir(key)))
+        else:
+            listed = store.get_file_info(fs.FileSelector(key, recursive=False))
+            entries = ((f"{base}/{e.base_name}", e.size, e.mtime, e.type == fs.FileType.Directory) for e in listed)
+        while some := list(islice(entries, page)):
+            yield some
 
 
 def _text_pieces(handle, piece: int) -> Iterator[str]:

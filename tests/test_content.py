@@ -68,6 +68,26 @@ def test_inventory(spark, tmp_path):
         assert abs((row["modification_time"] - seen[path]["modification_time"]).total_seconds()) < 1
 
 
+def test_folders_that_cannot_be_listed(spark, tmp_path):
+    put(tmp_path / "x.db/t/p0", b"abc")
+    (tmp_path / "x.db/t/dangling").symlink_to(tmp_path / "gone")
+    roots = [str(tmp_path / "x.db"), str(tmp_path / "missing"), str(tmp_path / "x.db/t/p0")]
+    found, unlisted = files.list_all(spark, *roots)
+    assert {(r["path"].rsplit("/", 1)[1], r["length"]) for r in found.collect()} == {("p0", 3), ("dangling", None)}
+    seen = {r["path"].rsplit("/", 1)[1]: r["error"] for r in unlisted.collect()}
+    assert set(seen) == {"missing", "p0"} and all(e.startswith(tables.NOT_OPENED) for e in seen.values())
+    with pytest.raises(OSError):
+        files.scan_all_files(spark, *roots)
+
+
+def test_folders_are_listed_in_pages(tmp_path):
+    for i in range(25):
+        (tmp_path / f"f{i}").write_bytes(b"x" * i)
+    pages = list(tables.list_folder(str(tmp_path), 10))
+    assert [len(p) for p in pages] == [10, 10, 5]
+    assert {(path.rsplit("/f")[-1], length) for p in pages for path, length, _, _ in p} == {(str(i), i) for i in range(25)}
+
+
 def test_check_parquet(spark, parquet_dir):
     found = files.scan_files(spark, str(parquet_dir))
     full = filecheck.check_parquet(found)
