@@ -112,6 +112,10 @@ ORACLES = {
     # inventory
     "scan_files": """SELECT 'x' AS db, 't' || left(o_orderpriority, 1) AS tab, CAST(o_custkey % 3 AS VARCHAR) AS part, CAST(1 AS BIGINT) AS n_files,
           true AS filled FROM orders GROUP BY ALL""",
+    "unlisted_folders": """SELECT tab, part, CAST(count(k) AS BIGINT) AS n_files, count(k) > 0 AS listed
+        FROM (SELECT 't' || range AS tab FROM range(1, 6)), (SELECT CAST(range AS VARCHAR) AS part FROM range(6))
+        LEFT JOIN (SELECT DISTINCT 't' || left(o_orderpriority, 1) AS k, CAST(o_custkey % 3 AS VARCHAR) AS kp FROM orders) ON k = tab AND kp = part
+        GROUP BY ALL""",
     "files_by_table": f"WITH {FILES} SELECT db, tab, CAST(sum(length) AS BIGINT) AS n_bytes, count(*) AS n_files FROM f GROUP BY ALL",
     "dir_size": f"WITH {FILES} SELECT CAST(sum(length) AS BIGINT) AS n_bytes, count(*) AS n_files FROM f",
     "compaction_files": f"""WITH {FILES}, s AS (SELECT db, tab, CAST(sum(length) * 20 AS BIGINT) AS n FROM f GROUP BY ALL)

@@ -198,6 +198,17 @@ def scan_all_files(spark, d):
     return _listed(files.scan_all_files(spark, _written_orders(spark, d)))
 
 
+@query
+def unlisted_folders(spark, d):
+    """Six parts of each table are asked for; folders that aren't there have an error."""
+    root = _written_orders(spark, d)
+    asked = [f"{root}/x.db/t{tab}/part={part}" for tab in range(1, 6) for part in range(6)]
+    found, unlisted = files.list_all(spark, *asked)
+    seen = _listed(found).select("tab", "part", "n_files", F.lit(True).alias("listed"))
+    tab, part = (F.regexp_extract("path", r"/x\.db/(t\d)/part=(\d)", k) for k in (1, 2))
+    return seen.unionByName(unlisted.select(tab.alias("tab"), part.alias("part"), F.lit(0).cast("long").alias("n_files"), F.lit(False).alias("listed")))
+
+
 @query
 def files_by_table(spark, d):
     found = files.with_table(given.order_files(spark, d))
