@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lakecheck.functions.paths import is_marker, one_form
 from lakecheck.operators.lookup import route_format
+from lakecheck.operators.orcstats import differs, stripe_statistics
 from lakecheck.operators.textcheck import check_gzip_delimited, check_text_files
 from lakecheck.session import materialize, tasks_for
 from lakecheck.sources.tables import NOT_OPENED, open_path, trouble
@@ -91,7 +92,7 @@ def _column_ranges(n_columns: int, n_bytes: int) -> list[list[int]]:
 
 
 class _Orc:
-    """Stripes of an ORC file."""
+    """Stripes of an ORC file; their values have to be what the file's statistics say of them."""
 
     def __init__(self, handle) -> None:
         from pyarrow import orc
@@ -99,9 +100,16 @@ class _Orc:
         self._file = orc.ORCFile(handle)
         self.rows = self._file.nrows
         self.units = self._file.nstripes
+        self._handle, self._said = handle, None
 
     def read(self, unit: int) -> int:
-        return self._file.read_stripe(unit).num_rows
+        if self._said is None:
+            self._said = stripe_statistics(self._file, self._handle)
+        rows = self._file.read_stripe(unit)
+        for name, values, said in zip(rows.schema.names, rows.columns, self._said[unit] if self._said else ()):
+            if differs(values, said):
+                raise ValueError(f"values of {name} in stripe {unit} differ from the statistics")
+        return rows.num_rows
 
 
 _PROBLEMS = (OSError, ValueError, EOFError, NotImplementedError, pa.ArrowException)

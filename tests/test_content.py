@@ -270,3 +270,24 @@ def test_values_outside_the_footer(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: (r["status"], r["msg"]) for r in filecheck.check_parquet(files).collect()}
     assert got["good"] == (0, None) and got["small"][0] == 0
     assert got["key"][0] == -1 and "leave the range" in got["key"][1]
+
+
+def test_orc_values_are_compared_with_statistics(spark, tmp_path):
+    """Bytes stored as they are decode to other values when overwritten; statistics tell."""
+    rng = np.random.default_rng(4)
+    table = pa.table({
+        "x": rng.random(20_000), "s": [f"{v:08x}" for v in rng.integers(0, 1 << 32, 20_000)], "n": rng.integers(-(1 << 60), 1 << 60, 20_000),
+        "b": rng.random(20_000) < 0.3, "t": pa.array(rng.integers(0, 1 << 50, 20_000), pa.timestamp("us")), "d": pa.array(rng.integers(0, 9000, 20_000).astype("int32"), pa.date32()),
+        "f": pa.array([None if i % 7 == 0 else i / 3 for i in range(20_000)], pa.float32()), "nan": [float("nan"), *rng.random(19_999)], "y": [b"ab" * (i % 3) for i in range(20_000)], "l": [[i] for i in range(20_000)]})
+    for codec in ("uncompressed", "zlib", "snappy", "zstd"):
+        orc.write_table(table, str(tmp_path / codec), compression=codec, stripe_size=1 << 17)
+    spark.createDataFrame([(i, i / 7, f"v{i}", i % 3 == 0) for i in range(5000)], "a long, b double, c string, e boolean").selectExpr("*", "current_date() AS d", "timestamp_seconds(a) AS t").coalesce(1).write.orc(str(tmp_path / "spark"))
+    assert {r.status for r in filecheck.check_orc(files.scan_files(spark, str(tmp_path))).collect()} == {0}
+    whole = (tmp_path / "uncompressed").read_bytes()
+    at = whole.index(np.float64(table["x"][7].as_py()).tobytes())
+    (tmp_path / "hurt").mkdir()
+    (tmp_path / "hurt/one").write_bytes(whole[:at] + np.float64(0.5).tobytes() + whole[at + 8 :])
+    where = whole.index(table["s"][9].as_py().encode())
+    (tmp_path / "hurt/two").write_bytes(whole[:where] + b"~~~~" + whole[where + 4 :])
+    found = filecheck.check_orc(files.scan_files(spark, str(tmp_path / "hurt"))).collect()
+    assert [r.status for r in found] == [-1, -1] and all("statistics" in r.msg for r in found)
