@@ -1,12 +1,15 @@
-"""Arithmetic in GF(2^8) on numpy arrays, used inside tasks."""
+"""Arithmetic in GF(2^8) on numpy arrays, and binary columns as such arrays; used inside tasks."""
 
 from __future__ import annotations
 
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 POLYNOMIAL = 0x11D
+#: Cells of so many bytes on average are copied, and summed up, all at once instead of one by one.
+SHORT = 64
 
 
 @cache
@@ -53,3 +56,19 @@ def eliminate(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 work[r] ^= product[work[r, col]][work[rank]]
         rank += 1
     return work[:rank, cols:], work[rank:, cols:]
+
+
+def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, one value after the other, and the values' sizes."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of values that lie one after the other in ``data``."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import reported_path, suspect_host
 from lakecheck.operators import gf
-from lakecheck.operators.parity import Pack, Policy, audit_parity, by_stripe, only_stripes, packs
+from lakecheck.operators.gf import binaries
+from lakecheck.operators.parity import Pack, Policy, audit_parity, by_stripe, only_stripes, packs, set_places
 from lakecheck.session import fits_broadcast, materialize
 
 
@@ -112,17 +113,19 @@ def reconstruct_units(cells: DataFrame, policy: Policy, excluded: DataFrame) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, table in packs(batches, policy.n):
-            places = zip(*(table[c].to_pylist() for c in ("group_id", "stripe_no", "excluded")))
-            asked = {(g, s): tuple(sorted(set(e))) for g, s, e in places}
-            gone_of = [asked[p] for p in zip(pack.group_id.tolist(), pack.stripe_no.tolist())]
-            for gone in set(gone_of):
-                chosen = np.array([g == gone for g in gone_of])
+            asked = table["excluded"].combine_chunks().dictionary_encode()  # as many as there are unit sets
+            gone_of = asked.indices.to_numpy()[pack.first]
+            for number, named in enumerate(asked.dictionary.to_pylist()):
+                gone, chosen = tuple(map(int, named.split(","))), gone_of == number
+                if not chosen.any():
+                    continue
                 units = pack.units[:, np.repeat(chosen, pack.lengths)]
                 units[list(gone)] = 0
                 left, _ = gf.eliminate(check[:, list(gone)])
                 yield _unit_rows(pack, chosen, gone, gf.matmul(left, gf.matmul(check, units)))
 
-    usable = excluded.where(F.size(F.array_distinct("excluded")).between(1, policy.m)).select(*key, F.array_distinct("excluded").alias("excluded"))
+    usable = excluded.where(F.size(F.array_distinct("excluded")).between(1, policy.m))
+    usable = usable.select(*key, F.array_join(F.array_sort(F.array_distinct("excluded")).cast("array<string>"), ",").alias("excluded"))
     side = F.broadcast(usable) if fits_broadcast(usable) else usable
     wanted = by_stripe(cells.join(side, key), policy, "excluded")
     return wanted.mapInArrow(run, "group_id bigint, stripe_no int, unit_index int, payload binary")
@@ -150,18 +153,18 @@ def refused_groups(policy: Policy, excluded: DataFrame) -> DataFrame:
 def _unit_rows(pack: Pack, chosen: np.ndarray, gone: tuple[int, ...], solved: np.ndarray) -> pa.RecordBatch:
     """Rows for the units ``gone`` of the chosen stripes, cut from their solved bytes."""
     stripes = np.flatnonzero(chosen)
-    ends = np.cumsum(pack.lengths[stripes])
-    sizes = pack.sizes[stripes]
-    payload = []
+    lengths = pack.lengths[stripes]
+    begins, sizes, kept = np.cumsum(lengths) - lengths, [], []
     for row, unit in enumerate(gone):
-        size = np.where(sizes[:, unit] >= 0, sizes[:, unit], pack.lengths[stripes])
-        begins = ends - pack.lengths[stripes]
-        payload += [solved[row, a : a + n].tobytes() for a, n in zip(begins, size)]
+        size = np.where(pack.sizes[stripes, unit] >= 0, pack.sizes[stripes, unit], lengths)
+        whole = (size == lengths).all()
+        kept.append(solved[row] if whole else solved[row][np.arange(len(solved[row])) < np.repeat(begins + size, lengths)])
+        sizes.append(size)
     columns = {
         "group_id": np.tile(pack.group_id[stripes], len(gone)),
         "stripe_no": np.tile(pack.stripe_no[stripes], len(gone)),
         "unit_index": np.repeat(np.array(gone, np.int32), len(stripes)),
-        "payload": pa.array(payload, pa.binary()),
+        "payload": binaries(np.concatenate(kept), np.concatenate(sizes)),
     }
     return pa.RecordBatch.from_pydict(columns)
 
@@ -205,8 +208,7 @@ def _explained(cells: DataFrame, policy: Policy, bad: DataFrame, sets: list[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, _ in packs(batches, policy.n):
             syndrome = gf.matmul(check, pack.units)
-            found = [np.flatnonzero(row).tolist() for row in _explaining(pack, syndrome, sets, nulls).T]
-            yield pack.frame({"sets": pa.array(found, pa.list_(pa.int32()))})
+            yield pack.frame({"sets": set_places(_explaining(pack, syndrome, sets, nulls).T)})
 
     return by_stripe(only_stripes(cells, bad), policy).mapInArrow(run, "group_id bigint, stripe_no int, sets array<int>")
 

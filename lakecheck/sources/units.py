@@ -5,15 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakecheck.operators.gf import SHORT, flat_bytes
 from lakecheck.session import fits_broadcast, tasks_for
 from lakecheck.sources.tables import move_file, open_path, open_sink, part_path, trouble
 
 #: Bytes of a unit file that one row of work stands for, and of cells that a task holds.
 RANGE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+BATCH_CELLS = 10_000
 PART_BYTES = 128 << 20
 CELL_SCHEMA = "group_id bigint, stripe_no int, unit_index int, payload binary, error string"
 _CELLS = pa.schema([("group_id", pa.int64()), ("stripe_no", pa.int32()), ("unit_index", pa.int32()), ("payload", pa.binary()), ("error", pa.string())])
@@ -21,28 +24,57 @@ ENDED = "file ended early"
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch_of(group: int, unit: int, rows: list[tuple]) -> pa.RecordBatch:
-        stripes, payloads, errors = zip(*rows, strict=True)
-        n = len(rows)
-        columns = [pa.array([group] * n), pa.array(stripes), pa.array([unit] * n), pa.array(payloads), pa.array(errors)]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _CELLS, strict=True)], schema=_CELLS)
-
-    for batch in batches:
-        for path, group, unit, cell, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "group_id", "unit_index", "cell_size", "start", "end")), strict=True):
-            stripe, at = start // cell, start
-            try:
-                with open_path(path) as handle:
+    """Ranges come sorted by path and start; a file stays open for all of its ranges in a task, and
+    cells of short ranges go out together."""
+    held, n_bytes, n_held = [], 0, 0
+
+    def batch_of(group: int, unit: int, stripe: int, data: bytes, cell: int) -> pa.RecordBatch:
+        n = -(-len(data) // cell)
+        ends = np.minimum(np.arange(n + 1, dtype=np.int64) * cell, len(data)).astype(np.int32)
+        payload = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        columns = [np.full(n, group, np.int64), np.arange(stripe, stripe + n, dtype=np.int32), np.full(n, unit, np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), payload, pa.nulls(n, pa.string())], schema=_CELLS)
+
+    def broken(group: int, unit: int, error: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((group, None, unit, None, error), _CELLS, strict=True)], schema=_CELLS)
+
+    def pieces(ranges: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        opened, handle = None, None
+        try:
+            for path, group, unit, cell, start, end in ranges:
+                stripe, at = start // cell, start
+                try:
+                    if path != opened:
+                        if handle is not None:
+                            handle.close()
+                        opened, handle = None, None
+                        handle = open_path(path)
+                        opened = path
                     handle.seek(start)
                     while at < end:
                         data = handle.read(min(max(BATCH_BYTES // cell, 1) * cell, end - at))
                         if data:
-                            yield batch_of(group, unit, [(stripe + i, data[a : a + cell], None) for i, a in enumerate(range(0, len(data), cell))])
+                            yield batch_of(group, unit, stripe, data, cell)
                         if len(data) % cell and at + len(data) < end or not data:
-                            yield batch_of(group, unit, [(None, None, ENDED)])
+                            yield broken(group, unit, ENDED)
                             break
                         stripe, at = stripe + len(data) // cell, at + len(data)
-            except OSError as problem:
-                yield batch_of(group, unit, [(None, None, trouble(problem))])
+                except OSError as problem:
+                    opened = None
+                    yield broken(group, unit, trouble(problem))
+        finally:
+            if handle is not None:
+                handle.close()
+
+    names = ("path", "group_id", "unit_index", "cell_size", "start", "end")
+    for piece in pieces(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+        held.append(piece)
+        n_bytes, n_held = n_bytes + piece.nbytes, n_held + piece.num_rows
+        if n_held >= BATCH_CELLS or n_bytes >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, n_bytes, n_held = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def scan_unit_cells(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -84,7 +116,7 @@ def unread_groups(files: DataFrame) -> DataFrame:
 def _write_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``target, part, start, end, at, payload`` by target, part and at: a file for each part,
     with zeros where nothing was given. A part takes its name once it is whole."""
-    now, out, name, at, end = None, None, None, 0, 0
+    now, out, name, begin, at, end = None, None, None, 0, 0, 0
 
     def filled(upto: int) -> None:
         for _ in range(at, upto, BATCH_BYTES):
@@ -96,22 +128,44 @@ def _write_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move_file(name, part_path(*now))
         return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int32()), pa.array([end - begin], pa.int64())], ["target", "part", "length"])
 
+    def add(payload: pa.Array, where: np.ndarray) -> None:
+        nonlocal at
+        data, size = flat_bytes(payload)
+        ends = where + size
+        if len(data) <= SHORT * len(size) and where[0] >= at and (where[1:] >= ends[:-1]).all() and ends[-1] - at <= BATCH_BYTES:
+            # short cells that follow each other, in one piece with the zeros between them
+            whole = np.zeros(int(ends[-1]) - at, np.uint8)
+            whole[np.repeat(where - at - (np.cumsum(size) - size), size) + np.arange(len(data))] = data
+            out.write(whole.tobytes())
+            at = int(ends[-1])
+            return
+        begins = np.cumsum(size) - size
+        for row, place in enumerate(where.tolist()):
+            if place < at:  # a second cell for the same place
+                continue
+            filled(place)
+            out.write(data[begins[row] : begins[row] + size[row]].tobytes())
+            at = place + int(size[row])
+
     for batch in batches:
-        for target, part, start, stop, where, payload in zip(*(batch.column(c) for c in ("target", "part", "start", "end", "at", "payload")), strict=True):
-            key = target.as_py(), part.as_py()
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        codes = table["target"].combine_chunks().dictionary_encode()
+        code, part = codes.indices.to_numpy(), table["part"].to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (part[1:] != part[:-1])]))
+        for low, high in zip(new.tolist(), [*new[1:].tolist(), len(code)], strict=True):
+            key = codes.dictionary[int(code[low])].as_py(), int(part[low])
             if key != now:
                 if now is not None:
                     yield closed()
-                now, at, end = key, start.as_py(), stop.as_py()
+                now, at, end = key, batch.column("start")[low].as_py(), batch.column("end")[low].as_py()
                 begin, name = at, f"{part_path(*key)}.{uuid.uuid4().hex}"
                 out = open_sink(name)
-            if payload.is_valid:
-                if where.as_py() < at:  # a second cell for the same place
-                    continue
-                filled(where.as_py())
-                data = payload.as_buffer()
-                out.write(data)
-                at = where.as_py() + len(data)
+            mine = batch.slice(low, high - low)
+            mine = mine.filter(mine.column("payload").is_valid())
+            if mine.num_rows:
+                add(mine.column("payload"), mine.column("at").to_numpy())
     if now is not None:
         yield closed()
 

@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,3 +368,26 @@ def test_every_path_gets_a_status(spark):
     got = {r["path"]: (r["status"], r["msg"]) for r in verdict.file_status(paths, one, two).collect()}
     assert got == {"a": (-1, "bad"), "b": (0, None), "c": (1, verdict.NOT_CHECKED)}
     assert verdict.damaged_only(one).count() == 1
+
+
+def test_sums_of_many_short_cells_are_those_of_each():
+    policies = (Policy(6, 3, cell_size=16), Policy(2, 1, "xor", 16))
+    rng = np.random.default_rng(8)
+    unit, size = rng.integers(0, 9, 500), rng.integers(0, 41, 500)
+    data = rng.integers(0, 256, int(size.sum()), np.uint8)
+    of, ends = [parity._linear_sums(p) for p in policies], np.cumsum(size)
+    want = [[x for sums in of for x in sums(int(u), data[e - n : e].tobytes()[::-1])] for u, n, e in zip(unit, size, ends)]
+    assert parity._short_sums(policies, unit, data, size).tolist() == want
+
+
+def test_short_and_long_cells_give_the_same_packs():
+    """Cells of 16 bytes are copied at once, those of 200 one by one; of some stripes units are missing or short."""
+    rng = np.random.default_rng(9)
+    for width in (16, 200):
+        rows = [(g, s, u, rng.bytes(int(rng.integers(0, width + 1)) if u == 2 else width)) for g in range(30) for s in range(2) for u in range(5) if rng.random() < 0.8]
+        batch = pa.RecordBatch.from_pylist([dict(zip(("group_id", "stripe_no", "unit_index", "payload"), r)) for r in rows], pa.schema([("group_id", pa.int64()), ("stripe_no", pa.int32()), ("unit_index", pa.int32()), ("payload", pa.binary())]))
+        seen = {}
+        for pack, _ in parity.packs(iter([batch.slice(0, 77), batch.slice(77)]), 5):
+            for i, (g, s) in enumerate(zip(pack.group_id.tolist(), pack.stripe_no.tolist())):
+                seen |= {(g, s, u): pack.units[u, pack.starts[i] : pack.starts[i] + pack.sizes[i, u]].tobytes() for u in range(5) if pack.sizes[i, u] >= 0}
+        assert seen == {r[:3]: r[3] for r in rows}

@@ -107,8 +107,7 @@ def _flip(byte: int) -> Column:
 def rs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RS(6,3) cells, rendered once and written. Damage: first parity unit if ``g % 41 = 0``, and
     the first data unit of stripe 0 if ``g % 43 = 0`` and it is there."""
-    data = data_cells(spark, sf_dir)
-    cells = data.unionByName(encode(data, RS)).withColumn("h", F.hex("payload"))
+    cells = encode(data_cells(spark, sf_dir), RS, keep=True).withColumn("h", F.hex("payload"))
     bad_parity = F.expr("group_id % 41 = 0 and unit_index = 6")
     bad_data = F.expr("group_id % 43 = 0 and unit_index = 0 and stripe_no = 0")
     payload = F.when(bad_parity, _flip(0)).when(bad_data, _flip(9)).otherwise(F.col("payload"))
@@ -122,8 +121,7 @@ def long_groups(cells: DataFrame) -> DataFrame:
 
 def whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undamaged RS(6,3) cells of :func:`long_groups`, written."""
-    data = data_cells(spark, sf_dir)
-    return materialize(long_groups(data.unionByName(encode(data, RS))), "cells")
+    return materialize(long_groups(encode(data_cells(spark, sf_dir), RS, keep=True)), "cells")
 
 
 def one_bit(payload: Column) -> Column:
@@ -145,9 +143,9 @@ def beyond_repair(cells: DataFrame) -> DataFrame:
 
 def rs_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine units of the group of every order that has lines; its size is that of the
-    cells up to the last line."""
+    cells up to the last line. Groups are joined once and written, units made of them as asked."""
     groups = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_linenumber").alias("last"))
-    files = order_files(spark, sf_dir).join(groups, "key")
+    files = materialize(order_files(spark, sf_dir).join(groups, "key").select("key", "path", "last"), "groups-held")
     return files.select(
         F.col("key").alias("group_id"),
         "path",
