@@ -49,6 +49,14 @@ def check_text_tables(spark: SparkSession, layouts: Sequence[tuple[str, int | No
     return reduce(DataFrame.unionByName, (checked(*layout, folders) for layout, folders in alike.items()))
 
 
+def in_parts(rows: DataFrame) -> DataFrame:
+    """Rows of a text scan (``path, block_start, ..``) for texts that many tasks wrote: the files
+    ``part-<number>..`` of a folder, one after the other by number, count as one file, named by the folder."""
+    number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("bigint")
+    folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
+    return rows.withColumns({"path": folder, "block_start": number * (1 << 43) + F.col("block_start")})  # files of up to 8 TB
+
+
 def text_verdict(rows: DataFrame) -> DataFrame:
     """One verdict per file from checked rows of a text scan.
 

@@ -291,3 +291,22 @@ def test_orc_values_are_compared_with_statistics(spark, tmp_path):
     (tmp_path / "hurt/two").write_bytes(whole[:where] + b"~~~~" + whole[where + 4 :])
     found = filecheck.check_orc(files.scan_files(spark, str(tmp_path / "hurt"))).collect()
     assert [r.status for r in found] == [-1, -1] and all("statistics" in r.msg for r in found)
+
+
+def test_compaction_bounds_what_a_task_writes(spark, tmp_path):
+    """Far below the target size of a gzip file, yet no file holds more than a task's bytes, but for the sample of the ranges."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(20_000).selectExpr("concat('line ', id % 5000, ' ', repeat('x', 20)) AS value").write.text(source)
+    done = compact_table(spark, source, out, task_bytes=100_000)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in Path(out).glob("*.gz")]
+    assert done.whole and done.n_lines == 20_000 and len(sizes) == done.n_files > 5 and max(sizes) < 200_000
+
+
+def test_lines_of_a_text_in_parts_are_numbered_through(spark, tmp_path):
+    folder = tmp_path / "x.db/t0/p=1"
+    folder.mkdir(parents=True)
+    for number, lines in ((2, ["a\tb", "b\ta\td\te\tf"]), (10, ["also\tbad\tx\ty\tz\tz"]), (0, ["a\tb"] * 3)):
+        (folder / f"part-{number:05d}-u.c000.txt").write_text("\n".join(lines) + "\n")
+    rows = textcheck.check_text_tables(spark, [(str(tmp_path / "x.db/t0"), 2, "\t")])
+    got = textcheck.text_verdict(textcheck.in_parts(rows)).collect()
+    assert [(r.path.endswith("/p=1/"), r.n_rows, r.first_bad_line, r.first_bad) for r in got] == [(True, 6, 5, "b\ta\td\te\tf")]
