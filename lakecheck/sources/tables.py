@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import io
 import os
 import re
 import time
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -204,6 +206,33 @@ def write_blobs(folder: str, suffix: str = ""):
     return run
 
 
+def copy_files(folder: str, piece: int = 8 << 20):
+    """Task body: rows ``part, path, end, zero_from, zero_to`` -> a file ``part=../blob-..`` for each with
+    the first ``end`` bytes of ``path``, zeros between those two places; gives ``path, length``. A
+    task holds one piece, however large the files are; a copy takes its name once it is whole."""
+
+    def copied(source: str, target: str, end: int, zero_from: int, zero_to: int) -> int:
+        at, name = 0, f"{target}.{uuid.uuid4().hex}"
+        with open_path(source) as handle, open_sink(name) as out:
+            while at < end and (data := handle.read(min(piece, end - at))):
+                low, high = max(zero_from - at, 0), min(zero_to - at, len(data))
+                out.write(data if low >= high else data[:low] + bytes(high - low) + data[high:])
+                at += len(data)
+        move_file(name, target)
+        return at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            written = []
+            for part, source, *places in zip(*(batch.column(c).to_pylist() for c in ("part", "path", "end", "zero_from", "zero_to")), strict=True):
+                path = f"{folder}/part={part}/blob-{hashlib.sha1(source.encode()).hexdigest()}"
+                written.append((path if ":" in path else f"file:{path}", copied(source, path, *places)))
+            columns = list(zip(*written, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], ["path", "length"])
+
+    return run
+
+
 def _local_entry(base: str, entry) -> tuple:
     try:
         found, is_dir = entry.stat(), entry.is_dir()

@@ -310,3 +310,31 @@ def test_lines_of_a_text_in_parts_are_numbered_through(spark, tmp_path):
     rows = textcheck.check_text_tables(spark, [(str(tmp_path / "x.db/t0"), 2, "\t")])
     got = textcheck.text_verdict(textcheck.in_parts(rows)).collect()
     assert [(r.path.endswith("/p=1/"), r.n_rows, r.first_bad_line, r.first_bad) for r in got] == [(True, 6, 5, "b\ta\td\te\tf")]
+
+
+def test_changed_copies_are_made_in_pieces(tmp_path, monkeypatch):
+    """A file of many pieces: cut short, overwritten across pieces, or as it was; no read is larger than a piece."""
+    data, reads = bytes(np.random.default_rng(9).integers(1, 256, 1000, np.uint8)), []
+    (tmp_path / "whole").write_bytes(data)
+    opened = tables.open_path
+
+    class Watched:
+        def __init__(self, handle):
+            self.handle = handle
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.handle.close()
+
+        def read(self, n):
+            reads.append(n)
+            return self.handle.read(n)
+
+    monkeypatch.setattr(tables, "open_path", lambda path: Watched(opened(path)))
+    rows = {"part": ["0", "1", "2"], "path": [str(tmp_path / "whole")] * 3, "end": [1000, 667, 1000], "zero_from": [0, 0, 250], "zero_to": [0, 0, 750]}
+    (made,) = tables.copy_files(str(tmp_path / "out"), piece=64)(iter([pa.RecordBatch.from_pydict(rows)]))
+    got = [Path(p.removeprefix("file:")).read_bytes() for p in made["path"].to_pylist()]
+    assert got == [data, data[:667], data[:250] + bytes(500) + data[750:]] and max(reads) == 64
+    assert made["length"].to_pylist() == [1000, 667, 1000] and len(list((tmp_path / "out").rglob("blob-*"))) == 3
