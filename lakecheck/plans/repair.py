@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakecheck.operators.filecheck import check_content
-from lakecheck.operators.parity import Policy, audit_parity
+from lakecheck.operators.parity import Policy, audit_parity, only_groups
 from lakecheck.operators.recovery import best_attempts, judge_attempts, locate_bad_units, locate_per_stripe, rebuilt_groups, reconstruct_units
 from lakecheck.session import fits_broadcast, materialize
 from lakecheck.sources.files import with_table
@@ -36,8 +36,7 @@ def repair_units(cells: DataFrame, policy: Policy, screen: bool = True) -> Repai
     stripes = audit_parity(cells, policy, screen)
     bad = materialize(stripes.where(F.size("bad_parity") > 0), "bad-stripes")
     groups = materialize(bad.select("group_id").distinct(), "bad-groups")
-    few = F.broadcast(groups) if fits_broadcast(groups) else groups
-    damaged = materialize(cells.join(few, "group_id", "left_semi"), "damaged-cells")
+    damaged = materialize(only_groups(cells, groups), "damaged-cells")
     located = materialize(locate_bad_units(damaged, policy, stripes=bad), "located")
     known = located.where("outcome = 'located'").select("group_id", F.get("unit_sets", F.lit(0)).alias("excluded"))
     fixed = reconstruct_units(damaged, policy, known)
@@ -97,15 +96,20 @@ def try_attempts(cells: DataFrame, attempts: DataFrame, policy: Policy, stripes:
 
 def winners(outcome: DataFrame) -> DataFrame:
     """``path, group_id, attempt_no, excluded`` of the first good attempt of each group."""
-    best = best_attempts(outcome).where("attempt_no IS NOT NULL")
-    return best.join(outcome.select("path", "group_id", "attempt_no", "excluded"), ["path", "group_id", "attempt_no"])
+    return _sets_of(best_attempts(outcome), outcome)
+
+
+def _sets_of(best: DataFrame, outcome: DataFrame) -> DataFrame:
+    good = outcome.where("ok").select("path", "group_id", "attempt_no", "excluded")
+    return best.where("attempt_no IS NOT NULL").join(good, ["path", "group_id", "attempt_no"])
 
 
 def recovered_cells(cells: DataFrame, outcome: DataFrame, policy: Policy) -> DataFrame:
     """``path, group_id, stripe_no, unit_index, payload`` of the first good attempt of each
     group, for the files of which every group that was tried has one."""
-    whole = best_attempts(outcome).groupBy("path").agg(F.bool_and(F.col("attempt_no").isNotNull()).alias("whole")).where("whole").select("path")
-    kept = materialize(winners(outcome).join(whole, "path", "left_semi").select("path", "group_id", "excluded"), "best")
+    best = materialize(best_attempts(outcome), "best-attempts")
+    whole = best.groupBy("path").agg(F.bool_and(F.col("attempt_no").isNotNull()).alias("whole")).where("whole").select("path")
+    kept = materialize(_sets_of(best.join(whole, "path", "left_semi"), outcome).select("path", "group_id", "excluded"), "best")
     places = kept.select("group_id", "path")
     fixed = rebuilt_groups(cells, policy, kept.select("group_id", "excluded"))
     return fixed.join(F.broadcast(places) if fits_broadcast(places) else places, "group_id").select("path", "group_id", "stripe_no", "unit_index", "payload")

@@ -404,3 +404,46 @@ def test_checksums_name_the_units_without_moving_payloads(spark, monkeypatch):
     monkeypatch.setattr(parity, "by_stripe", None)
     got = sorted(map(tuple, parity.audit_parity(coded, policy, screen=True).collect()))
     assert got == exact and [b for _, _, b in got] == [[], [0, 3], [0, 1, 2, 3], [], [], []]
+
+
+def test_damaged_only_is_the_verdict_of_damaged_groups(spark):
+    """The shorter verdict against the whole one: damaged, under-coded, unread and sound groups."""
+    policy = Policy(3, 2)
+    cells = coded(policy, 5)
+    flip(cells, 1, 1, 0, 2)
+    flip(cells, 2, 0, 4, 3)
+    held = units(spark, {-g: f"/f{g}" for g in range(7)}, policy, size=3 * policy.k << 20).where("not (group_id = -3 and unit_index > 1)")
+    stripes = parity.audit_parity(frame(spark, cells), policy)
+    whole = parity.group_verdict(stripes, held, policy).where("status = -1")
+    short = parity.group_verdict(stripes, held, policy, damaged_only=True)
+    assert short.schema == whole.schema or [f.dataType for f in short.schema] == [f.dataType for f in whole.schema]
+    got = sorted(map(str, short.collect()))
+    assert got == sorted(map(str, whole.collect())) and {r["group_id"] for r in short.collect()} == {-1, -2, -3}
+
+
+def test_attempts_by_units_are_those_by_hosts(spark):
+    """Hosts that hold several units or none, a named host the group doesn't have, files without a named host."""
+    policy, rows = Policy(3, 2), []
+    for g, hosts in enumerate((["a", "b", "c", "d", "e"], ["b", "a", "b", "c", None], ["a"], ["e", "d", "c", "b", "a"])):
+        rows += [(f"/f{g % 2}", g, u, h) for u, h in enumerate(hosts)]
+    held = spark.createDataFrame(rows, "path string, group_id bigint, unit_index int, host string")
+    told = "Status: ERROR, message: EC compute result not match.:ip is {} block is : -7"
+    hurt = [("/f0", 0, told.format("c")), ("/f1", 1, told.format("b")), ("/f0", 2, told.format("z")), ("/f1", 3, None)]
+    damaged = spark.createDataFrame(hurt, "path string, group_id bigint, msg string")
+    by_hosts = attempt_units(recovery.plan_group_attempts(damaged, recovery.hosts_of_groups(held)), held)
+    by_units = recovery.plan_unit_attempts(damaged, held)
+    assert sorted(map(tuple, by_units.collect())) == sorted(map(tuple, by_hosts.collect())) and by_units.count() == 11 + 4 + 1 + 10
+
+
+def test_attempts_move_no_payload_of_sound_groups(spark):
+    """Many unit sets, more than a word of bits holds: fits as from rebuilding; screened sums of a batch fold per stripe."""
+    policy = Policy(10, 4)
+    cells = coded(policy, 3, seed=4, size=300)
+    for s, u in enumerate((2, 9)):
+        flip_many(cells, 1, s, u, 7)
+    sets = [e for size in (1, 2) for e in itertools.combinations(range(14), size)]
+    rows = [("/f", -g, n, list(e)) for g in range(3) for n, e in enumerate(sets, 1)]
+    asked = spark.createDataFrame(rows, "path string, group_id bigint, attempt_no int, excluded array<int>")
+    fits = {(r["group_id"], tuple(r["excluded"])) for r in try_attempts(frame(spark, cells), asked, policy).where("fits").collect()}
+    assert len(sets) > 64 and {e for g, e in fits if g == -1} == {(2, 9)}
+    assert {e for g, e in fits if g == 0} == set(sets)

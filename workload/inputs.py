@@ -99,15 +99,15 @@ def data_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flip(byte: int) -> Column:
-    """Payload with all bits of one byte inverted."""
-    code = "lpad(hex(255 - cast(conv(substr(h, {0}, 2), 16, 10) as int)), 2, '0')".format(byte * 2 + 1)
-    return F.expr(f"unhex(concat(substr(h, 1, {byte * 2}), {code}, substr(h, {byte * 2 + 3})))")
+    """Payload with all bits of one byte inverted; computed for the rows that ask for it."""
+    code = "lpad(hex(255 - cast(conv(substr(hex(payload), {0}, 2), 16, 10) as int)), 2, '0')".format(byte * 2 + 1)
+    return F.expr(f"unhex(concat(substr(hex(payload), 1, {byte * 2}), {code}, substr(hex(payload), {byte * 2 + 3})))")
 
 
 def rs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RS(6,3) cells, rendered once and written. Damage: first parity unit if ``g % 41 = 0``, and
     the first data unit of stripe 0 if ``g % 43 = 0`` and it is there."""
-    cells = encode(data_cells(spark, sf_dir), RS, keep=True).withColumn("h", F.hex("payload"))
+    cells = encode(data_cells(spark, sf_dir), RS, keep=True)
     bad_parity = F.expr("group_id % 41 = 0 and unit_index = 6")
     bad_data = F.expr("group_id % 43 = 0 and unit_index = 0 and stripe_no = 0")
     payload = F.when(bad_parity, _flip(0)).when(bad_data, _flip(9)).otherwise(F.col("payload"))
