@@ -127,3 +127,35 @@ def test_audit_of_unit_files(spark, tmp_path):
     meta = held.select("path").distinct().selectExpr("path", "true as exists", "true as is_file", "true as is_closed", "'rs' as policy", "1 as length")
     got = {r["path"]: r["status"] for r in audit_unit_files(meta, held, files, {"rs": policy}).collect()}
     assert got == {"/w/f0": 0, "/w/f1": -1, "/w/f2": 1, "/w/f3": 1, "/w/f4": 0}
+
+
+def test_a_short_file_is_opened_once(spark, tmp_path, monkeypatch):
+    """All ranges of a short file come to the same task, which reads them as one."""
+    policy = Policy(3, 2, cell_size=40)
+    files = unit_rows(spark, tmp_path, coded(policy, 8), policy, 8)
+    dealt = units.scan_unit_cells(files, range_bytes=40).withColumn("task", F.spark_partition_id())
+    per_file = dealt.groupBy("group_id", "unit_index").agg(F.countDistinct("task").alias("tasks"), F.count("*").alias("n")).collect()
+    assert len(per_file) == 40 and {(r["tasks"], r["n"]) for r in per_file} == {(1, 3)}
+    opened, real = [], units.open_path
+    monkeypatch.setattr(units, "open_path", lambda path: opened.append(path) or real(path))
+    names = ("path", "group_id", "unit_index", "cell_size", "start", "end")
+    path = files.first()["path"]
+    ranges = units.pa.RecordBatch.from_pylist([dict(zip(names, (path, 0, 0, 40, at, at + 40), strict=True)) for at in (0, 40, 80)])
+    got = list(units._cells(iter([ranges.slice(0, 2), ranges.slice(2)])))
+    assert opened == [path] and len(got) == 1 and got[0].column("stripe_no").to_pylist() == [0, 1, 2]
+
+
+def test_pieces_by_number(spark, tmp_path, conf):
+    """Pieces name their file by a number, some past its end, across it or of no file; nothing is joined."""
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    targets = [(n, f"{tmp_path}/f{n}{tables.PARTS}", n * 30) for n in range(4)]
+    pieces = [(n, at, bytearray([n + 1]) * 20) for n in range(6) for at in (0, 25, 50, 75, 200)]
+    written = units.write_parts(spark.createDataFrame(pieces, "no bigint, at bigint, payload binary").repartition(4), spark.createDataFrame(targets, "no bigint, target string, length bigint"), part_bytes=40, key="no")
+    assert "Join" not in written._jdf.queryExecution().toString()
+    assert {(r["target"], r["part"]): r["length"] for r in written.collect()} == {(t, p): min(40, n - p * 40) for _, t, n in targets for p in range(max(-(-n // 40), 1))}
+    for n, target, length in targets:
+        whole = bytearray(length)
+        for at in (0, 25, 50, 75):
+            whole[at : at + 20] = (bytes([n + 1]) * 20)[: max(length - at, 0)]
+        with tables.open_path(target) as handle:
+            assert handle.read() == bytes(whole[:length])
