@@ -33,8 +33,7 @@ def repair_units(cells: DataFrame, policy: Policy, screen: bool = True) -> Repai
     folder; every later step works on that copy. Stripes of a group may have different bad units. Groups that are only ``candidate`` need
     the content check of each of their unit sets; :func:`candidate_sets` lists them.
     """
-    stripes = audit_parity(cells, policy, screen)
-    bad = materialize(stripes.where(F.size("bad_parity") > 0), "bad-stripes")
+    bad = materialize(audit_parity(cells, policy, screen, bad_only=True), "bad-stripes")
     groups = materialize(bad.select("group_id").distinct(), "bad-groups")
     damaged = materialize(only_groups(cells, groups), "damaged-cells")
     located = materialize(locate_bad_units(damaged, policy, stripes=bad), "located")

@@ -447,3 +447,38 @@ def test_attempts_move_no_payload_of_sound_groups(spark):
     fits = {(r["group_id"], tuple(r["excluded"])) for r in try_attempts(frame(spark, cells), asked, policy).where("fits").collect()}
     assert len(sets) > 64 and {e for g, e in fits if g == -1} == {(2, 9)}
     assert {e for g, e in fits if g == 0} == set(sets)
+
+
+@pytest.mark.parametrize("policy", POLICIES, ids=str)
+def test_stripes_as_rows(spark, conf, policy):
+    """Rows of payloads, some missing, short or empty, give the cells that the shuffled encoder gives, and move nothing."""
+    conf("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    cells = {key: value for key, value in coded(policy, 6, seed=3).items() if key[2] < policy.k}
+    stripes = sorted({key[:2] for key in cells})
+    rows = [(g, s, [cells[g, s, u] if (g, s, u) in cells else None for u in range(policy.k)]) for g, s in stripes]
+    rows.append((9, 0, [bytearray(b"")] + [None] * (policy.k - 1)))
+    rows.append((9, 1, [None] * policy.k))  # nothing there: no stripe
+    data = frame(spark, {**cells, (9, 0, 0): b""})
+    wide = parity.encode_rows(spark.createDataFrame(rows, "group_id bigint, stripe_no int, payloads array<binary>"), policy)
+    assert as_dict(wide) == as_dict(parity.encode(data, policy, keep=True)) and wide.count() == (len(rows) - 1) * policy.m + len(cells) + 1
+    assert "Exchange" not in wide._jdf.queryExecution().toString()
+
+
+def test_rendered_stripes_are_the_rendered_cells(spark):
+    from workload import inputs
+
+    d = "/root/testdata/sf0.001"
+    wide = as_dict(parity.encode_rows(inputs.data_stripes(spark, d), inputs.RS))
+    assert wide == as_dict(parity.encode(inputs.data_cells(spark, d), inputs.RS, keep=True)) and len(wide) > 9000
+
+
+@pytest.mark.parametrize("screen", [False, True])
+def test_only_bad_stripes(spark, screen):
+    """The bad stripes of the whole audit; equal repeats are no damage, and a screen writes no sound stripe."""
+    policy = Policy(3, 2)
+    cells = coded(policy, 4)
+    flip(cells, 1, 1, 0, 2)
+    again = frame(spark, {(0, 1, 0): cells[0, 1, 0], (-2, 1, 1): b"another"})
+    df = frame(spark, cells).unionByName(again)
+    got = parity.audit_parity(df, policy, screen=screen, bad_only=True)
+    assert bad_stripes(got) == bad_stripes(parity.audit_parity(df, policy)) == {(-1, 1): [0, 1], (-2, 1): [0, 1]} and got.count() == 2

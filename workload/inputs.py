@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakecheck.functions.messages import UNDER_CODED, mismatch_message
-from lakecheck.operators.parity import Policy, encode
+from lakecheck.operators.parity import Policy, encode_rows
 from lakecheck.session import materialize
 
 ROOT = "/warehouse"
@@ -98,6 +98,18 @@ def data_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def data_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of :func:`data_cells` by one aggregate, a row for each stripe: ``payloads`` of six units."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS group_id", "cast((l_linenumber - 1) div 6 as int) AS stripe_no", "cast((l_linenumber - 1) % 6 as int) AS unit",
+        "cast(round(l_extendedprice * 100) as bigint) AS a", "l_partkey * 1000003 + l_suppkey AS b")
+    words = [F.bit_xor(F.when(F.col("unit") == u, F.col(w))).alias(f"{w}{u}") for u in range(RS.k) for w in "ab"]
+    held = F.bit_or(F.expr("shiftleft(1, unit)")).alias("held")
+    word = "lpad(hex({0}), 16, '0')"
+    payload = [F.expr(f"if(held & {1 << u} != 0, unhex(concat({word.format(f'a{u}')}, {word.format(f'b{u}')})), null)") for u in range(RS.k)]
+    return lines.groupBy("group_id", "stripe_no").agg(held, *words).select("group_id", "stripe_no", F.array(*payload).alias("payloads"))
+
+
 def _flip(byte: int) -> Column:
     """Payload with all bits of one byte inverted; computed for the rows that ask for it."""
     code = "lpad(hex(255 - cast(conv(substr(hex(payload), {0}, 2), 16, 10) as int)), 2, '0')".format(byte * 2 + 1)
@@ -107,7 +119,7 @@ def _flip(byte: int) -> Column:
 def rs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RS(6,3) cells, rendered once and written. Damage: first parity unit if ``g % 41 = 0``, and
     the first data unit of stripe 0 if ``g % 43 = 0`` and it is there."""
-    cells = encode(data_cells(spark, sf_dir), RS, keep=True)
+    cells = encode_rows(data_stripes(spark, sf_dir), RS)
     bad_parity = F.expr("group_id % 41 = 0 and unit_index = 6")
     bad_data = F.expr("group_id % 43 = 0 and unit_index = 0 and stripe_no = 0")
     payload = F.when(bad_parity, _flip(0)).when(bad_data, _flip(9)).otherwise(F.col("payload"))
@@ -121,7 +133,7 @@ def long_groups(cells: DataFrame) -> DataFrame:
 
 def whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undamaged RS(6,3) cells of :func:`long_groups`, written."""
-    return materialize(long_groups(encode(data_cells(spark, sf_dir), RS, keep=True)), "cells")
+    return materialize(long_groups(encode_rows(data_stripes(spark, sf_dir), RS)), "cells")
 
 
 def one_bit(payload: Column) -> Column:
