@@ -2,7 +2,8 @@
 
 A file is cut into its row groups or stripes, and each of them is read in whatever task
 it hashes to, so that one very large file keeps many tasks busy. A damaged file gives an
-``error`` row where a plain scan would fail the job.
+``error`` row where a plain scan would fail the job, also if its bytes kill the native reader, which
+runs in a child process of the task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.functions.paths import is_marker, one_form
+from lakecheck.operators.apart import Apart, Crash
 from lakecheck.operators.lookup import route_format
 from lakecheck.operators.orcstats import differs, stripe_statistics
 from lakecheck.operators.textcheck import check_gzip_delimited, check_text_files
@@ -115,57 +117,85 @@ class _Orc:
 _PROBLEMS = (OSError, ValueError, EOFError, NotImplementedError, pa.ArrowException)
 
 
+def _units_of(opener: Callable):
+    """A path's units as rows, or one row with ``unit`` null."""
+
+    def units(path: str) -> list[tuple]:
+        try:
+            with open_path(path) as handle:
+                file = opener(handle)
+                return [(path, unit, file.rows, None) for unit in (range(file.units) if file.units else [None])]
+        except _PROBLEMS as problem:
+            return [(path, None, None, trouble(problem))]
+
+    return units
+
+
+def _reader(opener: Callable):
+    """Rows read and error of a unit; neighbouring units of a file share its handle."""
+    opened, handle, file = None, None, None
+
+    def read(path: str, unit: int) -> tuple[int, str | None]:
+        nonlocal opened, handle, file
+        try:
+            if path != opened:
+                opened, handle = None, open_path(path)
+                file, opened = opener(handle), path
+            return file.read(unit), None
+        except _PROBLEMS as problem:
+            opened = None
+            return 0, trouble(problem)
+
+    return read
+
+
 def _list_units(opener: Callable):
-    """Task body: paths -> one row per unit, or one row with ``unit`` null."""
+    """Task body: paths -> one row per unit, or one row with ``unit`` null. A file whose bytes
+    bring its reader down is a damaged one like others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path in batch.column("path").to_pylist():
-                try:
-                    with open_path(path) as handle:
-                        file = opener(handle)
-                        units = range(file.units) if file.units else [None]
-                        out += [(path, unit, file.rows, None) for unit in units]
-                except _PROBLEMS as problem:
-                    out.append((path, None, None, trouble(problem)))
-            columns = list(zip(*out)) or [()] * 4
-            types = (pa.string(), pa.int32(), pa.int64(), pa.string())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["path", "unit", "file_rows", "error"])
+        with Apart(_units_of(opener)) as units:
+            for batch in batches:
+                out = []
+                for path in batch.column("path").to_pylist():
+                    try:
+                        out += units(path)
+                    except Crash as problem:
+                        out.append((path, None, None, trouble(problem)))
+                columns = list(zip(*out)) or [()] * 4
+                types = (pa.string(), pa.int32(), pa.int64(), pa.string())
+                arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "unit", "file_rows", "error"])
 
     return run
 
 
 def _read_units(opener: Callable):
-    """Task body: read the units to the end. Neighbouring units of a file share its handle."""
+    """Task body: read the units to the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, handle, file = None, None, None
-        for batch in batches:
-            counts, errors = [], []
-            for path, unit, error in zip(*(batch.column(c).to_pylist() for c in ("path", "unit", "error"))):
-                n_rows = 0
-                if error is None and unit is not None:
-                    try:
-                        if path != opened:
-                            opened, handle = None, open_path(path)
-                            file, opened = opener(handle), path
-                        n_rows = file.read(unit)
-                    except _PROBLEMS as problem:
-                        opened, error = None, trouble(problem)
-                counts.append(n_rows)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("path"),
-                    batch.column("unit"),
-                    batch.column("file_rows"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(errors, pa.string()),
-                ],
-                ["path", "unit", "file_rows", "read_rows", "error"],
-            )
+        with Apart(_reader(opener)) as read:
+            for batch in batches:
+                counts, errors = [], []
+                for path, unit, error in zip(*(batch.column(c).to_pylist() for c in ("path", "unit", "error"))):
+                    n_rows = 0
+                    if error is None and unit is not None:
+                        try:
+                            n_rows, error = read(path, unit)
+                        except Crash as problem:
+                            error = trouble(problem)
+                    counts.append(n_rows)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("path"),
+                        batch.column("unit"),
+                        batch.column("file_rows"),
+                        pa.array(counts, pa.int64()),
+                        pa.array(errors, pa.string()),
+                    ],
+                    ["path", "unit", "file_rows", "read_rows", "error"],
+                )
 
     return run
 

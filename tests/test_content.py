@@ -12,7 +12,8 @@ import pytest
 from pyarrow import orc
 from pyspark.sql import functions as F
 
-from lakecheck.operators import compaction, filecheck, textcheck
+from lakecheck.operators import compaction, filecheck, orcstats, textcheck
+from lakecheck.operators.apart import Apart, Crash
 from lakecheck.plans.compaction import compact_table
 from lakecheck.sources import files, sinks, tables
 
@@ -338,3 +339,51 @@ def test_changed_copies_are_made_in_pieces(tmp_path, monkeypatch):
     got = [Path(p.removeprefix("file:")).read_bytes() for p in made["path"].to_pylist()]
     assert got == [data, data[:667], data[:250] + bytes(500) + data[750:]] and max(reads) == 64
     assert made["length"].to_pylist() == [1000, 667, 1000] and len(list((tmp_path / "out").rglob("blob-*"))) == 3
+
+
+def test_a_file_that_kills_its_reader_is_damaged(spark, tmp_path):
+    """Every other 256 bytes overwritten, the tail too: pyarrow's ORC reader dies of it."""
+    rng = np.random.default_rng(920)
+    table = pa.table({"a": rng.integers(0, 10**9, 920), "b": [f"name {x}" for x in rng.integers(0, 10**6, 920)], "c": rng.random(920)})
+    for name in ("good", "hurt", "last"):
+        orc.write_table(table, tmp_path / name, compression="zstd")
+    data = bytearray((tmp_path / "hurt").read_bytes())
+    for at in range(256, len(data), 512):
+        data[at : at + 256] = (b"x\n" * 128)[: len(data[at : at + 256])]
+    (tmp_path / "hurt").write_bytes(bytes(data))
+    found = {os.path.basename(r.path): r for r in filecheck.check_orc(files.scan_files(spark, str(tmp_path)).coalesce(1)).collect()}
+    assert {n: r.status for n, r in found.items()} == {"good": 0, "hurt": -1, "last": 0}
+
+
+def test_one_unit_that_kills_the_reader_leaves_the_others(spark, tmp_path):
+    class Deadly:
+        rows, units = 30, 3
+
+        def __init__(self, handle):
+            self.name = bytes(handle.read())
+
+        def read(self, unit):
+            if self.name == b"hurt" and unit == 1:
+                os.kill(os.getpid(), 11)
+            return 10
+
+    for name in ("a", "hurt", "z"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = {os.path.basename(r.path): r for r in filecheck._check(files.scan_files(spark, str(tmp_path)), Deadly).collect()}
+    assert {n: r.status for n, r in found.items()} == {"a": 0, "hurt": -1, "z": 0}
+    assert "SIGSEGV" in found["hurt"].msg and found["z"].n_units == 3
+
+
+def test_a_reader_that_is_ended_from_outside_is_an_error():
+    work = Apart(lambda signal: os.kill(os.getpid(), signal) if signal else os.getpid())
+    with work, pytest.raises(RuntimeError, match="signal 9"):
+        first = work(0)
+        with pytest.raises(Crash):
+            work(6)
+        assert work(0) not in (first, os.getpid())
+        work(9)
+
+
+def test_unreadable_statistics_are_damage():
+    with pytest.raises(ValueError, match="tail"):
+        orcstats.differs(pa.array([1, 2]), {2: b"\x08\xff"})
